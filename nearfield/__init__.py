@@ -1,0 +1 @@
+"""Similarity search and embedding catalogs on Spark DataFrames."""

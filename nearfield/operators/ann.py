@@ -101,13 +101,17 @@ def build_index(items: DataFrame, index_type: str = "flatl2", *, nlist: int = 10
     raise ValueError(f"index_type must be one of {INDEX_TYPES}")
 
 
+def place_items(index: VectorIndex, items: DataFrame) -> DataFrame:
+    """Items (image_id, embedding) with the index cell they belong to."""
+    if index.centroids is None:
+        return items.select(F.lit(0).alias("cell"), F.col("image_id").cast("long"), "embedding")
+    return assign_cells(items, index.centroids)
+
+
 def index_add(index: VectorIndex, items: DataFrame) -> VectorIndex:
     """The index with more items, each placed in an existing cell."""
-    if index.centroids is None:
-        new = items.select(F.lit(0).alias("cell"), F.col("image_id").cast("long"), "embedding")
-    else:
-        new = assign_cells(items, index.centroids)
-    return VectorIndex(index.index_type, index.centroids, index.cells.unionByName(new), index.dim)
+    cells = index.cells.unionByName(place_items(index, items))
+    return VectorIndex(index.index_type, index.centroids, cells, index.dim)
 
 
 def index_remove(index: VectorIndex, ids: DataFrame) -> VectorIndex:

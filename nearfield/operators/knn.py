@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.functions.vectors import SCORE_STEEPNESS, SCORE_THRESHOLD, sigmoid_score
+from nearfield.operators.bounds import bounded
 from nearfield.operators.blocks import BestMatches, vector_matrix
 
 MAX_BROADCAST_ROWS = 8192
@@ -96,7 +97,8 @@ def nearest_in_block(left: DataFrame, block: VectorBlock, k: int, metric: str, *
                 names.append("vector")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    narrow = left.select(F.col(left_key).cast("long"), F.col(left_vector).cast("array<float>"))
+    vector = F.col(left_vector).cast("array<float>") if keep_vector else F.col(left_vector)
+    narrow = left.select(F.col(left_key).cast("long"), vector)
     schema = "left_key bigint, right_key bigint, value double"
     schema += ", vector array<float>" if keep_vector else ""
     matched = narrow.mapInArrow(match, schema)
@@ -207,7 +209,7 @@ def cell_grid_hits(queries: DataFrame, items: DataFrame, k: int, block_rows: int
     def chunked(df, name):
         return df.groupBy("cell").agg(_chunk_count(F.count(F.lit(1)), block_rows).alias(name))
 
-    chunks = chunked(queries, "query_chunks").join(chunked(items, "item_chunks"), "cell")
+    chunks = bounded(chunked(queries, "query_chunks").join(chunked(items, "item_chunks"), "cell"))
     return _match_grid(queries.join(chunks, "cell"), items.join(chunks, "cell"), k)
 
 
