@@ -9,7 +9,8 @@ from nearfield.session import cut_lineage
 _ROW_BITS = 33  # bits of the row number within monotonically_increasing_id
 
 
-def allocate_ids(new: DataFrame, existing: DataFrame, id_column: str, *, order_by: str) -> DataFrame:
+def allocate_ids(new: DataFrame, existing: DataFrame, id_column: str, *,
+                 order_by: str | list[str]) -> DataFrame:
     """``new`` with ids counting on from the largest existing one, in ``order_by`` order.
 
     The sorted rows are materialised once, so every later read sees the same

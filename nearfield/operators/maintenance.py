@@ -124,13 +124,15 @@ def rebuild_index(vectors: DataFrame, images: DataFrame, indexes: DataFrame, pat
 
 
 def drain_deletions(queue: DataFrame, vectors: DataFrame, images: DataFrame, indexes: DataFrame,
-                    path: str, index_type: str = "flatl2", *, nlist: int = 100) -> IndexRebuild | None:
-    """Rebuild the index from stored vectors without the queued items; None
-    when nothing is queued."""
+                    path: str, index_type: str = "flatl2", *, nlist: int = 100,
+                    readded: DataFrame | None = None) -> IndexRebuild | None:
+    """Rebuild the index from stored vectors without the queued items, save
+    those added again since (``readded``); None when nothing is queued."""
     settled = cut_lineage(queue)
     if settled.isEmpty():
         return None
-    live = vectors.join(settled, "image_id", "left_anti")
+    doomed = settled if readded is None else settled.join(readded, "image_id", "left_anti")
+    live = vectors.join(doomed, "image_id", "left_anti")
     kept = live.join(images.select("image_id"), "image_id", "left_semi")
     result = _rebuild(live, kept, indexes, index_type, path, nlist)
     result.settled = settled

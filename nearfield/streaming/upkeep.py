@@ -82,14 +82,14 @@ class Upkeep:
         try:
             stale = cut_lineage(recompute_queue(changes, images, before["recompute_queue"]))
             doomed = cut_lineage(deletion_queue(changes, before["deletion_queue"]))
-            # An item added again after its removal is no longer removed.
-            back = changes.filter(F.col("op") != "DELETE").groupBy("image_id").agg(F.max("ts").alias("back_at"))
-            removed = before["removed"].unionByName(
-                doomed.join(before["removed"], "image_id", "left_anti")
-            ).join(back, "image_id", "left").filter(
-                F.col("back_at").isNull() | (F.col("back_at") <= F.col("queued_at"))
-            ).select("image_id", "queued_at")
-            removed = cut_lineage(removed)
+            # The last change of an item decides whether it is gone.
+            last = changes.groupBy("image_id").agg(
+                F.max_by("op", "ts").alias("op"),
+                F.min(F.when(F.col("op") == "DELETE", F.col("ts"))).alias("queued_at"),
+            )
+            gone = last.filter(F.col("op") == "DELETE").select("image_id", "queued_at")
+            earlier = before["removed"].join(last, "image_id", "left_anti")
+            removed = cut_lineage(earlier.unionByName(gone))
         finally:
             changes.unpersist()
 
@@ -105,7 +105,8 @@ class Upkeep:
             if self.rebuild:
                 path = self.index_path(batch_id)
                 rebuilt = drain_deletions(
-                    doomed, live, images, before["indexes"], path, self.index_type, nlist=self.nlist
+                    doomed, live, images, before["indexes"], path, self.index_type,
+                    nlist=self.nlist, readded=doomed.join(removed, "image_id", "left_anti"),
                 )
                 if rebuilt is not None:
                     save_index(rebuilt.index, path, mode="overwrite")
