@@ -781,8 +781,9 @@ def k2_stream_deletion_queue(c):
 
 def _upkeep(c):
     folder = scratch_path(c.spark, "upkeep")
-    empty = {name: table.limit(0) for name, table in c.all().items() if name.endswith("_queue")}
-    sinks.write_catalog(c.all() | empty, f"{folder}/catalog")
+    catalog = c.all()
+    empty = {name: table.limit(0) for name, table in catalog.items() if name.endswith("_queue")}
+    sinks.write_catalog(catalog | empty, f"{folder}/catalog")
     return Upkeep(f"{folder}/catalog", f"{folder}/state"), f"{folder}/checkpoint"
 
 
