@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.operators.bounds import bounded
 from nearfield.operators.knn import (
     MAX_BROADCAST_ROWS,
     cell_grid_hits,
@@ -140,7 +141,8 @@ def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length:
     """Search among items that share a random-projection bucket with the query.
 
     Buckets are cells of the block grid, so a crowded bucket is split and no
-    pair list is ever written; a query alone in its buckets has no hits.
+    pair list is ever written; items in no query's bucket are dropped before
+    the shuffle. A query alone in its buckets has no hits.
     """
     hasher = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", seed=seed,
@@ -160,7 +162,10 @@ def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length:
         table = F.col("table").cast("long")
         return hashed.select(key, "embedding", F.struct(table.alias("table"), bucket.alias("bucket")).alias("cell"))
 
-    partial = cell_grid_hits(buckets(features(queries, "query_id"), "query_id"), buckets(corpus, "image_id"), k)
+    wanted = buckets(features(queries, "query_id"), "query_id")
+    probed = bounded(wanted.select("cell").distinct())
+    offered = buckets(corpus, "image_id").join(probed, "cell", "left_semi")
+    partial = cell_grid_hits(wanted, offered, k)
     hits = top_hits(partial.dropDuplicates(["query_id", "image_id"]), k)
     return with_score(hits).select("query_id", "rank", "image_id", "distance", "similarity_score")
 

@@ -31,16 +31,19 @@ def vector_matrix(column) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
+def positions(groups) -> np.ndarray:
+    """1-based position of each row within its run of equal group values."""
+    place = np.arange(len(groups), dtype=np.int32)
+    starts = np.ones(len(groups), dtype=bool)
+    starts[1:] = groups[1:] != groups[:-1]
+    first = np.maximum.accumulate(np.where(starts, place, 0).astype(np.int32))
+    return place - first + 1
+
+
 def keep_best(left, key, right, k) -> np.ndarray:
     """Positions of the k smallest (key, right) of each left index."""
     order = np.lexsort((right, key, left))
-    if len(order) == 0:
-        return order
-    grouped = left[order]
-    position = np.arange(len(order))
-    starts = np.concatenate(([True], grouped[1:] != grouped[:-1]))
-    first = np.maximum.accumulate(np.where(starts, position, 0))
-    return order[position - first < k]
+    return order[positions(left[order]) <= k]
 
 
 class BestMatches:

@@ -9,7 +9,7 @@ from nearfield.operators.reports import items_per_category
 
 
 def _names(categories: DataFrame) -> DataFrame:
-    return categories.select("category_id", "category_name")
+    return bounded(categories.select("category_id", "category_name"))
 
 
 def items_with_category(images: DataFrame, categories: DataFrame) -> DataFrame:
@@ -24,13 +24,22 @@ def items_of_category(images: DataFrame, categories: DataFrame, category_id: int
 
 def vectors_of_category(vectors: DataFrame, images: DataFrame, category_id: int) -> DataFrame:
     """image_id, embedding of the vectors in one category."""
-    members = images.filter(F.col("category_id") == category_id).select("image_id")
+    members = bounded(images.filter(F.col("category_id") == category_id).select("image_id"))
     return vectors.select("image_id", "embedding").join(members, "image_id")
 
 
 def categories_with_items(categories: DataFrame, images: DataFrame) -> DataFrame:
-    """Every category beside its items; a category without items has one row."""
-    return _names(categories).join(images.select("image_id", "category_id"), "category_id", "left")
+    """Every category beside its items; a category without items has one row.
+
+    Written as an inner join plus the empty categories, so the categories can
+    travel to the items and a large category is not gathered in one task.
+    """
+    names = _names(categories)
+    items = images.select("image_id", "category_id")
+    empty = names.join(items.select("category_id").distinct(), "category_id", "left_anti")
+    return names.join(items, "category_id").unionByName(
+        empty.withColumn("image_id", F.lit(None).cast("long"))
+    )
 
 
 def with_category_total(images: DataFrame) -> DataFrame:
@@ -42,9 +51,17 @@ def with_category_total(images: DataFrame) -> DataFrame:
     return images.join(bounded(totals), "category_id")
 
 
+def without_vectors(images: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The items that have no vector. Ids are compared first; contents move
+    only when too many items are missing for their ids to travel."""
+    missing = images.select("image_id").join(vectors.select("image_id"), "image_id", "left_anti")
+    return images.join(bounded(missing), "image_id", "left_semi")
+
+
 def items_without_vectors(images: DataFrame, vectors: DataFrame, categories: DataFrame) -> DataFrame:
     """Items that have no vector, with category name and size."""
-    missing = with_category_total(images).join(vectors.select("image_id"), "image_id", "left_anti")
+    totals = bounded(items_per_category(images).withColumnRenamed("n_items", "total_images_in_category"))
+    missing = without_vectors(images, vectors).join(totals, "category_id")
     return items_with_category(missing, categories)
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearfield.functions.vectors import SCORE_STEEPNESS, SCORE_THRESHOLD, sigmoid_score
+from nearfield.operators.blocks import BestMatches, positions, vector_matrix
 from nearfield.operators.bounds import bounded
-from nearfield.operators.blocks import BestMatches, vector_matrix
 
 MAX_BROADCAST_ROWS = 8192
 MAX_BROADCAST_BYTES = 64 << 20
@@ -29,6 +29,9 @@ BLOCK_ROWS = 16384
 # A scan estimated below this many bytes per core is spread over all cores.
 SPREAD_BYTES_PER_CORE = 8 << 20
 
+# A hit in a hash table, generously.
+HIT_BYTES = 64
+
 HIT_SCHEMA = "query_id bigint, image_id bigint, distance double"
 
 
@@ -78,7 +81,7 @@ def top_hits(hits: DataFrame, k: int, group: str = "query_id", value: str = "dis
 def nearest_in_block(left: DataFrame, block: VectorBlock, k: int, metric: str, *,
                      left_key: str, left_vector: str, right_name: str, value_name: str,
                      right_type: str = "bigint", keep_vector: bool = False) -> DataFrame:
-    """The k best block members of every left row, found without a shuffle."""
+    """The k best block members of every left row with their rank, without a shuffle."""
     shared = left.sparkSession.sparkContext.broadcast((block.ids, block.vectors))
 
     def match(batches):
@@ -90,8 +93,8 @@ def nearest_in_block(left: DataFrame, block: VectorBlock, k: int, metric: str, *
             best.update(vectors, ids)
             rows, value, right = best.result()
             out = batch.take(pa.array(rows))
-            columns = [out.column(0), pa.array(right), pa.array(value)]
-            names = ["left_key", "right_key", "value"]
+            columns = [out.column(0), pa.array(right), pa.array(value), pa.array(positions(rows))]
+            names = ["left_key", "right_key", "value", "rank"]
             if keep_vector:
                 columns.append(out.column(1))
                 names.append("vector")
@@ -99,13 +102,14 @@ def nearest_in_block(left: DataFrame, block: VectorBlock, k: int, metric: str, *
 
     vector = F.col(left_vector).cast("array<float>") if keep_vector else F.col(left_vector)
     narrow = left.select(F.col(left_key).cast("long"), vector)
-    schema = "left_key bigint, right_key bigint, value double"
+    schema = "left_key bigint, right_key bigint, value double, rank int"
     schema += ", vector array<float>" if keep_vector else ""
     matched = narrow.mapInArrow(match, schema)
     return matched.select(
         F.col("left_key").alias(left_key),
         F.col("right_key").cast(right_type).alias(right_name),
         F.col("value").alias(value_name),
+        "rank",
         *([F.col("vector").alias(left_vector)] if keep_vector else []),
     )
 
@@ -195,6 +199,7 @@ def nearest_on_grid(left: DataFrame, right: DataFrame, k: int, *, left_key: str,
         F.col("query_id").alias(left_key),
         F.col("image_id").cast(right_type).alias(right_key),
         F.col("distance").alias(value_name),
+        "rank",
     )
 
 
@@ -242,13 +247,19 @@ def probe_hits(queries: DataFrame, items: DataFrame, k: int, probes: DataFrame,
 
 def exact_hits(queries: DataFrame, items: DataFrame, k: int, *,
                max_broadcast_rows: int = MAX_BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest items of each query: query_id, image_id, distance, rank."""
+    """The k nearest items of each query: query_id, image_id, distance, rank.
+
+    Hits of a query set within the bound are few enough to travel, and are
+    marked so: joining them to the items does not shuffle the items.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
     items = items.select(F.col("image_id").cast("long"), "embedding")
     block = collect_block(queries, "query_id", "embedding", max_broadcast_rows)
     if block is not None:
-        return top_hits(_scan_items(block, spread(items, "image_id"), k, None), k)
+        hits = top_hits(_scan_items(block, spread(items, "image_id"), k, None), k)
+        few = len(block) * k * HIT_BYTES <= MAX_BROADCAST_BYTES
+        return F.broadcast(hits) if few else hits
     queries = queries.select(F.col("query_id").cast("long"), "embedding")
     return top_hits(flat_grid_hits(queries, items, k, block_rows), k)
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import content_sha256
 from nearfield.operators.ann import VectorIndex, build_index
+from nearfield.operators.bounds import bounded
+from nearfield.operators.joins import without_vectors
 from nearfield.operators.prototypes import prototypes_of
 from nearfield.operators.reports import apply_count_changes
 from nearfield.operators.upsert import upsert_prototypes
@@ -28,15 +30,12 @@ def recompute_queue(changes: DataFrame, images: DataFrame | None = None,
     A change (image_id, category_id, op, ts) that carries no category takes the
     one its item has in ``images``; without either it is left out.
     """
-    latest = changes.groupBy("image_id", "category_id").agg(F.max("ts").alias("ts"))
+    latest = changes.groupBy("image_id", "category_id").agg(F.max("ts").alias("last_updated"))
+    rows = latest.filter(F.col("category_id").isNotNull()).select(F.col("category_id").cast("int"), "last_updated")
     if images is not None:
-        known = images.select("image_id", F.col("category_id").alias("item_category"))
-        latest = latest.join(known, "image_id", "left").withColumn(
-            "category_id", F.coalesce("category_id", "item_category")
-        )
-    rows = latest.filter(F.col("category_id").isNotNull()).select(
-        F.col("category_id").cast("int"), F.col("ts").alias("last_updated")
-    )
+        open_items = bounded(latest.filter(F.col("category_id").isNull()).select("image_id", "last_updated"))
+        placed = open_items.join(images.select("image_id", "category_id"), "image_id")
+        rows = rows.unionByName(placed.select("category_id", "last_updated"))
     if queue is not None:
         rows = rows.unionByName(queue)
     return rows.groupBy("category_id").agg(F.max("last_updated").alias("last_updated"))
@@ -132,6 +131,7 @@ def drain_deletions(queue: DataFrame, vectors: DataFrame, images: DataFrame, ind
     if settled.isEmpty():
         return None
     doomed = settled if readded is None else settled.join(readded, "image_id", "left_anti")
+    doomed = bounded(doomed.select("image_id"))
     live = vectors.join(doomed, "image_id", "left_anti")
     kept = live.join(images.select("image_id"), "image_id", "left_semi")
     result = _rebuild(live, kept, indexes, index_type, path, nlist)
@@ -146,7 +146,8 @@ def delete_items(catalog: dict[str, DataFrame], ids: DataFrame, as_of) -> dict[s
     and dropped, their categories marked stale and counted down."""
     images, vectors = catalog["images"], catalog["vectors"]
     now = F.lit(as_of).cast("timestamp")
-    doomed = images.select("image_id", "category_id").join(ids.select("image_id"), "image_id", "left_semi")
+    ids = bounded(ids.select("image_id").distinct())
+    doomed = bounded(images.select("image_id", "category_id").join(ids, "image_id", "left_semi"))
     lost = vectors.select("image_id").join(doomed, "image_id", "left_semi")
     changes = lost.select("image_id", F.lit("DELETE").alias("op"), now.alias("ts"))
     stale = doomed.select("category_id", now.alias("last_updated"))
@@ -154,7 +155,7 @@ def delete_items(catalog: dict[str, DataFrame], ids: DataFrame, as_of) -> dict[s
     queued = catalog["recompute_queue"].unionByName(stale)
     return catalog | {
         "categories": apply_count_changes(catalog["categories"], counted),
-        "images": images.join(ids.select("image_id"), "image_id", "left_anti"),
+        "images": images.join(ids, "image_id", "left_anti"),
         "vectors": vectors.join(doomed, "image_id", "left_anti"),
         "recompute_queue": queued.groupBy("category_id").agg(F.max("last_updated").alias("last_updated")),
         "deletion_queue": deletion_queue(changes, catalog["deletion_queue"]),
@@ -165,7 +166,7 @@ def delete_categories(catalog: dict[str, DataFrame], ids: DataFrame, as_of) -> d
     """The catalog without the given categories (category_id) and all that
     belongs to them; their vectors are queued for removal from the index."""
     gone = ids.select("category_id")
-    doomed = catalog["images"].join(gone, "category_id", "left_semi").select("image_id")
+    doomed = bounded(catalog["images"].join(gone, "category_id", "left_semi").select("image_id"))
     lost = catalog["vectors"].select("image_id").join(doomed, "image_id", "left_semi")
     changes = lost.select(
         "image_id", F.lit("DELETE").alias("op"), F.lit(as_of).cast("timestamp").alias("ts")
@@ -203,9 +204,9 @@ def dedupe_append(new: DataFrame, existing: DataFrame, on_duplicate: str = "skip
     """New items whose content occurs neither in ``existing`` nor earlier in ``new``.
 
     Of equal contents the first by ``order_by`` (unique within ``new``) is
-    accepted. Copies are settled on one pre-aggregated row per hash; the items
-    themselves are matched by hash and key together, so a content repeated
-    millions of times does not gather in one task.
+    accepted. Only hashes and keys are shuffled to find the duplicates: one
+    pre-aggregated row per hash, then hash and key together, so a content
+    repeated millions of times does not gather in one task.
     """
     if on_duplicate not in ("skip", "error"):
         raise ValueError("on_duplicate must be 'skip' or 'error'")
@@ -218,9 +219,10 @@ def dedupe_append(new: DataFrame, existing: DataFrame, on_duplicate: str = "skip
         .agg(F.min(order_by).alias(order_by))
         .join(existing.select("content_hash"), "content_hash", "left_anti")
     )
-    pair = ["content_hash", order_by]
-    accepted = hashed.join(first, pair, "left_semi")
-    rejected = hashed.join(first, pair, "left_anti")
+    surplus = hashed.select("content_hash", order_by).join(first, ["content_hash", order_by], "left_anti")
+    surplus = bounded(cut_lineage(surplus.select(order_by)))
+    accepted = hashed.join(surplus, order_by, "left_anti")
+    rejected = hashed.join(surplus, order_by, "left_semi")
     if on_duplicate == "error":
         clash = rejected.select("content_hash").first()
         if clash is not None:
@@ -243,7 +245,7 @@ def embed_missing(images: DataFrame, vectors: DataFrame,
     returned as errors (image_id, error). Embeddings are computed once and kept
     in the shared folder.
     """
-    missing = images.select("image_id", "content").join(vectors.select("image_id"), "image_id", "left_anti")
+    missing = without_vectors(images.select("image_id", "content"), vectors)
 
     def attempt(contents):
         matrix = np.asarray(embedder(contents), dtype=np.float32)

@@ -4,17 +4,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import category_label
+from nearfield.operators.bounds import bounded
 from nearfield.operators.knn import (
     MAX_BROADCAST_ROWS,
     collect_block,
     nearest_in_block,
     nearest_on_grid,
-    top_hits,
 )
 
 
 def vectors_with_category(vectors: DataFrame, images: DataFrame) -> DataFrame:
-    """image_id, category_id, embedding of every vector that has an item."""
+    """image_id, category_id, embedding of every vector that has an item.
+
+    Vectors stored with their category (``write_members``) need no join.
+    """
+    if "category_id" in vectors.columns:
+        return vectors.select("image_id", "category_id", "embedding")
     return vectors.select("image_id", "embedding").join(
         images.select("image_id", "category_id"), "image_id"
     )
@@ -49,15 +54,17 @@ def all_prototypes(vectors: DataFrame, images: DataFrame) -> DataFrame:
 
 def prototypes_of(categories: DataFrame, vectors: DataFrame, images: DataFrame) -> DataFrame:
     """Prototypes of the given categories (category_id) only."""
-    wanted = images.join(categories.select("category_id"), "category_id", "left_semi")
-    return category_means(vectors_with_category(vectors, wanted))
+    wanted = bounded(categories.select("category_id").distinct())
+    if "category_id" in vectors.columns:
+        return category_means(vectors.join(wanted, "category_id", "left_semi"))
+    return category_means(vectors_with_category(vectors, images.join(wanted, "category_id", "left_semi")))
 
 
 def prototype_similarity(queries: DataFrame, prototypes: DataFrame, top: int | None = None, *,
                          key: str = "query_id",
                          max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Cosine of each query (key, embedding) to the prototypes: key, category_id,
-    similarity; all categories, or the ``top`` best of each query.
+    similarity, rank; all categories, or the ``top`` best of each query.
 
     Prototypes within the bound travel to the queries and nothing is shuffled.
     """
@@ -79,19 +86,13 @@ def top_categories(queries: DataFrame, prototypes: DataFrame, n: int = 3, **opti
     """The n categories nearest to each query by cosine, with their rank."""
     if not 1 <= n <= 10:
         raise ValueError("the number of top categories must be within 1..10")
-    return top_hits(
-        prototype_similarity(queries, prototypes, n, **options), n,
-        value="similarity", item="category_id", descending=True,
-    )
+    return prototype_similarity(queries, prototypes, n, **options)
 
 
 def rank_prototypes(queries: DataFrame, prototypes: DataFrame, categories: DataFrame, **options) -> DataFrame:
     """Every category with its name and cosine, ranked for each query."""
-    ranked = top_hits(
-        prototype_similarity(queries, prototypes, **options), 2**31 - 1,
-        value="similarity", item="category_id", descending=True,
-    )
-    named = ranked.join(categories.select("category_id", "category_name"), "category_id", "left")
+    names = bounded(categories.select("category_id", "category_name"))
+    named = prototype_similarity(queries, prototypes, **options).join(names, "category_id", "left")
     return named.select(
         "query_id", "rank", "category_id",
         category_label("category_name", "category_id").alias("category_name"),
@@ -103,11 +104,12 @@ def predict_category(items: DataFrame, prototypes: DataFrame, *, default_categor
                      max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The category with the nearest prototype for each item (image_id, embedding);
     ``default_category`` when there are no prototypes."""
+    if prototypes.isEmpty():
+        return items.select(
+            F.col("image_id").cast("long"), F.lit(default_category).alias("predicted_category"),
+            F.lit(None).cast("double").alias("similarity"),
+        )
     best = prototype_similarity(
         items, prototypes, 1, key="image_id", max_broadcast_rows=max_broadcast_rows
     )
-    return items.select(F.col("image_id").cast("long")).join(best, "image_id", "left").select(
-        "image_id",
-        F.coalesce("category_id", F.lit(default_category)).alias("predicted_category"),
-        "similarity",
-    )
+    return best.select("image_id", F.col("category_id").alias("predicted_category"), "similarity")

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import SCORE_STEEPNESS, SCORE_THRESHOLD
+from nearfield.operators.bounds import bounded
 from nearfield.operators.knn import (
     MAX_BROADCAST_ROWS,
     exact_hits,
@@ -16,6 +17,8 @@ from nearfield.operators.prototypes import top_categories, vectors_with_category
 # Fixed bounds of a search request.
 MAX_LIMIT = 50
 MAX_CATEGORIES = 10
+# Fixed value: hits fetched per wanted hit before the category filter.
+OVERFETCH = 5
 
 
 def _check(limit: int, prototype_limit: int):
@@ -28,10 +31,16 @@ def _check(limit: int, prototype_limit: int):
 def enrich_hits(hits: DataFrame, images: DataFrame, categories: DataFrame) -> DataFrame:
     """Add item and category data to hits; hits whose item is gone drop out."""
     items = images.select("image_id", "category_id", "metadata")
-    names = categories.select("category_id", "category_name")
+    names = bounded(categories.select("category_id", "category_name"))
     return hits.join(items, "image_id").join(names, "category_id")
 
 
+def _inside(hits: DataFrame, chosen: DataFrame, limit: int) -> DataFrame:
+    """The best hits whose category is among those chosen for the query."""
+    kept = hits.drop("rank").join(chosen.select("query_id", "category_id"), ["query_id", "category_id"], "left_semi")
+    return top_hits(kept, limit)
+
+
 def public_view(items: DataFrame) -> DataFrame:
     """What a caller may see of an item: everything but its content and hash."""
     shown = [c for c in items.columns if c not in ("content", "content_hash")]
@@ -42,21 +51,24 @@ def public_view(items: DataFrame) -> DataFrame:
 
 def search_postfilter(queries: DataFrame, vectors: DataFrame, images: DataFrame,
                       prototypes: DataFrame, limit: int = 10, prototype_limit: int = 3, *,
-                      overfetch: int = 5, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                      overfetch: int = OVERFETCH, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Search everything for ``limit * overfetch`` hits, then keep those in the
     query's top categories; fewer than ``limit`` may be left."""
     _check(limit, prototype_limit)
     wide = exact_hits(queries, vectors, limit * overfetch, max_broadcast_rows=max_broadcast_rows)
-    allowed = top_categories(queries, prototypes, prototype_limit).select("query_id", "category_id")
-    placed = wide.drop("rank").join(images.select("image_id", "category_id"), "image_id")
-    kept = placed.join(allowed, ["query_id", "category_id"], "left_semi")
-    return top_hits(kept, limit).select("query_id", "rank", "image_id", "category_id", "distance")
+    chosen = top_categories(queries, prototypes, prototype_limit)
+    placed = wide.join(images.select("image_id", "category_id"), "image_id")
+    return _inside(placed, chosen, limit).select("query_id", "rank", "image_id", "category_id", "distance")
 
 
 def search_prefilter(queries: DataFrame, vectors: DataFrame, images: DataFrame,
                      prototypes: DataFrame, limit: int = 10, prototype_limit: int = 3, *,
                      max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Search only inside each query's top categories."""
+    """Search only inside each query's top categories.
+
+    With vectors stored by category (``write_members``) other categories are
+    not even read, and no join is needed.
+    """
     _check(limit, prototype_limit)
     probes = top_categories(queries, prototypes, prototype_limit).select(
         "query_id", F.col("category_id").alias("cell")
@@ -76,20 +88,18 @@ def search(queries: DataFrame, vectors: DataFrame, images: DataFrame, categories
     _check(limit, prototype_limit)
     if use_prototypes and prototypes is None:
         raise ValueError("use_prototypes needs prototypes")
+    width = limit * OVERFETCH if use_prototypes else limit
+    hits = exact_hits(queries, vectors, width, max_broadcast_rows=max_broadcast_rows)
+    hits = enrich_hits(hits, images, categories)
     if use_prototypes:
-        hits = search_postfilter(
-            queries, vectors, images, prototypes, limit, prototype_limit,
-            max_broadcast_rows=max_broadcast_rows,
-        ).drop("category_id")
-        ranked = top_categories(queries, prototypes, prototype_limit)
-        chosen = ranked.groupBy("query_id").agg(
+        chosen = top_categories(queries, prototypes, prototype_limit)
+        listed = chosen.groupBy("query_id").agg(
             F.sort_array(F.collect_list(F.struct("rank", "category_id"))).alias("ranked")
         ).select("query_id", F.col("ranked.category_id").alias("prototype_categories"))
-        hits = hits.join(chosen, "query_id")
+        hits = _inside(hits, chosen, limit).join(listed, "query_id")
     else:
-        hits = exact_hits(queries, vectors, limit, max_broadcast_rows=max_broadcast_rows)
         hits = hits.withColumn("prototype_categories", F.lit(None).cast("array<int>"))
-    found = public_view(with_score(enrich_hits(hits, images, categories), threshold, steepness))
+    found = public_view(with_score(hits, threshold, steepness))
     return found.select(
         "query_id", "rank", "image_id", "category_id", "category_name", "metadata",
         "distance", "similarity_score",

@@ -192,6 +192,14 @@ _UPKEEP = _with("means prototypes indexes removed recompute_queue", """
     UNION ALL
     SELECT 'removed', image_id, 1 FROM removed""")
 
+_PREFILTERED = _with("near_categories pairs images", f"""
+        SELECT query_id, rank, image_id, {_r('distance', 'distance')} FROM (
+            SELECT p.query_id, p.image_id, p.distance,
+                   CAST(row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.image_id) AS INTEGER) AS rank
+            FROM pairs p JOIN images i USING (image_id)
+            JOIN near_categories n ON n.query_id = p.query_id AND n.category_id = i.category_id AND n.rank <= 3)
+        WHERE rank <= 10""")
+
 ORACLES = {
     # A
     "a1_read_catalog": _with("categories images vectors prototypes indexes recompute_queue deletion_queue", """
@@ -423,13 +431,8 @@ ORACLES = {
         WHERE rank <= 50"""),
     "i2_ivf_search_all_cells": _with("ranked", _top(10)),
     "i4_search_postfilter": _with("postfiltered", _top(10, "postfiltered")),
-    "i5_search_prefilter": _with("near_categories pairs images", f"""
-        SELECT query_id, rank, image_id, {_r('distance', 'distance')} FROM (
-            SELECT p.query_id, p.image_id, p.distance,
-                   CAST(row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.image_id) AS INTEGER) AS rank
-            FROM pairs p JOIN images i USING (image_id)
-            JOIN near_categories n ON n.query_id = p.query_id AND n.category_id = i.category_id AND n.rank <= 3)
-        WHERE rank <= 10"""),
+    "i5_search_prefilter": _PREFILTERED,
+    "i5_search_prefilter_stored": _PREFILTERED,
     "i6_rank_prototypes": _with("near_categories names", f"""
         SELECT s.query_id, s.rank, s.category_id,
                coalesce(n.category_name, 'Category ' || s.category_id) AS category_name,

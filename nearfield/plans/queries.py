@@ -563,6 +563,15 @@ def i5_search_prefilter(c):
     return shown_hits(found)
 
 
+@query
+def i5_search_prefilter_stored(c):
+    folder = scratch_path(c.spark, "members")
+    sinks.write_members(c.vectors(), c.images(), folder)
+    members = sinks.read_members(c.spark, folder)
+    prototypes = cut_lineage(P.all_prototypes(members, c.images()))
+    return shown_hits(two_stage.search_prefilter(c.queries(), members, c.images(), prototypes, 10, 3))
+
+
 @query
 def i6_rank_prototypes(c):
     ranked = P.rank_prototypes(c.queries(), c.prototypes(), c.categories())

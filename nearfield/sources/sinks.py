@@ -1,10 +1,11 @@
 """Writing and appending catalog tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import content_sha256
 from nearfield.operators.ids import allocate_ids
+from nearfield.operators.prototypes import vectors_with_category
 from nearfield.schemas import CATALOG
 
 
@@ -44,3 +45,25 @@ def append_vectors(new: DataFrame, folder: str) -> DataFrame:
     rows = conform(allocate_ids(new, existing, "vector_id", order_by="image_id"), "vectors")
     rows.write.mode("append").parquet(f"{folder}/vectors")
     return rows
+
+
+def write_members(vectors: DataFrame, images: DataFrame, folder: str) -> None:
+    """Write vectors beside their category, one folder per category.
+
+    Prototypes and category-restricted searches then read only the categories
+    they need and join nothing. A large category is split over several tasks.
+    """
+    members = vectors_with_category(vectors, images).hint("rebalance", F.col("category_id"))
+    members.write.mode("error").partitionBy("category_id").parquet(folder)
+
+
+def read_members(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "image_id bigint, embedding array<float>, category_id int"
+    return spark.read.schema(schema).parquet(folder)
+
+
+def save_bucketed(table: DataFrame, name: str, buckets: int, key: str = "image_id") -> DataFrame:
+    """Save as a table bucketed by ``key``; tables with equal buckets join on
+    it without a shuffle."""
+    table.write.mode("error").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return table.sparkSession.table(name)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from nearfield.operators.bounds import bounded
 from nearfield.operators.maintenance import (
     deletion_queue,
     drain_deletions,
@@ -93,7 +94,7 @@ class Upkeep:
         finally:
             changes.unpersist()
 
-        live = vectors.join(removed, "image_id", "left_anti")
+        live = vectors.join(bounded(removed.select("image_id")), "image_id", "left_anti")
         after = {
             "prototypes": before["prototypes"], "recompute_queue": stale,
             "deletion_queue": doomed, "indexes": before["indexes"], "removed": removed,
