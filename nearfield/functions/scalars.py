@@ -37,8 +37,14 @@ def metadata_field(metadata, name: str) -> Column:
 
 
 def iso_timestamp(ts) -> Column:
-    """ISO-8601 text with microseconds."""
-    return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """ISO-8601 text with the session's offset; microseconds only when there are any."""
+    value = _col(ts)
+    fraction = F.date_format(value, "SSSSSS")
+    return F.concat(
+        F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.when(fraction == "000000", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
+        F.date_format(value, "xxx"),
+    )
 
 
 def label_to_category(label) -> Column:

@@ -136,17 +136,19 @@ def ivf_search(queries: DataFrame, index: VectorIndex, k: int = 10, nprobe: int
     return with_score(hits).select("query_id", "rank", "image_id", "distance", "similarity_score")
 
 
-def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length: float = 1.0,
-            num_tables: int = 8, seed: int = 7) -> DataFrame:
+def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length: float = 0.25,
+            num_tables: int = 8, hashes_per_table: int = 2, seed: int = 7) -> DataFrame:
     """Search among items that share a random-projection bucket with the query.
 
-    Buckets are cells of the block grid, so a crowded bucket is split and no
-    pair list is ever written; items in no query's bucket are dropped before
-    the shuffle. A query alone in its buckets has no hits.
+    A bucket of a table is named by ``hashes_per_table`` projections cut at
+    ``bucket_length``: more hashes or shorter cuts mean fewer candidates, more
+    tables mean more. Buckets are cells of the block grid, so a crowded one is
+    split and no pair list is ever written; items in no query's bucket are
+    dropped before the shuffle. A query alone in its buckets has no hits.
     """
     hasher = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", seed=seed,
-        bucketLength=bucket_length, numHashTables=num_tables,
+        bucketLength=bucket_length, numHashTables=num_tables * hashes_per_table,
     )
 
     def features(df, key):
@@ -155,12 +157,17 @@ def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length:
 
     corpus = features(items, "image_id")
     model = hasher.fit(corpus)
+    cuts = F.transform("hashes", lambda h: vector_to_array(h)[0].cast("int"))
+    tables = F.transform(
+        F.sequence(F.lit(0), F.lit(num_tables - 1)),
+        lambda t: F.struct(
+            t.alias("table"), F.slice("cuts", t * hashes_per_table + 1, hashes_per_table).alias("bucket")
+        ),
+    )
 
     def buckets(df, key):
-        hashed = model.transform(df).select(key, "embedding", F.posexplode("hashes").alias("table", "hash"))
-        bucket = vector_to_array("hash")[0].cast("long")
-        table = F.col("table").cast("long")
-        return hashed.select(key, "embedding", F.struct(table.alias("table"), bucket.alias("bucket")).alias("cell"))
+        hashed = model.transform(df).select(key, "embedding", cuts.alias("cuts"))
+        return hashed.select(key, "embedding", F.explode(tables).alias("cell"))
 
     wanted = buckets(features(queries, "query_id"), "query_id")
     probed = bounded(wanted.select("cell").distinct())

@@ -28,6 +28,9 @@ MAX_BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 16384
 # A scan estimated below this many bytes per core is spread over all cores.
 SPREAD_BYTES_PER_CORE = 8 << 20
+# Bytes a scan task should read, and a limit on the number of tasks.
+SCAN_BYTES = 2 << 30
+MAX_SCAN_TASKS = 1 << 20
 
 # A hit in a hash table, generously.
 HIT_BYTES = 64
@@ -61,13 +64,18 @@ def collect_block(df: DataFrame, key: str, vector: str, max_rows: int = MAX_BROA
     return VectorBlock(table["key"].to_numpy(), vectors)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on a small input that would be read as one or two tasks."""
+def lay_out(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in as many tasks as suit a scan.
+
+    A small input that would be read as one or two tasks is spread over all
+    cores. A large one is read in place, in tasks of about SCAN_BYTES: fewer
+    tasks leave fewer partial hits to merge.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if estimate < cores * SPREAD_BYTES_PER_CORE:
         return df.repartition(cores, key)
-    return df
+    return df.coalesce(max(4 * cores, min(estimate // SCAN_BYTES, MAX_SCAN_TASKS)))
 
 
 def top_hits(hits: DataFrame, k: int, group: str = "query_id", value: str = "distance",
@@ -218,6 +226,15 @@ def cell_grid_hits(queries: DataFrame, items: DataFrame, k: int, block_rows: int
     return _match_grid(queries.join(chunks, "cell"), items.join(chunks, "cell"), k)
 
 
+def _rows_by_cell(ids: np.ndarray, queries: np.ndarray, cells: np.ndarray) -> dict[int, np.ndarray]:
+    """For each probed cell the rows of the query block that probe it."""
+    by_id = np.argsort(ids)
+    rows = by_id[np.searchsorted(ids[by_id], queries)]
+    order = np.lexsort((rows, cells))
+    found, starts = np.unique(cells[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(rows[order], starts[1:])))
+
+
 def probe_hits(queries: DataFrame, items: DataFrame, k: int, probes: DataFrame, *,
                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The k nearest items of each query among the cells it probes.
@@ -232,13 +249,9 @@ def probe_hits(queries: DataFrame, items: DataFrame, k: int, probes: DataFrame,
         most = MAX_BROADCAST_BYTES // 16
         pairs = probes.limit(most + 1).toArrow()
         if pairs.num_rows <= most:
-            row_of = {int(q): i for i, q in enumerate(block.ids)}
-            by_cell: dict[int, list[int]] = {}
-            for query, cell in zip(pairs["query_id"].to_pylist(), pairs["cell"].to_pylist()):
-                by_cell.setdefault(cell, []).append(row_of[query])
-            rows = {cell: np.array(sorted(members)) for cell, members in by_cell.items()}
+            rows = _rows_by_cell(block.ids, pairs["query_id"].to_numpy(), pairs["cell"].to_numpy())
             pruned = items.filter(F.col("cell").isin(sorted(rows)))
-            partial = _scan_items(block, spread(pruned, "image_id"), k, rows)
+            partial = _scan_items(block, lay_out(pruned, "image_id"), k, rows)
             return top_hits(partial, k)
     queries = queries.select(F.col("query_id").cast("long"), "embedding").join(probes, "query_id")
     probed = items.join(probes.select("cell").distinct(), "cell", "left_semi")
@@ -257,7 +270,7 @@ def exact_hits(queries: DataFrame, items: DataFrame, k: int, *,
     items = items.select(F.col("image_id").cast("long"), "embedding")
     block = collect_block(queries, "query_id", "embedding", max_broadcast_rows)
     if block is not None:
-        hits = top_hits(_scan_items(block, spread(items, "image_id"), k, None), k)
+        hits = top_hits(_scan_items(block, lay_out(items, "image_id"), k, None), k)
         few = len(block) * k * HIT_BYTES <= MAX_BROADCAST_BYTES
         return F.broadcast(hits) if few else hits
     queries = queries.select(F.col("query_id").cast("long"), "embedding")

@@ -70,11 +70,7 @@ def prototype_similarity(queries: DataFrame, prototypes: DataFrame, top: int | N
     """
     block = collect_block(prototypes, "category_id", "prototype", max_broadcast_rows)
     if block is not None:
-        k = max(1, len(block)) if top is None else top
-        return nearest_in_block(
-            queries, block, k, "cosine", left_key=key, left_vector="embedding",
-            right_name="category_id", right_type="int", value_name="similarity",
-        )
+        return _similarity_to_block(queries, block, top, key)
     k = prototypes.count() if top is None else top
     return nearest_on_grid(
         queries, prototypes, k, left_key=key, right_key="category_id",
@@ -82,6 +78,13 @@ def prototype_similarity(queries: DataFrame, prototypes: DataFrame, top: int | N
     )
 
 
+def _similarity_to_block(queries, block, top, key):
+    return nearest_in_block(
+        queries, block, top or max(1, len(block)), "cosine", left_key=key, left_vector="embedding",
+        right_name="category_id", right_type="int", value_name="similarity",
+    )
+
+
 def top_categories(queries: DataFrame, prototypes: DataFrame, n: int = 3, **options) -> DataFrame:
     """The n categories nearest to each query by cosine, with their rank."""
     if not 1 <= n <= 10:
@@ -104,12 +107,14 @@ def predict_category(items: DataFrame, prototypes: DataFrame, *, default_categor
                      max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The category with the nearest prototype for each item (image_id, embedding);
     ``default_category`` when there are no prototypes."""
-    if prototypes.isEmpty():
+    block = collect_block(prototypes, "category_id", "prototype", max_broadcast_rows)
+    if (prototypes.isEmpty() if block is None else len(block) == 0):
         return items.select(
             F.col("image_id").cast("long"), F.lit(default_category).alias("predicted_category"),
             F.lit(None).cast("double").alias("similarity"),
         )
-    best = prototype_similarity(
-        items, prototypes, 1, key="image_id", max_broadcast_rows=max_broadcast_rows
-    )
+    if block is None:
+        best = prototype_similarity(items, prototypes, 1, key="image_id", max_broadcast_rows=0)
+    else:
+        best = _similarity_to_block(items, block, 1, "image_id")
     return best.select("image_id", F.col("category_id").alias("predicted_category"), "similarity")

@@ -128,6 +128,11 @@ def _r(expr: str, name: str) -> str:
     return f"round({expr}, 6) + 0.0 AS {name}"
 
 
+def _iso(ts: str) -> str:
+    return f"""strftime({ts}, '%Y-%m-%dT%H:%M:%S')
+        || CASE WHEN date_part('microsecond', {ts}) % 1000000 = 0 THEN '' ELSE strftime({ts}, '.%f') END || '+00:00'"""
+
+
 def _long(source: str, key: str, vector: str, where: str = "") -> str:
     return f"""
         SELECT {key}, CAST(generate_subscripts({vector}, 1) - 1 AS INTEGER) AS pos,
@@ -371,8 +376,8 @@ ORACLES = {
         SELECT image_id, vector_id, {_r('sqrt(list_dot_product(embedding, embedding))', 'length')}
         FROM vectors ORDER BY image_id"""),
     "e5_category_listing": _with("categories", "SELECT * FROM categories ORDER BY category_id"),
-    "e6_queue_heads": _with("recompute_queue deletion_queue", """
-        SELECT queue, id, strftime(queued_at, '%Y-%m-%dT%H:%M:%S.%f') AS queued_at,
+    "e6_queue_heads": _with("recompute_queue deletion_queue", f"""
+        SELECT queue, id, {_iso('queued_at')} AS queued_at,
                count(*) OVER (PARTITION BY queue) AS n_shown
         FROM (
             (SELECT 'prototype_recompute' AS queue, CAST(category_id AS BIGINT) AS id, last_updated AS queued_at
@@ -408,7 +413,7 @@ ORACLES = {
         SELECT doc_id, CAST(json_object('source', source, 'lang', lang, 'n_chars', n_chars) AS VARCHAR) AS metadata,
                lang, CAST(n_chars AS VARCHAR) AS n_chars, CAST(NULL AS VARCHAR) AS absent
         FROM documents""",
-    "f9_iso_timestamp": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts_text FROM events",
+    "f9_iso_timestamp": f"SELECT event_id, {_iso('ts')} AS ts_text FROM events",
     "f10_coalesce_greatest": """
         SELECT c_custkey AS category_id, greatest(100 + CAST(trunc(c_acctbal) AS BIGINT), 0) AS moved,
                CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE 'Category ' || c_custkey END AS category_name
