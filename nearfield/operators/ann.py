@@ -8,6 +8,7 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from nearfield.operators.bounds import bounded
 from nearfield.operators.knn import (
@@ -17,7 +18,6 @@ from nearfield.operators.knn import (
     exact_hits,
     nearest_in_block,
     probe_hits,
-    top_hits,
     with_score,
 )
 
@@ -173,7 +173,11 @@ def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length:
     probed = bounded(wanted.select("cell").distinct())
     offered = buckets(corpus, "image_id").join(probed, "cell", "left_semi")
     partial = cell_grid_hits(wanted, offered, k)
-    hits = top_hits(partial.dropDuplicates(["query_id", "image_id"]), k)
+    # A pair met in several tables has one rank, so it is told apart after ranking,
+    # where its copies already share a partition.
+    best_first = Window.partitionBy("query_id").orderBy("distance", "image_id")
+    ranked = partial.withColumn("rank", F.dense_rank().over(best_first)).filter(F.col("rank") <= k)
+    hits = ranked.dropDuplicates(["query_id", "image_id"])
     return with_score(hits).select("query_id", "rank", "image_id", "distance", "similarity_score")
 
 

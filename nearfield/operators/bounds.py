@@ -5,13 +5,15 @@ from pyspark.sql import DataFrame
 MAX_SMALL_ROWS = 100_000
 
 
-def bounded(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
-    """``df`` as a local table when it has at most ``max_rows`` rows, else ``df``.
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` as a local table when it has at most MAX_SMALL_ROWS rows, else ``df``.
 
     Spark knows the exact size of a local table, so it broadcasts a small one
-    by itself; a large one is joined by shuffle. Meant for narrow aggregates.
+    by itself; a large one is joined by shuffle. Meant for narrow results that
+    are usually small, such as aggregates and id lists; a large one is computed
+    again by the join.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    table = df.limit(MAX_SMALL_ROWS + 1).toArrow()
+    if table.num_rows > MAX_SMALL_ROWS:
         return df
     return df.sparkSession.createDataFrame(table, df.schema)

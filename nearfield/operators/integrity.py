@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.operators.bounds import bounded
+
 # Child table, its column, parent table. Null references are allowed.
 FOREIGN_KEYS = (
     ("images", "category_id", "categories"),
@@ -25,6 +27,9 @@ UNIQUE_KEYS = (
     ("indexes", "index_id"),
 )
 
+# Parents small by nature; their keys travel to the children.
+SMALL_TABLES = ("categories", "indexes")
+
 
 def orphans(child: DataFrame, parent: DataFrame, column: str) -> DataFrame:
     """Child rows whose reference has no parent row."""
@@ -50,9 +55,14 @@ def integrity_report(catalog: dict[str, DataFrame]) -> DataFrame:
             F.col(column).cast("string").alias("key_value"), "n_rows",
         )
 
+    def parent_keys(name, column):
+        keys = catalog[name].select(column)
+        return bounded(keys) if name in SMALL_TABLES else keys
+
     found = [
         entry("orphan", child, column,
-              orphans(catalog[child], catalog[parent], column).groupBy(column).agg(F.count(F.lit(1)).alias("n_rows")))
+              orphans(catalog[child], parent_keys(parent, column), column)
+              .groupBy(column).agg(F.count(F.lit(1)).alias("n_rows")))
         for child, column, parent in FOREIGN_KEYS
     ] + [
         entry("duplicate", table, column, duplicate_keys(catalog[table], column))

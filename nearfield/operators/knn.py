@@ -255,7 +255,7 @@ def probe_hits(queries: DataFrame, items: DataFrame, k: int, probes: DataFrame,
             return top_hits(partial, k)
     queries = queries.select(F.col("query_id").cast("long"), "embedding").join(probes, "query_id")
     probed = items.join(probes.select("cell").distinct(), "cell", "left_semi")
-    return top_hits(cell_grid_hits(queries, probed, k).dropDuplicates(["query_id", "image_id"]), k)
+    return top_hits(cell_grid_hits(queries, probed, k), k)
 
 
 def exact_hits(queries: DataFrame, items: DataFrame, k: int, *,

@@ -8,6 +8,8 @@ from nearfield.functions.scalars import metadata_field
 # Fixed values of the upload rules.
 CONTENT_TYPE_PREFIX = "image/"
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
+NOT_AN_IMAGE = "File must be an image"
+TOO_LARGE = "File too large"
 
 
 def lookup(table: DataFrame, key: str, value) -> DataFrame:
@@ -51,8 +53,8 @@ def check_uploads(uploads: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> Data
     is_image = F.coalesce(F.col("content_type").startswith(CONTENT_TYPE_PREFIX), F.lit(False))
     return uploads.withColumn(
         "reject_reason",
-        F.when(~is_image, F.lit("File must be an image"))
-        .when(F.col("size") > max_bytes, F.lit("File too large")),
+        F.when(~is_image, F.lit(NOT_AN_IMAGE))
+        .when(F.col("size") > max_bytes, F.lit(TOO_LARGE)),
     )
 
 

@@ -18,7 +18,7 @@ from nearfield.operators.joins import without_vectors
 from nearfield.operators.prototypes import prototypes_of
 from nearfield.operators.reports import apply_count_changes
 from nearfield.operators.upsert import upsert_prototypes
-from nearfield.session import cut_lineage
+from nearfield.session import arrow_batches, cut_lineage
 
 
 # Queues
@@ -30,7 +30,9 @@ def recompute_queue(changes: DataFrame, images: DataFrame | None = None,
     A change (image_id, category_id, op, ts) that carries no category takes the
     one its item has in ``images``; without either it is left out.
     """
-    latest = changes.groupBy("image_id", "category_id").agg(F.max("ts").alias("last_updated"))
+    latest = cut_lineage(
+        changes.groupBy("image_id", "category_id").agg(F.max("ts").alias("last_updated"))
+    )
     rows = latest.filter(F.col("category_id").isNotNull()).select(F.col("category_id").cast("int"), "last_updated")
     if images is not None:
         open_items = bounded(latest.filter(F.col("category_id").isNull()).select("image_id", "last_updated"))
@@ -269,18 +271,14 @@ def embed_missing(images: DataFrame, vectors: DataFrame,
 
     def run(batches):
         for batch in batches:
-            contents = batch.column(1).to_pylist()
-            embedded, errors = [], []
-            for start in range(0, len(contents), batch_size):
-                some, failed = embed(contents[start:start + batch_size])
-                embedded += some
-                errors += failed
+            embedded, errors = embed(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(embedded, pa.list_(pa.float32())), pa.array(errors, pa.string())],
                 names=["image_id", "embedding", "error"],
             )
 
-    done = cut_lineage(missing.mapInArrow(run, "image_id bigint, embedding array<float>, error string"))
+    with arrow_batches(images.sparkSession, batch_size):
+        done = cut_lineage(missing.mapInArrow(run, "image_id bigint, embedding array<float>, error string"))
     return EmbedResult(
         done.filter(F.col("error").isNull()).select("image_id", "embedding"),
         done.filter(F.col("error").isNotNull()).select("image_id", "error"),

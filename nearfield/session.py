@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Hand Python workers at most ``rows`` rows at a time, for wide contents.
+
+    Holds for jobs run within the block.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 _shipped: set[str] = set()
 
 

@@ -7,13 +7,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 def stream_recompute_queue(changes: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Latest change per category of a change stream; state is one row per category."""
+    rows = changes.select("image_id", "category_id", "ts")
     if images is not None:
-        known = images.select("image_id", F.col("category_id").alias("item_category"))
-        changes = changes.join(known, "image_id", "left").withColumn(
-            "category_id", F.coalesce("category_id", "item_category")
+        items = images.select("image_id", F.col("category_id").alias("item_category"))
+        placed = rows.filter(F.col("category_id").isNull()).join(items, "image_id")
+        rows = rows.filter(F.col("category_id").isNotNull()).unionByName(
+            placed.select("image_id", F.col("item_category").alias("category_id"), "ts")
         )
     return (
-        changes.filter(F.col("category_id").isNotNull())
+        rows.filter(F.col("category_id").isNotNull())
         .groupBy("category_id")
         .agg(F.max("ts").alias("last_updated"))
     )

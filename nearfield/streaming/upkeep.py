@@ -26,6 +26,7 @@ from nearfield.schemas import CATALOG, DELETION_QUEUE
 from nearfield.session import cut_lineage
 from nearfield.sources.catalog import read_table
 from nearfield.sources.index_store import save_index
+from nearfield.sources.sinks import read_members
 
 _STATE = {
     "prototypes": CATALOG["prototypes"],
@@ -43,7 +44,8 @@ class Upkeep:
     ``rebuild`` writes a new index whenever deletions are drained. Where the
     index is too large to rewrite so often, leave it off: drained items are
     then only recorded in ``removed``, to be left out by ``index_remove`` until
-    a rebuild on its own schedule.
+    a rebuild on its own schedule. With ``members`` (a ``write_members`` folder)
+    prototypes are recomputed from the stale categories' folders alone.
     """
 
     catalog_folder: str
@@ -53,6 +55,7 @@ class Upkeep:
     rebuild: bool = True
     index_type: str = "flatl2"
     nlist: int = 100
+    members: str | None = None
 
     def state_path(self, table: str, batch_id: int) -> str:
         return f"{self.folder}/state/{table}/batch={batch_id}"
@@ -94,13 +97,17 @@ class Upkeep:
         finally:
             changes.unpersist()
 
-        live = vectors.join(bounded(removed.select("image_id")), "image_id", "left_anti")
+        gone = bounded(removed.select("image_id"))
+        live = vectors.join(gone, "image_id", "left_anti")
+        averaged = live
+        if self.members is not None:
+            averaged = read_members(spark, self.members).join(gone, "image_id", "left_anti")
         after = {
             "prototypes": before["prototypes"], "recompute_queue": stale,
             "deletion_queue": doomed, "indexes": before["indexes"], "removed": removed,
         }
         if self.process_prototypes:
-            drained = drain_recompute(stale, live, images, before["prototypes"])
+            drained = drain_recompute(stale, averaged, images, before["prototypes"])
             after["prototypes"], after["recompute_queue"] = drained.prototypes, drained.pending
         if self.process_deletions:
             if self.rebuild:

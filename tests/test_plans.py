@@ -107,3 +107,31 @@ def test_duplicates_are_found_without_their_content(stored):
 def test_missing_items_are_found_by_id(stored):
     text = plan(joins.without_vectors(stored["images"], stored["vectors"]))
     assert "Exchange hashpartitioning" not in text
+
+
+def test_hash_search_ranks_and_dedupes_in_one_shuffle(stored, queries):
+    from nearfield.operators import ann
+
+    text = plan(ann.ann_lsh(queries, stored["vectors"], 3, bucket_length=4.0))
+    after_grid = text.split("FlatMapCoGroupsInArrow")[0]
+    assert after_grid.count("Exchange") == 1
+
+
+def test_large_sides_give_the_same_results(catalog, make, monkeypatch):
+    """With no side small enough to travel, joins shuffle and agree."""
+    from nearfield.operators import bounds, integrity
+
+    ids = make([(1,), (4,)], "image_id long")
+    content = make([(7, b"img9"), (8, b"img9"), (9, b"x")], "image_id long, content binary")
+
+    def results():
+        yield joins.items_without_vectors(catalog["images"], catalog["vectors"], catalog["categories"])
+        yield joins.categories_with_items(catalog["categories"], catalog["images"])
+        yield integrity.integrity_report(catalog)
+        yield from maintenance.delete_items(catalog, ids, "2024-01-03").values()
+        yield maintenance.dedupe_append(content, catalog["images"]).accepted
+        yield P.prototypes_of(catalog["categories"], catalog["vectors"], catalog["images"])
+
+    small = [sorted(map(str, df.collect())) for df in results()]
+    monkeypatch.setattr(bounds, "MAX_SMALL_ROWS", 0)
+    assert [sorted(map(str, df.collect())) for df in results()] == small

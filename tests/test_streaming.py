@@ -102,3 +102,13 @@ def test_recording_deletions_without_a_rebuild(spark, feed, catalog):
     upkeep, checkpoint = start(spark, catalog, rebuild=False)
     kept = shown(drain_now(stream(), upkeep, checkpoint))
     assert kept["queued"] == [] and kept["removed"] == [1] and kept["indexes"] == [(1, 3)]
+
+
+def test_prototypes_from_vectors_stored_by_category(spark, feed, catalog):
+    _, add, stream = feed
+    add([(1, 1, "DELETE", at(2)), (3, 2, "UPDATE", at(2))])
+    members = scratch_path(spark, "members")
+    sinks.write_members(catalog["vectors"], catalog["images"], members)
+    upkeep, checkpoint = start(spark, catalog, members=members, process_deletions=False)
+    kept = shown(drain_now(stream(), upkeep, checkpoint))
+    assert kept["prototypes"] == {1: [0.0, 1.0], 2: [4.0, 0.0], 3: [7.0, 7.0]}
