@@ -240,15 +240,20 @@ class EmbedResult:
 
 def embed_missing(images: DataFrame, vectors: DataFrame,
                   embedder: Callable[[list[bytes]], np.ndarray], *, batch_size: int = 64) -> EmbedResult:
-    """Vectors (image_id, embedding) for the items that have none.
+    """Vectors (image_id, embedding) for the items that have none."""
+    missing = without_vectors(images.select("image_id", "content"), vectors)
+    return embed_contents(missing, embedder, batch_size=batch_size)
+
+
+def embed_contents(items: DataFrame, embedder: Callable[[list[bytes]], np.ndarray], *,
+                   batch_size: int = 64) -> EmbedResult:
+    """Vectors (image_id, embedding) of items (image_id, content).
 
     ``embedder`` turns a list of contents into a matrix. When it fails on a
     batch the items are tried one by one, and those that fail alone are
     returned as errors (image_id, error). Embeddings are computed once and kept
     in the shared folder.
     """
-    missing = without_vectors(images.select("image_id", "content"), vectors)
-
     def attempt(contents):
         matrix = np.asarray(embedder(contents), dtype=np.float32)
         if matrix.ndim != 2 or len(matrix) != len(contents):
@@ -277,8 +282,8 @@ def embed_missing(images: DataFrame, vectors: DataFrame,
                 names=["image_id", "embedding", "error"],
             )
 
-    with arrow_batches(images.sparkSession, batch_size):
-        done = cut_lineage(missing.mapInArrow(run, "image_id bigint, embedding array<float>, error string"))
+    with arrow_batches(items.sparkSession, batch_size):
+        done = cut_lineage(items.select("image_id", "content").mapInArrow(run, "image_id bigint, embedding array<float>, error string"))
     return EmbedResult(
         done.filter(F.col("error").isNull()).select("image_id", "embedding"),
         done.filter(F.col("error").isNotNull()).select("image_id", "error"),

@@ -5,8 +5,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from nearfield.operators.ann import VectorIndex
+from nearfield.operators.ann import VectorIndex, search_index
 from nearfield.operators.ids import allocate_ids
 from nearfield.operators.maintenance import embed_missing, rebuild_index
 from nearfield.operators.prototypes import all_prototypes
@@ -40,3 +41,16 @@ def bootstrap(catalog: dict[str, DataFrame], embedder: Callable[[list[bytes]], n
     }
     index = load_index(images.sparkSession, index_path)
     return Bootstrapped(done, index, embedded.errors, catalog_status(done))
+
+
+def system_check(catalog: dict[str, DataFrame], index: VectorIndex, k: int = 5) -> DataFrame:
+    """The catalog's status with the outcome of a trial search: the vector of
+    the first item is looked up in the index, and should find itself."""
+    first = catalog["vectors"].select(F.col("image_id").alias("query_id"), "embedding").orderBy("query_id").limit(1)
+    found = search_index(first, index, k).agg(
+        F.count(F.lit(1)).alias("n_hits"),
+        F.coalesce(F.bool_or((F.col("image_id") == F.col("query_id")) & (F.col("rank") == 1)), F.lit(False)).alias("self"),
+    ).first()
+    return catalog_status(catalog).withColumns({
+        "trial_hits": F.lit(found["n_hits"]).cast("long"), "trial_found_itself": F.lit(found["self"]),
+    })

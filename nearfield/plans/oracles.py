@@ -121,7 +121,8 @@ def _with(parts: str, body: str) -> str:
     if not wanted:
         return body
     listed = ",\n".join(f"{name} AS MATERIALIZED ({_PARTS[name]})" for name in wanted)
-    return f"WITH {listed}\n{body}"
+    joint = "" if body.lstrip().startswith(",") else "\n"
+    return f"WITH {listed}{joint}{body.lstrip()}"
 
 
 def _r(expr: str, name: str) -> str:
@@ -537,6 +538,38 @@ ORACLES = {
                (SELECT count(DISTINCT category_id) FROM images) AS categories_with_prototypes,
                (SELECT max(index_id) + 1 FROM indexes) AS latest_index_id, 'flatl2' AS latest_index_type,
                (SELECT count(*) FROM images) AS latest_index_ntotal"""),
+    "j10_system_check": _with("images vectors", """
+        SELECT (SELECT count(*) FROM images) AS total_images, count(*) AS total_vectors,
+               least(CAST(5 AS BIGINT), count(*)) AS trial_hits, true AS trial_found_itself
+        FROM vectors"""),
+    "j11_upload": _with("images", """,
+        uploads AS (
+            SELECT page_id AS upload_id, sha256(html) AS content_hash, url,
+                   CASE WHEN page_id % 2 = 0 THEN CAST(page_id % 10 + 1 AS INTEGER) END AS given_category,
+                   CASE WHEN page_id % 5 = 0 THEN 'File must be an image'
+                        WHEN length(html) > 10485760 THEN 'File too large' END AS reason
+            FROM pages),
+        judged AS (
+            SELECT *, coalesce(reason, CASE WHEN content_hash IN (SELECT content_hash FROM images)
+                   OR row_number() OVER (PARTITION BY content_hash, reason IS NULL ORDER BY upload_id) > 1
+                   THEN 'Duplicate image detected' END) AS reject_reason
+            FROM uploads),
+        numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY reject_reason IS NULL ORDER BY upload_id) AS place FROM judged)
+        SELECT upload_id, reject_reason,
+               CASE WHEN reject_reason IS NULL THEN place + (SELECT max(image_id) FROM images) END AS image_id,
+               CASE WHEN reject_reason IS NULL THEN place + (SELECT max(vec_id) FROM embeddings) END AS vector_id,
+               CASE WHEN reject_reason IS NULL THEN content_hash END AS content_hash,
+               CASE WHEN reject_reason IS NULL THEN CAST(json_object(
+                   'filename', url, 'content_type', 'image/png', 'upload_source', 'api') AS VARCHAR) END AS metadata,
+               CASE WHEN reject_reason IS NULL THEN given_category END AS given_category,
+               CASE WHEN reject_reason IS NULL THEN true END AS placed
+        FROM numbered"""),
+    "j12_search_by_content": """
+        SELECT page_id AS query_id,
+               CASE WHEN page_id % 5 <> 0 THEN least(CAST(10 AS BIGINT), (SELECT count(*) FROM embeddings)) END AS n_hits,
+               CASE WHEN page_id % 5 = 0 THEN 'File must be an image' END AS reject_reason
+        FROM pages""",
     # K
     "k1_stream_recompute_queue": _with("recompute_queue", "SELECT * FROM recompute_queue"),
     "k2_stream_deletion_queue": _with("deletion_queue", "SELECT * FROM deletion_queue"),

@@ -12,7 +12,8 @@ from nearfield.operators import ann, integrity, joins, knn, lookups, maintenance
 from nearfield.operators import prototypes as P
 from nearfield.operators import search as two_stage
 from nearfield.operators.ids import allocate_ids
-from nearfield.plans.bootstrap import bootstrap
+from nearfield.plans import requests
+from nearfield.plans.bootstrap import bootstrap, system_check
 from nearfield.session import cut_lineage, scratch_path, ship_package
 from nearfield.sources import sinks
 from nearfield.sources.catalog import ingest_items, item_payload, read_catalog
@@ -768,6 +769,46 @@ def j10_bootstrap(c):
     return bootstrap(c.all(), byte_histogram, scratch_path(c.spark, "index")).status.drop("latest_index_path")
 
 
+@query
+def j10_system_check(c):
+    catalog = c.all()
+    index = ann.flat_build(catalog["vectors"].select("image_id", "embedding"))
+    return system_check(catalog, index).select("total_images", "total_vectors", "trial_hits", "trial_found_itself")
+
+
+def _page_uploads(c):
+    kind = F.when(F.col("page_id") % 5 == 0, "text/html").otherwise("image/png")
+    return c.table("pages").select(
+        F.col("page_id").alias("upload_id"), F.encode("html", "UTF-8").alias("content"), kind.alias("content_type"),
+        F.length("html").cast("long").alias("size"), F.col("url").alias("filename"),
+        F.when(F.col("page_id") % 2 == 0, (F.col("page_id") % 10 + 1).cast("int")).alias("category_id"),
+    )
+
+
+@query
+def j11_upload(c):
+    done = requests.upload(
+        _page_uploads(c), c.images(), c.vectors(), cut_lineage(c.prototypes()), byte_histogram, AS_OF
+    )
+    chosen = F.when(F.col("upload_id") % 2 == 0, F.col("category_id"))
+    stored = done.placed.join(done.images, "image_id").join(
+        done.vectors.select("image_id", "vector_id"), "image_id"
+    )
+    taken = stored.select(
+        "upload_id", "image_id", "vector_id", "content_hash", "metadata", chosen.alias("given_category"),
+        F.col("category_id").isNotNull().alias("placed"), F.lit(None).cast("string").alias("reject_reason"),
+    )
+    return taken.unionByName(done.rejected, allowMissingColumns=True)
+
+
+@query
+def j12_search_by_content(c):
+    pages = _page_uploads(c).withColumnRenamed("upload_id", "query_id")
+    queries, rejected = requests.embed_queries(pages, byte_histogram)
+    found = knn.exact_hits(queries, c.vectors(), 10).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    return found.unionByName(rejected, allowMissingColumns=True)
+
+
 # K. Streaming
 
 def _run_queue(c, queue, read):
