@@ -74,13 +74,18 @@ def ivf_build(items: DataFrame, nlist: int = 100, *, seed: int = 7, iterations:
         slices = 1 << 30
         train = items.filter(F.pmod(F.xxhash64("image_id"), F.lit(slices)) < int(slices * wanted / total) + 1)
     train = train.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = KMeans(k=min(nlist, total), seed=seed, maxIter=iterations).fit(train)
-    finally:
-        train.unpersist()
+    cells = min(nlist, total)
+    if cells > 1:
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(train)
+        finally:
+            train.unpersist()
+        found = model.clusterCenters()
+    else:
+        found = [train.first()["features"].toArray()]
     spark = items.sparkSession
-    centers = [(cell, [float(x) for x in center]) for cell, center in enumerate(model.clusterCenters())]
+    centers = [(cell, [float(x) for x in center]) for cell, center in enumerate(found)]
     centroids = spark.createDataFrame(centers, "cell int, centroid array<double>")
     return VectorIndex("ivfflat", centroids, assign_cells(items, centroids), dim)
 
@@ -121,19 +126,25 @@ def index_remove(index: VectorIndex, ids: DataFrame) -> VectorIndex:
     return VectorIndex(index.index_type, index.centroids, cells, index.dim)
 
 
-def ivf_search(queries: DataFrame, index: VectorIndex, k: int = 10, nprobe: int = 1, *,
-               max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The k nearest items within the ``nprobe`` cells nearest to each query.
+_RESULT = ("query_id", "rank", "image_id", "distance", "similarity_score")
 
-    With ``nprobe`` at the number of cells the result is exact.
-    """
+
+def _cell_hits(queries, index, k, nprobe, max_broadcast_rows):
     block = _centroid_block(index.centroids)
     probes = nearest_in_block(
         queries, block, nprobe, "l2", left_key="query_id", left_vector="embedding",
         right_name="cell", right_type="int", value_name="distance",
     )
-    hits = probe_hits(queries, index.cells, k, probes, max_broadcast_rows=max_broadcast_rows)
-    return with_score(hits).select("query_id", "rank", "image_id", "distance", "similarity_score")
+    return probe_hits(queries, index.cells, k, probes, max_broadcast_rows=max_broadcast_rows)
+
+
+def ivf_search(queries: DataFrame, index: VectorIndex, k: int = 10, nprobe: int = 1, *,
+               max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The k nearest items within the ``nprobe`` cells nearest to each query.
+
+    With ``nprobe`` at the number of cells the result is exact.
+    """
+    return with_score(_cell_hits(queries, index, k, nprobe, max_broadcast_rows)).select(*_RESULT)
 
 
 def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length: float = 0.25,
@@ -178,18 +189,22 @@ def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length:
     best_first = Window.partitionBy("query_id").orderBy("distance", "image_id")
     ranked = partial.withColumn("rank", F.dense_rank().over(best_first)).filter(F.col("rank") <= k)
     hits = ranked.dropDuplicates(["query_id", "image_id"])
-    return with_score(hits).select("query_id", "rank", "image_id", "distance", "similarity_score")
+    return with_score(hits).select(*_RESULT)
 
 
-def search_index(queries: DataFrame, index: VectorIndex, k: int = 10, *, nprobe: int = 1) -> DataFrame:
-    """Search an index of any type."""
+def index_hits(queries: DataFrame, index: VectorIndex, k: int, *, nprobe: int = 1,
+               max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The k nearest items found in an index of any type."""
     if index.index_type == "ivfflat":
-        return ivf_search(queries, index, k, nprobe)
+        return _cell_hits(queries, index, k, nprobe, max_broadcast_rows)
     if index.index_type == "hnsw":
-        return ann_lsh(queries, index.cells, k)
-    return with_score(exact_hits(queries, index.cells, k)).select(
-        "query_id", "rank", "image_id", "distance", "similarity_score"
-    )
+        return ann_lsh(queries, index.cells, k).drop("similarity_score")
+    return exact_hits(queries, index.cells, k, max_broadcast_rows=max_broadcast_rows)
+
+
+def search_index(queries: DataFrame, index: VectorIndex, k: int = 10, *, nprobe: int = 1) -> DataFrame:
+    """Search an index of any type, with scores."""
+    return with_score(index_hits(queries, index, k, nprobe=nprobe)).select(*_RESULT)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

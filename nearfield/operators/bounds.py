@@ -3,17 +3,20 @@
 from pyspark.sql import DataFrame
 
 MAX_SMALL_ROWS = 100_000
+MAX_SMALL_BYTES = 64 << 20
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df`` as a local table when it has at most MAX_SMALL_ROWS rows, else ``df``.
+def bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``df`` as a local table when it has at most ``max_rows`` (MAX_SMALL_ROWS)
+    rows and MAX_SMALL_BYTES bytes, else ``df``.
 
     Spark knows the exact size of a local table, so it broadcasts a small one
     by itself; a large one is joined by shuffle. Meant for narrow results that
     are usually small, such as aggregates and id lists; a large one is computed
     again by the join.
     """
-    table = df.limit(MAX_SMALL_ROWS + 1).toArrow()
-    if table.num_rows > MAX_SMALL_ROWS:
+    most = MAX_SMALL_ROWS if max_rows is None else min(max_rows, MAX_SMALL_ROWS)
+    table = df.limit(most + 1).toArrow()
+    if table.num_rows > most or table.nbytes > MAX_SMALL_BYTES:
         return df
     return df.sparkSession.createDataFrame(table, df.schema)

@@ -151,6 +151,12 @@ def _scan_items(block: VectorBlock, items: DataFrame, k: int, probes: dict | Non
     return items.mapInArrow(scan, HIT_SCHEMA)
 
 
+def _few(hits: DataFrame, block: VectorBlock, k: int) -> DataFrame:
+    """Mark the hits of a counted query block to travel where they fit the
+    bound: joining them to the items then leaves the items in place."""
+    return F.broadcast(hits) if len(block) * k * HIT_BYTES <= MAX_BROADCAST_BYTES else hits
+
+
 def _chunk_count(rows, block_rows: int):
     return F.greatest(F.lit(1), F.ceil(rows / block_rows)).cast("int")
 
@@ -251,8 +257,7 @@ def probe_hits(queries: DataFrame, items: DataFrame, k: int, probes: DataFrame,
         if pairs.num_rows <= most:
             rows = _rows_by_cell(block.ids, pairs["query_id"].to_numpy(), pairs["cell"].to_numpy())
             pruned = items.filter(F.col("cell").isin(sorted(rows)))
-            partial = _scan_items(block, lay_out(pruned, "image_id"), k, rows)
-            return top_hits(partial, k)
+            return _few(top_hits(_scan_items(block, lay_out(pruned, "image_id"), k, rows), k), block, k)
     queries = queries.select(F.col("query_id").cast("long"), "embedding").join(probes, "query_id")
     probed = items.join(probes.select("cell").distinct(), "cell", "left_semi")
     return top_hits(cell_grid_hits(queries, probed, k), k)
@@ -260,19 +265,13 @@ def probe_hits(queries: DataFrame, items: DataFrame, k: int, probes: DataFrame,
 
 def exact_hits(queries: DataFrame, items: DataFrame, k: int, *,
                max_broadcast_rows: int = MAX_BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest items of each query: query_id, image_id, distance, rank.
-
-    Hits of a query set within the bound are few enough to travel, and are
-    marked so: joining them to the items does not shuffle the items.
-    """
+    """The k nearest items of each query: query_id, image_id, distance, rank."""
     if k < 1:
         raise ValueError("k must be at least 1")
     items = items.select(F.col("image_id").cast("long"), "embedding")
     block = collect_block(queries, "query_id", "embedding", max_broadcast_rows)
     if block is not None:
-        hits = top_hits(_scan_items(block, lay_out(items, "image_id"), k, None), k)
-        few = len(block) * k * HIT_BYTES <= MAX_BROADCAST_BYTES
-        return F.broadcast(hits) if few else hits
+        return _few(top_hits(_scan_items(block, lay_out(items, "image_id"), k, None), k), block, k)
     queries = queries.select(F.col("query_id").cast("long"), "embedding")
     return top_hits(flat_grid_hits(queries, items, k, block_rows), k)
 

@@ -52,6 +52,16 @@ def all_prototypes(vectors: DataFrame, images: DataFrame) -> DataFrame:
     return category_means(vectors_with_category(vectors, images))
 
 
+def with_own_prototype(vectors: DataFrame, images: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """Vectors (image_id, category_id, embedding) beside their category's prototype.
+
+    Prototypes within the bound travel to the vectors, so a large category is
+    not gathered in one task.
+    """
+    few = bounded(prototypes.select("category_id", "prototype"), MAX_BROADCAST_ROWS)
+    return vectors_with_category(vectors, images).join(few, "category_id")
+
+
 def prototypes_of(categories: DataFrame, vectors: DataFrame, images: DataFrame) -> DataFrame:
     """Prototypes of the given categories (category_id) only."""
     wanted = bounded(categories.select("category_id").distinct())

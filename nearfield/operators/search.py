@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import SCORE_STEEPNESS, SCORE_THRESHOLD
+from nearfield.operators.ann import VectorIndex, index_hits
 from nearfield.operators.bounds import bounded
 from nearfield.operators.knn import (
     MAX_BROADCAST_ROWS,
@@ -35,6 +36,12 @@ def enrich_hits(hits: DataFrame, images: DataFrame, categories: DataFrame) -> Da
     return hits.join(items, "image_id").join(names, "category_id")
 
 
+def _nearest(queries, vectors, k, index, nprobe, max_broadcast_rows):
+    if index is None:
+        return exact_hits(queries, vectors, k, max_broadcast_rows=max_broadcast_rows)
+    return index_hits(queries, index, k, nprobe=nprobe, max_broadcast_rows=max_broadcast_rows)
+
+
 def _inside(hits: DataFrame, chosen: DataFrame, limit: int) -> DataFrame:
     """The best hits whose category is among those chosen for the query."""
     kept = hits.drop("rank").join(chosen.select("query_id", "category_id"), ["query_id", "category_id"], "left_semi")
@@ -51,11 +58,12 @@ def public_view(items: DataFrame) -> DataFrame:
 
 def search_postfilter(queries: DataFrame, vectors: DataFrame, images: DataFrame,
                       prototypes: DataFrame, limit: int = 10, prototype_limit: int = 3, *,
-                      overfetch: int = OVERFETCH, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Search everything for ``limit * overfetch`` hits, then keep those in the
+                      overfetch: int = OVERFETCH, index: VectorIndex | None = None, nprobe: int = 1,
+                      max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Search everything, or an index, for ``limit * overfetch`` hits, then keep those in the
     query's top categories; fewer than ``limit`` may be left."""
     _check(limit, prototype_limit)
-    wide = exact_hits(queries, vectors, limit * overfetch, max_broadcast_rows=max_broadcast_rows)
+    wide = _nearest(queries, vectors, limit * overfetch, index, nprobe, max_broadcast_rows)
     chosen = top_categories(queries, prototypes, prototype_limit)
     placed = wide.join(images.select("image_id", "category_id"), "image_id")
     return _inside(placed, chosen, limit).select("query_id", "rank", "image_id", "category_id", "distance")
@@ -81,15 +89,16 @@ def search_prefilter(queries: DataFrame, vectors: DataFrame, images: DataFrame,
 def search(queries: DataFrame, vectors: DataFrame, images: DataFrame, categories: DataFrame,
            prototypes: DataFrame | None = None, *, limit: int = 10, use_prototypes: bool = False,
            prototype_limit: int = 3, threshold: float = SCORE_THRESHOLD,
-           steepness: float = SCORE_STEEPNESS,
+           steepness: float = SCORE_STEEPNESS, index: VectorIndex | None = None, nprobe: int = 1,
            max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The full result: one row per hit with item, category, distance, score,
-    whether categories were filtered, and which ones."""
+    whether categories were filtered, and which ones. ``index`` is searched in
+    place of all vectors when given."""
     _check(limit, prototype_limit)
     if use_prototypes and prototypes is None:
         raise ValueError("use_prototypes needs prototypes")
     width = limit * OVERFETCH if use_prototypes else limit
-    hits = exact_hits(queries, vectors, width, max_broadcast_rows=max_broadcast_rows)
+    hits = _nearest(queries, vectors, width, index, nprobe, max_broadcast_rows)
     hits = enrich_hits(hits, images, categories)
     if use_prototypes:
         chosen = top_categories(queries, prototypes, prototype_limit)

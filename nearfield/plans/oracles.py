@@ -206,6 +206,13 @@ _PREFILTERED = _with("near_categories pairs images", f"""
             JOIN near_categories n ON n.query_id = p.query_id AND n.category_id = i.category_id AND n.rank <= 3)
         WHERE rank <= 10""")
 
+_SEARCHED = _with("postfiltered images names", f"""
+        SELECT {_SEARCH_COLUMNS}, true AS used_prototype_filtering, t.prototype_categories
+        FROM postfiltered h JOIN images i USING (image_id) JOIN names n ON n.category_id = i.category_id
+        JOIN (SELECT query_id, string_agg(category_id, ',' ORDER BY rank) AS prototype_categories
+              FROM near_categories WHERE rank <= 3 GROUP BY query_id) t ON t.query_id = h.query_id
+        WHERE h.rank <= 10""")
+
 ORACLES = {
     # A
     "a1_read_catalog": _with("categories images vectors prototypes indexes recompute_queue deletion_queue", """
@@ -450,12 +457,8 @@ ORACLES = {
     "i8_search": _with("ranked images names", f"""
         SELECT {_SEARCH_COLUMNS}, false AS used_prototype_filtering, CAST(NULL AS VARCHAR) AS prototype_categories
         FROM ranked h JOIN images i USING (image_id) JOIN names n USING (category_id) WHERE h.rank <= 10"""),
-    "i8_search_with_prototypes": _with("postfiltered images names", f"""
-        SELECT {_SEARCH_COLUMNS}, true AS used_prototype_filtering, t.prototype_categories
-        FROM postfiltered h JOIN images i USING (image_id) JOIN names n ON n.category_id = i.category_id
-        JOIN (SELECT query_id, string_agg(category_id, ',' ORDER BY rank) AS prototype_categories
-              FROM near_categories WHERE rank <= 3 GROUP BY query_id) t ON t.query_id = h.query_id
-        WHERE h.rank <= 10"""),
+    "i8_search_with_prototypes": _SEARCHED,
+    "i8_search_index": _SEARCHED,
     "i9_index_add": _with("ranked", _top(10)),
     "i9_index_append_stored": _with("ranked", _top(10)),
     "i10_register_index": _with("vectors indexes", """

@@ -11,6 +11,7 @@ from nearfield.functions import vectors as V
 from nearfield.operators import ann, integrity, joins, knn, lookups, maintenance, reports, upsert
 from nearfield.operators import prototypes as P
 from nearfield.operators import search as two_stage
+from nearfield.operators.bounds import bounded
 from nearfield.operators.ids import allocate_ids
 from nearfield.plans import requests
 from nearfield.plans.bootstrap import bootstrap, system_check
@@ -65,8 +66,7 @@ def plain_time(column):
 
 
 def items_to_own_prototype(c: SampleCatalog) -> DataFrame:
-    members = P.vectors_with_category(c.vectors(), c.images())
-    return members.join(c.prototypes(), "category_id")
+    return P.with_own_prototype(c.vectors(), c.images(), c.prototypes())
 
 
 # A. Sources and sinks
@@ -115,7 +115,7 @@ def a3_append_vectors(c):
     folder = scratch_path(c.spark, "vectors")
     sinks.write_table(c.vectors(), folder, "vectors")
     missing = joins.items_without_vectors(c.images(), c.vectors(), c.categories())
-    new = missing.join(c.prototypes(), "category_id").select("image_id", F.col("prototype").alias("embedding"))
+    new = missing.join(bounded(c.prototypes(), knn.MAX_BROADCAST_ROWS), "category_id").select("image_id", F.col("prototype").alias("embedding"))
     sinks.append_vectors(new, folder)
     return c.spark.read.parquet(f"{folder}/vectors").select("vector_id", "image_id", "index_id")
 
@@ -611,6 +611,15 @@ def i8_search_with_prototypes(c):
     ))
 
 
+@query
+def i8_search_index(c):
+    index = ann.ivf_build(c.vectors().select("image_id", "embedding"), NLIST)
+    return _shown_search(two_stage.search(
+        c.queries(), c.vectors(), c.images(), c.categories(), cut_lineage(c.prototypes()),
+        use_prototypes=True, index=index, nprobe=NLIST,
+    ))
+
+
 def _indexed(c):
     return c.vectors().filter(F.col("index_id").isNotNull()).select("image_id", "embedding")
 

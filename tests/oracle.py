@@ -25,7 +25,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 5) + 0.0
+        return "nan" if math.isnan(value) else value
     return value
 
 

@@ -94,3 +94,17 @@ def test_training_sample_does_not_drop_items(corpus, monkeypatch):
 def test_unknown_type(corpus):
     with pytest.raises(ValueError):
         ann.build_index(corpus[0], "tree")
+
+
+@pytest.mark.parametrize("rows,nlist", [(1, 5), (3, 1), (2, 5)])
+def test_tiny_indexes(make, rows, nlist):
+    items = make([(i, [float(i), 0.0]) for i in range(rows)], "image_id long, embedding array<float>")
+    index = ann.ivf_build(items, nlist)
+    queries = make([(0, [0.1, 0.0])], "query_id long, embedding array<float>")
+    found = ann.ivf_search(queries, index, 5, nlist).orderBy("rank").collect()
+    assert [r.image_id for r in found] == list(range(rows))
+
+
+def test_no_vectors_no_index(make):
+    with pytest.raises(ValueError):
+        ann.ivf_build(make([], "image_id long, embedding array<float>"))
