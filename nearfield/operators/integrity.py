@@ -48,24 +48,38 @@ def duplicate_keys(table: DataFrame, column: str) -> DataFrame:
 
 
 def integrity_report(catalog: dict[str, DataFrame]) -> DataFrame:
-    """Every broken key: kind, table_name, column_name, key_value, n_rows."""
-    def entry(kind, table, column, rows):
-        return rows.select(
-            F.lit(kind).alias("kind"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-            F.col(column).cast("string").alias("key_value"), "n_rows",
-        )
+    """Every broken key: kind, table_name, column_name, key_value, n_rows.
+
+    Each table is read once for all of its unique columns, and the keys of all
+    tables are counted in one aggregation.
+    """
+    place = ["table_name", "column_name", "key_value"]
+
+    def entry(table, *columns):
+        return F.explode(F.array(*[
+            F.struct(
+                F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
+                F.col(column).cast("string").alias("key_value"),
+            ) for column in columns
+        ])).alias("entry")
+
+    def counted(kind, rows, at_least):
+        found = rows.select("entry.*").filter(F.col("key_value").isNotNull())
+        counts = found.groupBy(*place).agg(F.count(F.lit(1)).alias("n_rows"))
+        return counts.filter(F.col("n_rows") >= at_least).select(F.lit(kind).alias("kind"), *place, "n_rows")
 
     def parent_keys(name, column):
         keys = catalog[name].select(column)
         return bounded(keys) if name in SMALL_TABLES else keys
 
-    found = [
-        entry("orphan", child, column,
-              orphans(catalog[child], parent_keys(parent, column), column)
-              .groupBy(column).agg(F.count(F.lit(1)).alias("n_rows")))
+    unique: dict[str, list[str]] = {}
+    for table, column in UNIQUE_KEYS:
+        unique.setdefault(table, []).append(column)
+    keys = [catalog[table].select(entry(table, *columns)) for table, columns in unique.items()]
+    lost = [
+        orphans(catalog[child], parent_keys(parent, column), column).select(entry(child, column))
         for child, column, parent in FOREIGN_KEYS
-    ] + [
-        entry("duplicate", table, column, duplicate_keys(catalog[table], column))
-        for table, column in UNIQUE_KEYS
     ]
-    return reduce(DataFrame.unionByName, found)
+    return counted("orphan", reduce(DataFrame.unionByName, lost), 1).unionByName(
+        counted("duplicate", reduce(DataFrame.unionByName, keys), 2)
+    )
