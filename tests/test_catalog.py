@@ -52,11 +52,11 @@ def test_ingest_takes_the_first_of_a_split(make):
     src = make([(i, b"%d" % i, i % 3, "train" if i < 8 else "test") for i in range(10)],
                "item_index long, content binary, label int, split string")
     rows = reading.ingest_items(
-        src, "train", 3, source="cifar10", description="d", split_column=src.split
+        src, "train", 3, source="toys", description="d", split_column=src.split
     ).orderBy("item_index").collect()
     assert [(r.item_index, r.category_id) for r in rows] == [(0, 1), (1, 2), (2, 3)]
     assert rows[1].metadata == (
-        '{"source":"cifar10","image_index":1,"split":"train","description":"d","format":"PNG"}'
+        '{"source":"toys","image_index":1,"split":"train","description":"d","format":"PNG"}'
     )
 
 
