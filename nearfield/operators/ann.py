@@ -73,7 +73,10 @@ def ivf_build(items: DataFrame, nlist: int = 100, *, seed: int = 7, iterations:
         # The share of ids whose hash falls in the lowest slice: the same rows on every retry.
         slices = 1 << 30
         train = items.filter(F.pmod(F.xxhash64("image_id"), F.lit(slices)) < int(slices * wanted / total) + 1)
-    train = train.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    # Every iteration runs over these few partitions, whatever the layout of the items.
+    parts = max(1, min(items.sparkSession.sparkContext.defaultParallelism, min(total, wanted) // 2000))
+    vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    train = train.select("image_id", vector).repartition(parts, "image_id").select("features")
     cells = min(nlist, total)
     if cells > 1:
         train = train.persist(StorageLevel.MEMORY_AND_DISK)

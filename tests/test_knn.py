@@ -62,7 +62,7 @@ def skewed(spark):
     return vectors, items
 
 
-@pytest.mark.parametrize("bound,block_rows", [(8192, 1 << 14), (0, 1 << 14), (0, 37)])
+@pytest.mark.parametrize("bound,block_rows", [(8192, 1 << 14), (10, 1 << 14), (0, 37)])
 def test_every_path_matches_brute_force(skewed, bound, block_rows):
     vectors, items = skewed
     queries = items.withColumnRenamed("image_id", "query_id")
