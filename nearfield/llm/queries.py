@@ -1,6 +1,6 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 
-from nearfield.llm import decontamination, mixing
+from nearfield.llm import decontamination, language, mixing, ngram_join, quality
 from nearfield.llm.common import table
 
 
@@ -8,16 +8,43 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op6_decontamination)}
+def op9_language(spark, sf_dir):
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark, sf_dir):
+    return quality.predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_ngram_join, op6_decontamination, op9_language, op10_quality)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEST_WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 
+_WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x20\x09-\x0D]+'), [])"
+
 ORACLES = {
+    "op5_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM w WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id != b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 85 * (x.n + y.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
+FROM (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)
+""",
     "op6_decontamination": f"""
 WITH item_words AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_TEST_WORDS} AS w FROM benchmark),
 windows AS (
