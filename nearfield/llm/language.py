@@ -146,7 +146,7 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
                     continue
                 found = infer(w)
                 at = found[0][0]
-                posterior = 1 / np.exp(w - w[:, [at]]).clip(max=1e300).sum(axis=1)
+                posterior = 1 / np.exp((w - w[:, [at]]).clip(max=500)).sum(axis=1)
                 pred.append(langs[at])
                 score.append(float(min(1.0, posterior.mean())))
                 sets.append(",".join(f"{langs[i]}:{s:.3f}" for i, s in found))

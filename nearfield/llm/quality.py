@@ -25,6 +25,8 @@ TRAIN_ROWS = 6_000
 WORD_CELLS, LEVELS, RANK = 1 << 15, 12, 8
 THRESHOLD = 0.7
 _STATS = 12
+#: Length of a document's vector of words; each statistic has the value 1.
+WORD_SHARE = 0.5
 FEATURES = WORD_CELLS + _STATS * LEVELS
 _KIND = np.zeros(256, dtype=np.int64)
 for _c in range(256):
@@ -60,9 +62,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     )
     level = np.minimum(LEVELS - 1, (np.sqrt(np.clip(stats, 0, 1)) * LEVELS).astype(np.int64))
     weight = np.log1p(counts)
-    weight = weight / max(1e-9, np.sqrt((weight**2).sum())) if len(weight) else weight
+    weight = WORD_SHARE * weight / max(1e-9, np.sqrt((weight**2).sum())) if len(weight) else weight
     at = np.concatenate((cells, WORD_CELLS + np.arange(_STATS) * LEVELS + level))
-    return at, np.concatenate((weight, np.full(_STATS, 0.5))).astype(np.float64)
+    return at, np.concatenate((weight, np.ones(_STATS))).astype(np.float64)
 
 
 class Machine:
@@ -83,11 +85,11 @@ class Machine:
     def score(self, at, values, starts):
         return 1 / (1 + np.exp(-np.clip(self.raw(at, values, starts)[0], -50, 50)))
 
-    def fit(self, rows, labels, epochs: int = 12, batch: int = 128, rate: float = 0.05, decay: float = 1e-5, seed: int = 7):
+    def fit(self, rows, labels, steps: int = 1000, batch: int = 64, rate: float = 0.1, decay: float = 1e-5, seed: int = 7):
         """Learns from ``rows`` (feature numbers, values) by Adagrad over shuffled batches."""
         rng = np.random.default_rng(seed)
         seen_w, seen_v, seen_b = np.full(FEATURES, 1e-2), np.full(self.v.shape, 1e-2), 1e-2
-        for _ in range(epochs):
+        for _ in range(max(1, round(steps * batch / len(rows)))):
             order = rng.permutation(len(rows))
             for k in range(0, len(order), batch):
                 own = order[k : k + batch]
