@@ -23,7 +23,7 @@ from nearfield.llm.common import fresh, map_arrow, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, slots of an output shard, and documents of a group that is numbered in one task.
-BLOCK_WORDS, SHARD_SLOTS, GROUP_ROWS = 256, 4096, 50_000
+BLOCK_WORDS, SHARD_SLOTS, GROUP_ROWS = 256, 4096, 5_000
 #: A mixture has a weight for each source; its parameters, one row for each, are kept on the driver.
 MAX_SOURCES = 1_000_000
 _DRAWABLE = 10**9
