@@ -1,6 +1,6 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 
-from nearfield.llm import decontamination, language, mixing, ngram_join, quality
+from nearfield.llm import decontamination, language, mixing, ngram_join, quality, token_files
 from nearfield.llm.common import table
 
 
@@ -8,6 +8,10 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark, sf_dir):
+    return token_files.tokens_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark, sf_dir):
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
@@ -24,7 +28,7 @@ def op10_quality(spark, sf_dir):
     return quality.predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_ngram_join, op6_decontamination, op9_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_files, op5_ngram_join, op6_decontamination, op9_language, op10_quality)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEST_WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
