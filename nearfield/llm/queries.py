@@ -1,9 +1,13 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 
-from nearfield.llm import decontamination, language, mixing, ngram_join, quality, token_files
+from nearfield.llm import decontamination, language, line_dedup, mixing, ngram_join, quality, token_files
 from nearfield.llm.common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark, sf_dir):
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op10_quality(spark, sf_dir):
     return quality.predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_files, op5_ngram_join, op6_decontamination, op9_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_token_files, op5_ngram_join, op6_decontamination, op9_language, op10_quality)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEST_WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
@@ -36,6 +40,19 @@ _TEST_WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x
 _WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x20\x09-\x0D]+'), [])"
 
 ORACLES = {
+    "op1_line_dedup": f"""
+WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
+l AS (SELECT * FROM (SELECT doc_id, pos, {_WORDS} AS w FROM raw) WHERE len(w) > 0),
+d AS (SELECT w, row_number() OVER (ORDER BY doc_id, pos) AS o, doc_id, pos
+      FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM l) WHERE k = 1),
+v AS (SELECT o, p, list_concat(w[1:p - 1], w[p + 1:]) AS k FROM (SELECT o, w, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) >= 8)),
+changed AS (SELECT o FROM (SELECT o, min(o) OVER (PARTITION BY k, p) AS m FROM v) WHERE o > m),
+longer AS (SELECT x.o AS a, v.o AS b FROM d x JOIN v ON x.w = v.k WHERE len(x.w) >= 8),
+near AS (SELECT o FROM changed UNION SELECT greatest(a, b) FROM longer),
+fate AS (SELECT l.doc_id, l.pos, (l.doc_id != d.doc_id OR l.pos != d.pos OR d.o IN (SELECT o FROM near)) AS gone FROM l JOIN d USING (w)),
+sums AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (gone) AS dropped FROM fate GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped FROM documents LEFT JOIN sums USING (doc_id)
+""",
     "op5_ngram_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (

@@ -21,6 +21,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 def shingle_set(text: str | None, n: int = 4) -> np.ndarray:
     """Distinct 64-bit hashes of the ``n``-word shingles in ascending order; of the whole sequence when it is shorter;
     none without words."""
@@ -29,7 +33,7 @@ def shingle_set(text: str | None, n: int = 4) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if len(words) < n:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = word_hashes(words)
     out = h[: len(h) - n + 1].copy()
     for k in range(1, n):
         out = out * _A + h[k : len(h) - n + 1 + k]
