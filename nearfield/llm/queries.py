@@ -1,6 +1,6 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 
-from nearfield.llm import decontamination, language, line_dedup, mixing, ngram_join, quality, token_files
+from nearfield.llm import decontamination, language, line_dedup, mixing, ngram_join, quality, token_files, topk
 from nearfield.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_token_files(spark, sf_dir):
     return token_files.tokens_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark, sf_dir):
+    return topk.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_join(spark, sf_dir):
     return ngram_join.near_groups(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_quality(spark, sf_dir):
     return quality.predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_token_files, op5_ngram_join, op6_decontamination, op9_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_token_files, op4_exact_topk, op5_ngram_join, op6_decontamination, op9_language, op10_quality)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEST_WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
@@ -52,6 +56,14 @@ near AS (SELECT o FROM changed UNION SELECT greatest(a, b) FROM longer),
 fate AS (SELECT l.doc_id, l.pos, (l.doc_id != d.doc_id OR l.pos != d.pos OR d.o IN (SELECT o FROM near)) AS gone FROM l JOIN d USING (w)),
 sums AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (gone) AS dropped FROM fate GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped FROM documents LEFT JOIN sums USING (doc_id)
+""",
+    "op4_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id != c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """,
     "op5_ngram_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
