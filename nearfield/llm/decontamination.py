@@ -172,7 +172,7 @@ def benchmark_parts(items: DataFrame, window: int = WINDOW, part_words: int = PA
         return Automaton([(item, list(words)) for words, names in part.items() for item in names], window)
 
     part, size, made = defaultdict(list), 0, 0
-    for row in items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("i"), "text").distinct().toLocalIterator():
+    for row in items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("i"), "text").distinct().coalesce(8).toLocalIterator():
         words = tuple(words_of(row.text))
         if not words:
             continue

@@ -1,6 +1,6 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 
-from nearfield.llm import decontamination, language, line_dedup, mixing, ngram_join, pii, quality, token_files, topk
+from nearfield.llm import decontamination, language, licenses, line_dedup, mixing, ngram_join, pii, quality, token_files, topk
 from nearfield.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_license_scan(spark, sf_dir):
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_quality(spark, sf_dir):
     return quality.predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_token_files, op4_exact_topk, op5_ngram_join, op6_decontamination, op8_pii, op9_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_token_files, op4_exact_topk, op5_ngram_join, op6_decontamination, op7_license_scan, op8_pii, op9_language, op10_quality)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEST_WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
