@@ -24,7 +24,7 @@ WINDOW = 10
 #: An automaton is held by every Python worker: more items than these words make up go into further automata,
 #: each with a pass of its own over the documents.
 PART_WORDS = 250_000
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in a text that still has its upper case
 _SPLIT = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in LOWER)
 _FILTER = 1 << 20
 
