@@ -3,6 +3,8 @@
 import uuid
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,62 @@ def held_out_id(doc_id) -> bool:
 def ascii_words(text: str | None) -> list[bytes]:
     """Lower-cased runs without ASCII white space (0x09-0x0D, 0x20)."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+#: Bits of a hashed set of keys, and those sent as one row.
+SET_BITS, SET_CHUNK = 1 << 26, 1 << 20
+
+
+def bit_of(*columns: str, bits: int = SET_BITS):
+    """Column: the bit of a key in a hashed set."""
+    return F.pmod(F.xxhash64(*columns), F.lit(bits))
+
+
+def hashed_set(keys: DataFrame, bits: int = SET_BITS) -> np.ndarray:
+    """The keys (all columns) as one bit each of ``bits``: a set of fixed size that has every key and perhaps others.
+
+    It thins out rows before a join that decides exactly; with very many keys it thins less, and the result is the same.
+    """
+    chunk = F.col("bit").bitwiseAND(F.lit(SET_CHUNK - 1)).cast("int")
+
+    def fold(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            chunks, offsets = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for c in np.unique(chunks):
+                parts.setdefault(int(c), np.zeros(SET_CHUNK, dtype=bool))[offsets[chunks == c]] = True
+        yield pa.RecordBatch.from_pydict({
+            "chunk": pa.array(list(parts), pa.int32()), "bits": pa.array([np.packbits(b).tobytes() for b in parts.values()], pa.binary())})
+
+    placed = keys.select(bit_of(*keys.columns, bits=bits).alias("bit")).select(
+        F.shiftright("bit", SET_CHUNK.bit_length() - 1).cast("int").alias("chunk"), chunk.alias("offset")).distinct()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for row in map_arrow(placed.repartition(min(64, bits // SET_CHUNK), "chunk"), fold, "chunk int, bits binary").collect():
+        at = row.chunk * SET_CHUNK // 8
+        out[at : at + SET_CHUNK // 8] = np.frombuffer(row.bits, dtype=np.uint8)
+    return out
+
+
+def has_bits(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (bitmap[bits >> 3] >> (7 - (bits & 7)) & 1).astype(bool)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone`` (id). Rows that a hashed set of the ids clears stay where
+    they are; the others, few unless most ids go, are joined."""
+    wanted = docs.sparkSession.sparkContext.broadcast(hashed_set(gone.select("id")))  # of fixed size
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    bit = fresh("bit")
+
+    def split(hit: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                hits = has_bits(wanted.value, batch.column(batch.num_columns - 1).to_numpy())
+                kept = batch.filter(pa.array(hits if hit else ~hits))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], batch.schema.names[:-1])
+
+        return map_arrow(docs.withColumn(bit, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SET_BITS))), run, schema)
+
+    name = fresh("id")
+    doubtful = split(True).join(gone.select(F.col("id").alias(name)), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    return split(False).unionAll(doubtful)

@@ -20,15 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import map_arrow, stored
+from nearfield.llm.common import bit_of, has_bits, hashed_set, map_arrow, stored, without_ids
 from nearfield.llm.components import components
 from nearfield.llm.shingles import shingle_set
-from nearfield.operators.bounds import bounded
 
 N, PERCENT = 4, 85
 #: Cells of the frequency sketch, those sent as one row, and members of one side of a tile.
-CELLS, CHUNK, TILE = 1 << 22, 1 << 16, 2048
-_HOLD = 1 << 21
+CELLS, CHUNK, TILE = 1 << 20, 1 << 16, 2048
+_HOLD = 1 << 20
 
 
 def required(a, b, percent: int):
@@ -63,7 +62,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "n", "d1", "d2", "chunk", "counts"])
         if waiting:
             counts += np.bincount(np.concatenate(held), minlength=CELLS)
-        rows = [(i, counts[i * CHUNK : (i + 1) * CHUNK].tobytes()) for i in range(CELLS // CHUNK) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
+        rows = [(i, counts[i * CHUNK : (i + 1) * CHUNK].astype(np.uint32).tobytes()) for i in range(CELLS // CHUNK) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
         k = len(rows)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(k, pa.int64())] + [pa.nulls(k, pa.int64())] * 3 + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
@@ -78,7 +77,7 @@ def _ranks(surveyed: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts.as_buffer(), dtype=np.int64)
+                sums[chunk] = sums.get(chunk, np.int64(0)) + np.frombuffer(counts.as_buffer(), dtype=np.uint32)
         yield pa.RecordBatch.from_pydict({
             "chunk": pa.array(list(sums), pa.int32()),
             "ranks": pa.array([np.minimum(255, np.log2(c + 1.0) * 6).astype(np.uint8).tobytes() for c in sums.values()], pa.binary())})
@@ -197,17 +196,20 @@ def may_overlap(a: np.ndarray, b: np.ndarray, need: int, cells: int = 16) -> boo
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` that link. Texts are read again for the documents in pairs only."""
     pairs = stored(pairs, "pairs")
-    ids = bounded(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
 
-    def sets(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([shingle_set(t.as_py(), n).tobytes() for t in batch.column(1)], pa.binary())], ["id", "shingles"])
+    def sets(side: str) -> DataFrame:
+        wanted = docs.sparkSession.sparkContext.broadcast(hashed_set(pairs.select(side)))  # of fixed size
+
+        def run(batches):
+            for batch in batches:
+                batch = batch.filter(pa.array(has_bits(wanted.value, batch.column(2).to_numpy())))
+                found = [shingle_set(t.as_py(), n).tobytes() for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
-    wanted = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    own = stored(map_arrow(wanted, sets, "id long, shingles binary"), "sets")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        own.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+        rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit_of("doc_id").alias("bit"))
+        return map_arrow(rows, run, "id long, shingles binary").toDF(side, f"s{side}")
+
+    both = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "sa", "sb")
 
     def run(batches):
         for batch in batches:
@@ -230,6 +232,18 @@ def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return named.join(least, "doc_id").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
 
 
+def _thinned(postings: DataFrame, shared: DataFrame) -> DataFrame:
+    """The postings whose shingle is in ``shared`` (h); most of the others never leave their task."""
+    wanted = postings.sparkSession.sparkContext.broadcast(hashed_set(shared, 1 << 27))  # of fixed size
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(has_bits(wanted.value, batch.column(4).to_numpy())))
+
+    kept = map_arrow(postings.select("doc_id", "n", "pos", "h", bit_of("h", bits=1 << 27).alias("bit")), run, "doc_id long, n long, pos int, h long, bit long")
+    return kept.join(shared, "h")
+
+
 def near_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -242,11 +256,11 @@ def near_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     packed = stored(_prefixes(docs, ranks, n, percent).join(reps, F.col("doc_id") == F.col("rep"), "left_semi"), "prefixes")
     postings = packed.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    members = stored(postings.join(shared, "h").select("h", "doc_id", "n", "pos", "m"), "members")
+    members = stored(_thinned(postings, stored(shared.select("h"), "shared")).select("h", "doc_id", "n", "pos"), "members")
 
     first = members.groupBy("h").agg(F.min(F.struct("doc_id", "n", "pos")).alias("c"))
     stars = members.join(first, "h").where("doc_id != c.doc_id").where(
-        _may_link(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos"), percent)).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        _may_link(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos"), percent)).groupBy(F.col("doc_id").alias("b")).agg(F.min("c.doc_id").alias("a")).select("a", "b")  # one for each document; the rest comes later
     links = _verified(stars, docs, n, percent).unionAll(_same_ids(rows, classes))
     label = stored(components(links), "labels")
 
@@ -271,5 +285,5 @@ def near_groups(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
 def drop_near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its group; all columns stay."""
     groups = near_groups(docs, n, percent)
-    gone = bounded(groups.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = stored(groups.where("component_id != doc_id").select(F.col("doc_id").alias("id")).distinct(), "copies")
+    return without_ids(docs, gone)
