@@ -17,14 +17,15 @@ from nearfield.operators.knn import (
     collect_block,
     exact_hits,
     nearest_in_block,
+    nearest_on_grid,
     probe_hits,
     with_score,
 )
 
-INDEX_TYPES = ("flatl2", "ivfflat", "hnsw")
+INDEX_TYPES = ("flatl2", "ivfflat", "lsh")
 
-# Vectors per cell that suffice to place the centroids; every vector is indexed.
-TRAIN_ROWS_PER_CELL = 256
+# Centroids that travel to the vectors, if they fit the bound in bytes too.
+MAX_BLOCK_CELLS = 1 << 16
 
 
 @dataclass
@@ -44,39 +45,47 @@ def _dimension(items: DataFrame) -> int:
     return first["dim"]
 
 
-def _centroid_block(centroids: DataFrame):
-    block = collect_block(centroids, "cell", "centroid", 1 << 16)
-    if block is None:
-        raise ValueError("more centroids than one task can hold; lower nlist")
-    return block
+def nearest_cells(left: DataFrame, key: str, centroids: DataFrame, k: int = 1, *,
+                  keep_vector: bool = False, max_cells: int = MAX_BLOCK_CELLS) -> DataFrame:
+    """key, cell, radius and rank of the ``k`` nearest centroids of each vector (key, embedding).
 
+    Centroids that one task can hold travel to the vectors; more of them meet
+    the vectors in blocks.
+    """
+    block = collect_block(centroids, "cell", "centroid", max_cells)
+    if block is not None:
+        return nearest_in_block(
+            left, block, k, "l2", left_key=key, left_vector="embedding", right_name="cell",
+            right_type="int", value_name="radius", keep_vector=keep_vector,
+        )
+    found = nearest_on_grid(
+        left, centroids, k, left_key=key, right_key="cell", right_vector="centroid",
+        right_type="int", value_name="radius", metric="l2",
+    )
+    return found.join(left.select(F.col(key).cast("long"), "embedding"), key) if keep_vector else found
 
-def assign_cells(items: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Each item with the cell of its nearest centroid, without a shuffle."""
-    return nearest_in_block(
-        items, _centroid_block(centroids), 1, "l2", left_key="image_id", left_vector="embedding",
-        right_name="cell", right_type="int", value_name="radius", keep_vector=True,
-    ).select("cell", "image_id", "embedding")
 
+def assign_cells(items: DataFrame, centroids: DataFrame, max_cells: int = MAX_BLOCK_CELLS) -> DataFrame:
+    """Each item with the cell of its nearest centroid."""
+    placed = nearest_cells(items, "image_id", centroids, keep_vector=True, max_cells=max_cells)
+    return placed.select("cell", "image_id", "embedding")
 
-def ivf_build(items: DataFrame, nlist: int = 100, *, seed: int = 7, iterations: int = 10) -> VectorIndex:
+
+def ivf_build(items: DataFrame, nlist: int = 100, *, seed: int = 7, iterations: int = 10,
+              centroids: DataFrame | None = None, train: DataFrame | None = None) -> VectorIndex:
     """Cells around k-means centroids for items (image_id, embedding).
 
-    Centroids are placed on a sample once there are more than
-    ``TRAIN_ROWS_PER_CELL * nlist`` vectors; cells hold every vector.
+    Centroids are placed on all items, or on ``train`` (embedding) where the
+    caller gives it; with ``centroids`` (cell, centroid) nothing is fitted.
     """
     dim = _dimension(items)
-    wanted = TRAIN_ROWS_PER_CELL * nlist
-    total = items.count()
-    train = items
-    if total > wanted:
-        # The share of ids whose hash falls in the lowest slice: the same rows on every retry.
-        slices = 1 << 30
-        train = items.filter(F.pmod(F.xxhash64("image_id"), F.lit(slices)) < int(slices * wanted / total) + 1)
-    # Every iteration runs over these few partitions, whatever the layout of the items.
-    parts = max(1, min(items.sparkSession.sparkContext.defaultParallelism, min(total, wanted) // 2000))
+    if centroids is not None:
+        centroids = centroids.select(F.col("cell").cast("int"), F.col("centroid").cast("array<double>"))
+        return VectorIndex("ivfflat", centroids, assign_cells(items, centroids), dim)
+    source = items if train is None else train
     vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    train = train.select("image_id", vector).repartition(parts, "image_id").select("features")
+    train = source.select(vector)
+    total = source.count()
     cells = min(nlist, total)
     if cells > 1:
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
@@ -93,18 +102,18 @@ def ivf_build(items: DataFrame, nlist: int = 100, *, seed: int = 7, iterations:
     return VectorIndex("ivfflat", centroids, assign_cells(items, centroids), dim)
 
 
-def flat_build(items: DataFrame) -> VectorIndex:
-    """The index without cells: every search scans all vectors."""
+def flat_build(items: DataFrame, dim: int | None = None) -> VectorIndex:
+    """The index without cells: every search scans all vectors. It may be empty when ``dim`` is given."""
     cells = items.select(F.lit(0).alias("cell"), F.col("image_id").cast("long"), "embedding")
-    return VectorIndex("flatl2", None, cells, _dimension(items))
+    return VectorIndex("flatl2", None, cells, _dimension(items) if dim is None else dim)
 
 
 def build_index(items: DataFrame, index_type: str = "flatl2", *, nlist: int = 100, seed: int = 7) -> VectorIndex:
-    """Build one of INDEX_TYPES; 'hnsw' stands for the hash-bucket search,
-    which needs no stored structure but the vectors."""
+    """Build one of INDEX_TYPES; 'lsh' is the hash-bucket search, which needs
+    no stored structure but the vectors."""
     if index_type == "ivfflat":
         return ivf_build(items, nlist, seed=seed)
-    if index_type in ("flatl2", "hnsw"):
+    if index_type in ("flatl2", "lsh"):
         index = flat_build(items)
         return VectorIndex(index_type, None, index.cells, index.dim)
     raise ValueError(f"index_type must be one of {INDEX_TYPES}")
@@ -132,12 +141,15 @@ def index_remove(index: VectorIndex, ids: DataFrame) -> VectorIndex:
 _RESULT = ("query_id", "rank", "image_id", "distance", "similarity_score")
 
 
+def cells_probed(queries: DataFrame, index: VectorIndex, nprobe: int) -> DataFrame:
+    """query_id and each cell of the index that the query's search looks into."""
+    if index.centroids is None:
+        return queries.select("query_id", F.lit(0).alias("cell"))
+    return nearest_cells(queries, "query_id", index.centroids, nprobe).select("query_id", "cell")
+
+
 def _cell_hits(queries, index, k, nprobe, max_broadcast_rows):
-    block = _centroid_block(index.centroids)
-    probes = nearest_in_block(
-        queries, block, nprobe, "l2", left_key="query_id", left_vector="embedding",
-        right_name="cell", right_type="int", value_name="distance",
-    )
+    probes = cells_probed(queries, index, nprobe)
     return probe_hits(queries, index.cells, k, probes, max_broadcast_rows=max_broadcast_rows)
 
 
@@ -200,7 +212,7 @@ def index_hits(queries: DataFrame, index: VectorIndex, k: int, *, nprobe: int =
     """The k nearest items found in an index of any type."""
     if index.index_type == "ivfflat":
         return _cell_hits(queries, index, k, nprobe, max_broadcast_rows)
-    if index.index_type == "hnsw":
+    if index.index_type == "lsh":
         return ann_lsh(queries, index.cells, k).drop("similarity_score")
     return exact_hits(queries, index.cells, k, max_broadcast_rows=max_broadcast_rows)
 

@@ -46,6 +46,20 @@ def keep_best(left, key, right, k) -> np.ndarray:
     return order[positions(left[order]) <= k]
 
 
+def first_of_equal(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows that can be among the best k: of equal vectors, those with the k smallest ids."""
+    if len(ids) <= k:
+        return np.arange(len(ids))
+    weights = np.random.default_rng(0).normal(size=vectors.shape[1])
+    with np.errstate(over="ignore", invalid="ignore"):
+        mark = vectors @ weights
+    if len(np.unique(mark)) > len(mark) - k:  # no vector occurs more than k times
+        return np.arange(len(ids))
+    _, group = np.unique(vectors, axis=0, return_inverse=True)
+    order = np.lexsort((ids, group.ravel()))
+    return np.sort(order[positions(group.ravel()[order]) <= k])
+
+
 class BestMatches:
     """Running k best right-hand items of each left-hand vector.
 
@@ -80,15 +94,21 @@ class BestMatches:
             raise ValueError("queries and items differ in dimension")
         if rows is None:
             rows = np.arange(len(self.left))
-        parts = [self._found]
         for r in range(0, len(right), _TILE_RIGHT):
             exact = np.ascontiguousarray(right[r:r + _TILE_RIGHT], dtype=np.float64)
             ids = right_ids[r:r + _TILE_RIGHT]
+            keep = first_of_equal(exact, ids, self.k)
+            exact, ids = exact[keep], ids[keep]
             norm = np.sqrt(np.square(exact).sum(axis=1))
             block = self._block(exact, norm)
             for s in range(0, len(rows), _TILE_LEFT):
-                parts.append(self._tile(rows[s:s + _TILE_LEFT], exact, norm, block, ids))
-        found = tuple(np.concatenate(column) for column in zip(*parts))
+                self._merge(self._tile(rows[s:s + _TILE_LEFT], exact, norm, block, ids))
+
+    def _merge(self, candidates):
+        """Keep the best k of what was found before and ``candidates``, and tighten the limits."""
+        if len(candidates[0]) == 0:
+            return
+        found = tuple(np.concatenate(column) for column in zip(self._found, candidates))
         best = keep_best(*found, self.k)
         self._found = tuple(column[best] for column in found)
         left, key, _ = self._found

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from nearfield.operators.bounds import bounded
 
-# Child table, its column, parent table. Null references are allowed.
+# Child table, its column, parent table. A null reference is no orphan.
 FOREIGN_KEYS = (
     ("images", "category_id", "categories"),
     ("vectors", "image_id", "images"),
     ("vectors", "index_id", "indexes"),
     ("prototypes", "category_id", "categories"),
+    ("recompute_queue", "category_id", "categories"),
 )
 
 # Table, column that must be unique.
@@ -25,6 +26,28 @@ UNIQUE_KEYS = (
     ("vectors", "image_id"),
     ("prototypes", "category_id"),
     ("indexes", "index_id"),
+    ("recompute_queue", "category_id"),
+    ("deletion_queue", "image_id"),
+)
+
+# Table, column that must have a value.
+NOT_NULL = (
+    ("categories", "category_id"),
+    ("categories", "category_name"),
+    ("images", "image_id"),
+    ("images", "content"),
+    ("images", "category_id"),
+    ("images", "content_hash"),
+    ("vectors", "vector_id"),
+    ("vectors", "embedding"),
+    ("vectors", "image_id"),
+    ("prototypes", "category_id"),
+    ("prototypes", "prototype"),
+    ("indexes", "index_id"),
+    ("indexes", "index_type"),
+    ("indexes", "path"),
+    ("recompute_queue", "category_id"),
+    ("deletion_queue", "image_id"),
 )
 
 # Parents small by nature; their keys travel to the children.
@@ -48,7 +71,8 @@ def duplicate_keys(table: DataFrame, column: str) -> DataFrame:
 
 
 def integrity_report(catalog: dict[str, DataFrame]) -> DataFrame:
-    """Every broken key: kind, table_name, column_name, key_value, n_rows.
+    """Every broken rule: kind (orphan, duplicate, null), table_name, column_name, key_value (none for
+    nulls), n_rows.
 
     Each table is read once for all of its unique columns, and the keys of all
     tables are counted in one aggregation.
@@ -80,6 +104,18 @@ def integrity_report(catalog: dict[str, DataFrame]) -> DataFrame:
         orphans(catalog[child], parent_keys(parent, column), column).select(entry(child, column))
         for child, column, parent in FOREIGN_KEYS
     ]
-    return counted("orphan", reduce(DataFrame.unionByName, lost), 1).unionByName(
+    required: dict[str, list[str]] = {}
+    for table, column in NOT_NULL:
+        required.setdefault(table, []).append(column)
+
+    def nulls(table, columns):
+        missing = catalog[table].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+        rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_rows")) for c in columns]))
+        return missing.select(rows.alias("r")).filter("r.n_rows > 0").select(
+            F.lit("null").alias("kind"), F.lit(table).alias("table_name"), "r.column_name",
+            F.lit(None).cast("string").alias("key_value"), "r.n_rows")
+
+    absent = reduce(DataFrame.unionByName, [nulls(t, c) for t, c in required.items()])
+    return absent.unionByName(counted("orphan", reduce(DataFrame.unionByName, lost), 1).unionByName(
         counted("duplicate", reduce(DataFrame.unionByName, keys), 2)
-    )
+    ))

@@ -28,9 +28,8 @@ MAX_BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 16384
 # A scan estimated below this many bytes per core is spread over all cores.
 SPREAD_BYTES_PER_CORE = 8 << 20
-# Bytes a scan task should read, and a limit on the number of tasks.
-SCAN_BYTES = 2 << 30
-MAX_SCAN_TASKS = 1 << 20
+# Query blocks that are worth a scan of all items each; for more of them both sides meet in a grid.
+MAX_SCANS = 64
 
 # A hit in a hash table, generously.
 HIT_BYTES = 64
@@ -68,14 +67,13 @@ def lay_out(df: DataFrame, key: str) -> DataFrame:
     """``df`` in as many tasks as suit a scan.
 
     A small input that would be read as one or two tasks is spread over all
-    cores. A large one is read in place, in tasks of about SCAN_BYTES: fewer
-    tasks leave fewer partial hits to merge.
+    cores. A large one keeps the splits of its scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if estimate < cores * SPREAD_BYTES_PER_CORE:
         return df.repartition(cores, key)
-    return df.coalesce(max(4 * cores, min(estimate // SCAN_BYTES, MAX_SCAN_TASKS)))
+    return df
 
 
 def top_hits(hits: DataFrame, k: int, group: str = "query_id", value: str = "distance",
@@ -202,13 +200,14 @@ def flat_grid_hits(queries: DataFrame, items: DataFrame, k: int, block_rows: int
 
 
 def nearest_on_grid(left: DataFrame, right: DataFrame, k: int, *, left_key: str, right_key: str,
-                    right_vector: str, right_type: str, value_name: str) -> DataFrame:
-    """The k right rows of largest cosine for every left row, both sides of any size."""
+                    right_vector: str, right_type: str, value_name: str, metric: str = "cosine") -> DataFrame:
+    """The k right rows of largest cosine, or least squared distance, for every left row,
+    both sides of any size."""
     queries = left.select(F.col(left_key).cast("long").alias("query_id"), "embedding")
     items = right.select(
         F.col(right_key).cast("long").alias("image_id"), F.col(right_vector).alias("embedding")
     )
-    hits = top_hits(flat_grid_hits(queries, items, k, metric="cosine"), k, descending=True)
+    hits = top_hits(flat_grid_hits(queries, items, k, metric=metric), k, descending=metric == "cosine")
     return hits.select(
         F.col("query_id").alias(left_key),
         F.col("image_id").cast(right_type).alias(right_key),
@@ -259,7 +258,7 @@ def probe_hits(queries: DataFrame, items: DataFrame, k: int, probes: DataFrame,
             pruned = items.filter(F.col("cell").isin(sorted(rows)))
             return _few(top_hits(_scan_items(block, lay_out(pruned, "image_id"), k, rows), k), block, k)
     queries = queries.select(F.col("query_id").cast("long"), "embedding").join(probes, "query_id")
-    probed = items.join(probes.select("cell").distinct(), "cell", "left_semi")
+    probed = items.join(bounded(probes.select("cell").distinct()), "cell", "left_semi")
     return top_hits(cell_grid_hits(queries, probed, k), k)
 
 
@@ -273,7 +272,27 @@ def exact_hits(queries: DataFrame, items: DataFrame, k: int, *,
     if block is not None:
         return _few(top_hits(_scan_items(block, lay_out(items, "image_id"), k, None), k), block, k)
     queries = queries.select(F.col("query_id").cast("long"), "embedding")
-    return top_hits(flat_grid_hits(queries, items, k, block_rows), k)
+    hits = _scan_in_blocks(queries, items, k, max_broadcast_rows)
+    return top_hits(flat_grid_hits(queries, items, k, block_rows) if hits is None else hits, k)
+
+
+def _scan_in_blocks(queries: DataFrame, items: DataFrame, k: int, block_rows: int) -> DataFrame | None:
+    """Partial hits of several query blocks, each against a scan of the items in place, so that
+    vectors of neither side are shuffled; None where that would take more than MAX_SCANS scans."""
+    if block_rows <= 0:
+        return None
+    parts = -(-2 * queries.count() // block_rows)  # half full, so that uneven ones fit
+    if parts > MAX_SCANS:
+        return None
+    laid, hits = lay_out(items, "image_id"), None
+    for part in range(parts):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        block = collect_block(rows, "query_id", "embedding", block_rows)
+        if block is None:
+            return None
+        found = _scan_items(block, laid, k, None)
+        hits = found if hits is None else hits.unionAll(found)
+    return hits
 
 
 def with_score(hits: DataFrame, threshold: float = SCORE_THRESHOLD,

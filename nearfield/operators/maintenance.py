@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import content_sha256
-from nearfield.operators.ann import VectorIndex, build_index
+from nearfield.operators.ann import VectorIndex, build_index, flat_build
 from nearfield.operators.bounds import bounded
 from nearfield.operators.joins import without_vectors
 from nearfield.operators.prototypes import prototypes_of
@@ -40,7 +40,7 @@ def recompute_queue(changes: DataFrame, images: DataFrame | None = None,
         rows = rows.unionByName(placed.select("category_id", "last_updated"))
     if queue is not None:
         rows = rows.unionByName(queue)
-    return rows.groupBy("category_id").agg(F.max("last_updated").alias("last_updated"))
+    return rows.filter(F.col("category_id").isNotNull()).groupBy("category_id").agg(F.max("last_updated").alias("last_updated"))
 
 
 def deletion_queue(changes: DataFrame, queue: DataFrame | None = None) -> DataFrame:
@@ -108,9 +108,13 @@ class IndexRebuild:
 def _rebuild(vectors: DataFrame, kept: DataFrame, indexes: DataFrame, index_type: str, path: str,
              nlist: int) -> IndexRebuild:
     ntotal = kept.count()
-    if ntotal == 0:
-        raise ValueError("no vectors to index")
-    index = build_index(kept.select("image_id", "embedding"), index_type, nlist=nlist)
+    items = kept.select("image_id", "embedding")
+    if ntotal:
+        index = build_index(items, index_type, nlist=nlist)
+    else:  # nothing is left: an empty index of the dimension known so far
+        last = indexes.agg(F.max_by("dim", "index_id").alias("dim")).first()["dim"]
+        index = flat_build(items, dim=last or 0)
+        index_type = index.index_type
     registry, filled = register_index(
         indexes, vectors, index_type, path, dim=index.dim, ntotal=ntotal
     )
@@ -152,7 +156,7 @@ def delete_items(catalog: dict[str, DataFrame], ids: DataFrame, as_of) -> dict[s
     doomed = bounded(images.select("image_id", "category_id").join(ids, "image_id", "left_semi"))
     lost = vectors.select("image_id").join(doomed, "image_id", "left_semi")
     changes = lost.select("image_id", F.lit("DELETE").alias("op"), now.alias("ts"))
-    stale = doomed.select("category_id", now.alias("last_updated"))
+    stale = doomed.filter(F.col("category_id").isNotNull()).select("category_id", now.alias("last_updated"))
     counted = doomed.select("category_id", F.lit("DELETE").alias("op"))
     queued = catalog["recompute_queue"].unionByName(stale)
     return catalog | {
@@ -197,14 +201,18 @@ class DuplicateContentError(ValueError):
 
 @dataclass
 class DedupeResult:
+    """Items to take, items whose content is there already, and items without content."""
+
     accepted: DataFrame
     rejected: DataFrame
+    absent: DataFrame
 
 
 def dedupe_append(new: DataFrame, existing: DataFrame, on_duplicate: str = "skip", *,
                   order_by: str = "image_id") -> DedupeResult:
     """New items whose content occurs neither in ``existing`` nor earlier in ``new``.
 
+    An item without content is neither accepted nor a duplicate.
     Of equal contents the first by ``order_by`` (unique within ``new``) is
     accepted. Only hashes and keys are shuffled to find the duplicates: one
     pre-aggregated row per hash, then hash and key together, so a content
@@ -215,7 +223,8 @@ def dedupe_append(new: DataFrame, existing: DataFrame, on_duplicate: str = "skip
     computed = content_sha256("content")
     if "content_hash" in new.columns:
         computed = F.coalesce("content_hash", computed)
-    hashed = new.withColumn("content_hash", computed)
+    every = new.withColumn("content_hash", computed)
+    hashed = every.filter(F.col("content_hash").isNotNull())
     first = (
         hashed.groupBy("content_hash")
         .agg(F.min(order_by).alias(order_by))
@@ -229,7 +238,7 @@ def dedupe_append(new: DataFrame, existing: DataFrame, on_duplicate: str = "skip
         clash = rejected.select("content_hash").first()
         if clash is not None:
             raise DuplicateContentError(f"duplicate content (hash: {clash['content_hash']})")
-    return DedupeResult(accepted, rejected)
+    return DedupeResult(accepted, rejected, every.filter(F.col("content_hash").isNull()))
 
 
 @dataclass

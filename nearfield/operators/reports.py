@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import floored_count, iso_timestamp
 
-MAX_LISTED_ITEMS = 100
-
 
 def items_per_category(images: DataFrame) -> DataFrame:
     return images.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_items"))
@@ -67,7 +65,9 @@ def catalog_status(catalog: dict[str, DataFrame]) -> DataFrame:
 
 
 def queue_heads(recompute_queue: DataFrame, deletion_queue: DataFrame, limit: int = 100) -> DataFrame:
-    """The oldest entries of both queues: queue, id, queued_at (ISO text), n_shown."""
+    """The oldest entries of both queues: queue, id, queued_at (ISO text), n_shown.
+
+    An empty queue has one row without an id, with n_shown 0."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
 
@@ -81,14 +81,15 @@ def queue_heads(recompute_queue: DataFrame, deletion_queue: DataFrame, limit: in
     heads = head(recompute_queue, "prototype_recompute", "category_id", "last_updated").unionByName(
         head(deletion_queue, "vector_deletion", "image_id", "queued_at")
     )
-    shown = heads.groupBy("queue").agg(F.count(F.lit(1)).alias("n_shown"))
-    return heads.join(shown, "queue")
+    names = heads.sparkSession.createDataFrame([("prototype_recompute",), ("vector_deletion",)], "queue string")
+    shown = names.join(heads, "queue", "left").groupBy("queue").agg(F.count("id").alias("n_shown"))
+    return shown.join(heads, "queue", "left").select(*heads.columns, "n_shown")
 
 
 def category_items(images: DataFrame, categories: DataFrame, category_id: int, limit: int = 50) -> DataFrame:
     """The first items of a category by id, with the number shown and the true total."""
-    if not 1 <= limit <= MAX_LISTED_ITEMS:
-        raise ValueError(f"limit must be within 1..{MAX_LISTED_ITEMS}")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     members = images.filter(F.col("category_id") == category_id)
     shown = members.select("image_id", "category_id", "metadata").orderBy("image_id").limit(limit)
     total = members.groupBy("category_id").agg(F.count(F.lit(1)).alias("total_count"))

@@ -4,29 +4,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import SCORE_STEEPNESS, SCORE_THRESHOLD
-from nearfield.operators.ann import VectorIndex, index_hits
+from nearfield.operators.ann import VectorIndex, cells_probed, index_hits
 from nearfield.operators.bounds import bounded
 from nearfield.operators.knn import (
     MAX_BROADCAST_ROWS,
     exact_hits,
     probe_hits,
-    top_hits,
     with_score,
 )
 from nearfield.operators.prototypes import top_categories, vectors_with_category
 
-# Fixed bounds of a search request.
-MAX_LIMIT = 50
-MAX_CATEGORIES = 10
-# Fixed value: hits fetched per wanted hit before the category filter.
-OVERFETCH = 5
-
 
 def _check(limit: int, prototype_limit: int):
-    if not 1 <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be within 1..{MAX_LIMIT}")
-    if not 1 <= prototype_limit <= MAX_CATEGORIES:
-        raise ValueError(f"prototype_limit must be within 1..{MAX_CATEGORIES}")
+    if limit < 1 or prototype_limit < 1:
+        raise ValueError("limit and prototype_limit must be at least 1")
 
 
 def enrich_hits(hits: DataFrame, images: DataFrame, categories: DataFrame) -> DataFrame:
@@ -42,12 +33,6 @@ def _nearest(queries, vectors, k, index, nprobe, max_broadcast_rows):
     return index_hits(queries, index, k, nprobe=nprobe, max_broadcast_rows=max_broadcast_rows)
 
 
-def _inside(hits: DataFrame, chosen: DataFrame, limit: int) -> DataFrame:
-    """The best hits whose category is among those chosen for the query."""
-    kept = hits.drop("rank").join(chosen.select("query_id", "category_id"), ["query_id", "category_id"], "left_semi")
-    return top_hits(kept, limit)
-
-
 def public_view(items: DataFrame) -> DataFrame:
     """What a caller may see of an item: everything but its content and hash."""
     shown = [c for c in items.columns if c not in ("content", "content_hash")]
@@ -56,17 +41,35 @@ def public_view(items: DataFrame) -> DataFrame:
     return items.select(*shown)
 
 
+def hits_in_categories(queries: DataFrame, vectors: DataFrame, images: DataFrame, chosen: DataFrame, limit: int, *,
+                       index: VectorIndex | None = None, nprobe: int = 1,
+                       max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The ``limit`` nearest items of each query among all items of its ``chosen`` categories
+    (query_id, category_id); with an index of cells, among those that also lie in a probed cell."""
+    probes = chosen.select("query_id", F.col("category_id").cast("long").alias("cell"))
+    if index is None or index.centroids is None:
+        items = vectors_with_category(vectors if index is None else index.cells, images)
+        items = items.withColumn("cell", F.col("category_id").cast("long"))
+    else:
+        both = lambda: F.shiftleft(F.col("part").cast("long"), 32) + F.col("category_id")
+        parts = cells_probed(queries, index, nprobe).withColumnRenamed("cell", "part")
+        probes = chosen.join(parts, "query_id").select("query_id", both().alias("cell"))
+        placed = index.cells.join(images.select("image_id", "category_id"), "image_id")
+        items = placed.withColumnRenamed("cell", "part").withColumn("cell", both())
+    return probe_hits(queries, items.select("image_id", "embedding", "cell"), limit, probes, max_broadcast_rows=max_broadcast_rows)
+
+
 def search_postfilter(queries: DataFrame, vectors: DataFrame, images: DataFrame,
                       prototypes: DataFrame, limit: int = 10, prototype_limit: int = 3, *,
-                      overfetch: int = OVERFETCH, index: VectorIndex | None = None, nprobe: int = 1,
+                      index: VectorIndex | None = None, nprobe: int = 1,
                       max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Search everything, or an index, for ``limit * overfetch`` hits, then keep those in the
-    query's top categories; fewer than ``limit`` may be left."""
+    """The best hits among all items of the query's top categories, with their category;
+    an index, when given, is searched in place of the vectors."""
     _check(limit, prototype_limit)
-    wide = _nearest(queries, vectors, limit * overfetch, index, nprobe, max_broadcast_rows)
     chosen = top_categories(queries, prototypes, prototype_limit)
-    placed = wide.join(images.select("image_id", "category_id"), "image_id")
-    return _inside(placed, chosen, limit).select("query_id", "rank", "image_id", "category_id", "distance")
+    hits = hits_in_categories(queries, vectors, images, chosen, limit, index=index, nprobe=nprobe, max_broadcast_rows=max_broadcast_rows)
+    placed = hits.join(images.select("image_id", "category_id"), "image_id")
+    return placed.select("query_id", "rank", "image_id", "category_id", "distance")
 
 
 def search_prefilter(queries: DataFrame, vectors: DataFrame, images: DataFrame,
@@ -97,15 +100,17 @@ def search(queries: DataFrame, vectors: DataFrame, images: DataFrame, categories
     _check(limit, prototype_limit)
     if use_prototypes and prototypes is None:
         raise ValueError("use_prototypes needs prototypes")
-    width = limit * OVERFETCH if use_prototypes else limit
-    hits = _nearest(queries, vectors, width, index, nprobe, max_broadcast_rows)
-    hits = enrich_hits(hits, images, categories)
     if use_prototypes:
         chosen = top_categories(queries, prototypes, prototype_limit)
+        hits = hits_in_categories(queries, vectors, images, chosen, limit, index=index, nprobe=nprobe, max_broadcast_rows=max_broadcast_rows)
+    else:
+        hits = _nearest(queries, vectors, limit, index, nprobe, max_broadcast_rows)
+    hits = enrich_hits(hits, images, categories)
+    if use_prototypes:
         listed = chosen.groupBy("query_id").agg(
             F.sort_array(F.collect_list(F.struct("rank", "category_id"))).alias("ranked")
         ).select("query_id", F.col("ranked.category_id").alias("prototype_categories"))
-        hits = _inside(hits, chosen, limit).join(listed, "query_id")
+        hits = hits.join(listed, "query_id")
     else:
         hits = hits.withColumn("prototype_categories", F.lit(None).cast("array<int>"))
     found = public_view(with_score(hits, threshold, steepness))

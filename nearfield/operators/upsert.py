@@ -3,13 +3,28 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.operators.bounds import bounded
+from nearfield.operators.ids import allocate_ids
 
-def merge_by_key(existing: DataFrame, new: DataFrame, key: str, mode: str = "update") -> DataFrame:
+def one_per_key(new: DataFrame, key: str, order_by: str | None, last: bool) -> DataFrame:
+    """One row of ``new`` for each key: the first or last by ``order_by`` (dropped), ties and
+    rows without an order by their values."""
+    rest = [c for c in new.columns if c not in (key, order_by)]
+    place = F.struct(*([order_by] if order_by else []), *rest, F.lit(0).alias("_"))
+    pick = F.max(place) if last else F.min(place)
+    return new.groupBy(key).agg(pick.alias("_row")).select(key, *[f"_row.{c}" for c in rest])
+
+
+def merge_by_key(existing: DataFrame, new: DataFrame, key: str, mode: str = "update", *,
+                 order_by: str | None = None) -> DataFrame:
     """The rows of ``existing`` with those of ``new`` merged in by ``key``.
 
     'ignore' keeps the existing row of a key; 'update' takes the new one, field
-    by field where the new row has a value.
+    by field where the new row has a value. A key repeated in ``new`` counts
+    once: its first row by ``order_by`` with 'ignore', its last with 'update'.
     """
+    if mode in ("ignore", "update"):
+        new = one_per_key(new, key, order_by, mode == "update")
     if mode == "ignore":
         return existing.unionByName(new.join(existing, key, "left_anti"), allowMissingColumns=True)
     if mode != "update":
@@ -24,12 +39,47 @@ def merge_by_key(existing: DataFrame, new: DataFrame, key: str, mode: str = "upd
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(*merged)
 
 
-def upsert_categories(existing: DataFrame, new: DataFrame, mode: str = "ignore") -> DataFrame:
+def upsert_categories(existing: DataFrame, new: DataFrame, mode: str = "ignore", *,
+                      order_by: str | None = None) -> DataFrame:
     """Categories with new ones added; known ids are left alone or renamed."""
-    merged = merge_by_key(existing, new, "category_id", mode)
+    merged = merge_by_key(existing, new, "category_id", mode, order_by=order_by)
     return merged.withColumn("image_count", F.coalesce("image_count", F.lit(0)).cast("long"))
 
 
+def insert_categories(existing: DataFrame, names: DataFrame) -> DataFrame:
+    """Categories with those of ``names`` (category_name) added that are not there yet, each once,
+    under fresh ids that count on in the order of their names."""
+    new = names.select("category_name").filter(F.col("category_name").isNotNull()).distinct()
+    new = new.join(existing.select("category_name"), "category_name", "left_anti")
+    numbered = allocate_ids(new, existing, "category_id", order_by="category_name")
+    added = numbered.select(F.col("category_id").cast("int"), "category_name", F.lit(0).cast("long").alias("image_count"))
+    return existing.unionByName(added)
+
+
+# Where the keys of a table occur.
+_REFERENCES = {
+    "category_id": ("categories", "images", "prototypes", "recompute_queue"),
+    "image_id": ("images", "vectors", "deletion_queue"),
+    "index_id": ("indexes", "vectors"),
+}
+
+
+def rekey(catalog: dict[str, DataFrame], column: str, changes: DataFrame) -> dict[str, DataFrame]:
+    """The catalog with keys changed by ``changes`` (old, new) in their own table and in every
+    table that refers to it. Only a short list of changes travels; ``column`` is one of
+    category_id, image_id, index_id."""
+    if column not in _REFERENCES:
+        raise ValueError(f"column must be one of {tuple(_REFERENCES)}")
+    pairs = bounded(changes.select(F.col("old").alias("_old"), F.col("new").alias("_new")))
+
+    def moved(table: DataFrame) -> DataFrame:
+        key = F.coalesce("_new", column).cast(table.schema[column].dataType).alias(column)
+        joined = table.join(pairs, F.col(column) == F.col("_old"), "left")
+        return joined.select(*[key if c == column else F.col(c) for c in table.columns])
+
+    return catalog | {name: moved(catalog[name]) for name in _REFERENCES[column] if name in catalog}
+
+
 def upsert_prototypes(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Prototypes with the new ones replacing those of the same category."""
     return merge_by_key(existing, new, "category_id", "update")

@@ -77,11 +77,10 @@ _PARTS = {
         SELECT r.query_id, r.image_id, i.category_id, r.distance,
                CAST(row_number() OVER (PARTITION BY r.query_id ORDER BY r.distance, r.image_id) AS INTEGER) AS rank
         FROM ranked r JOIN images i USING (image_id)
-        JOIN near_categories n ON n.query_id = r.query_id AND n.category_id = i.category_id AND n.rank <= 3
-        WHERE r.rank <= 50""",
+        JOIN near_categories n ON n.query_id = r.query_id AND n.category_id = i.category_id AND n.rank <= 3""",
     "toxic": "SELECT doc_id AS image_id FROM labels WHERE toxic = 1",
     "last_change": """
-        SELECT image_id, max_by(op, ts) AS op FROM changes GROUP BY image_id""",
+        SELECT image_id, max_by(op, (ts, op)) AS op FROM changes GROUP BY image_id""",
     "removed": "SELECT image_id FROM last_change WHERE op = 'DELETE'",
 }
 
@@ -244,6 +243,16 @@ ORACLES = {
         SELECT (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY event_id) AS vector_id,
                event_id, event_type
         FROM events""",
+    "a5_insert_categories": _with("categories", """
+        SELECT * FROM categories
+        UNION ALL
+        SELECT CAST(10 + row_number() OVER (ORDER BY n_name) AS INTEGER), n_name, 0
+        FROM (SELECT DISTINCT n_name FROM nation WHERE n_name NOT IN (SELECT category_name FROM categories))"""),
+    "a5_rekey_categories": _with("categories images recompute_queue", """
+        SELECT table_name, CAST(CASE WHEN category_id IN (1, 2) THEN category_id + 100 ELSE category_id END AS INTEGER) AS category_id, count(*) AS n_rows
+        FROM (SELECT 'categories' AS table_name, category_id FROM categories
+              UNION ALL SELECT 'images', category_id FROM images
+              UNION ALL SELECT 'recompute_queue', category_id FROM recompute_queue) GROUP BY ALL"""),
     "a5_upsert_categories_ignore": _with("categories nations", """
         SELECT * FROM categories
         UNION ALL
@@ -308,7 +317,7 @@ ORACLES = {
         SELECT p.category_id, coalesce(n.category_name, 'Category ' || p.category_id) AS category_name, p.n_vectors
         FROM prototypes p LEFT JOIN (
             SELECT * FROM names WHERE category_id IN (SELECT category_id FROM nations)) n USING (category_id)"""),
-    "c9_integrity_report": _with("images vectors names prototypes indexes", """
+    "c9_integrity_report": _with("images vectors names prototypes indexes recompute_queue deletion_queue", """
         SELECT 'orphan' AS kind, 'images' AS table_name, 'category_id' AS column_name,
                CAST(category_id AS VARCHAR) AS key_value, count(*) AS n_rows
         FROM images WHERE category_id NOT IN (SELECT category_id FROM names) GROUP BY category_id
@@ -329,7 +338,15 @@ ORACLES = {
         UNION ALL SELECT 'duplicate', 'vectors', 'vector_id', CAST(vector_id AS VARCHAR), count(*)
         FROM vectors GROUP BY vector_id HAVING count(*) > 1
         UNION ALL SELECT 'duplicate', 'vectors', 'image_id', CAST(image_id AS VARCHAR), count(*)
-        FROM vectors GROUP BY image_id HAVING count(*) > 1"""),
+        FROM vectors GROUP BY image_id HAVING count(*) > 1
+        UNION ALL SELECT 'orphan', 'recompute_queue', 'category_id', CAST(category_id AS VARCHAR), count(*)
+        FROM recompute_queue WHERE category_id NOT IN (SELECT category_id FROM names) GROUP BY category_id
+        UNION ALL SELECT 'duplicate', 'deletion_queue', 'image_id', CAST(image_id AS VARCHAR), count(*)
+        FROM deletion_queue GROUP BY image_id HAVING count(*) > 1
+        UNION ALL SELECT 'null', 'images', 'content', NULL, count(*)
+        FROM images WHERE text IS NULL HAVING count(*) > 0
+        UNION ALL SELECT 'null', 'images', 'category_id', NULL, count(*)
+        FROM images WHERE category_id IS NULL HAVING count(*) > 0"""),
     "c10_block_join": _with("ranked", _top(10)),
     "c11_prototype_similarity": _with("similarities", f"SELECT query_id, category_id, {_r('similarity', 'similarity')} FROM similarities"),
     # D
@@ -434,6 +451,7 @@ ORACLES = {
         SELECT query_id, rank, image_id, {_r('distance', 'distance')},
                {_r(_score('distance'), 'similarity_score')}
         FROM ranked WHERE rank <= 10"""),
+    "i1_knn_in_blocks": _with("ranked", _top(10)),
     "i1_knn_of_prototypes": _with("prototypes vectors", f"""
         SELECT query_id, rank, image_id, {_r('distance', 'distance')} FROM (
             SELECT query_id, image_id, distance,
@@ -443,6 +461,18 @@ ORACLES = {
                   FROM prototypes p, vectors v))
         WHERE rank <= 50"""),
     "i2_ivf_search_all_cells": _with("ranked", _top(10)),
+    "i2_ivf_search": _with("prototypes vectors pairs", f"""
+        SELECT query_id, rank, image_id, {_r('distance', 'distance')} FROM (
+            SELECT p.query_id, p.image_id, p.distance,
+                   CAST(row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.image_id) AS INTEGER) AS rank
+            FROM pairs p
+            JOIN (SELECT * FROM (SELECT v.image_id, t.category_id,
+                         row_number() OVER (PARTITION BY v.image_id ORDER BY list_distance(v.embedding, t.prototype), t.category_id) AS near
+                  FROM vectors v, prototypes t) WHERE near = 1) i USING (image_id)
+            JOIN (SELECT * FROM (SELECT e.vec_id AS query_id, t.category_id,
+                         row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(CAST(e.embedding AS DOUBLE[]), t.prototype), t.category_id) AS near
+                  FROM embeddings e, prototypes t) WHERE near <= 4) q ON q.query_id = p.query_id AND q.category_id = i.category_id)
+        WHERE rank <= 10"""),
     "i4_search_postfilter": _with("postfiltered", _top(10, "postfiltered")),
     "i5_search_prefilter": _PREFILTERED,
     "i5_search_prefilter_stored": _PREFILTERED,
@@ -460,7 +490,9 @@ ORACLES = {
     "i8_search_with_prototypes": _SEARCHED,
     "i8_search_index": _SEARCHED,
     "i9_index_add": _with("ranked", _top(10)),
-    "i9_index_append_stored": _with("ranked", _top(10)),
+    "i9_index_append_stored": _with("ranked", f"""
+        SELECT query_id, rank, image_id, {_r('distance', 'distance')}, (SELECT count(*) FROM embeddings) AS ntotal
+        FROM ranked WHERE rank <= 10"""),
     "i10_register_index": _with("vectors indexes", """
         SELECT i.index_id, i.index_type, i.path, count(v.vector_id) AS n_vectors
         FROM (SELECT index_id, index_type, path FROM indexes
@@ -486,6 +518,10 @@ ORACLES = {
     "j4_drain_deletions": _with("members deletion_queue", """
         SELECT image_id, 'indexed' AS state FROM members
         WHERE image_id NOT IN (SELECT image_id FROM deletion_queue)"""),
+    "j4_drain_all_vectors": _with("indexes", """
+        SELECT *, CAST(0 AS BIGINT) AS n_left FROM indexes
+        UNION ALL
+        SELECT max(index_id) + 1, 'flatl2', 'index/new', max_by(dim, index_id), 0, 0 FROM indexes"""),
     "j4_drain_deletions_registry": _with("members indexes deletion_queue", """
         SELECT * FROM indexes
         UNION ALL

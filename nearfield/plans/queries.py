@@ -142,6 +142,20 @@ def a5_upsert_categories_update(c):
     return upsert.upsert_categories(c.categories(), _nation_categories(c), "update")
 
 
+@query
+def a5_insert_categories(c):
+    return upsert.insert_categories(c.categories(), c.table("nation").select(F.col("n_name").alias("category_name")))
+
+
+@query
+def a5_rekey_categories(c):
+    moved = c.spark.createDataFrame([(1, 101), (2, 102)], "old int, new int")
+    tables = upsert.rekey({"categories": c.categories(), "images": c.images(), "recompute_queue": c.recompute_queue()}, "category_id", moved)
+    return reduce(DataFrame.unionByName, [
+        rows.groupBy("category_id").agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(name)) for name, rows in tables.items()
+    ])
+
+
 @query
 def a6_upsert_prototypes(c):
     german = lookups.metadata_matches(c.images(), lang="de")
@@ -529,6 +543,12 @@ def i1_knn_exact(c):
     )
 
 
+@query
+def i1_knn_in_blocks(c):
+    """More queries than one block: every block of them scans the items in place."""
+    return shown_hits(knn.knn_exact(c.queries(), c.vectors(), 10, max_broadcast_rows=200))
+
+
 @query
 def i1_knn_of_prototypes(c):
     queries = c.prototypes().select(F.col("category_id").cast("long").alias("query_id"), F.col("prototype").alias("embedding"))
@@ -543,7 +563,8 @@ def i2_ivf_search_all_cells(c):
 
 @query
 def i2_ivf_search(c):
-    index = ann.ivf_build(c.vectors().select("image_id", "embedding"), NLIST)
+    centroids = cut_lineage(c.prototypes()).select(F.col("category_id").alias("cell"), F.col("prototype").alias("centroid"))
+    index = ann.ivf_build(c.vectors().select("image_id", "embedding"), centroids=centroids)
     return shown_hits(ann.ivf_search(c.queries(), index, 10, nprobe=4))
 
 
@@ -636,7 +657,9 @@ def i9_index_append_stored(c):
     path = scratch_path(c.spark, "index")
     save_index(ann.ivf_build(_indexed(c), NLIST), path)
     append_to_index(load_index(c.spark, path), lookups.not_indexed(c.vectors()), path)
-    return shown_hits(ann.ivf_search(c.queries(), load_index(c.spark, path), 10, nprobe=NLIST))
+    total = c.spark.read.parquet(f"{path}/meta").select("ntotal")
+    hits = shown_hits(ann.ivf_search(c.queries(), load_index(c.spark, path), 10, nprobe=NLIST))
+    return hits.withColumn("ntotal", F.lit(total.first()[0]).cast("long"))
 
 
 @query
@@ -694,6 +717,14 @@ def j4_drain_deletions(c):
     return indexed.unionByName(left)
 
 
+@query
+def j4_drain_all_vectors(c):
+    """Every vector is deleted: the index that is left is empty."""
+    every = c.vectors().select("image_id", F.lit(AS_OF).cast("timestamp").alias("queued_at"))
+    rebuilt = maintenance.drain_deletions(every, c.vectors(), c.images(), c.indexes(), "index/new", "ivfflat", nlist=NLIST)
+    return rebuilt.indexes.withColumn("n_left", F.lit(rebuilt.index.cells.count()).cast("long"))
+
+
 @query
 def j4_drain_deletions_registry(c):
     rebuilt = maintenance.drain_deletions(

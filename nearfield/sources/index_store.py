@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.operators.ann import VectorIndex, place_items
+from nearfield.session import cut_lineage
 
 _META = "index_type string, dim int, ntotal bigint"
 _CELLS = "image_id bigint, embedding array<float>, cell int"
@@ -22,8 +23,12 @@ def save_index(index: VectorIndex, path: str, *, mode: str = "error") -> DataFra
         index.centroids.coalesce(1).write.mode(mode).parquet(f"{path}/centroids")
         cells = cells.hint("rebalance", F.col("cell"))
     cells.write.mode(mode).partitionBy("cell").parquet(f"{path}/cells")
-    stored = _read_cells(spark, path)
-    meta = stored.agg(F.count(F.lit(1)).alias("ntotal")).select(
+    return _write_meta(index, path, mode)
+
+
+def _write_meta(index: VectorIndex, path: str, mode: str) -> DataFrame:
+    spark = index.cells.sparkSession
+    meta = _read_cells(spark, path).agg(F.count(F.lit(1)).alias("ntotal")).select(
         F.lit(index.index_type).alias("index_type"), F.lit(index.dim).alias("dim"), "ntotal"
     )
     meta.write.mode(mode).parquet(f"{path}/meta")
@@ -44,6 +49,15 @@ def load_index(spark: SparkSession, path: str) -> VectorIndex:
 
 
 def append_to_index(index: VectorIndex, items: DataFrame, path: str) -> None:
-    """Place items (image_id, embedding) in the stored index's cells and append them there."""
-    cells = place_items(index, items).select("image_id", "embedding", "cell").hint("rebalance", F.col("cell"))
+    """Place items (image_id, embedding) in the stored index's cells and append them there.
+
+    Items the index already has are left out; vectors of another dimension are
+    refused. The metadata is written anew from a count of the cells.
+    """
+    fresh = items.select("image_id", "embedding").join(index.cells.select("image_id"), "image_id", "left_anti")
+    fresh = cut_lineage(fresh.dropDuplicates(["image_id"]))
+    if not fresh.filter(F.size("embedding") != index.dim).isEmpty():
+        raise ValueError(f"the index holds vectors of dimension {index.dim}")
+    cells = place_items(index, fresh).select("image_id", "embedding", "cell").hint("rebalance", F.col("cell"))
     cells.write.mode("append").partitionBy("cell").parquet(f"{path}/cells")
+    _write_meta(index, path, "overwrite")

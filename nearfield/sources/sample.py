@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import content_sha256, metadata_json
+from nearfield.operators.bounds import bounded
 from nearfield.operators.maintenance import deletion_queue, recompute_queue
 from nearfield.operators.prototypes import all_prototypes
 from nearfield.operators.reports import recount_items
@@ -19,6 +20,7 @@ class SampleCatalog:
         self.spark = spark
         self.folder = folder
         self._schemas = {}
+        self._labels = None
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}.parquet"
@@ -27,15 +29,23 @@ class SampleCatalog:
         return self.spark.read.schema(self._schemas[name]).parquet(path)
 
     def images(self) -> DataFrame:
-        labels = self.table("embeddings").select(F.col("vec_id").alias("doc_id"), "label")
         content = F.encode("text", "UTF-8")
-        return self.table("documents").join(labels, "doc_id", "left").select(
+        items = self.table("documents").select(
             F.col("doc_id").alias("image_id"),
             content.alias("content"),
             metadata_json("source", "lang", "n_chars").alias("metadata"),
-            F.coalesce(F.col("label") + 1, F.pmod("doc_id", F.lit(10)) + 1).cast("int").alias("category_id"),
             content_sha256(content).alias("content_hash"),
         )
+        number = F.coalesce(F.col("label") + 1, F.pmod("image_id", F.lit(10)) + 1)
+        return items.join(self.labels(), F.col("image_id") == F.col("vec_id"), "left").select(
+            "image_id", "content", "metadata", number.cast("int").alias("category_id"), "content_hash",
+        )
+
+    def labels(self) -> DataFrame:
+        """vec_id and label; few enough of them travel to the items."""
+        if self._labels is None:
+            self._labels = bounded(self.table("embeddings").select("vec_id", "label"))
+        return self._labels
 
     def vectors(self) -> DataFrame:
         index_id = F.when(F.col("vec_id") % 3 != 0, 1 + F.col("vec_id") % 2).cast("int")
@@ -81,8 +91,8 @@ class SampleCatalog:
 
     def change_stream(self) -> DataFrame:
         schema = self.table("events").schema
-        stream = self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-        return self.as_changes(stream.parquet(self.folder))
+        # A file or a folder of part files: the pattern names either.
+        return self.as_changes(self.spark.readStream.schema(schema).parquet(f"{self.folder}/events.parque[t]"))
 
     def recompute_queue(self) -> DataFrame:
         return recompute_queue(self.changes(), self.images())

@@ -11,6 +11,7 @@ repeating it changes nothing.
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -75,9 +76,19 @@ class Upkeep:
         """The last batch that finished."""
         return spark.read.parquet(f"{self.folder}/state/committed").agg(F.max("batch")).first()[0]
 
+    def _committed(self, spark: SparkSession) -> int:
+        """The last finished batch, -1 when none is."""
+        try:
+            last = self.last_batch(spark)
+        except AnalysisException:
+            return -1
+        return -1 if last is None else last
+
     def process(self, changes: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch of changes (image_id, category_id, op, ts)."""
         spark = changes.sparkSession
+        if batch_id == 0 and self._committed(spark) > 0:
+            raise ValueError(f"{self.folder} holds the state of another checkpoint; go on with that one or take a new folder")
         before = {table: self.read(spark, table, batch_id - 1) for table in _STATE}
         images = read_table(spark, self.catalog_folder, "images")
         vectors = read_table(spark, self.catalog_folder, "vectors")
@@ -86,9 +97,9 @@ class Upkeep:
         try:
             stale = cut_lineage(recompute_queue(changes, images, before["recompute_queue"]))
             doomed = cut_lineage(deletion_queue(changes, before["deletion_queue"]))
-            # The last change of an item decides whether it is gone.
+            # The last change of an item decides whether it is gone; of changes at one instant, the one last by name.
             last = changes.groupBy("image_id").agg(
-                F.max_by("op", "ts").alias("op"),
+                F.max_by("op", F.struct("ts", "op")).alias("op"),
                 F.min(F.when(F.col("op") == "DELETE", F.col("ts"))).alias("queued_at"),
             )
             gone = last.filter(F.col("op") == "DELETE").select("image_id", "queued_at")

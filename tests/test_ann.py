@@ -85,10 +85,21 @@ def test_append_to_stored_index(spark, corpus):
     assert pairs(ann.ivf_search(queries, stored, 4, 6)) == pairs(exact)
 
 
-def test_training_sample_does_not_drop_items(corpus, monkeypatch):
-    monkeypatch.setattr(ann, "TRAIN_ROWS_PER_CELL", 8)
+def test_more_centroids_than_the_bound_meet_in_blocks(corpus):
     index = ann.ivf_build(corpus[0], 12, seed=5)
-    assert index.cells.select("image_id").distinct().count() == 600
+    cells = {r.image_id: r.cell for r in index.cells.collect()}
+    on_grid = ann.assign_cells(corpus[0], index.centroids, max_cells=5)
+    assert {r.image_id: r.cell for r in on_grid.collect()} == cells and len(cells) == 600
+
+
+def test_appended_items_are_counted_once_and_checked(spark, corpus, make):
+    items, _ = corpus
+    path = scratch_path(spark, "index")
+    save_index(ann.build_index(items.filter("image_id < 400"), "flatl2"), path)
+    append_to_index(load_index(spark, path), items.filter("image_id >= 300"), path)
+    assert spark.read.parquet(f"{path}/meta").first()["ntotal"] == 600 == load_index(spark, path).cells.count()
+    with pytest.raises(ValueError):
+        append_to_index(load_index(spark, path), make([(9000, [1.0])], "image_id long, embedding array<float>"), path)
 
 
 def test_unknown_type(corpus):

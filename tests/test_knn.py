@@ -118,3 +118,24 @@ def test_statistics(make):
     row = knn.hit_statistics(knn.knn_exact(queries, items, 5)).first()
     assert (row.n_hits, row.min_distance, row.max_distance, row.mean_distance) == (2, 0.0, 4.0, 2.0)
     assert row.min_score < row.mean_score < row.max_score
+
+
+def test_query_blocks_scan_without_shuffling_vectors(spark, make):
+    rng = np.random.default_rng(4)
+    items = make([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 4)))], "image_id long, embedding array<float>")
+    queries = items.select(F.col("image_id").alias("query_id"), "embedding")
+    blocks = knn.knn_exact(queries, items, 5, max_broadcast_rows=50)
+    grid = knn.knn_exact(queries, items, 5, max_broadcast_rows=0)
+    key = lambda df: sorted((r.query_id, r.rank, r.image_id) for r in df.collect())
+    assert key(blocks) == key(grid) == key(knn.knn_exact(queries, items, 5))
+    assert "FlatMapCoGroups" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_vectors_hold_few_candidates():
+    from nearfield.operators.blocks import BestMatches
+
+    left, right = np.ones((50, 8)), np.ones((9000, 8))
+    best = BestMatches(left, 3)
+    best.update(right, np.arange(9000)[::-1].copy())
+    rows, value, ids = best.result()
+    assert ids.reshape(50, 3).tolist() == [[0, 1, 2]] * 50 and len(best._found[0]) == 150

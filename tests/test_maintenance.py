@@ -130,8 +130,8 @@ def test_embedding_goes_on_after_a_bad_item(make, catalog):
 def test_rebuild_leaves_out_vectors_without_item(catalog):
     rebuilt = M.rebuild_index(catalog["vectors"], catalog["images"], catalog["indexes"], "p")
     assert ids(rebuilt.index.cells) == [1, 2, 3]
-    with pytest.raises(ValueError):
-        M.rebuild_index(catalog["vectors"].limit(0), catalog["images"], catalog["indexes"], "p")
+    empty = M.rebuild_index(catalog["vectors"].limit(0), catalog["images"], catalog["indexes"], "p")
+    assert empty.index.cells.count() == 0 and empty.index.dim == 2
 
 
 def test_bootstrap(spark, catalog):
@@ -140,3 +140,69 @@ def test_bootstrap(spark, catalog):
     assert (row.total_vectors, row.categories_with_prototypes, row.latest_index_id, row.latest_index_ntotal) == (5, 2, 2, 4)
     assert ids(done.index.cells) == [1, 2, 3, 4]
     assert done.errors.count() == 0
+
+
+def test_null_category_is_never_queued(make, catalog):
+    from datetime import datetime
+
+    images = make([(1, b"a", "{}", None, "h1"), (2, b"b", "{}", 2, "h2")], "images")
+    changes = make([(1, None, "UPDATE", datetime(2024, 1, 1)), (2, None, "UPDATE", datetime(2024, 1, 1))], "image_id long, category_id int, op string, ts timestamp")
+    assert [r.category_id for r in M.recompute_queue(changes, images).collect()] == [2]
+    ids = make([(1,), (2,)], "image_id long")
+    after = M.delete_items(catalog | {"images": images}, ids, "2024-01-01 00:00:00")
+    assert [r.category_id for r in after["recompute_queue"].collect()] == [2]
+
+
+def test_draining_the_last_vector_leaves_an_empty_index(make, catalog):
+    from datetime import datetime
+
+    every = catalog["vectors"].select("image_id").distinct()
+    queue = make([(r.image_id, datetime(2024, 1, 1)) for r in every.collect()], "deletion_queue")
+    result = M.drain_deletions(queue, catalog["vectors"], catalog["images"], catalog["indexes"], "p", "ivfflat")
+    assert result.index.cells.count() == 0 and result.remaining(queue).count() == 0
+    assert result.indexes.orderBy("index_id").collect()[-1][2:] == ("p", 2, 0)
+
+
+def test_absent_content_is_no_duplicate(make):
+    new = make([(1, None), (2, None), (3, b"x"), (4, b"x")], "image_id long, content binary")
+    result = M.dedupe_append(new, make([], "content_hash string"), "skip")
+    rows = [sorted(r.image_id for r in part.collect()) for part in (result.accepted, result.rejected, result.absent)]
+    assert rows == [[3], [4], [1, 2]]
+
+
+def test_repeated_keys_merge_once(make):
+    from nearfield.operators import upsert
+
+    old = make([(1, "one", 5)], "categories")
+    new = make([(1, "uno", 1), (5, "first", 2), (5, "last", 3)], "category_id int, category_name string, at int")
+    names = lambda mode: {r.category_id: r.category_name for r in upsert.upsert_categories(old, new, mode, order_by="at").collect()}
+    assert names("ignore") == {1: "one", 5: "first"} and names("update") == {1: "uno", 5: "last"}
+    assert upsert.upsert_categories(old, new, "update").count() == 2
+
+
+def test_new_names_get_fresh_ids_and_keys_cascade(make, catalog):
+    from nearfield.operators import upsert
+
+    added = upsert.insert_categories(catalog["categories"], make([("owl",), ("ape",), ("ape",), ("zebra",)], "category_name string"))
+    assert [tuple(r)[:2] for r in added.orderBy("category_id").collect()] == [(1, "cat"), (2, "dog"), (3, "owl"), (4, "ape"), (5, "zebra")]
+    moved = upsert.rekey(catalog, "image_id", make([(2, 20)], "old long, new long"))
+    assert sorted(r.image_id for r in moved["images"].collect()) == [1, 3, 4, 20]
+    assert sorted(r.image_id for r in moved["vectors"].collect()) == [1, 3, 9, 20]
+
+
+def test_integrity_reports_nulls_and_queue_keys(make, catalog):
+    from datetime import datetime
+
+    from nearfield.operators.integrity import integrity_report
+
+    images = make([(1, None, "{}", 1, "h1"), (2, b"x", "{}", None, "h2")], "images")
+    queue = make([(8, datetime(2024, 1, 1))], "recompute_queue")
+    rows = {tuple(r) for r in integrity_report(catalog | {"images": images, "recompute_queue": queue}).collect()}
+    assert {("null", "images", "content", None, 1), ("null", "images", "category_id", None, 1), ("orphan", "recompute_queue", "category_id", "8", 1)} <= rows
+
+
+def test_an_empty_queue_is_shown_with_zero(catalog):
+    from nearfield.operators.reports import queue_heads
+
+    rows = {r.queue: (r.id, r.n_shown) for r in queue_heads(catalog["recompute_queue"], catalog["deletion_queue"]).collect()}
+    assert rows == {"prototype_recompute": (None, 0), "vector_deletion": (9, 1)}

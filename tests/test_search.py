@@ -40,15 +40,15 @@ def test_prediction_without_prototypes_defaults(make, bound):
 
 
 @pytest.mark.parametrize("bound", [8192, 0])
-def test_postfilter_may_run_short_where_prefilter_does_not(make, bound):
+def test_hits_in_the_top_categories_are_complete(make, bound):
     images = make([(i, b"", "{}", 1 if i <= 6 else 2, str(i)) for i in range(1, 9)], "images")
     vectors = make([(i, [float(i)], None, i) for i in range(1, 9)], "vectors")
     prototypes = make([(1, [-1.0], 6), (2, [1.0], 2)], "prototypes")
     queries = make([(0, [0.5])], QUERY)
     args = (queries, vectors, images, prototypes, 1, 1)
-    post = two_stage.search_postfilter(*args, overfetch=5, max_broadcast_rows=bound)
+    post = two_stage.search_postfilter(*args, max_broadcast_rows=bound)
     pre = two_stage.search_prefilter(*args, max_broadcast_rows=bound)
-    assert post.count() == 0
+    assert [(r.image_id, r.rank, r.category_id) for r in post.collect()] == [(7, 1, 2)]
     assert [(r.image_id, r.rank) for r in pre.collect()] == [(7, 1)]
 
 
@@ -70,7 +70,7 @@ def test_search_reports_chosen_categories(make, catalog):
     assert (row.image_id, row.category_name, row.prototype_categories) == (1, "cat", [2, 1])
 
 
-@pytest.mark.parametrize("limit,categories", [(0, 3), (51, 3), (10, 0), (10, 11)])
+@pytest.mark.parametrize("limit,categories", [(0, 3), (10, 0)])
 def test_bounds(catalog, make, limit, categories):
     queries = make([(0, [1.0, 0.0])], QUERY)
     with pytest.raises(ValueError):

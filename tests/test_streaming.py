@@ -112,3 +112,25 @@ def test_prototypes_from_vectors_stored_by_category(spark, feed, catalog):
     upkeep, checkpoint = start(spark, catalog, members=members, process_deletions=False)
     kept = shown(drain_now(stream(), upkeep, checkpoint))
     assert kept["prototypes"] == {1: [0.0, 1.0], 2: [4.0, 0.0], 3: [7.0, 7.0]}
+
+
+def test_streams_read_a_file_or_a_folder_of_files(spark, tmp_path):
+    from nearfield.operators.maintenance import deletion_queue
+    from nearfield.sources.sample import SampleCatalog
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "folder" / "events.parquet"))
+    for name, folder in (("folder", str(tmp_path / "folder")), ("file", "/root/testdata/sf0.001")):
+        sample = SampleCatalog(spark, folder)
+        out = scratch_path(spark, name)
+        queues.write_queue(queues.stream_deletion_queue(sample.change_stream()), out, scratch_path(spark, "checkpoint")).awaitTermination()
+        got = sorted(tuple(r) for r in queues.read_deletion_queue(spark, out).select("image_id", "queued_at").collect())
+        assert got == sorted(tuple(r) for r in deletion_queue(sample.changes()).select("image_id", "queued_at").collect()) and got
+
+
+def test_state_of_another_checkpoint_is_not_overwritten(spark, catalog):
+    upkeep, _ = start(spark, catalog)
+    done = spark.createDataFrame([(True,)], "done boolean")
+    done.write.parquet(upkeep.state_path("committed", 4))
+    with pytest.raises(ValueError):
+        upkeep.process(spark.createDataFrame([], CHANGE), 0)
