@@ -17,79 +17,96 @@ BITS, TOP = 15, 1 << 15
 ORDER1, ORDER2, LITERAL_ROWS = 1 << 10, 1 << 11, 784
 _LOW = np.uint64((1 << 48) - 1)
 _U = np.uint64
-_NIBBLE_TARGET = np.where(np.arange(16)[None, :] > np.arange(16)[:, None], TOP - 1, 0).astype(np.int16)
+#: Where a row of cumulative chances moves when a value comes (by value); neighbours stay apart by 32, and so a chance
+#: of 16 in 32768 is left to every value after any number of moves.
+_AT = np.arange(16)
+_NIBBLE_TARGET = np.where(_AT[None, :] > _AT[:, None], TOP - 32 * (16 - _AT[None, :]), 32 * _AT[None, :]).astype(np.int16)
 _HISTORY = 27
 
 
 class _Model:
-    """The adaptive models of ``lanes`` blocks."""
+    """The adaptive models of ``lanes`` blocks. Arrays are flat, and read by ``take``: lanes are many and far apart."""
 
-    def __init__(self, lanes: int, nibbles: int):
-        self.nibbles = nibbles
+    def __init__(self, lanes: int):
         self.lane = np.arange(lanes, dtype=np.int64)
         self.guess1, self.trust1 = np.zeros(lanes * ORDER1, np.int32), np.zeros(lanes * ORDER1, np.int8)
         self.guess2, self.trust2 = np.zeros(lanes * ORDER2, np.int32), np.zeros(lanes * ORDER2, np.int8)
-        # Cumulative chances of the outcomes 0 (order 2 is right) and 1 (order 1 is right); 2 is the rest.
-        self.by_trust = np.tile(np.array([[TOP // 3, 2 * TOP // 3]], np.int32), (lanes * 32, 1))
-        self.by_past = np.tile(np.array([[TOP // 3, 2 * TOP // 3]], np.int32), (lanes * _HISTORY, 1))
+        # Cumulative chances of the outcomes 0 (order 2 is right), and 0 or 1 (order 1 is right); 2 is the rest.
+        self.by_trust = np.tile(np.array([[TOP // 3], [2 * TOP // 3]], np.int32), (1, lanes * 32))
+        self.by_past = np.tile(np.array([[TOP // 3], [2 * TOP // 3]], np.int32), (1, lanes * _HISTORY))
         self.weight = np.full(lanes, 128, np.int32)
         self.past = np.zeros(lanes, np.int64)
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.rows = np.tile(np.arange(16, dtype=np.int16) * (TOP // 16), (lanes * LITERAL_ROWS, 1))
+        self.whole_rows = self.rows.view("V32").ravel()
 
     def predict(self, k: int):
         """For the first ``k`` lanes: both guesses with their confidences, and the bounds between outcomes."""
         one, two, lane = self.one[:k], self.two[:k], self.lane[:k]
         self.at1 = lane * ORDER1 + ((one * 40503 >> 3) & (ORDER1 - 1))
         self.at2 = lane * ORDER2 + ((one * 40503 + two * 60493 >> 4) & (ORDER2 - 1))
-        self.g1, self.t1 = self.guess1[self.at1], self.trust1[self.at1]
-        self.g2, self.t2 = self.guess2[self.at2], self.trust2[self.at2]
-        self.row_a = lane * 32 + self.t2 * 8 + self.t1 * 2 + (self.g1 == self.g2)
-        self.row_b = lane * _HISTORY + self.past[:k]
-        self.a, self.b = self.by_trust[self.row_a], self.by_past[self.row_b]
-        w = self.weight[:k, None]
-        mixed = ((w * self.a + (256 - w) * self.b) >> 8) * (TOP - 96) >> 15
-        mixed[:, 0] += 32
-        mixed[:, 1] += 64
-        return mixed
+        self.g1, self.t1 = self.guess1.take(self.at1), self.trust1.take(self.at1)
+        self.g2, self.t2 = self.guess2.take(self.at2), self.trust2.take(self.at2)
+        self.row_a = (self.t2 * 8 + self.t1 * 2 + (self.g1 == self.g2)).astype(np.int64) * len(self.lane) + lane
+        self.row_b = self.past[:k] * len(self.lane) + lane
+        self.a = [x.take(self.row_a) for x in self.by_trust]
+        self.b = [x.take(self.row_b) for x in self.by_past]
+        w = self.weight[:k]
+        first, second = (((w * a + (256 - w) * b) >> 8) * (TOP - 96) >> 15 for a, b in zip(self.a, self.b))
+        return first + 32, second + 64
 
     def settle(self, ids: np.ndarray, outcome: np.ndarray):
         """Learns which outcome and which ids came."""
         k = len(ids)
-        right = np.empty((k, 2), bool)
-        right[:, 0], right[:, 1] = outcome < 1, outcome < 2
-        goal = right * np.int32(TOP)
-        low = lambda c: np.where(outcome == 0, c[:, 0], np.where(outcome == 1, c[:, 1] - c[:, 0], TOP - c[:, 1]))
-        self.weight[:k] = np.clip(self.weight[:k] + np.where(low(self.a) > low(self.b), 3, -3), 16, 240)
-        self.by_trust[self.row_a] = self.a + ((goal - self.a) >> 4)
-        self.by_past[self.row_b] = self.b + ((goal - self.b) >> 5)
+        first, second, rest = (x - y for x, y in zip((self.a[0], self.a[1] - self.a[0], self.b[1]), (self.b[0], self.b[1] - self.b[0], self.a[1])))
+        better = np.where(outcome == 2, rest, np.where(outcome == 1, second, first)) > 0
+        self.weight[:k] = np.clip(self.weight[:k] + np.where(better, 3, -3), 16, 240)
+        for i in (0, 1):
+            goal = (outcome <= i) * np.int32(TOP)
+            self.by_trust[i][self.row_a] = self.a[i] + ((goal - self.a[i]) >> 4)
+            self.by_past[i][self.row_b] = self.b[i] + ((goal - self.b[i]) >> 5)
         self.past[:k] = (self.past[:k] * 3 + outcome) % _HISTORY
         for at, guess, trust, g, t in ((self.at1, self.guess1, self.trust1, self.g1, self.t1), (self.at2, self.guess2, self.trust2, self.g2, self.t2)):
-            same = g == ids
-            after = np.where(same, np.minimum(t + 1, 3), t >> 1).astype(np.int8)
-            fresh = after == 0
-            guess[at] = np.where(fresh, ids, g)
-            trust[at] = np.where(fresh, 1, after)
+            after = np.where(g == ids, np.minimum(t + 1, 3), t >> 1).astype(np.int8)
+            guess[at] = np.where(after == 0, ids, g)
+            trust[at] = np.maximum(after, 1)
         self.two[:k] = self.one[:k]
         self.one[:k] = ids
 
-    def literal_row(self, lanes: np.ndarray, number: int, before: np.ndarray) -> np.ndarray:
-        """Rows of the order-0 model for the ``number``-th four bits, after the bits ``before``."""
+    def literal_rows(self, literal: np.ndarray, number: int, before: np.ndarray):
+        """Rows of the order-0 model for the ``number``-th four bits after the bits ``before``, and their chances. Lanes
+        that code no literal take their last row, which nothing else uses."""
         if number < 2:
-            return lanes * LITERAL_ROWS + number + before
-        base = 17 if number == 2 else 273
-        return lanes * LITERAL_ROWS + base + (before if number == 2 else (before * 2654435761 >> 12) % (LITERAL_ROWS - 273))
+            place = before + number
+        elif number == 2:
+            place = before + 17
+        else:
+            place = 273 + (before * 2654435761 >> 12) % (LITERAL_ROWS - 274)
+        # All lanes' rows of a place lie together: lanes at the same place are read one after the other.
+        row = np.where(literal, place, LITERAL_ROWS - 1) * len(self.lane) + self.lane[: len(before)]
+        return row, self.rows.take(row, axis=0)
 
     def learn_nibble(self, row: np.ndarray, chances: np.ndarray, nibble: np.ndarray):
-        self.rows[row] = chances + ((_NIBBLE_TARGET[nibble] - chances) >> 4)
+        goal = _NIBBLE_TARGET.take(nibble, axis=0)
+        goal -= chances
+        goal >>= 4
+        goal += chances
+        self.whole_rows[row] = goal.view("V32").ravel()
 
 
-def _nibble_bounds(chances: np.ndarray) -> np.ndarray:
-    """Lower bounds of the 16 values: each keeps a chance of 8 in 32768."""
-    return (chances.astype(np.int32) * (TOP - 128) >> 15) + _FLOOR
+def _nibble_bounds(chances: np.ndarray, nibble: np.ndarray, literal: np.ndarray):
+    """The interval of a value of four bits; all of it where no literal is coded."""
+    at = np.arange(0, 16 * len(nibble), 16) + nibble
+    flat = chances.reshape(-1)
+    high = np.where(nibble == 15, np.int32(TOP), flat.take(at + 1, mode="clip"))
+    return flat.take(at) * literal, np.where(literal, high, TOP)
 
 
-_FLOOR = (np.arange(16) * 8).astype(np.int32)
+def _nibble_of(chances: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The value of four bits whose interval holds ``value``: how many lower bounds do not exceed it, less one."""
+    ones = (chances <= value.astype(np.int16)[:, None]).view(np.uint64)
+    ones = (ones[:, 0] + ones[:, 1]) * _U(0x0101010101010101) >> _U(56)
+    return ones.astype(np.int64) - 1
 
 
 class _Encoder:
@@ -102,25 +119,26 @@ class _Encoder:
         if int(self.size.max()) + 72 > self.words.shape[1]:
             self.words = np.concatenate((self.words, np.zeros_like(self.words)), axis=1)
 
-    def put(self, lanes, low, width):
-        """Narrows the intervals of ``lanes`` (a slice or numbers) to [low, low + width) of TOP."""
-        step = self.range[lanes] >> _U(BITS)
-        at = self.low[lanes] + step * low.astype(np.uint64)
-        span = step * width.astype(np.uint64)
+    def put(self, low, high):
+        """Narrows the intervals of the first lanes to [low, high) of TOP."""
+        k = len(low)
+        step = self.range[:k] >> _U(BITS)
+        low = low.astype(np.uint64)
+        at = self.low[:k] + step * low
+        span = step * (high.astype(np.uint64) - low)
+        flat, width = self.words.reshape(-1), self.words.shape[1]
         over = np.flatnonzero(at > _LOW)
-        number = np.arange(len(at)) if isinstance(lanes, slice) else lanes
         if len(over):
-            own = number[over]
-            self.words[own, self.size[own] - 1] += np.uint32(1)
-            at[over] &= _LOW
+            flat[over * width + self.size.take(over) - 1] += np.uint32(1)
+            at &= _LOW
         short = np.flatnonzero(span < _U(1 << 32))
         if len(short):
-            own = number[short]
-            self.words[own, self.size[own]] = (at[short] >> _U(32)).astype(np.uint32)
-            self.size[own] += 1
-            at[short] = (at[short] << _U(16)) & _LOW
+            cut = at.take(short)
+            flat[short * width + self.size.take(short)] = cut >> _U(32)
+            self.size[short] += 1
+            at[short] = (cut << _U(16)) & _LOW
             span[short] <<= _U(16)
-        self.low[lanes], self.range[lanes] = at, span
+        self.low[:k], self.range[:k] = at, span
 
     def finish(self) -> list[bytes]:
         self.make_room()
@@ -137,28 +155,31 @@ class _Encoder:
 
 class _Decoder:
     def __init__(self, blocks: list[bytes]):
-        most = max(len(b) for b in blocks) // 2
-        self.words = np.zeros((len(blocks), most + 2), np.uint64)
+        self.width = max(len(b) for b in blocks) // 2 + 2
+        words = np.zeros((len(blocks), self.width), np.uint16)
         for i, b in enumerate(blocks):
-            self.words[i, : len(b) // 2] = np.frombuffer(b, dtype="<u2")
+            words[i, : len(b) // 2] = np.frombuffer(b, dtype="<u2")
         self.range = np.full(len(blocks), 1 << 48, np.uint64)
-        self.code = (self.words[:, 0] << _U(32)) | (self.words[:, 1] << _U(16)) | self.words[:, 2]
-        self.at = np.full(len(blocks), 3, np.int64)
-
-    def value(self, lanes) -> np.ndarray:
-        self.step = self.range[lanes] >> _U(BITS)
-        return np.minimum(self.code[lanes] // self.step, TOP - 1).astype(np.int32)
-
-    def drop(self, lanes, low, width):
-        code = self.code[lanes] - self.step * low.astype(np.uint64)
-        span = self.step * width.astype(np.uint64)
+        first = words[:, :3].astype(np.uint64)
+        self.code = (first[:, 0] << _U(32)) | (first[:, 1] << _U(16)) | first[:, 2]
+        self.words, self.at = words.reshape(-1), np.arange(len(blocks)) * self.width + 3
+
+    def value(self, k: int) -> np.ndarray:
+        self.step = self.range[:k] >> _U(BITS)
+        return np.minimum(self.code[:k] // self.step, _U(TOP - 1)).astype(np.int32)
+
+    def drop(self, low, high):
+        k = len(low)
+        low = low.astype(np.uint64)
+        code = self.code[:k] - self.step * low
+        span = self.step * (high.astype(np.uint64) - low)
         short = np.flatnonzero(span < _U(1 << 32))
         if len(short):
-            own = short if isinstance(lanes, slice) else lanes[short]
-            code[short] = (code[short] << _U(16)) | self.words[own, self.at[own]]
-            self.at[own] += 1
+            at = self.at.take(short)
+            code[short] = (code.take(short) << _U(16)) | self.words.take(at)
+            self.at[short] = at + 1
             span[short] <<= _U(16)
-        self.code[lanes], self.range[lanes] = code, span
+        self.code[:k], self.range[:k] = code, span
 
 
 def _nibble_count(largest: int) -> int:
@@ -184,70 +205,56 @@ def encode(ids: np.ndarray, block: int) -> list[bytes]:
     padded[: len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(len(sizes), block).T)
     nibbles = _nibble_count(ids.max())
-    model, coder = _Model(len(sizes), nibbles), _Encoder(len(sizes), block + 64)
+    model, coder = _Model(len(sizes)), _Encoder(len(sizes), block + 72)
     for t, k in enumerate(_active(sizes)):
         if t % 8 == 0:
             coder.make_room()
-        now = steps[t, :k]
-        bounds = model.predict(k)
+        now = steps[t, :k].astype(np.int64)
+        first, second = model.predict(k)
         outcome = np.where((model.g2 == now) & (model.t2 > 0), 0, np.where((model.g1 == now) & (model.t1 > 0), 1, 2))
-        low = np.where(outcome == 0, 0, np.where(outcome == 1, bounds[:, 0], bounds[:, 1]))
-        high = np.where(outcome == 0, bounds[:, 0], np.where(outcome == 1, bounds[:, 1], TOP))
-        coder.put(slice(0, k), low, high - low)
-        lanes = np.flatnonzero(outcome == 2)
-        if len(lanes):
-            rest, before, number = now[lanes], np.zeros(len(lanes), np.int64), np.arange(len(lanes))
-            for i in range(nibbles):
-                nibble = (rest >> (4 * (nibbles - 1 - i))) & 15
-                row = model.literal_row(lanes, i, before)
-                chances = model.rows[row]
-                low = (chances[number, nibble].astype(np.int32) * (TOP - 128) >> 15) + nibble * 8
-                high = np.where(nibble == 15, TOP, (chances[number, np.minimum(nibble + 1, 15)].astype(np.int32) * (TOP - 128) >> 15) + nibble * 8 + 8)
-                coder.put(lanes, low, high - low)
-                model.learn_nibble(row, chances, nibble)
-                before = before * 16 + nibble
+        coder.put(np.where(outcome == 0, 0, np.where(outcome == 1, first, second)), np.where(outcome == 0, first, np.where(outcome == 1, second, TOP)))
+        literal, before = outcome == 2, np.zeros(k, np.int64)
+        for i in range(nibbles):
+            nibble = (now >> (4 * (nibbles - 1 - i))) & 15
+            row, chances = model.literal_rows(literal, i, before)
+            coder.put(*_nibble_bounds(chances, nibble, literal))
+            model.learn_nibble(row, chances, nibble)
+            before = before * 16 + nibble
         model.settle(now, outcome)
-    head = np.zeros(len(sizes), dtype=[("n", "<u4"), ("crc", "<u4"), ("nibbles", "u1")])
+    head = np.zeros(len(sizes), dtype=_HEAD)
     head["n"], head["nibbles"] = sizes, nibbles
     head["crc"] = [zlib.crc32(ids[i * block : i * block + n].astype("<u4").tobytes()) for i, n in enumerate(sizes)]
     return [head[i : i + 1].tobytes() + code for i, code in enumerate(coder.finish())]
 
 
+_HEAD = np.dtype([("n", "<u4"), ("crc", "<u4"), ("nibbles", "u1")])
+
+
 def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of ``blocks`` that one call of ``encode`` made; raises when a checksum doesn't fit."""
     if not blocks:
         return np.zeros(0, np.int64)
-    kind = np.dtype([("n", "<u4"), ("crc", "<u4"), ("nibbles", "u1")])
-    head = np.concatenate([np.frombuffer(b[: kind.itemsize], dtype=kind) for b in blocks])
+    head = np.concatenate([np.frombuffer(b[: _HEAD.itemsize], dtype=_HEAD) for b in blocks])
     sizes, nibbles = head["n"].astype(np.int64), int(head["nibbles"][0])
-    model, coder = _Model(len(blocks), nibbles), _Decoder([b[kind.itemsize :] for b in blocks])
+    model, coder = _Model(len(blocks)), _Decoder([b[_HEAD.itemsize :] for b in blocks])
     out = np.zeros((int(sizes[0]), len(blocks)), np.int32)
     for t, k in enumerate(_active(sizes)):
-        bounds = model.predict(k)
-        value = coder.value(slice(0, k))
-        outcome = (value >= bounds[:, 0]).astype(np.int64) + (value >= bounds[:, 1])
-        low = np.where(outcome == 0, 0, np.where(outcome == 1, bounds[:, 0], bounds[:, 1]))
-        high = np.where(outcome == 0, bounds[:, 0], np.where(outcome == 1, bounds[:, 1], TOP))
-        coder.drop(slice(0, k), low, high - low)
-        now = np.where(outcome == 0, model.g2, model.g1).astype(np.int64)
-        lanes = np.flatnonzero(outcome == 2)
-        if len(lanes):
-            before, number = np.zeros(len(lanes), np.int64), np.arange(len(lanes))
-            for i in range(nibbles):
-                row = model.literal_row(lanes, i, before)
-                chances = model.rows[row]
-                edges = _nibble_bounds(chances)
-                nibble = (edges <= coder.value(lanes)[:, None]).sum(axis=1) - 1
-                low = edges[number, nibble]
-                high = np.where(nibble == 15, TOP, edges[number, np.minimum(nibble + 1, 15)])
-                coder.drop(lanes, low, high - low)
-                model.learn_nibble(row, chances, nibble)
-                before = before * 16 + nibble
-            now[lanes] = before
+        first, second = model.predict(k)
+        value = coder.value(k)
+        outcome = (value >= first).astype(np.int64) + (value >= second)
+        coder.drop(np.where(outcome == 0, 0, np.where(outcome == 1, first, second)), np.where(outcome == 0, first, np.where(outcome == 1, second, TOP)))
+        literal, before = outcome == 2, np.zeros(k, np.int64)
+        for i in range(nibbles):
+            row, chances = model.literal_rows(literal, i, before)
+            nibble = _nibble_of(chances, coder.value(k))
+            coder.drop(*_nibble_bounds(chances, nibble, literal))
+            model.learn_nibble(row, chances, nibble)
+            before = before * 16 + nibble
+        now = np.where(literal, before, np.where(outcome == 0, model.g2, model.g1))
         out[t, :k] = now
         model.settle(now, outcome)
     parts = [out[:n, i] for i, n in enumerate(sizes)]
     for n, crc, ids in zip(sizes, head["crc"], parts):
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError("a block of token ids is damaged")
-    return np.concatenate(parts)
+    return np.concatenate(parts).astype(np.int64)
