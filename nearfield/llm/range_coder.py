@@ -176,7 +176,7 @@ class _Decoder:
         short = np.flatnonzero(span < _U(1 << 32))
         if len(short):
             at = self.at.take(short)
-            code[short] = (code.take(short) << _U(16)) | self.words.take(at)
+            code[short] = (code.take(short) << _U(16)) | self.words.take(at, mode="clip")  # a damaged block may run out
             self.at[short] = at + 1
             span[short] <<= _U(16)
         self.code[:k], self.range[:k] = code, span
