@@ -2,14 +2,16 @@
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearfield.operators.blocks import vector_matrix
 from nearfield.operators.bounds import bounded
 from nearfield.operators.knn import (
     MAX_BROADCAST_ROWS,
@@ -163,7 +165,8 @@ def ivf_search(queries: DataFrame, index: VectorIndex, k: int = 10, nprobe: int
 
 
 def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length: float = 0.25,
-            num_tables: int = 8, hashes_per_table: int = 2, seed: int = 7) -> DataFrame:
+            num_tables: int = 8, hashes_per_table: int = 2, seed: int = 7,
+            projections: np.ndarray | None = None) -> DataFrame:
     """Search among items that share a random-projection bucket with the query.
 
     A bucket of a table is named by ``hashes_per_table`` projections cut at
@@ -171,33 +174,35 @@ def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length:
     tables mean more. Buckets are cells of the block grid, so a crowded one is
     split and no pair list is ever written; items in no query's bucket are
     dropped before the shuffle. A query alone in its buckets has no hits.
+    ``projections`` (num_tables * hashes_per_table rows) takes the place of
+    random directions.
     """
-    hasher = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", seed=seed,
-        bucketLength=bucket_length, numHashTables=num_tables * hashes_per_table,
-    )
-
-    def features(df, key):
-        vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-        return df.select(F.col(key).cast("long"), "embedding", vector)
-
-    corpus = features(items, "image_id")
-    model = hasher.fit(corpus)
-    cuts = F.transform("hashes", lambda h: vector_to_array(h)[0].cast("int"))
-    tables = F.transform(
-        F.sequence(F.lit(0), F.lit(num_tables - 1)),
-        lambda t: F.struct(
-            t.alias("table"), F.slice("cuts", t * hashes_per_table + 1, hashes_per_table).alias("bucket")
-        ),
-    )
+    if projections is None:
+        directions = np.random.default_rng(seed).normal(size=(num_tables * hashes_per_table, _dimension(items)))
+        projections = directions / np.linalg.norm(directions, axis=1, keepdims=True)
+    if len(projections) != num_tables * hashes_per_table:
+        raise ValueError("projections must have num_tables * hashes_per_table rows")
 
     def buckets(df, key):
-        hashed = model.transform(df).select(key, "embedding", cuts.alias("cuts"))
-        return hashed.select(key, "embedding", F.explode(tables).alias("cell"))
-
-    wanted = buckets(features(queries, "query_id"), "query_id")
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                cuts = np.floor(vector_matrix(batch.column(1)).astype(np.float64) @ projections.T / bucket_length)
+                cuts = cuts.clip(-(2**31), 2**31 - 1).astype(np.int32).reshape(len(cuts), num_tables, hashes_per_table)
+                tables = np.broadcast_to(np.arange(num_tables, dtype=np.int32)[None, :, None], (*cuts.shape[:2], 1))
+                cells = np.concatenate((tables, cuts), axis=2)
+                inner = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), hashes_per_table + 1).cast(pa.list_(pa.int32()))
+                offsets = pa.array(np.arange(len(cuts) + 1, dtype=np.int32) * num_tables)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, inner)], ["key", "embedding", "cells"])
+
+        narrow = df.select(F.col(key).cast("long"), F.col("embedding").cast("array<float>"))
+        hashed = narrow.mapInArrow(run, "key bigint, embedding array<float>, cells array<array<int>>")
+        return hashed.select(F.col("key").alias(key), "embedding", F.explode("cells").alias("cell"))
+
+    wanted = buckets(queries, "query_id")
     probed = bounded(wanted.select("cell").distinct())
-    offered = buckets(corpus, "image_id").join(probed, "cell", "left_semi")
+    offered = buckets(items, "image_id").join(probed, "cell", "left_semi")
     partial = cell_grid_hits(wanted, offered, k)
     # A pair met in several tables has one rank, so it is told apart after ranking,
     # where its copies already share a partition.

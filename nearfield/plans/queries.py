@@ -570,7 +570,8 @@ def i2_ivf_search(c):
 
 @query
 def i3_ann_lsh(c):
-    return shown_hits(ann.ann_lsh(c.queries(), c.vectors(), 10))
+    """Buckets along the axes of the space, so that SQL can name them."""
+    return shown_hits(ann.ann_lsh(c.queries(), c.vectors(), 10, projections=np.eye(16, 64)))
 
 
 @query
@@ -874,7 +875,7 @@ def _upkeep(c):
     catalog = c.all()
     empty = {name: table.limit(0) for name, table in catalog.items() if name.endswith("_queue")}
     sinks.write_catalog(catalog | empty, f"{folder}/catalog")
-    return Upkeep(f"{folder}/catalog", f"{folder}/state"), f"{folder}/checkpoint"
+    return Upkeep(f"{folder}/catalog", f"{folder}/state", rebuild=True), f"{folder}/checkpoint"
 
 
 def _upkeep_summary(state):

@@ -1,5 +1,6 @@
 """Session settings and the shared scratch folder."""
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="nearfield-")
         spark.conf.set("spark.checkpoint.dir", folder)

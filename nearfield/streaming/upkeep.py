@@ -42,10 +42,10 @@ _STATE = {
 class Upkeep:
     """How to keep one catalog folder current.
 
-    ``rebuild`` writes a new index whenever deletions are drained. Where the
-    index is too large to rewrite so often, leave it off: drained items are
-    then only recorded in ``removed``, to be left out by ``index_remove`` until
-    a rebuild on its own schedule. With ``members`` (a ``write_members`` folder)
+    Drained items are recorded in ``removed``, to be left out by
+    ``index_remove`` until a rebuild on its own schedule. With ``rebuild`` a
+    new index is written whenever deletions are drained; meant for indexes
+    small enough to be written so often. With ``members`` (a ``write_members`` folder)
     prototypes are recomputed from the stale categories' folders alone.
     """
 
@@ -53,7 +53,7 @@ class Upkeep:
     folder: str
     process_prototypes: bool = True
     process_deletions: bool = True
-    rebuild: bool = True
+    rebuild: bool = False
     index_type: str = "flatl2"
     nlist: int = 100
     members: str | None = None

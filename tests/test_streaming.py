@@ -59,7 +59,7 @@ def shown(state):
 def start(spark, catalog, **options):
     folder = scratch_path(spark, "upkeep")
     sinks.write_catalog(catalog, f"{folder}/catalog")
-    return Upkeep(f"{folder}/catalog", f"{folder}/state", **options), f"{folder}/checkpoint"
+    return Upkeep(f"{folder}/catalog", f"{folder}/state", **{"rebuild": True, **options}), f"{folder}/checkpoint"
 
 
 def test_upkeep_over_several_batches(spark, feed, catalog):
