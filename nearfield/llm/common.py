@@ -61,7 +61,8 @@ def bit_of(*columns: str, bits: int = SET_BITS):
 
 
 def hashed_set(keys: DataFrame, bits: int = SET_BITS) -> np.ndarray:
-    """The keys (all columns) as one bit each of ``bits``: a set of fixed size that has every key and perhaps others.
+    """The keys (all columns, or the column ``bit`` where there is one) as one bit each of ``bits``: a set of fixed size
+    that has every key and perhaps others.
 
     It thins out rows before a join that decides exactly; with very many keys it thins less, and the result is the same.
     """
@@ -76,7 +77,7 @@ def hashed_set(keys: DataFrame, bits: int = SET_BITS) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({
             "chunk": pa.array(list(parts), pa.int32()), "bits": pa.array([np.packbits(b).tobytes() for b in parts.values()], pa.binary())})
 
-    placed = keys.select(bit_of(*keys.columns, bits=bits).alias("bit")).select(
+    placed = keys.select("bit" if "bit" in keys.columns else bit_of(*keys.columns, bits=bits).alias("bit")).select(
         F.shiftright("bit", SET_CHUNK.bit_length() - 1).cast("int").alias("chunk"), chunk.alias("offset")).distinct()
     out = np.zeros(bits // 8, dtype=np.uint8)
     for row in map_arrow(placed.repartition(min(64, bits // SET_CHUNK), "chunk"), fold, "chunk int, bits binary").collect():

@@ -15,15 +15,15 @@ give no rows. Extra columns are kept by ``dedup_lines`` and not looked at by ``d
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import ascii_words, fresh, map_arrow, stored
+from nearfield.llm.common import LOWER, SET_BITS, fresh, has_bits, hashed_set, map_arrow, stored
 from nearfield.llm.shingles import word_hashes
-from nearfield.operators.bounds import bounded
 
 MIN_WORDS = 8
+#: Words that are hashed at once.
+_CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _B, _INVERSE = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
 
@@ -40,30 +40,46 @@ def _mixed(h, salt: int):
     return ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
 
 
-def _sums(words: list[bytes]) -> np.ndarray:
-    """Hashes of all beginnings of the sequence, the empty one first: a polynomial of the words' hashes."""
-    h = word_hashes(words)
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(_B, len(h)))))
+class Hashes:
+    """Hashes of any runs of words of a sequence: a polynomial of the words' hashes, summed from the beginning."""
 
+    _back = np.ones(1, dtype=np.uint64)
+    _forth = np.ones(1, dtype=np.uint64)
 
-def half_keys(words: list[bytes]) -> np.ndarray:
-    """Keys of which two near lines have one in common: first and second half, as the longer and the shorter line."""
-    s, n = _sums(words), len(words)
-    back = _powers(_INVERSE, n + 1)
+    def __init__(self, words: list[bytes], other: bool = False):
+        h = word_hashes(words)
+        if other:  # a second, independent hash
+            h = _mixed(h, 77).view(np.uint64)
+        if len(Hashes._back) <= len(h):
+            Hashes._back, Hashes._forth = _powers(_INVERSE, 2 * len(h) + 1), _powers(_B, 2 * len(h) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * self._forth[: len(h)])))
+
+    def run(self, a, b):
+        """Hash of the words from ``a`` on before ``b`` (arrays)."""
+        return (self.sums[b] - self.sums[a]) * self._back[a]
+
+
+_SIZE = np.uint64(0xA24BAED4963EE407)
+
+
+def half_keys(hashes: Hashes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Four keys for each line (words ``a`` to ``b`` - 1), of which two near lines have one in common: first and second
+    half, as the longer and as the shorter line."""
     out = []
-    for m in (n, n - 1):  # the number of words of the shorter line
-        a = m // 2
-        out.append(_mixed(s[a : a + 1], 2 * m))
-        out.append(_mixed((s[n:] - s[n - m + a : n - m + a + 1]) * back[n - m + a], 2 * m + 1))
-    return np.concatenate(out)
+    for less in (0, 1):  # the shorter line has so many words less than this one
+        m = b - a - less
+        half = m // 2
+        size = m.astype(np.uint64) * _SIZE
+        out += [_mixed(hashes.run(a, a + half) + size, 1), _mixed(hashes.run(b - (m - half), b) + size, 2)]
+    return np.stack(out, axis=1)
 
 
 def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the line (place -1) and of the line without its p-th word (place p)."""
-    s, n = _sums(words), len(words)
+    s, n = Hashes(words).sums, len(words)
     keys = np.concatenate((s[n:], s[:-1] + (s[n] - s[1:]) * _INVERSE))
     sizes = np.concatenate(([n], np.full(n, n - 1)))
-    return _mixed(keys + sizes.astype(np.uint64) * np.uint64(0xA24BAED4963EE407), 1), np.arange(-1, n)
+    return _mixed(keys + sizes.astype(np.uint64) * _SIZE, 1), np.arange(-1, n)
 
 
 def near(a: list[bytes], b: list[bytes], bound: int = 1) -> bool:
@@ -78,54 +94,85 @@ def near(a: list[bytes], b: list[bytes], bound: int = 1) -> bool:
     return a[i:] == b[i + 1 :] or (len(a) == len(b) and a[i + 1 :] == b[i + 1 :])
 
 
-def _digest(words: list[bytes]) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(b" ".join(words))
-    return (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63
-
-
-def _lines(text: str | None):
+def _line_words(text: str | None):
     """(position, words) of the lines with words."""
-    for at, line in enumerate(text.split("\n") if text else ()):
-        if words := ascii_words(line):
+    for at, line in enumerate(text.encode("utf-8", "surrogatepass").translate(LOWER).split(b"\n") if text else ()):
+        if words := line.split():
             yield at, words
 
 
+def _chunks(batches):
+    """Runs of lines of about _CHUNK words: doc ids, positions, lines, all their words, and where each line begins and ends."""
+    def packed():
+        sizes = np.array([len(w) for w in lines], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        return docs, ats, lines, [w for line in lines for w in line], ends - sizes, ends
+
+    docs, ats, lines, held = [], [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for at, words in _line_words(text.as_py()):
+                docs.append(doc)
+                ats.append(at)
+                lines.append(words)
+                held += len(words)
+            if held > _CHUNK:
+                yield packed()
+                docs, ats, lines, held = [], [], [], 0
+    if lines:
+        yield packed()
+
+
+def _digests(words, a, b):
+    """Two 64-bit hashes of each line, and the hashes of the first kind."""
+    sizes, hashes = (b - a).astype(np.uint64), Hashes(words)
+    return _mixed(hashes.run(a, b) + sizes, 5), _mixed(Hashes(words, other=True).run(a, b) + sizes, 6), hashes
+
+
 def _survey(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, pos, n, h1, h2, keys: one row for each line with words; keys only where it may have a near line."""
+    """doc_id, pos, h1, h2, keys: one row for each line with words; keys only where it may have a near line."""
     def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for at, words in _lines(text.as_py()):
-                    rows.append((doc, at, len(words), *_digest(words), half_keys(words) if len(words) >= min_words else None))
-                if len(rows) > 20_000:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
+        for ids, ats, lines, words, a, b in _chunks(batches):
+            h1, h2, hashes = _digests(words, a, b)
+            long = (b - a) >= min_words
+            offsets = np.concatenate(([0], np.cumsum(np.where(long, 4, 0)))).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(half_keys(hashes, a[long], b[long]).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(h1), pa.array(h2), listed], ["doc_id", "pos", "h1", "h2", "keys"])
+
+    return map_arrow(docs, run, "doc_id long, pos int, h1 long, h2 long, keys array<long>")
+
+
+def _line_bit(h1, doc, at):
+    return (h1 ^ (doc << 7) ^ at) & (SET_BITS - 1)
 
-    def _batch(rows):
-        cols = list(zip(*rows)) or [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["doc_id", "pos", "n", "h1", "h2", "keys"])
 
-    return map_arrow(docs, run, "doc_id long, pos int, n int, h1 long, h2 long, keys array<long>")
+def _line_bit_column():
+    doc = F.shiftleft(F.coalesce("doc_id", F.lit(0).cast("long")), 7)
+    return F.col("h1").bitwiseXOR(doc).bitwiseXOR(F.col("pos").cast("long")).bitwiseAND(F.lit(SET_BITS - 1))
 
 
-def _candidates(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """line (its words), doc_id, pos, h1, h2 of the first occurrences in ``wanted``."""
+def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """o and line (its words) of the lines in ``wanted`` (o, doc_id, pos, h1, h2); most others never leave their task."""
+    bits = docs.sparkSession.sparkContext.broadcast(hashed_set(wanted.select(_line_bit_column().alias("bit"))))  # of fixed size
+
     def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += [(doc, at, *_digest(words), b" ".join(words)) for at, words in _lines(text.as_py()) if len(words) >= min_words]
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["doc_id", "pos", "h1", "h2", "line"])
+        for ids, ats, lines, words, a, b in _chunks(batches):
+            h1, h2, _ = _digests(words, a, b)
+            doc, at = np.array([i or 0 for i in ids], dtype=np.int64), np.array(ats, dtype=np.int64)
+            own = np.flatnonzero(has_bits(bits.value, _line_bit(h1, doc, at)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[i] for i in own], pa.int64()), pa.array(at[own], pa.int32()), pa.array(h1[own]), pa.array(h2[own]), pa.array([b" ".join(lines[i]) for i in own], pa.binary())],
+                ["doc_id", "pos", "h1", "h2", "line"])
 
     lines = map_arrow(docs, run, "doc_id long, pos int, h1 long, h2 long, line binary")
-    same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in ("doc_id", "pos", "h1", "h2")]
-    names = wanted.select(*[F.col(c).alias(f"w_{c}") for c in ("doc_id", "pos", "h1", "h2")])
-    return lines.join(names, same, "left_semi").dropDuplicates(["h1", "h2"])
+    same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in ("h1", "h2", "doc_id", "pos")]
+    return lines.join(wanted.select("o", *[F.col(c).alias(f"w_{c}") for c in ("h1", "h2", "doc_id", "pos")]), same).select("o", "line").dropDuplicates(["o"])
+
+
+def _shared(keyed: DataFrame, of: str) -> DataFrame:
+    """The keys that more than one value of the column ``of`` has; they bring ``bit``, their place in a hashed set."""
+    ends = keyed.groupBy("key").agg(F.min(of).alias("lo"), F.max(of).alias("hi"))
+    return ends.where("lo != hi").select("key", F.col("key").bitwiseAND(F.lit(SET_BITS - 1)).alias("bit"))
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -134,42 +181,53 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = stored(_survey(docs, min_words), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
 
-    # Different lines that share a half with another one; a key is held by one row for each different line and task.
-    keyed = lines.where("keys IS NOT NULL").select("h1", "h2", F.explode("keys").alias("key"))
-    lone = keyed.groupBy("key").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
-    together = keyed.join(lone.where("lo != hi").select("key"), "key").select("h1", "h2").distinct()
-    wanted = stored(firsts.join(together, ["h1", "h2"]).select("h1", "h2", "first.*"), "near-lines")
-    found = stored(_candidates(docs, bounded(wanted), min_words), "candidates")
+    # Different lines that share a half with another one.
+    halves = stored(_shared(lines.select("h1", F.explode("keys").alias("key")), "h1"), "halves")
+    half_bits = docs.sparkSession.sparkContext.broadcast(hashed_set(halves.select("bit")))  # of fixed size
 
-    def emit(batches):
+    def near_halves(batches):
         for batch in batches:
-            for doc, at, h1, h2, line in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
-                keys, places = variants(line.as_py().split())
-                k = len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(places, pa.int32()), pa.array([doc] * k, pa.int64()), pa.array([at] * k, pa.int32()), pa.array([h1] * k, pa.int64()), pa.array([h2] * k, pa.int64())],
-                    ["key", "place", "doc_id", "pos", "h1", "h2"])
-
-    own = F.struct("doc_id", "pos", "h1", "h2")
-    shown = map_arrow(found, emit, "key long, place int, doc_id long, pos int, h1 long, h2 long").select("key", "place", own.alias("own"))
-    shown = stored(shown, "variants")
+            flat = batch.column(2).flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+            own = has_bits(half_bits.value, flat & (SET_BITS - 1))
+            row = pa.array(row[own])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(flat[own])], ["h1", "h2", "key"])
+
+    together = map_arrow(lines.select("h1", "h2", "keys"), near_halves, "h1 long, h2 long, key long").join(halves.select("key"), "key").select("h1", "h2").distinct()
+    # Numbered in their order: ids of sorted rows rise from one range to the next.
+    wanted = firsts.join(together, ["h1", "h2"]).select("h1", "h2", "first.*").orderBy("doc_id", "pos")
+    wanted = stored(wanted.select(F.monotonically_increasing_id().alias("o"), "doc_id", "pos", "h1", "h2"), "near-lines")
+    found = stored(_candidates(docs, wanted), "candidates")
+
+    def emitted(bits) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for o, line in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    keys, places = variants(line.as_py().split())
+                    if bits is not None:
+                        own = has_bits(bits.value, keys & (SET_BITS - 1))
+                        keys, places = keys[own], places[own]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places, pa.int32()), pa.array(np.full(len(keys), o))], ["key", "place", "o"])
+
+        return map_arrow(found, run, "key long, place int, o long")
+
+    met = stored(_shared(emitted(None), "o"), "variants")
+    bits = docs.sparkSession.sparkContext.broadcast(hashed_set(met.select("bit")))  # of fixed size
+    shown = stored(emitted(bits).join(met.select("key"), "key"), "shown")
     # The earliest line of each variant without a word at one place; of each variant at any place; and the line that is it.
-    by_place = shown.groupBy("key", "place").agg(F.min("own").alias("least"))
+    by_place = shown.groupBy("key", "place").agg(F.min("o").alias("least"))
     by_key = by_place.groupBy("key").agg(
         F.min(F.when(F.col("place") >= 0, F.col("least"))).alias("cut"), F.min(F.when(F.col("place") < 0, F.col("least"))).alias("whole"))
     best = by_place.join(by_key, "key").select("key", "place", F.when(F.col("place") < 0, F.col("cut")).otherwise(F.least("least", "whole")).alias("best"))
-    meets = shown.join(best, ["key", "place"]).where("best < own").select(
-        *[F.col(f"own.{c}").alias(c) for c in ("h1", "h2")], *[F.col(f"best.{c}").alias(f"b_{c}") for c in ("h1", "h2")]).distinct()
-
-    texts = found.select("h1", "h2", "line")
-    both = meets.join(texts, ["h1", "h2"]).join(texts.toDF("b_h1", "b_h2", "b_line"), ["b_h1", "b_h2"]).select("h1", "h2", "line", "b_line")
+    meets = shown.join(best, ["key", "place"]).where("best < o").select("o", "best").distinct()
+    both = meets.join(found, "o").join(found.toDF("best", "b_line"), "best").select("o", "line", "b_line")
 
     def verify(batches):
         for batch in batches:
-            ok = [near(a.as_py().split(), b.as_py().split()) for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["h1", "h2"]).filter(pa.array(ok, pa.bool_()))
+            ok = [near(a.as_py().split(), b.as_py().split()) for a, b in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["o"]).filter(pa.array(ok, pa.bool_()))
 
-    gone = map_arrow(both, verify, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
+    gone = map_arrow(both, verify, "o long").distinct().join(wanted, "o").select("h1", "h2", F.lit(True).alias("near"))
     fate = firsts.join(gone, ["h1", "h2"], "left")
     first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.pos") == F.col("pos"))
     return lines.select("doc_id", "pos", "h1", "h2").join(fate, ["h1", "h2"]).select("doc_id", "pos", (F.col("near").isNotNull() | ~first).alias("dropped"))
