@@ -46,10 +46,7 @@ class Hashes:
     _back = np.ones(1, dtype=np.uint64)
     _forth = np.ones(1, dtype=np.uint64)
 
-    def __init__(self, words: list[bytes], other: bool = False):
-        h = word_hashes(words)
-        if other:  # a second, independent hash
-            h = _mixed(h, 77).view(np.uint64)
+    def __init__(self, h: np.ndarray):
         if len(Hashes._back) <= len(h):
             Hashes._back, Hashes._forth = _powers(_INVERSE, 2 * len(h) + 1), _powers(_B, 2 * len(h) + 1)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * self._forth[: len(h)])))
@@ -76,7 +73,7 @@ def half_keys(hashes: Hashes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the line (place -1) and of the line without its p-th word (place p)."""
-    s, n = Hashes(words).sums, len(words)
+    s, n = Hashes(word_hashes(words)).sums, len(words)
     keys = np.concatenate((s[n:], s[:-1] + (s[n] - s[1:]) * _INVERSE))
     sizes = np.concatenate(([n], np.full(n, n - 1)))
     return _mixed(keys + sizes.astype(np.uint64) * _SIZE, 1), np.arange(-1, n)
@@ -125,8 +122,9 @@ def _chunks(batches):
 
 def _digests(words, a, b):
     """Two 64-bit hashes of each line, and the hashes of the first kind."""
-    sizes, hashes = (b - a).astype(np.uint64), Hashes(words)
-    return _mixed(hashes.run(a, b) + sizes, 5), _mixed(Hashes(words, other=True).run(a, b) + sizes, 6), hashes
+    sizes, h = (b - a).astype(np.uint64), word_hashes(words)
+    hashes, other = Hashes(h), Hashes(_mixed(h, 77).view(np.uint64))
+    return _mixed(hashes.run(a, b) + sizes, 5), _mixed(other.run(a, b) + sizes, 6), hashes
 
 
 def _survey(docs: DataFrame, min_words: int) -> DataFrame:
