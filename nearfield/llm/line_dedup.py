@@ -140,27 +140,56 @@ def _survey(docs: DataFrame, min_words: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, pos int, h1 long, h2 long, keys array<long>")
 
 
-def _line_bit(h1, doc, at):
-    return (h1 ^ (doc << 7) ^ at) & (SET_BITS - 1)
+def _line_bit(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The place of a line in a hashed set, by its document and position; ``_line_bit_column`` is the same as a column."""
+    x = doc.astype(np.uint64) ^ (at.astype(np.uint64) << np.uint64(40))
+    x ^= x << np.uint64(13)
+    x ^= x >> np.uint64(7)
+    x ^= x << np.uint64(17)
+    return (x & np.uint64(SET_BITS - 1)).astype(np.int64)
 
 
 def _line_bit_column():
-    doc = F.shiftleft(F.coalesce("doc_id", F.lit(0).cast("long")), 7)
-    return F.col("h1").bitwiseXOR(doc).bitwiseXOR(F.col("pos").cast("long")).bitwiseAND(F.lit(SET_BITS - 1))
+    x = F.coalesce("doc_id", F.lit(0).cast("long")).bitwiseXOR(F.shiftleft(F.col("pos").cast("long"), 40))
+    x = x.bitwiseXOR(F.shiftleft(x, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+    x = x.bitwiseXOR(F.shiftleft(x, 17))
+    return x.bitwiseAND(F.lit(SET_BITS - 1))
 
 
 def _candidates(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """o and line (its words) of the lines in ``wanted`` (o, doc_id, pos, h1, h2); most others never leave their task."""
+    """o and line (its words) of the lines in ``wanted`` (o, doc_id, pos, h1, h2); most others are not even split."""
     bits = docs.sparkSession.sparkContext.broadcast(hashed_set(wanted.select(_line_bit_column().alias("bit"))))  # of fixed size
 
+    def hits(batches):
+        """Document, position and words of the lines that the hashed set has; at last, no words."""
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                if not text:
+                    continue
+                lines = text.encode("utf-8", "surrogatepass").translate(LOWER).split(b"\n")
+                place = _line_bit(np.full(len(lines), doc or 0, dtype=np.int64), np.arange(len(lines)))
+                for i in np.flatnonzero(has_bits(bits.value, place)).tolist():
+                    if words := lines[i].split():
+                        yield doc, i, words
+        yield None, -1, None
+
     def run(batches):
-        for ids, ats, lines, words, a, b in _chunks(batches):
-            h1, h2, _ = _digests(words, a, b)
-            doc, at = np.array([i or 0 for i in ids], dtype=np.int64), np.array(ats, dtype=np.int64)
-            own = np.flatnonzero(has_bits(bits.value, _line_bit(h1, doc, at)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in own], pa.int64()), pa.array(at[own], pa.int32()), pa.array(h1[own]), pa.array(h2[own]), pa.array([b" ".join(lines[i]) for i in own], pa.binary())],
-                ["doc_id", "pos", "h1", "h2", "line"])
+        ids, ats, lines, held = [], [], [], 0
+        for doc, at, words in hits(batches):
+            if words:
+                ids.append(doc)
+                ats.append(at)
+                lines.append(words)
+                held += len(words)
+            if lines and (words is None or held > _CHUNK):
+                ends = np.cumsum([len(w) for w in lines])
+                h1, h2, _ = _digests([w for line in lines for w in line], np.concatenate(([0], ends[:-1])), ends)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(h1), pa.array(h2), pa.array([b" ".join(w) for w in lines], pa.binary())],
+                    ["doc_id", "pos", "h1", "h2", "line"])
+                ids, ats, lines, held = [], [], [], 0
 
     lines = map_arrow(docs, run, "doc_id long, pos int, h1 long, h2 long, line binary")
     same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in ("h1", "h2", "doc_id", "pos")]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,12 @@ def test_hashed_set(spark):
     assert has_bits(bits, rows["bit"].to_numpy())[::7].all()
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     assert without_ids(docs, keys.select(F.col("doc_id").alias("id"))).count() == 1000 - keys.count()
+
+
+def test_places_of_lines_agree_in_both_forms(spark):
+    from nearfield.llm.line_dedup import _line_bit, _line_bit_column
+
+    rows = [(d, p) for d in (0, 1, 77, 2**40 + 5, -3) for p in (0, 1, 1000, 2**30)]
+    got = spark.createDataFrame(rows, "doc_id long, pos int").select("doc_id", "pos", _line_bit_column().alias("bit")).collect()
+    want = _line_bit(np.array([r.doc_id for r in got]), np.array([r.pos for r in got]))
+    assert [r.bit for r in got] == want.tolist()
