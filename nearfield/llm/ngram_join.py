@@ -193,6 +193,17 @@ def may_overlap(a: np.ndarray, b: np.ndarray, need: int, cells: int = 16) -> boo
     return int(np.minimum(ca, cb).sum()) >= need
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, in order: what verification compares."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` that link. Texts are read again for the documents in pairs only."""
     pairs = stored(pairs, "pairs")
@@ -203,7 +214,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
         def run(batches):
             for batch in batches:
                 batch = batch.filter(pa.array(has_bits(wanted.value, batch.column(2).to_numpy())))
-                found = [shingle_set(t.as_py(), n).tobytes() for t in batch.column(1)]
+                found = [packed(shingle_set(t.as_py(), n)) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
         rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit_of("doc_id").alias("bit"))
@@ -215,7 +226,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                s, t = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 need = required(len(s), len(t), percent)
                 keep.append(may_overlap(s, t, need) and len(np.intersect1d(s, t, assume_unique=True)) >= need)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
