@@ -35,7 +35,7 @@ for _c in range(256):
 
 class _Cells(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         value = self[word] = zlib.crc32(word) & (WORD_CELLS - 1)
         return value

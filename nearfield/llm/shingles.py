@@ -6,7 +6,7 @@ import xxhash
 from nearfield.llm.common import ascii_words
 
 #: A worker forgets the hashes of words it knows when it knows so many; they are computed again.
-_KNOWN = 1 << 19
+_KNOWN = 1 << 17
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

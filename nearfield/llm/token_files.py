@@ -16,6 +16,7 @@ of them. An empty table gives an empty table of segments. Extra columns are not
 """
 
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,36 +32,56 @@ from nearfield.session import scratch_path
 
 END_ID = 1
 #: Bytes of text in a bucket of neighbouring doc_ids, ids in a block, and blocks of a segment.
-BUCKET_BYTES, BLOCK, LANES = 24 << 20, 2048, 3072
+BUCKET_BYTES, BLOCK, LANES = 12 << 20, 2048, 1536
 _MAGIC = b"NFTOKEN1"
 _DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4")])
-_CACHE_WORDS = 1 << 19
+_CACHE_WORDS = 200_000
+#: Marks that may follow a word; an apostrophe is none of them.
+_MARKS = ".,!?;:|%&$#*)"
 _BREAKS = str.maketrans("\n\r\t", "   ")
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space and never joins what white space divides: each word is
-    encoded once and remembered."""
+    """Ids of texts by a tokenizer that drops white space, lowers case, and never joins what white space divides nor a
+    letter or number and a mark behind it: each word is encoded once, without its last marks, and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         words = text.translate(_BREAKS).split(" ")
-        new = set(words).difference(self.known)
+        new = set(words).difference(self.words)
         if new:
-            if len(self.known) > _CACHE_WORDS:
-                self.known.clear()
+            if len(self.words) > _CACHE_WORDS:
+                self.words.clear()
+                self.parts = {"": b""}
                 new = set(words)
-            new = list(new)
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+            self._learn(list(new))
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _learn(self, new: list[str]) -> None:
+        pairs = []
+        for word in new:
+            stem = word.rstrip(_MARKS)
+            if not stem or not unicodedata.normalize("NFC", stem[-1]).lower()[-1].isalnum():
+                stem = word  # what stands before the marks might join them
+            pairs.append((stem.lower() if stem.isascii() else stem, word[len(stem):]))
+        unknown = [p for p in {x for pair in pairs for x in pair} if p not in self.parts]
+        if unknown:
+            found = self.tokenizer.encode(unknown, is_pretokenized=True, add_special_tokens=False)
+            ids, at = np.array(found.ids, dtype="<u4"), np.array(found.word_ids, dtype=np.int64)
+            edges = np.searchsorted(at, np.arange(len(unknown) + 1)) * 4
+            raw = ids.tobytes()
+            for i, part in enumerate(unknown):
+                self.parts[part] = raw[edges[i] : edges[i + 1]]
+        for word, (stem, marks) in zip(new, pairs):
+            self.words[word] = self.parts[stem] + self.parts[marks]
 
 
 class TextTokenizer(WordTokenizer):
