@@ -88,24 +88,3 @@ def hashed_set(keys: DataFrame, bits: int = SET_BITS) -> np.ndarray:
 
 def has_bits(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bitmap[bits >> 3] >> (7 - (bits & 7)) & 1).astype(bool)
-
-
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``gone`` (id). Rows that a hashed set of the ids clears stay where
-    they are; the others, few unless most ids go, are joined."""
-    wanted = docs.sparkSession.sparkContext.broadcast(hashed_set(gone.select("id")))  # of fixed size
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    bit = fresh("bit")
-
-    def split(hit: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                hits = has_bits(wanted.value, batch.column(batch.num_columns - 1).to_numpy())
-                kept = batch.filter(pa.array(hits if hit else ~hits))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], batch.schema.names[:-1])
-
-        return map_arrow(docs.withColumn(bit, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SET_BITS))), run, schema)
-
-    name = fresh("id")
-    doubtful = split(True).join(gone.select(F.col("id").alias(name)), F.col("doc_id").cast("long") == F.col(name), "left_anti")
-    return split(False).unionAll(doubtful)

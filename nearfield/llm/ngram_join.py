@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import bit_of, has_bits, hashed_set, map_arrow, stored, without_ids
+from nearfield.llm.common import bit_of, fresh, has_bits, hashed_set, map_arrow, stored
 from nearfield.llm.components import components
 from nearfield.llm.shingles import shingle_set
 
@@ -297,4 +297,5 @@ def drop_near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
     """The rows of ``docs`` whose document has the smallest id of its group; all columns stay."""
     groups = near_groups(docs, n, percent)
     gone = stored(groups.where("component_id != doc_id").select(F.col("doc_id").alias("id")).distinct(), "copies")
-    return without_ids(docs, gone)
+    name = fresh("id")
+    return docs.join(gone.select(F.col("id").alias(name)), F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -221,14 +221,12 @@ def test_no_python_in_native_plans(odd):
 
 
 def test_hashed_set(spark):
-    from nearfield.llm.common import bit_of, has_bits, hashed_set, without_ids
+    from nearfield.llm.common import bit_of, has_bits, hashed_set
 
     keys = spark.range(0, 1000, 7).select(F.col("id").alias("doc_id"))
     bits = hashed_set(keys)
     rows = spark.range(1000).select(F.col("id").alias("doc_id"), bit_of("id").alias("bit")).toPandas()
     assert has_bits(bits, rows["bit"].to_numpy())[::7].all()
-    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    assert without_ids(docs, keys.select(F.col("doc_id").alias("id"))).count() == 1000 - keys.count()
 
 
 def test_places_of_lines_agree_in_both_forms(spark):
