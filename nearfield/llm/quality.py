@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,18 @@ class _Cells(dict):
 _cells = _Cells()
 
 
+def distinct_lines(raw: bytes) -> int:
+    """Number of different lines of the whole text, by 64-bit hashes; about 1 MiB of lines is split at a time."""
+    seen: set[int] = set()
+    at = 0
+    while at <= len(raw):
+        end = raw.find(b"\n", at + (1 << 20))
+        end = len(raw) if end < 0 else end
+        seen.update(map(xxhash.xxh3_64_intdigest, raw[at:end].split(b"\n")))
+        at = end + 1
+    return len(seen)
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers in ascending order, and their values."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -58,7 +71,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     stats = (
         np.log2(1 + len(raw)) / 20, np.log2(lines) / 12, kinds[1] / letters, kinds[2] / size, kinds[4] / size, kinds[3] / size,
         float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0, len(cells) / n, (counts.max() / n if len(counts) else 0.0),
-        min(1.0, letters / n / 16), np.log2(1 + n / lines) / 12, len(set(raw[:1 << 20].split(b"\n"))) / lines if lines > 1 else 1.0,
+        min(1.0, letters / n / 16), np.log2(1 + n / lines) / 12, distinct_lines(raw) / lines if lines > 1 else 1.0,
     )
     level = np.minimum(LEVELS - 1, (np.sqrt(np.clip(stats, 0, 1)) * LEVELS).astype(np.int64))
     weight = np.log1p(counts)

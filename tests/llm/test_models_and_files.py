@@ -169,6 +169,15 @@ def test_quality_held_out(spark, documents, odd, empty):
     assert quality.keep_good(odd, few).columns == odd.columns
 
 
+def test_distinct_lines_of_long_texts():
+    clean = "\n".join(f"line {i} of a long and clean text" for i in range(70_000))
+    half = clean + "\n" + "again\n" * 69_999 + "again"
+    for text, level in ((clean, quality.LEVELS - 1), (half, int((70_001 / 140_000) ** 0.5 * quality.LEVELS)), ("a\n" * 600_000, 0), ("a\nb\n", quality.LEVELS - 1), ("\n" * 10, 3)):
+        raw = text.encode()
+        assert quality.distinct_lines(raw) == len(set(raw.split(b"\n")))
+        assert quality.features(text)[0][-1] - quality.WORD_CELLS - (quality._STATS - 1) * quality.LEVELS == level
+
+
 def test_machine_is_the_sum_over_pairs():
     m = quality.Machine(bias=0.3, seed=2)
     at, x = quality.features("Some words, some WORDS!\nand 12 more")
