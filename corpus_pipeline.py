@@ -1,9 +1,10 @@
 """The pipeline from raw documents to token files: quality, near copies, benchmark passages, mixture, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. The first four return the columns of
-``docs``: documents that the quality classifier rejects go; of each group of near copies the smallest id stays; hit spans of
-benchmark items are cut out, and documents that are mostly hit go; the mixture has a row for each pass in which it takes
-words of a document. The last one writes the token files and returns what they hold.
+``docs``: documents that the quality classifier rejects go; of each group of near copies (similarity of 0.8 or more by
+five-word shingles) the smallest id stays; hit spans of benchmark items are cut out, and documents that are mostly hit go;
+the mixture has a row for each pass in which it takes words of a document. The last one writes the token files and returns
+what they hold.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.drop_near_copies(docs)
+    return ngram_join.drop_near_copies(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

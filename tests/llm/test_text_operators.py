@@ -72,6 +72,18 @@ def test_ngram_join_odd_rows(odd, empty):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "None"]
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"v{i}" for i in range(104)]
+    changed = [*words[:50], *(f"x{i}" for i in range(6)), *words[56:]]  # 90 of 110 shingles of five words: 0.82
+    assert 0.80 <= 90 / 110 < 0.85
+    rows = [*enumerate(texts(4, 60, 60, 40)), (900, " ".join(words)), (901, " ".join(changed)), (902, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {i for i, (_, c) in near_brute(rows, 5, 80).items() if i == c} and 900 in kept and 901 not in kept
+
+
 def test_rows_with_one_id_link_their_classes(spark):
     a, b, c = "a b c d e f g h", "i j k l m n o p", "q r s t u v w x"
     docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (10, c)], "doc_id long, text string")
