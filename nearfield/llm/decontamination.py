@@ -10,20 +10,23 @@ never match. Repeated items count once; repeated documents give equal rows. Empt
 items give no hits. Only doc_id and text, item_id and text are looked at.
 """
 
+import pickle
 import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import LOWER, map_arrow, stored
+from nearfield.llm.common import LOWER, bit_of, fresh, has_bits, hashed_set, map_arrow, stored
 
 WINDOW = 10
 #: An automaton is held by every Python worker: more items than these words make up go into further automata,
 #: each with a pass of its own over the documents.
 PART_WORDS = 250_000
+#: Items that are numbered in one task, and bytes of a serialised automaton in one row.
+GROUP_ITEMS, CHUNK = 5_000, 1 << 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in a text that still has its upper case
 _SPLIT = bytes(c if c >= 0x80 or chr(c).isalnum() else 32 for c in LOWER)
 _FILTER = 1 << 20
@@ -166,32 +169,86 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_parts(items: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS):
-    """Automata of all items, each of about ``part_words`` words at most; items meet the driver one at a time."""
-    def build(part):
-        return Automaton([(item, list(words)) for words, names in part.items() for item in names], window)
+class Packed:
+    """A serialised automaton, which a worker unpacks when it is first used."""
 
-    part, size, made = defaultdict(list), 0, 0
-    for row in items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("i"), "text").distinct().coalesce(8).toLocalIterator():
-        words = tuple(words_of(row.text))
-        if not words:
-            continue
-        if size and size + len(words) > part_words:
-            yield build(part)
-            part, size, made = defaultdict(list), 0, made + 1
-        part[words].append(row.i)
-        size += len(words)
-    if size or not made:
-        yield build(part)
+    def __init__(self, data: bytes):
+        self.data, self.made = data, None
 
+    def automaton(self) -> Automaton:
+        if self.made is None:
+            self.made, self.data = pickle.loads(self.data), b""
+        return self.made
 
-def _hits(docs: DataFrame, automaton: Automaton) -> DataFrame:
+
+def benchmark_parts(items: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """part, no, data: serialised automata of all items in rows of CHUNK bytes, built in tasks and stored.
+
+    A part has the items that begin within ``part_words`` words of a running sum. Longer items are cut before, into
+    pieces that share ``window`` - 1 words, so that every window is in one of them.
+    """
+    named = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    step = max(1, part_words)
+
+    def split(batches):
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(text.as_py())
+                last = max(1, len(words) - window + 1) if words else 0
+                rows += [(item, own) for own in (words[k : k + step + window - 1] for k in range(0, last, step))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([b" ".join(r[1]) for r in rows], pa.binary()), pa.array([len(r[1]) for r in rows], pa.int64())],
+                ["item", "words", "size"])
+
+    pieces = stored(map_arrow(named, split, "item string, words binary, size long"), "items")
+    n, total = pieces.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    grouped = pieces.withColumn("bucket", F.pmod(F.xxhash64("item", "words"), F.lit(1 + n // GROUP_ITEMS)))
+    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each bucket
+    base = grouped.groupBy("bucket").agg(F.sum("size").alias("all")).select("bucket", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("bucket").orderBy("item", "words").rowsBetween(Window.unboundedPreceding, 0)
+    placed = grouped.withColumn("end", F.sum("size").over(inside)).join(base, "bucket").select(
+        F.floor((F.col("base") + F.col("end") - F.col("size")) / F.lit(step)).alias("part"), "item", "words")
+    placed = placed.repartition(min(2_000, 1 + total // step), "part").sortWithinPartitions("part")
+
+    def build(part, rows):
+        data = pickle.dumps(Automaton([(item, words.split(b" ")) for item, words in rows], window), pickle.HIGHEST_PROTOCOL)
+        for no, at in enumerate(range(0, len(data), CHUNK)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int64()), pa.array([no], pa.int32()), pa.array([data[at : at + CHUNK]], pa.binary())], ["part", "no", "data"])
+
+    def run(batches):
+        part, rows = None, []
+        for batch in batches:
+            for p, item, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and p != part:
+                    yield from build(part, rows)
+                    rows = []
+                part = p
+                rows.append((item, words))
+        if rows:
+            yield from build(part, rows)
+
+    return stored(map_arrow(placed, run, "part long, no int, data binary"), "automata")
+
+
+def _part_numbers(parts: DataFrame) -> list[int]:
+    return sorted(r.part for r in parts.select("part").distinct().collect())
+
+
+def _shared(parts: DataFrame, number: int | None, window: int):
+    """The broadcast of one serialised automaton: all that the driver holds of the items at a time."""
+    rows = [] if number is None else parts.where(F.col("part") == number).select("no", "data").collect()
+    data = b"".join(r["data"] for r in sorted(rows, key=lambda r: r.no)) or pickle.dumps(Automaton([], window))
+    return parts.sparkSession.sparkContext.broadcast(Packed(data))
+
+
+def _hits(docs: DataFrame, shared) -> DataFrame:
     """``docs`` (text first) with n_words, spans of hit words as begin and end in turn, and items."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
     extra = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
     def run(batches):
-        matcher = shared.value
+        matcher = shared.value.automaton()
         for batch in batches:
             n, spans, items = [], [], []
             for text in batch.column(0):
@@ -209,33 +266,38 @@ def _hits(docs: DataFrame, automaton: Automaton) -> DataFrame:
     return map_arrow(docs, run, f"{schema}, n_words long, spans array<int>, items array<string>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """doc_id, n_words, spans (begin and end word in turn), items (sorted): one row for each document.
-
-    One pass over the documents for each automaton. With several, hits of the same document meet by id and text hash.
-    """
-    parts = benchmark_parts(benchmark, window, part_words)
-    first = next(parts)
-    more = list(parts)
-    if not more:
-        return _hits(docs.select("text", "doc_id"), first)
+def _merged_hits(docs: DataFrame, parts: DataFrame, numbers: list[int], window: int) -> DataFrame:
+    """d, k (hash of the text), spans, items of the documents with hits: a pass for each automaton, one after the other."""
     keyed = docs.select("text", "doc_id", F.xxhash64("text").alias("key"))
-    found = [_hits(keyed, a).where("size(spans) > 0").select("doc_id", "key", "spans", "items") for a in (first, *more)]
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionAll(x)
-    every = stored(every, "hits").distinct()
-    joined = every.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("all"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    every = None
+    for number in numbers:
+        shared = _shared(parts, number, window)
+        found = stored(_hits(keyed, shared).where("size(spans) > 0").select("doc_id", "key", "spans", "items").distinct(), "hits")
+        shared.destroy()
+        every = found if every is None else every.unionAll(found)
+    joined = every.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("all"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def run(batches):
         for batch in batches:
-            spans = [merged(list(zip(s[::2], s[1::2]))) for s in batch.column(2).to_pylist()]
+            spans = [merged([p for s in each for p in zip(s[::2], s[1::2])]) for each in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([[x for p in s for x in p] for s in spans], pa.list_(pa.int32())), batch.column(3)],
                 ["d", "k", "spans", "items"])
 
-    joined = map_arrow(joined, run, f"d {dict(docs.dtypes)['doc_id']}, k long, spans array<int>, items array<string>")
-    counted = _hits(keyed, Automaton([], window)).select("doc_id", "key", "n_words")
+    return stored(map_arrow(joined, run, f"d {dict(docs.dtypes)['doc_id']}, k long, spans array<int>, items array<string>"), "merged-hits")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """doc_id, n_words, spans (begin and end word in turn), items (sorted): one row for each document.
+
+    One pass over the documents for each automaton. With several, hits of the same document meet by id and text hash.
+    """
+    parts = benchmark_parts(benchmark, window, part_words)
+    numbers = _part_numbers(parts)
+    if len(numbers) < 2:
+        return _hits(docs.select("text", "doc_id"), _shared(parts, *(numbers or [None]), window))
+    joined = _merged_hits(docs, parts, numbers, window)
+    counted = _hits(docs.select("text", "doc_id", F.xxhash64("text").alias("key")), _shared(parts, None, window)).select("doc_id", "key", "n_words")
     return counted.join(joined, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select(
         "doc_id", "n_words", F.coalesce("spans", F.array().cast("array<int>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -249,33 +311,62 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """The rows of ``docs`` without the hit spans; a document of which more than ``max_coverage`` of the words is hit goes.
 
     Spans are cut from their first to their last character. Documents without hits stay as they are; n_chars follows.
+    With several automata, the spans of each are found in a pass of its own and meet the documents by id and text hash;
+    the texts of documents without hits stay where they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(list(benchmark_parts(benchmark, window)))
-
-    def run(batches):
-        automata = shared.value
-        for batch in batches:
-            at, texts, keep = batch.schema.get_field_index("text"), [], []
-            for cell in batch.column(at):
-                text = cell.as_py()
-                words = words_of(text)
-                spans = merged([s for a in automata for s in a.match(words)[0]])
-                keep.append(sum(b - a for a, b in spans) <= max_coverage * len(words))
-                if spans and keep[-1]:
-                    text = without(text, spans)
-                texts.append(text)
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            out = pa.RecordBatch.from_arrays(columns, batch.schema.names)
-            yield out.filter(pa.array(keep, pa.bool_()))
+    parts = benchmark_parts(benchmark, window, part_words)
+    numbers = _part_numbers(parts)
+    names = docs.columns
+    at = names.index("text")
+
+    def cut(batch, spans_of):
+        texts, keep = [], []
+        for i, cell in enumerate(batch.column(at)):
+            text = cell.as_py()
+            words = words_of(text)
+            spans = spans_of(i, words)
+            keep.append(sum(b - a for a, b in spans) <= max_coverage * len(words))
+            texts.append(without(text, spans) if spans and keep[-1] else text)
+        columns = list(batch.columns)[: len(names)]
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = map_arrow(docs, run, schema)
-    if "n_chars" in docs.columns:
+    if len(numbers) < 2:
+        shared = _shared(parts, *(numbers or [None]), window)
+
+        def run(batches):
+            matcher = shared.value.automaton()
+            for batch in batches:
+                yield cut(batch, lambda i, words: matcher.match(words)[0])
+
+        out = map_arrow(docs, run, schema)
+    else:
+        d, k, spans, key, bit = (fresh(x) for x in ("d", "k", "spans", "key", "bit"))
+        hits = _merged_hits(docs, parts, numbers, window).select(F.col("d").alias(d), F.col("k").alias(k), F.col("spans").alias(spans))
+        wanted = docs.sparkSession.sparkContext.broadcast(hashed_set(hits.select(d, k)))  # of fixed size
+        keyed = docs.withColumn(key, F.xxhash64("text")).withColumn(bit, bit_of("doc_id", key))
+
+        def having(found: bool):
+            def run(batches):
+                for batch in batches:
+                    has = has_bits(wanted.value, batch.column(len(names) + 1).to_numpy())
+                    yield pa.RecordBatch.from_arrays(list(batch.columns)[: len(names) + found], batch.schema.names[: len(names) + found]).filter(pa.array(has == found, pa.bool_()))
+
+            return map_arrow(keyed, run, schema + f", `{key}` long" * found)
+
+        def run(batches):
+            for batch in batches:
+                found = batch.column(len(names)).to_pylist()
+                yield cut(batch, lambda i, words: list(zip((found[i] or [])[::2], (found[i] or [])[1::2])))
+
+        joined = having(True).join(hits, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)), "left").select(*[f"`{c}`" for c in names], spans)
+        out = having(False).unionAll(map_arrow(joined, run, schema))
+    if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
 

@@ -169,6 +169,25 @@ def test_contaminated_spans_are_cut(spark, odd, empty):
     assert decontamination.digest(decontamination.contamination(odd, bench.limit(0))).where("contaminated").count() == 0
 
 
+def test_benchmark_parts_are_built_in_tasks(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: [rng.choice("abc") for _ in range(n)]
+    items = [(f"i{k}", " ".join(word(rng.choice([3, 5, 9, 14, 60])))) for k in range(14)]
+    docs = [(i % 50, " ".join([*word(rng.randrange(40)), *["z"] * rng.randrange(90)]), 7) for i in range(60)] + [(99, None, 7), (None, items[3][1] + " z" * 30, 7), (98, "", 7)]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string, d int"), spark.createDataFrame(items, "item_id string, text string")
+
+    def refuse(self, last, c):
+        raise AssertionError("built on the driver")
+
+    monkeypatch.setattr(decontamination.Automaton, "_extend", refuse)
+    parts = decontamination.benchmark_parts(bench, 5, 20)
+    assert parts.where("no = 0").count() > 5
+    whole, cut = (decontamination.remove_contaminated(docs, bench, window=5, part_words=n) for n in (250_000, 20))
+    assert cut.columns == docs.columns and sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    one, many = (decontamination.contamination(docs, bench, window=5, part_words=n).collect() for n in (250_000, 20))
+    assert sorted(map(str, one)) == sorted(map(str, many)) and any(r.spans for r in one)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
