@@ -4,8 +4,11 @@ Every text is matched once for each base kind and once for identifier-like words
 lengths of what stands between matches. Base matches that pass their check (parts of an address, number of digits, Luhn)
 are seeds. The words to the left of seeds are patterns. Patterns and the instances (seeds and identifier-like words) they
 stand before form a graph: a pattern's score for a kind is the mean score of its instances, smoothed; an instance's score
-is the chance that any of its patterns is right. After a few turns, patterns that stand before enough different seeds and
-score high mark the unseen identifiers behind them; those are spans of kind ``like_<kind>``. Base spans always stay.
+is the chance that any of its patterns is right. In each turn the instances that score high become seeds, so patterns that
+stand before enough different seeds, old and new, join the graph. After a few turns, such patterns that score high mark the
+unseen identifiers behind them; those are spans of kind ``like_<kind>``. Base spans always stay.
+
+An identifier-like word is a token without white space, of any length, that has a digit, without the marks around it.
 
 Nulls: a null text is empty and has no spans. A null doc_id is kept. Repeated rows have their own, equal results. An empty
 table gives no rows. Extra columns are not looked at.
@@ -26,8 +29,10 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may be an identifier that no base pattern finds.
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]{0,4}[0-9][A-Za-z0-9-]{5,40}"
+#: What may be an identifier that no base pattern finds: a whole token with a digit, of any length. A match has the marks
+#: before the token's first letter or digit, which are taken off, and ends with its last one; it is tried once a token.
+_SIGN, _MARK = r"[A-Za-z0-9\x80-\x{10FFFF}]", r"[^\sA-Za-z0-9\x80-\x{10FFFF}]"
+CANDIDATE = rf"(?<!\S)(?=[^\s0-9]*+[0-9]){_MARK}*+{_SIGN}++(?:{_MARK}++{_SIGN}++)*+"
 #: Characters of context kept on the left, different seeds a pattern needs, turns, smoothing, and the least score.
 CONTEXT, MIN_SEEDS, TURNS, SMOOTHING, MIN_SCORE = 48, 5, 3, 1.0, 0.8
 
@@ -76,6 +81,14 @@ def _once(hits: Column, gaps: Column, kind: str) -> Column:
         F.lit(kind).alias("kind"), i.alias("place"), z["v"].alias("value"), F.length(z["g"]).alias("gap"), F.right(z["g"], F.lit(CONTEXT)).alias("left")))
 
 
+def _trimmed(m: Column) -> Column:
+    """A candidate without the marks before it, which go to the text on its left."""
+    value = F.regexp_replace(m["value"], f"^{_MARK}+", "")
+    marks = F.length(m["value"]) - F.length(value)
+    left = F.right(F.concat(m["left"], F.substring(m["value"], F.lit(1), marks)), F.lit(CONTEXT))
+    return F.struct(m["kind"].alias("kind"), m["place"].alias("place"), value.alias("value"), (m["gap"] + marks).alias("gap"), left.alias("left"))
+
+
 def found_matches(docs: DataFrame) -> DataFrame:
     """rid (a number of the row), doc_id, found: all matches of every row of ``docs``; written down, texts left behind."""
     text = F.coalesce("text", F.lit(""))
@@ -84,7 +97,7 @@ def found_matches(docs: DataFrame) -> DataFrame:
         _matches(text, "ip", PATTERNS["ip"]),
         _matches(text, "card", PATTERNS["card"]),
         _matches(text, "phone", PATTERNS["phone"], F.instr(text, "+") > 0),
-        _matches(text, "", CANDIDATE),
+        F.transform(_matches(text, "", CANDIDATE), _trimmed),
     ]
     return stored(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.concat(*kinds).alias("found")), "matches")
 
@@ -116,22 +129,30 @@ def contextual(placed: DataFrame, min_seeds: int = MIN_SEEDS, turns: int = TURNS
     seen = candidates.join(shadow, "rid").where("start < e AND s < end").select("rid", "start").distinct()
     fresh = candidates.join(seen, ["rid", "start"], "left_anti")
     linked = lambda df: df.select("rid", "start", "end", "kind", F.xxhash64("value").alias("instance"), F.explode(_patterns(F.col("left"))).alias("pattern"))
-    seeds, others = linked(base), stored(linked(fresh), "unseen")
-    edges = seeds.groupBy("pattern", "instance", "kind").agg(F.lit(1).alias("one")).drop("one")
-    strong = edges.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    # Only instances behind a pattern with enough seeds can score; each edge (pattern, instance) once.
-    known = stored(strong.join(edges, ["pattern", "kind"]).select("pattern", "instance", "kind").withColumn("score", F.lit(1.0)), "seed-edges")
-    unseen = stored(others.join(strong.select("pattern", F.col("kind").alias("as")), "pattern").select("pattern", "instance", F.col("as").alias("kind")).distinct(), "unseen-edges")
-    marked = unseen.withColumn("score", F.lit(0.0))
+    seeds, others = linked(base), stored(linked(fresh).drop("kind"), "unseen")
+    edges = stored(seeds.select("pattern", "instance", "kind").distinct(), "seed-edges")
+    places = stored(others.select("pattern", "instance").distinct(), "unseen-edges")
+
+    scores = edges.select("instance", "kind", F.lit(0.0).alias("score")).limit(0)
+
+    def graph(scores):
+        """Edges (pattern, instance, kind, score) of base matches and of unseen identifiers, behind patterns that stand
+        before enough different seeds. Seeds are base matches and the instances that score enough by now."""
+        found = scores.where(F.col("score") >= min_score).select("instance", "kind")
+        support = edges.unionByName(places.join(found, "instance")).distinct()
+        strong = stored(support.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern", "kind"), "strong")
+        known = edges.join(strong, ["pattern", "kind"]).withColumn("score", F.lit(1.0))
+        unseen = places.join(strong, "pattern").join(scores, ["instance", "kind"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        unseen = stored(unseen.select("pattern", "instance", "kind", "score"), "edges")
+        scored = known.unionByName(unseen).groupBy("pattern", "kind").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("of_pattern"))
+        return unseen, scored
+
     for _ in range(turns):
-        every = known.unionByName(marked)
-        scored = every.groupBy("pattern", "kind").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("of_pattern"))
-        likely = unseen.join(scored, ["pattern", "kind"]).groupBy("instance", "kind").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("of_pattern")))))).alias("score"))
-        marked = stored(unseen.join(likely, ["instance", "kind"]).select("pattern", "instance", "kind", "score"), "scores")
-    every = known.unionByName(marked)
-    sure = every.groupBy("pattern", "kind").agg((F.sum("score") / (F.count("*") + SMOOTHING)).alias("of_pattern")).where(F.col("of_pattern") >= min_score)
-    hits = others.drop("kind").join(sure, "pattern").groupBy("rid", "start", "end").agg(F.max_by("kind", F.struct("of_pattern", "kind")).alias("kind"))
+        unseen, scored = graph(scores)
+        scores = stored(unseen.join(scored, ["pattern", "kind"]).groupBy("instance", "kind").agg(
+            (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("of_pattern")))))).alias("score")), "scores")
+    sure = graph(scores)[1].where(F.col("of_pattern") >= min_score)
+    hits = others.join(sure, "pattern").groupBy("rid", "start", "end").agg(F.max_by("kind", F.struct("of_pattern", "kind")).alias("kind"))
     return hits.select("rid", F.concat(F.lit("like_"), "kind").alias("kind"), "start", "end")
 
 

@@ -232,6 +232,26 @@ def test_pii_context_finds_unseen_identifiers(spark, odd, empty):
     assert pii.pii_report(odd).where("spans = ''").count() == odd.count() and pii.pii_report(empty).count() == 0
 
 
+def test_pii_discovered_identifiers_induce_patterns(spark):
+    numbers = [n for n in range(400000000000, 400000002000) if holds("card", str(n))][:43]
+    rows = [(i, f"lorem my card number {n} ipsum") for i, n in enumerate(numbers[:40])]
+    rows += [(100 + i, f"dolor my card number AB{i}2345678 sit") for i in range(10)]
+    rows += [(200 + i, f"dolor with account ref AB{i}2345678 sit") for i in range(10)]  # a context with 3 base seeds
+    rows += [(300 + i, f"dolor with account ref {n} sit") for i, n in enumerate(numbers[40:])]
+    rows += [(400, "amet with account ref XY99/88.77_66 sit")]
+    got = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "like_card:21:31" and got[200] == "like_card:23:33" and got[400] == "like_card:22:35"
+
+
+def test_pii_candidates_are_whole_tokens(spark):
+    long = "abcdefgh_" + "1a.b/c-" * 40 + "9"
+    values = [long, "a.1", "7", "user_name.x/2"]
+    text = " ".join(f"no digits: a.b-c ({v}), \u00e9\U0001f600" for v in values) + " " + "a." * 50_000
+    df = pii._placed(pii.found_matches(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    got = {(r.value, r.start, r.end, r.left[-5:]) for r in df.where("kind = ''").collect()}
+    assert got == {(v, text.index(f"({v})") + 1, text.index(f"({v})") + 1 + len(v), "b-c (") for v in values}
+
+
 def test_licenses(spark, odd, empty):
     clean = [(100 + i, f"the river number {i} runs past hill and house under an open sky\nwe work in version {i} of the town") for i in range(60)]
     rows = clean + [(1, "some text\nLicensed under the Apache License, Version 2.0."), (2, "Released under the MIT License."), (3, None),
