@@ -1,10 +1,10 @@
 """License scan: a trained paragraph classifier. DataFrame and Spark ML functions only, no Python on the executors.
 
-Texts fall into pieces: lines, and windows of longer lines. A multinomial logistic regression over hashed words and word
-pairs tells licence families and an unknown class apart. It learns from notices made of each family's names and phrases,
-alone and within text, and from pieces of the corpus itself as unknown. What it takes for a family must exceed a
-threshold that is calibrated on unknown pieces it did not learn from, and most word pairs of one of the family's
-templates must occur in the piece; else it stays unknown.
+Texts fall into pieces: paragraphs, whose lines are joined, in windows that overlap. A multinomial logistic regression over
+hashed words and word pairs tells licence families and an unknown class apart. It learns from notices made of each family's
+names and phrases, alone and within text, and from pieces of the corpus itself as unknown. A piece has each family of whose
+templates it holds most word pairs, if the words about them exceed a threshold as being of a licence; the threshold is
+calibrated on unknown pieces that it did not learn from.
 
 Nulls: a null or empty text has no pieces and no licences. Rows with one doc_id, null included, are one document, and each
 of them gets its licences. Empty tables give no rows. Extra columns are not looked at.
@@ -46,11 +46,15 @@ PHRASES = {
     "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
+#: Licences whose notices have phrases of others.
+KIN = {"agpl-3.0": ["gpl-3.0"], "lgpl": ["gpl-2.0", "gpl-3.0"]}
 OPENINGS = ("Licensed under the", "Licensed under", "Released under the", "This work is licensed under the", "Distributed under the", "Available under", "License:")
 UNKNOWN = "unknown"
 #: Words of a piece; documents sampled as unknown text (about so many); pieces of them for learning, and as many for
 #: calibration; cells of hashed words; the least share of a template's word pairs.
 PIECE, TRAIN_DOCS, TRAIN_PIECES, CELLS, OVERLAP = 64, 400, 1_000, 1 << 14, 0.75
+#: Words on either side of a confirmed template that are classified with it.
+AROUND = 8
 _TOKEN = r"[a-z]++(?:'[a-z]++)?|[0-9]++(?:\.[0-9]++)*+"
 _FOREIGN = r"[^\x00-\x7F]"
 
@@ -67,11 +71,18 @@ def _pairs(words):
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """doc_id, line, words: every line with words, in windows of PIECE words that overlap by half."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "x"))
-    lines = lines.select("doc_id", "line", _words(F.col("x")).alias("w")).where("size(w) > 0")
+    """doc_id, words, at (the line of each word): every paragraph, in windows of PIECE words that overlap by half.
+
+    A paragraph is the lines up to one without words, which can have marks as comments do.
+    """
+    marked = lambda x, i: F.array_join(F.transform(_words(x), lambda w: F.concat(w, F.lit("@"), i.cast("string"))), " ")
+    lines = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), marked), "\n")
+    paragraphs = docs.select("doc_id", F.explode(F.split(lines, "\n\n++", -1)).alias("x")).where(F.instr("x", "@") > 0)
+    found = lambda pattern: F.regexp_extract_all("x", F.lit(pattern), F.lit(1))
+    paragraphs = paragraphs.select("doc_id", found(r"([^@\s]++)@").alias("w"), found("@([0-9]++)").alias("l"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - PIECE // 2), F.lit(PIECE // 2))
-    return lines.select("doc_id", "line", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(PIECE)))).alias("words"))
+    return paragraphs.select("doc_id", "w", "l", F.explode(starts).alias("s")).select(
+        "doc_id", F.slice("w", F.col("s"), F.lit(PIECE)).alias("words"), F.slice("l", F.col("s"), F.lit(PIECE)).cast("array<int>").alias("at"))
 
 
 def _templates() -> dict[str, list[str]]:
@@ -103,20 +114,42 @@ class LicenseModel:
     def __init__(self, model, families: list[str], threshold: float):
         self.model, self.families, self.threshold = model, families, threshold
 
-    def classify(self, found: DataFrame) -> DataFrame:
-        """``found`` (with words) with family (or unknown) and probability."""
+    def known(self, found: DataFrame) -> DataFrame:
+        """``found`` (with words) with the probability that they are of any family."""
         scored = self.model.transform(found.withColumn("terms", _features(F.col("words"))))
-        chances = vector_to_array("probability")
-        best = F.array_max(chances)
         # The last class is the unknown one.
-        number = F.array_position(chances, best) - 1
-        family = F.get(F.array(*[F.lit(f) for f in self.families]), number.cast("int"))
-        scored = scored.select(*found.columns, family.alias("family"), best.alias("probability")).where(
-            (F.col("family") != UNKNOWN) & (F.col("probability") >= self.threshold))
-        table = {f: [_plain_pairs(t) for t in texts] for f, texts in _templates().items()}
-        shares = [F.when(F.col("family") == f, F.greatest(F.lit(0.0), *[
-            F.size(F.array_intersect(_pairs(F.col("words")), F.array(*[F.lit(p) for p in pairs]))) / F.lit(float(len(set(pairs)))) for pairs in lists])) for f, lists in table.items()]
-        return scored.withColumn("overlap", F.coalesce(*shares, F.lit(0.0)))
+        return scored.select(*found.columns, (1 - F.get(vector_to_array("probability"), F.lit(len(self.families) - 1))).alias("probability"))
+
+    def classify(self, found: DataFrame, overlap: float) -> DataFrame:
+        """doc_id, line, family, probability, overlap: every family that a template confirms in a window of ``found``
+        (doc_id, words, at), where the words about it are of a licence.
+
+        A family whose words are all words of another one's larger template in the window (GPL in LGPL) is left out. The
+        line is the one with most of the template's word pairs, the first of equal ones.
+        """
+        rows = [(f, True, _plain_pairs(t)) for f, texts in _templates().items() for t in texts]
+        rows += [(f, False, _plain_pairs(t)) for f in KIN for g in KIN[f] for t in PHRASES[g]]
+        rows = [(f, own, sorted(set(pairs))) for f, own, pairs in rows]
+        cues = F.array(*[F.lit(c) for c in sorted({p for _, _, pairs in rows for p in pairs})])
+        templates = found.sparkSession.createDataFrame(rows, "family string, own boolean, template array<string>")
+        some = found.withColumn("pairs", _pairs(F.col("words"))).withColumn("cues", F.array_intersect("pairs", cues)).where("size(cues) > 0")
+        some = some.withColumn("window", F.monotonically_increasing_id())
+        share = F.size(F.array_intersect("cues", "template")) / F.size("template")
+        met = some.crossJoin(F.broadcast(templates)).withColumn("overlap", share).where(F.col("overlap") >= overlap)
+        met = met.withColumn("places", F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains("template", p), i)), lambda i: i.isNotNull()))
+        first = F.greatest(F.lit(1), F.get("places", F.lit(0)) + 1 - AROUND)
+        last = F.array_max("places") + 2 + AROUND
+        met = met.withColumn("words", F.slice("words", first, (last - first + 1).cast("int")))
+        scored = self.known(met.select("doc_id", "window", "family", "own", "overlap", "places", "at", "words")).where(F.col("probability") >= self.threshold)
+        per_line = lambda lines: F.array_max(F.transform(F.array_distinct(lines), lambda n: F.struct(F.size(F.filter(lines, lambda m: m == n)).alias("k"), (-n).alias("n"))))
+        scored = scored.withColumn("lines", F.transform("places", lambda i: F.get("at", i))).withColumn("line", -per_line(F.col("lines"))["n"])
+        families = scored.groupBy("doc_id", "window", "family").agg(
+            F.max("own").alias("own"), F.max(F.when(F.col("own"), F.struct("overlap", F.size("places").alias("size"), "probability", (-F.col("line")).alias("line")))).alias("best"),
+            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")).where("own")
+        whole = families.groupBy("doc_id", "window").agg(F.collect_list(F.struct("family", "best", "places")).alias("all"))
+        alone = F.filter("all", lambda x: ~F.exists("all", lambda y: (F.size(y["places"]) > F.size(x["places"])) & (F.size(F.array_except(x["places"], y["places"])) == 0)))
+        return whole.select("doc_id", F.explode(alone).alias("x")).select(
+            "doc_id", (-F.col("x.best.line")).alias("line"), "x.family", F.col("x.best.probability").alias("probability"), F.col("x.best.overlap").alias("overlap"))
 
 
 def _plain_pairs(text: str) -> list[str]:
@@ -147,7 +180,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRA
     if check:
         held = spark.createDataFrame([(x,) for x in check], "text string").select(_words(F.col("text")).alias("words"))
         scored = model.transform(held.withColumn("terms", _features(F.col("words"))))
-        known = F.array_max(F.slice(vector_to_array("probability"), 1, len(families) - 1))
+        known = 1 - F.get(vector_to_array("probability"), F.lit(len(families) - 1))
         threshold = max(threshold, scored.agg(F.max(known)).first()[0])
     return LicenseModel(model, families, min(threshold, 0.9))
 
@@ -155,14 +188,14 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRA
 def license_pieces(docs: DataFrame, model: LicenseModel | None = None, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, line, family, probability, overlap of the pieces that hold a licence."""
     model = model or train(docs)
-    return model.classify(pieces(docs)).where(F.col("overlap") >= overlap).drop("words")
+    return model.classify(pieces(docs), overlap)
 
 
 def license_report(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """doc_id, n_licenses (lines with one), licenses (families, comma-joined), lines (line:family, comma-joined)."""
-    lines = stored(license_pieces(docs, model), "licenses").groupBy("doc_id", "line").agg(F.max_by("family", F.struct("probability", "overlap", "family")).alias("family"))
+    lines = stored(license_pieces(docs, model), "licenses").select("doc_id", "line", "family").distinct()
     per_doc = lines.groupBy(F.col("doc_id").alias("d")).agg(
-        F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("f"),
+        F.count_distinct("line").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("f"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "family"))), lambda s: F.concat_ws(":", s["line"].cast("string"), s["family"])), ",").alias("l"))
     return docs.select("doc_id").join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")), "left").select(
         "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_licenses"), F.coalesce("f", F.lit("")).alias("licenses"), F.coalesce("l", F.lit("")).alias("lines"))

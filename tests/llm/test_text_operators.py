@@ -265,6 +265,30 @@ def test_licenses(spark, odd, empty):
     assert licenses.license_report(empty).count() == 0
 
 
+def test_wrapped_notices_and_two_licenses_in_a_line(spark):
+    gpl = """some code
+//
+// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU{0} General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+//
+"""
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+    bsd = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:"""
+    clean = [(100 + i, f"the river number {i} runs past hill and house under an open sky\nwe work in version {i} of the town") for i in range(60)]
+    rows = clean + [(1, gpl.format("")), (2, mit), (3, bsd), (4, "Licensed under the MIT License or the Apache License, Version 2.0."), (5, gpl.format(" Lesser")),
+                    (6, "Released under the MIT License.\n\nLicensed under the\nBSD License.")]
+    got = {r.doc_id: (r.n_licenses, r.licenses, r.lines) for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][1] for i in range(1, 7)] == ["gpl-3.0", "mit", "bsd", "apache-2.0,mit", "lgpl", "bsd,mit"]
+    assert got[2] == (1, "mit", "0:mit") and got[4] == (1, "apache-2.0,mit", "0:apache-2.0,0:mit") and got[6] == (2, "bsd,mit", "0:mit,3:bsd")
+    assert {got[i] for i, _ in clean} == {(0, "", "")}
+
+
 def test_no_python_in_native_plans(odd):
     for df in (pii.pii_report(odd), licenses.license_report(odd, licenses.train(odd))):
         plan = df._jdf.queryExecution().executedPlan().toString()
