@@ -26,7 +26,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, SHARD_SLOTS, GROUP_ROWS = 256, 4096, 5_000
 #: A mixture has a weight for each source; its parameters, one row for each, are kept on the driver.
 MAX_SOURCES = 1_000_000
-_DRAWABLE = 10**9
+#: Slots from which numpy draws no hypergeometric numbers; then sources are drawn one after the other, with a normal
+#: distribution where about so many or more vary.
+_DRAWABLE, _MANY = 10**9, 1_000
 
 
 @dataclass
@@ -89,11 +91,26 @@ def split_counts(counts: np.ndarray, slots: int, seed: tuple[int, ...]) -> np.nd
     total = int(counts.sum())
     if total < _DRAWABLE:
         return np.random.default_rng(seed).multivariate_hypergeometric(counts, slots, method="marginals")
-    share = [int(c) * slots // total for c in counts]  # so many that chance no longer shows
-    rest = slots - sum(share)
-    for i in np.argsort(-counts, kind="stable")[:rest]:
-        share[i] += 1
-    return np.array(share, dtype=np.int64)
+    rng, out, rest, left = np.random.default_rng(seed), np.zeros_like(counts), total, slots
+    for i, c in enumerate(counts.tolist()):
+        out[i] = _drawn(rng, c, rest, left)
+        rest, left = rest - c, left - int(out[i])
+    return out
+
+
+def _drawn(rng, own: int, total: int, slots: int) -> int:
+    """How many of ``slots`` drawn from very many slots are of the ``own`` ones: normal where many vary, else binomial."""
+    if not own or not slots or own == total or slots == total:
+        return min(own, slots)
+    few, drawn = min(own, total - own), min(slots, total - slots)
+    if few * (drawn / total) * (1 - few / total) >= _MANY:
+        spread = math.sqrt(own * (slots / total) * (1 - own / total) * ((total - slots) / (total - 1)))
+        got = own * slots // total + round(rng.normal(0, spread))
+    else:
+        got = int(rng.binomial(min(few, drawn), max(few, drawn) / total))  # of the few, in the smaller side
+        got = got if slots == drawn else few - got
+        got = got if own == few else slots - got
+    return max(0, slots - (total - own), min(got, own, slots))
 
 
 def shard_counts(counts: np.ndarray, slots: int, first: int, end: int, seed: int):

@@ -55,6 +55,19 @@ def test_shard_counts_use_up_all_quotas():
     assert all((a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(shards, alone))
 
 
+def test_splits_of_very_many_slots_are_drawn():
+    counts = np.array([6 * 10**9, 40, 3 * 10**9, 0, 10**9])
+    for slots in (5 * 10**9, 9_999_999_000, 4096):
+        drawn = np.array([mixing.split_counts(counts, slots, (s, 0, 1)) for s in range(400)])
+        assert (drawn.sum(axis=1) == slots).all() and (drawn >= 0).all() and (drawn <= counts).all()
+        total = float(counts.sum())
+        mean = counts * (slots / total)
+        spread = np.sqrt(mean * (1 - counts / total) * ((total - slots) / (total - 1)))
+        assert (abs(drawn.mean(axis=0) - mean) <= 5 * spread / 20 + 0.5).all()
+        wide = spread > 1
+        assert (abs(drawn.std(axis=0)[wide] / spread[wide] - 1) < 0.2).all()
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 1000])
 def test_permutation(n):
     assert sorted(mixing.permuted(np.arange(n), n, 99).tolist()) == list(range(n))
