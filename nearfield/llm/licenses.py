@@ -4,7 +4,7 @@ Texts fall into pieces: paragraphs, whose lines are joined, in windows that over
 hashed words and word pairs tells licence families and an unknown class apart. It learns from notices made of each family's
 names and phrases, alone and within text, and from pieces of the corpus itself as unknown. A piece has each family of whose
 templates it holds most word pairs, if the words about them exceed a threshold as being of a licence; the threshold is
-calibrated on unknown pieces that it did not learn from.
+calibrated on all pieces without words of notices that it did not learn from.
 
 Nulls: a null or empty text has no pieces and no licences. Rows with one doc_id, null included, are one document, and each
 of them gets its licences. Empty tables give no rows. Extra columns are not looked at.
@@ -50,8 +50,7 @@ PHRASES = {
 KIN = {"agpl-3.0": ["gpl-3.0"], "lgpl": ["gpl-2.0", "gpl-3.0"]}
 OPENINGS = ("Licensed under the", "Licensed under", "Released under the", "This work is licensed under the", "Distributed under the", "Available under", "License:")
 UNKNOWN = "unknown"
-#: Words of a piece; documents sampled as unknown text (about so many); pieces of them for learning, and as many for
-#: calibration; cells of hashed words; the least share of a template's word pairs.
+#: Words of a piece; documents sampled as unknown text (about so many); pieces of them for learning; cells of hashed words; the least share of a template's word pairs.
 PIECE, TRAIN_DOCS, TRAIN_PIECES, CELLS, OVERLAP = 64, 400, 1_000, 1 << 14, 0.75
 #: Words on either side of a confirmed template that are classified with it.
 AROUND = 8
@@ -164,11 +163,12 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRA
     share = min(1.0, train_docs / n) if n else 0.0
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     cues = [w for o in OPENINGS for w in _plain_pairs(o)] + [p for texts in _templates().values() for t in texts for p in _plain_pairs(t)]
-    plain = pieces(some).where(~F.arrays_overlap(_pairs(F.col("words")), F.array(*[F.lit(c) for c in sorted(set(cues))])))
+    cued = F.arrays_overlap(_pairs(F.col("words")), F.array(*[F.lit(c) for c in sorted(set(cues))]))
+    plain = pieces(some).where(~cued)
     text = F.array_join("words", " ")
     # Bounded by 2 * train_pieces pieces of PIECE words.
-    sample = [r.t for r in plain.select(text.alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(2 * train_pieces).collect()]
-    learn, check = sample[: len(sample) // 2], sample[len(sample) // 2 :]
+    sample = plain.select(text.alias("t")).distinct().select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(2 * train_pieces).collect()
+    learn, seen = ([r[c] for r in sample[: len(sample) // 2]] for c in ("t", "h"))
     families = [*sorted(NAMES), UNKNOWN]
     number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
     rows = training_rows(spark, learn).select(_words(F.col("text")).alias("words"), number.cast("double").alias("label"))
@@ -176,13 +176,11 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRA
     tf = HashingTF(inputCol="terms", outputCol="features", numFeatures=CELLS, binary=True)
     regression = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial", standardization=False)
     model = Pipeline(stages=[tf, regression]).fit(rows)
-    threshold = 0.5
-    if check:
-        held = spark.createDataFrame([(x,) for x in check], "text string").select(_words(F.col("text")).alias("words"))
-        scored = model.transform(held.withColumn("terms", _features(F.col("words"))))
-        known = 1 - F.get(vector_to_array("probability"), F.lit(len(families) - 1))
-        threshold = max(threshold, scored.agg(F.max(known)).first()[0])
-    return LicenseModel(model, families, min(threshold, 0.9))
+    fitted = LicenseModel(model, families, 0.5)
+    unseen = pieces(docs).where(~cued & ~F.xxhash64(text).isin(seen)).select("words")
+    most = fitted.known(unseen).agg(F.max("probability")).first()[0]  # over all pieces without cues
+    fitted.threshold = min(max(fitted.threshold, most or 0.0), 0.9)
+    return fitted
 
 
 def license_pieces(docs: DataFrame, model: LicenseModel | None = None, overlap: float = OVERLAP) -> DataFrame:

@@ -289,6 +289,15 @@ in the Software without restriction."""
     assert {got[i] for i, _ in clean} == {(0, "", "")}
 
 
+def test_license_threshold_covers_all_unknown_pieces(spark):
+    rows = [(i, f"the river number {i} runs past hill and house under an open sky") for i in range(300)]
+    odd_ones = ["mozilla affero lesser mit apache bsd", "gnu mozilla lesser gpl agplv gplv mpl", "affero gnu mozilla lesser license released distributed licensed apache mit bsd permission redistribution creative waived"]
+    docs = spark.createDataFrame(rows + [(900 + i, t) for i, t in enumerate(odd_ones)], "doc_id long, text string")
+    model = licenses.train(docs, train_docs=5)
+    most = model.known(licenses.pieces(docs.where("doc_id >= 900"))).agg(F.max("probability")).first()[0]
+    assert most > 0.5 and model.threshold == pytest.approx(min(most, 0.9))
+
+
 def test_no_python_in_native_plans(odd):
     for df in (pii.pii_report(odd), licenses.license_report(odd, licenses.train(odd))):
         plan = df._jdf.queryExecution().executedPlan().toString()
