@@ -1,6 +1,6 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 
-from nearfield.llm import decontamination, language, licenses, line_dedup, mixing, ngram_join, pii, quality, token_files, topk
+from nearfield.llm import collocations, decontamination, language, licenses, line_dedup, mixing, ngram_join, periodic_runs, pii, quality, token_files, topk
 from nearfield.llm.common import table
 
 
@@ -44,7 +44,17 @@ def op10_quality(spark, sf_dir):
     return quality.predict_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_token_files, op4_exact_topk, op5_ngram_join, op6_decontamination, op7_license_scan, op8_pii, op9_language, op10_quality)}
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.planted(table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digest(periodic_runs.periodic_runs(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_token_files, op4_exact_topk, op5_ngram_join, op6_decontamination, op7_license_scan, op8_pii, op9_language, op10_quality,
+                                   op11_collocations, op13_periodic_runs)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEST_WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
@@ -104,5 +114,32 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op11_collocations": f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("text")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+    SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)
+    GROUP BY ALL HAVING count(*) >= 100
+),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+held AS (
+    SELECT lang, phrase, max(f) AS longer
+    FROM (SELECT lang, f, array_to_string(w[p:p + m - 1], ' ') AS phrase FROM (SELECT lang, f, w, m, unnest(range(1, k - m + 2)) AS p FROM c, (SELECT unnest([2, 3, 4]) AS m) WHERE m < k))
+    GROUP BY ALL
+),
+kept AS (SELECT c.* FROM c LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * c.f),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM kept),
+scored AS (
+    SELECT cuts.lang, cuts.phrase, cuts.f AS a, x.f AS l, y.f AS r, n, cut,
+           CAST((CAST(1000 AS HUGEINT) * cuts.f * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM cuts JOIN totals USING (lang) JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+    JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM scored) WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest) WHERE rank <= 2000
 """,
 }
