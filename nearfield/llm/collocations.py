@@ -220,34 +220,40 @@ class Trie:
             first = np.flatnonzero(np.concatenate(([True], parent[1:] != parent[:-1])))
             sizes = np.diff(np.append(first, len(parent)))
             slots = np.zeros(len(parent), dtype=np.int64)
-            for i in np.argsort(-sizes, kind="stable"):  # wide states first, single ones fill the gaps
+            self.start = self.free
+            for i in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())]:  # wide states first
                 own = child[first[i] : first[i] + sizes[i]]
                 base = self._place(own)
                 self.base[parent[first[i]]] = base
                 self.check[base + own] = parent[first[i]]
                 slots[first[i] : first[i] + sizes[i]] = base + own
+            single = first[sizes == 1]  # they fill the gaps, one after the other
+            self._grow(self.free + len(single) + int((self.check[self.free :] != -1).sum()))
+            gaps = self.free + np.flatnonzero(self.check[self.free :] == -1)[: len(single)]
+            self.base[parent[single]], self.check[gaps], slots[single] = gaps - child[single], parent[single], gaps
+            if len(gaps):
+                self.free = int(gaps[-1]) + 1
             state = np.repeat(slots, np.diff(np.append(rows, n)))
         self.phrase = np.full(len(self.check), -1, dtype=np.int64)
         self.phrase[state] = np.arange(n)
-        del self.free
+        del self.free, self.start
+
+    def _grow(self, need: int) -> None:
+        if need > len(self.check):
+            more = max(need, 2 * len(self.check)) - len(self.check)
+            self.check = np.concatenate((self.check, np.full(more, -1, dtype=np.int64)))
+            self.base = np.concatenate((self.base, np.zeros(more, dtype=np.int64)))
 
     def _place(self, own: np.ndarray) -> int:
-        """A base at which all symbols ``own`` fall on free slots."""
-        offsets, at = own - own[0], self.free
+        """A base at which all symbols ``own`` fall on free slots, not before the place where the last wide state was put."""
+        offsets = own - own[0]
         while True:
-            need = at + 64 + int(offsets[-1]) + 1
-            if need > len(self.check):
-                more = max(need, 2 * len(self.check)) - len(self.check)
-                self.check = np.concatenate((self.check, np.full(more, -1, dtype=np.int64)))
-                self.base = np.concatenate((self.base, np.zeros(more, dtype=np.int64)))
-            slots = at + np.flatnonzero(self.check[at : at + 64] == -1)
-            if at == self.free:  # slots below the first free one are never looked at again
-                self.free = int(slots[0]) if len(slots) else at + 64
-            if len(slots):
-                fits = (self.check[slots[:, None] + offsets] == -1).all(axis=1)
-                if fits.any():
-                    return int(slots[int(fits.argmax())]) - int(own[0])
-            at += 64
+            self._grow(self.start + 64 + int(offsets[-1]) + 1)
+            slots = self.start + np.flatnonzero(self.check[self.start : self.start + 64] == -1)
+            fits = np.flatnonzero((self.check[slots[:, None] + offsets] == -1).all(axis=1))
+            if len(fits):
+                return int(slots[fits[0]]) - int(own[0])
+            self.start += 64
 
     def symbols(self, ids: np.ndarray) -> np.ndarray:
         """Symbols of numbers; 0, which leads nowhere, for those not in the alphabet."""
