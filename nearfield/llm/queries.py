@@ -1,6 +1,6 @@
 """The registered query of each operator, and its SQL where SQL can express it."""
 
-from nearfield.llm import collocations, decontamination, language, licenses, line_dedup, mixing, ngram_join, periodic_runs, pii, quality, token_files, topk
+from nearfield.llm import collocations, decontamination, language, licenses, line_dedup, mixing, ngram_join, periodic_runs, pii, quality, token_files, topk, toxicity
 from nearfield.llm.common import table
 
 
@@ -48,13 +48,17 @@ def op11_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark, sf_dir):
+    return toxicity.predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     docs = periodic_runs.planted(table(spark, sf_dir, "documents"))
     return periodic_runs.run_digest(periodic_runs.periodic_runs(docs))
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mix_sources, op3_token_files, op4_exact_topk, op5_ngram_join, op6_decontamination, op7_license_scan, op8_pii, op9_language, op10_quality,
-                                   op11_collocations, op13_periodic_runs)}
+                                   op11_collocations, op12_toxicity, op13_periodic_runs)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TEST_WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
