@@ -33,7 +33,7 @@ from nearfield.llm.common import LOWER, map_arrow, stored
 from nearfield.operators.bounds import bounded
 
 #: Labelled documents that teach the machine (about so many, chosen by a hash of doc_id), and sentences of each, evenly spread.
-TRAIN_ROWS, TRAIN_SENTENCES = 4_000, 48
+TRAIN_ROWS, TRAIN_SENTENCES = 4_000, 32
 LANDMARKS = 160
 ORDER, DECAY, POWER = 3, 0.6, 6
 #: Landmarks are no more alike than this.
@@ -241,41 +241,54 @@ def logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights (the last one the bias) of a linear machine with squared hinge loss, by Newton steps over the rows within the margin."""
-    x = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+#: Sentences turned to double precision at a time.
+ROWS = 4096
+
+
+def along(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of ``x`` with all but the last of ``w``, and the last."""
+    return np.concatenate([x[at : at + ROWS].astype(np.float64) @ w[:-1] for at in range(0, len(x), ROWS)] or [np.zeros(0)]) + w[-1]
+
+
+def fit_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Weights (the last one the bias) of a linear machine with squared hinge loss, by Newton steps over the rows within the
+    margin; rows of weight 0 don't count."""
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     before = None
     for _ in range(steps):
-        own = y * (x @ w) < 1
+        own = (y * along(x, w) < 1) & (weight > 0)
         if before is not None and (own == before).all():
             break
         before = own
-        xs = x[own] * weight[own, None]
-        w = np.linalg.solve(ridge + 2 * cost * xs.T @ x[own], 2 * cost * xs.T @ y[own])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for at in range(0, len(x), ROWS):
+            pick = at + np.flatnonzero(own[at : at + ROWS])
+            part = np.column_stack((x[pick].astype(np.float64), np.ones(len(pick))))
+            scaled = part * (2 * weight[pick, None])
+            left += scaled.T @ part
+            right += scaled.T @ y[pick]
+        w = np.linalg.solve(left, right)
     return w
 
 
-def learn(vectors: np.ndarray, bags: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+def learn(vectors: np.ndarray, bags: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Weights and bias from sentence ``vectors``, their documents' numbers ``bags`` and ``toxic`` (0 or 1) of each document."""
     inside = toxic[bags] > 0
     positive = inside.copy()
-    w = None
+    w = np.zeros(vectors.shape[1] + 1)
     for turn in range(TURNS):
         if turn:
-            f = vectors @ w[:-1] + w[-1]
+            f = along(vectors, w)
             top = np.full(len(toxic), -np.inf)
             np.maximum.at(top, bags, f)
             positive = inside & ((f > 0) | ((f >= top[bags]) & (f > -0.9)))
             if not positive.any():
                 break
-        y = np.where(positive, 1.0, -1.0)
-        use = positive | ~inside
-        weight = np.where(positive, (use & ~positive).sum() / max(1, positive.sum()), 1.0) if turn == 0 else np.where(positive, 3.0, 1.0)
-        w = fit_hinge(vectors[use], y[use], weight[use])
-    return w[:-1], float(w[-1])
+        heavy = 3.0 if turn else (~inside).sum() / max(1, positive.sum())
+        w = fit_hinge(vectors, np.where(positive, 1.0, -1.0), np.where(positive, heavy, np.where(inside, 0.0, 1.0)))
+    return w
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -348,20 +361,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
                 place = {w: i for i, w in enumerate(distinct)}
                 for own in found:
                     sums = [vectors[[place[w] for w in words]].sum(axis=0) for words in own]
-                    out.append(np.array(sums or np.zeros((1, width)), dtype=np.float32).tobytes())
+                    out.append(np.array(sums or np.zeros((1, width)), dtype=np.float16).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "y", "sums"])
 
     table = map_arrow(sample, embed, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, sums binary").collect()  # bounded by ``rows``
     table.sort(key=lambda r: (r.doc_id, r.y, bytes(r.sums)))
-    sums = [np.frombuffer(r.sums, dtype=np.float32).reshape(-1, len(landmarks.words)).astype(np.float64) for r in table]
-    toxic = np.array([r.y for r in table])
-    bags, vectors = np.repeat(np.arange(len(sums)), [len(s) for s in sums]), np.concatenate(sums)
-    weights, bias = learn(vectors, bags, toxic)
-    f = vectors @ weights + bias
+    toxic, width = np.array([r.y for r in table]), len(landmarks.words)
+    bags = np.repeat(np.arange(len(table)), [len(r.sums) // (2 * width) for r in table])
+    vectors = np.frombuffer(b"".join(r.sums for r in table), dtype=np.float16).reshape(-1, width)
+    del table
+    w = learn(vectors, bags, toxic)
+    f = along(vectors, w)
     best = np.full(len(toxic), -np.inf)
     np.maximum.at(best, bags, f)
     above = np.bincount(bags, np.maximum(0, f + 1), minlength=len(toxic))
-    return Machine(landmarks, weights, bias, fit_logistic(shape(best, above), toxic))
+    return Machine(landmarks, w[:-1], float(w[-1]), fit_logistic(shape(best, above), toxic))
 
 
 def held_out(doc_id: str = "doc_id"):
