@@ -44,6 +44,8 @@ LONG, LONGEST_LANDMARK = 32, 12
 TURNS = 6
 #: Values of words that a worker remembers (twice as many at most), and sequences of letters looked up at a time.
 KNOWN, BATCH = 1 << 18, 1 << 14
+#: Sentences fitted and words compared with all landmarks at a time.
+ROWS = 4096
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENDS = re.compile(rb"[.!?](?=[\x20\x09-\x0D])|[\x0A-\x0D]+")
 
@@ -201,8 +203,11 @@ class Machine:
                     self.new[w] = self.old[w]
                 else:
                     missing.append(w)
-        if missing:
-            self.new.update(zip(missing, (self.landmarks.kernel(missing) @ (self.landmarks.root @ self.weights)).tolist()))
+        missing.sort(key=len)
+        turned = (self.landmarks.root @ self.weights).astype(np.float32) if missing else None
+        for at in range(0, len(missing), ROWS):
+            own = missing[at : at + ROWS]
+            self.new.update(zip(own, (self.landmarks.kernel(own) @ turned).tolist()))
 
     def scores(self, texts: list) -> np.ndarray:
         """Scores of ``texts``, by the likeliest sentence of each."""
@@ -224,7 +229,7 @@ class Machine:
             for words in sentences(text):
                 waiting.append((i, words))
                 size += len(words)
-                if size >= KNOWN // 2:
+                if size >= KNOWN // 8:
                     settle()
                     size = 0
         settle()
@@ -241,10 +246,6 @@ def logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-#: Sentences turned to double precision at a time.
-ROWS = 4096
-
-
 def along(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Inner products of the rows of ``x`` with all but the last of ``w``, and the last."""
     return np.concatenate([x[at : at + ROWS].astype(np.float64) @ w[:-1] for at in range(0, len(x), ROWS)] or [np.zeros(0)]) + w[-1]
