@@ -1,7 +1,7 @@
 """Toxicity: a subsequence string kernel machine over sentences, with Nyström landmarks.
 
-The kernel of two words sums over all sequences of ``ORDER`` characters that both hold, with gaps allowed, each weighted by DECAY to
-the power of the lengths it spans in both; it is normalised, and raised to a power, which leaves it a kernel. So an insult
+The kernel of two words sums over all sequences of ``ORDER`` characters that both hold, with gaps allowed within ``SPAN``, each weighted
+by DECAY to the power of the lengths it spans in both; it is normalised, and raised to a power, which leaves it a kernel. So an insult
 with letters put in or gaps between them stays near its plain form. Words are framed by a mark for their start and end.
 Landmarks are the words that tell toxic labelled documents from others best, none too like another, and common words of the
 others. A word is its
@@ -21,6 +21,7 @@ tables give no rows. Only text, and doc_id and toxic for learning, are looked at
 """
 
 import re
+import uuid
 from functools import cache
 from itertools import combinations
 
@@ -34,8 +35,8 @@ from nearfield.operators.bounds import bounded
 
 #: Labelled documents that teach the machine (about so many, chosen by a hash of doc_id), and sentences of each, evenly spread.
 TRAIN_ROWS, TRAIN_SENTENCES = 4_000, 32
-LANDMARKS = 160
-ORDER, DECAY, POWER = 3, 0.6, 6
+LANDMARKS = 128
+ORDER, SPAN, DECAY, POWER = 3, 5, 0.6, 6
 #: Landmarks are no more alike than this.
 ALIKE = 0.8
 THRESHOLD = 0.7
@@ -94,26 +95,24 @@ def _framed(words: list[bytes], fill: int) -> np.ndarray:
 
 @cache
 def places(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """All rising ORDER places among ``length``, and DECAY to the power of what they span."""
-    out = np.array(list(combinations(range(length), ORDER)), dtype=np.int64).reshape(-1, ORDER)
+    """All rising ORDER places among ``length`` that span SPAN at most, and DECAY to the power of what they span."""
+    out = np.array([at for at in combinations(range(length), ORDER) if at[-1] - at[0] < SPAN], dtype=np.int64).reshape(-1, ORDER)
     return out.T.copy(), (float(DECAY) ** (out[:, -1] - out[:, 0] + 1)).astype(np.float32)
 
 
-def self_kernel(words: np.ndarray) -> np.ndarray:
-    """The kernel of each row with itself; codes 0 and 1 fill."""
-    order, decay = ORDER, DECAY
-    n, j = words.shape
-    gap = np.arange(j)[None, :] - 1 - np.arange(j)[:, None]
-    after = np.where(gap >= 0, float(decay) ** np.maximum(gap, 0), 0).astype(np.float32)
-    ends = [np.ones((n, j), np.float32)] + [np.zeros((n, j), np.float32) for _ in range(order - 1)]
-    total = np.zeros(n, dtype=np.float32)
-    for column in words.T:
-        equal = ((column[:, None] == words) & (words > 1)).astype(np.float32) * np.float32(decay * decay)
-        total += (ends[-1] * equal).sum(axis=1)
-        for i in range(order - 1, 0, -1):
-            ends[i] *= np.float32(decay)
-            ends[i] += (ends[i - 1] * equal) @ after
-    return total
+def self_kernel(codes: np.ndarray) -> np.ndarray:
+    """The kernel of each row with itself."""
+    at, weight = places(codes.shape[1])
+    sequence = np.zeros((len(codes), at.shape[1]), dtype=np.int64)
+    for own in at:
+        sequence = (sequence << 21) + codes[:, own]  # code points have 21 bits, ORDER is 3
+    order = np.argsort(sequence, axis=1)
+    sequence = np.take_along_axis(sequence, order, axis=1)
+    head = np.ones(sequence.shape, dtype=bool)
+    head[:, 1:] = sequence[:, 1:] != sequence[:, :-1]
+    first = np.flatnonzero(head)
+    sums = np.add.reduceat(weight[order].ravel(), first)
+    return np.bincount(first // sequence.shape[1], sums**2, len(codes))
 
 
 class Landmarks:
@@ -122,7 +121,7 @@ class Landmarks:
     def __init__(self, words: list[bytes]):
         self.words = words
         codes = _framed(words, 1)
-        norms = np.sqrt(self_kernel(codes))
+        norms = [float(np.sqrt(self_kernel(w[None, w > 1])[0])) for w in codes]
         self.alphabet = np.unique(codes[codes > 1])
         base = len(self.alphabet) + 1
         # for each sequence of a landmark's letters the landmarks that have it, with their weights
@@ -182,32 +181,37 @@ class Landmarks:
         return self.kernel(words) @ self.root
 
 
+#: Values of words by the machine that a worker used last, lately used ones and those before.
+_known: dict[str, object] = {"machine": None, "new": {}, "old": {}}
+
+
 class Machine:
     """Scores documents by their sentences."""
 
     def __init__(self, landmarks: Landmarks | None, weights: np.ndarray | None, bias: float, curve: np.ndarray):
         self.landmarks, self.weights, self.bias, self.curve = landmarks, weights, bias, curve
-        self.new, self.old = {}, {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"new": {}, "old": {}}
-
-    def know(self, words: set[bytes]) -> None:
-        """Makes sure that the values of ``words`` are known."""
-        if len(self.new) > KNOWN:
-            self.old, self.new = self.new, {}
+        self.name = uuid.uuid4().hex
+
+    def values(self, words: set[bytes]) -> dict[bytes, float]:
+        """A dictionary that has the values of ``words``."""
+        if _known["machine"] != self.name:
+            _known.update(machine=self.name, new={}, old={})
+        elif len(_known["new"]) > KNOWN:
+            _known.update(new={}, old=_known["new"])
+        new, old = _known["new"], _known["old"]
         missing = []
         for w in words:
-            if w not in self.new:
-                if w in self.old:
-                    self.new[w] = self.old[w]
+            if w not in new:
+                if w in old:
+                    new[w] = old[w]
                 else:
                     missing.append(w)
         missing.sort(key=len)
         turned = (self.landmarks.root @ self.weights).astype(np.float32) if missing else None
         for at in range(0, len(missing), ROWS):
             own = missing[at : at + ROWS]
-            self.new.update(zip(own, (self.landmarks.kernel(own) @ turned).tolist()))
+            new.update(zip(own, (self.landmarks.kernel(own) @ turned).tolist()))
+        return new
 
     def scores(self, texts: list) -> np.ndarray:
         """Scores of ``texts``, by the likeliest sentence of each."""
@@ -217,8 +221,7 @@ class Machine:
         waiting, size = [], 0
 
         def settle():
-            self.know({w for _, words in waiting for w in words})
-            value = self.new.__getitem__
+            value = self.values({w for _, words in waiting for w in words}).__getitem__
             for i, words in waiting:
                 f = sum(map(value, words)) + self.bias
                 best[i] = max(best[i], f)

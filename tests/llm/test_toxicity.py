@@ -14,6 +14,8 @@ def plain_kernel(a, b):
         out = {}
         w = "\x02" + w + "\x03"
         for at in combinations(range(len(w)), toxicity.ORDER):
+            if at[-1] - at[0] >= toxicity.SPAN:
+                continue
             key = "".join(w[i] for i in at)
             out[key] = out.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
         return out
