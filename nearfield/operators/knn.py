@@ -6,8 +6,9 @@ Three ways to meet queries and items, chosen by the size of the query set:
   query row is answered where it lies, without a shuffle;
 * few queries on the left: queries are broadcast, items are scanned in place,
   each task emits at most k hits per query;
-* both large: queries and items meet in a grid of blocks of bounded size. A
-  cell holding most of the rows is just split into more blocks.
+* both large: queries meet the items of those pivots (``pivots``) that can hold
+  one of their nearest, in blocks of bounded size. A cell holding most of the
+  rows is just split into more blocks.
 """
 
 from dataclasses import dataclass
@@ -273,7 +274,11 @@ def exact_hits(queries: DataFrame, items: DataFrame, k: int, *,
         return _few(top_hits(_scan_items(block, lay_out(items, "image_id"), k, None), k), block, k)
     queries = queries.select(F.col("query_id").cast("long"), "embedding")
     hits = _scan_in_blocks(queries, items, k, max_broadcast_rows)
-    return top_hits(flat_grid_hits(queries, items, k, block_rows) if hits is None else hits, k)
+    if hits is None:
+        from nearfield.operators.pivots import pivot_hits  # it builds on this module
+
+        hits = pivot_hits(queries, items, k, block_rows=block_rows)
+    return top_hits(hits, k)
 
 
 def _scan_in_blocks(queries: DataFrame, items: DataFrame, k: int, block_rows: int) -> DataFrame | None:

@@ -452,6 +452,7 @@ ORACLES = {
                {_r(_score('distance'), 'similarity_score')}
         FROM ranked WHERE rank <= 10"""),
     "i1_knn_in_blocks": _with("ranked", _top(10)),
+    "i1_knn_by_pivots": _with("ranked", _top(10)),
     "i1_knn_of_prototypes": _with("prototypes vectors", f"""
         SELECT query_id, rank, image_id, {_r('distance', 'distance')} FROM (
             SELECT query_id, image_id, distance,

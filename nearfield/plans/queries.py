@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import scalars as S
 from nearfield.functions import vectors as V
-from nearfield.operators import ann, integrity, joins, knn, lookups, maintenance, reports, upsert
+from nearfield.operators import ann, integrity, joins, knn, lookups, maintenance, pivots, reports, upsert
 from nearfield.operators import prototypes as P
 from nearfield.operators import search as two_stage
 from nearfield.operators.bounds import bounded
@@ -549,6 +549,12 @@ def i1_knn_in_blocks(c):
     return shown_hits(knn.knn_exact(c.queries(), c.vectors(), 10, max_broadcast_rows=200))
 
 
+@query
+def i1_knn_by_pivots(c):
+    """Both sides large: queries go to the items of those pivots only that can hold a near one."""
+    return shown_hits(knn.top_hits(pivots.pivot_hits(c.queries(), c.vectors(), 10), 10))
+
+
 @query
 def i1_knn_of_prototypes(c):
     queries = c.prototypes().select(F.col("category_id").cast("long").alias("query_id"), F.col("prototype").alias("embedding"))
