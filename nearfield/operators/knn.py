@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from nearfield.functions.vectors import SCORE_STEEPNESS, SCORE_THRESHOLD, sigmoid_score
 from nearfield.operators.blocks import BestMatches, positions, vector_matrix
 from nearfield.operators.bounds import bounded
+from nearfield.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 8192
 MAX_BROADCAST_BYTES = 64 << 20
@@ -32,6 +33,9 @@ SPREAD_BYTES_PER_CORE = 8 << 20
 # Query blocks that are worth a scan of all items each; for more of them both sides meet in a grid.
 MAX_SCANS = 64
 
+# Cells that a scan is told by name; beyond, the table of probes prunes it as it runs.
+MAX_NAMED_CELLS = 10_000
+
 # A hit in a hash table, generously.
 HIT_BYTES = 64
 
@@ -233,9 +237,14 @@ def cell_grid_hits(queries: DataFrame, items: DataFrame, k: int, block_rows: int
 
 
 def _rows_by_cell(ids: np.ndarray, queries: np.ndarray, cells: np.ndarray) -> dict[int, np.ndarray]:
-    """For each probed cell the rows of the query block that probe it."""
-    by_id = np.argsort(ids)
-    rows = by_id[np.searchsorted(ids[by_id], queries)]
+    """For each probed cell the rows of the query block that probe it, all rows of a repeated id."""
+    by_id = np.argsort(ids, kind="stable")
+    first, last = (np.searchsorted(ids[by_id], queries, side=side) for side in ("left", "right"))
+    counts = last - first
+    rows = by_id[np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)]
+    cells = np.repeat(cells, counts)
+    if counts.max(initial=1) > 1:  # an id names a cell for each of its rows
+        rows, cells = np.unique(np.column_stack((rows, cells)), axis=0).T
     order = np.lexsort((rows, cells))
     found, starts = np.unique(cells[order], return_index=True)
     return dict(zip(found.tolist(), np.split(rows[order], starts[1:])))
@@ -246,10 +255,11 @@ def probe_hits(queries: DataFrame, items: DataFrame, k: int, probes: DataFrame,
     """The k nearest items of each query among the cells it probes.
 
     queries (query_id, embedding), items (image_id, embedding, cell),
-    probes (query_id, cell). Cells no query probes are pruned from the scan.
+    probes (query_id, cell). Cells no query probes are pruned from the scan: by name
+    where their number is bounded, else at run time by the probe table.
     """
-    items = items.select(F.col("image_id").cast("long"), "embedding", F.col("cell").cast("long"))
-    probes = probes.select(F.col("query_id").cast("long"), F.col("cell").cast("long"))
+    items = items.select(F.col("image_id").cast("long"), "embedding", "cell")
+    probes = probes.select(F.col("query_id").cast("long"), F.col("cell").cast(items.schema["cell"].dataType))
     block = collect_block(queries, "query_id", "embedding", max_broadcast_rows)
     if block is not None:
         most = MAX_BROADCAST_BYTES // 16
@@ -258,9 +268,20 @@ def probe_hits(queries: DataFrame, items: DataFrame, k: int, probes: DataFrame,
             rows = _rows_by_cell(block.ids, pairs["query_id"].to_numpy(), pairs["cell"].to_numpy())
             pruned = items.filter(F.col("cell").isin(sorted(rows)))
             return _few(top_hits(_scan_items(block, lay_out(pruned, "image_id"), k, rows), k), block, k)
+    probes = cut_lineage(probes.distinct())
     queries = queries.select(F.col("query_id").cast("long"), "embedding").join(probes, "query_id")
-    probed = items.join(bounded(probes.select("cell").distinct()), "cell", "left_semi")
-    return top_hits(cell_grid_hits(queries, probed, k), k)
+    return top_hits(cell_grid_hits(queries, _probed(items, probes), k), k)
+
+
+def _probed(items: DataFrame, probes: DataFrame) -> DataFrame:
+    """The items of the cells that ``probes`` names."""
+    wanted = probes.select("cell").distinct()
+    named = wanted.limit(MAX_NAMED_CELLS + 1).toArrow()["cell"].to_pylist()
+    if len(named) <= MAX_NAMED_CELLS:
+        return items.filter(F.col("cell").isin(sorted(named)))
+    least = wanted.agg(F.min("cell")).first()[0]
+    # The comparison holds for all of them; a filtered table lets Spark prune folders as it runs.
+    return items.join(wanted.filter(F.col("cell") >= least), "cell", "left_semi")
 
 
 def exact_hits(queries: DataFrame, items: DataFrame, k: int, *,

@@ -239,6 +239,14 @@ ORACLES = {
         SELECT (SELECT max(vector_id) FROM vectors) + row_number() OVER (ORDER BY i.image_id), i.image_id, NULL
         FROM images i ANTI JOIN vectors v ON v.image_id = i.image_id
         WHERE i.category_id IN (SELECT category_id FROM prototypes)"""),
+    "a3_append_vectors_refused": _with("images vectors", """
+        SELECT image_id, CASE WHEN image_id % 3 = 0 THEN 'exists' WHEN image_id IN (SELECT image_id FROM images) THEN 'written' ELSE 'unknown' END AS outcome
+        FROM vectors WHERE image_id % 3 < 2
+        UNION ALL
+        SELECT image_id, CASE WHEN image_id IN (SELECT image_id FROM images) THEN 'repeated' ELSE 'unknown' END
+        FROM vectors WHERE image_id % 3 = 1 AND image_id % 5 = 0
+        UNION ALL
+        SELECT image_id + 10000000, 'unknown' FROM vectors WHERE image_id % 3 = 1"""),
     "a4_allocate_ids": """
         SELECT (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY event_id) AS vector_id,
                event_id, event_type
@@ -253,6 +261,13 @@ ORACLES = {
         FROM (SELECT 'categories' AS table_name, category_id FROM categories
               UNION ALL SELECT 'images', category_id FROM images
               UNION ALL SELECT 'recompute_queue', category_id FROM recompute_queue) GROUP BY ALL"""),
+    "a5_rekey_swapped": _with("images names categories", """
+        SELECT CAST(CASE category_id WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE category_id END AS INTEGER) AS category_id, category_name FROM categories"""),
+    "a5_upsert_vectors": _with("vectors", """
+        SELECT coalesce(h.vector_id, (SELECT max(vector_id) FROM vectors WHERE image_id % 7 > 0) + row_number() OVER (PARTITION BY h.vector_id IS NULL ORDER BY image_id)) AS vector_id,
+               image_id, h.index_id, round(CAST(coalesce(n.embedding, h.embedding)[1] AS DOUBLE), 6) AS x
+        FROM (SELECT * FROM vectors WHERE image_id % 7 > 0) h
+        FULL JOIN (SELECT image_id + 1 AS image_id, embedding FROM vectors WHERE (image_id + 1) % 2 = 0) n USING (image_id)"""),
     "a5_upsert_categories_ignore": _with("categories nations", """
         SELECT * FROM categories
         UNION ALL
@@ -452,6 +467,12 @@ ORACLES = {
                {_r(_score('distance'), 'similarity_score')}
         FROM ranked WHERE rank <= 10"""),
     "i1_knn_in_blocks": _with("ranked", _top(10)),
+    "i9_replace_in_index": _with("vectors", f"""
+        SELECT query_id, rank, image_id, {_r('distance', 'distance')} FROM (
+            SELECT q.vec_id AS query_id, v.image_id, d.distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY d.distance, v.image_id) AS INTEGER) AS rank
+            FROM embeddings q, (SELECT image_id, CASE WHEN image_id % 50 = 0 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM vectors) v,
+                 LATERAL (SELECT pow(list_distance(CAST(q.embedding AS DOUBLE[]), v.embedding), 2) AS distance) d)
+        WHERE rank <= 10"""),
     "i1_knn_by_pivots": _with("ranked", _top(10)),
     "i1_knn_of_prototypes": _with("prototypes vectors", f"""
         SELECT query_id, rank, image_id, {_r('distance', 'distance')} FROM (

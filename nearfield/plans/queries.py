@@ -18,7 +18,7 @@ from nearfield.plans.bootstrap import bootstrap, system_check
 from nearfield.session import cut_lineage, scratch_path, ship_package
 from nearfield.sources import sinks
 from nearfield.sources.catalog import ingest_items, item_payload, read_catalog
-from nearfield.sources.index_store import append_to_index, load_index, save_index
+from nearfield.sources.index_store import append_to_index, load_index, replace_in_index, save_index
 from nearfield.sources.sample import SampleCatalog
 from nearfield.streaming import queues
 from nearfield.streaming.upkeep import Upkeep, drain_now, run_maintenance
@@ -120,6 +120,19 @@ def a3_append_vectors(c):
     return c.spark.read.parquet(f"{folder}/vectors").select("vector_id", "image_id", "index_id")
 
 
+@query
+def a3_append_vectors_refused(c):
+    """Vectors of items that have one, that aren't there, or that come twice, beside some that are taken."""
+    folder = scratch_path(c.spark, "vectors")
+    held, new = c.vectors().filter("image_id % 3 = 0"), c.vectors().filter("image_id % 3 < 2").select("image_id", "embedding")
+    sinks.write_table(held, folder, "vectors")
+    twice = new.filter("image_id % 3 = 1 AND image_id % 5 = 0")
+    absent = new.filter("image_id % 3 = 1").select((F.col("image_id") + 10_000_000).alias("image_id"), "embedding")
+    done = sinks.append_vectors(new.unionByName(twice).unionByName(absent), folder, on_conflict="skip", images=c.images())
+    refused = done.rejected.select("image_id", F.col("reason").alias("outcome"))
+    return done.accepted.select("image_id", F.lit("written").alias("outcome")).unionByName(refused)
+
+
 @query
 def a4_allocate_ids(c):
     new = c.table("events").select("event_id", "event_type")
@@ -156,6 +169,22 @@ def a5_rekey_categories(c):
     ])
 
 
+@query
+def a5_rekey_swapped(c):
+    """Two keys change places; nothing else takes them meanwhile."""
+    moved = c.spark.createDataFrame([(1, 2), (2, 1)], "old int, new int")
+    return upsert.rekey({"categories": c.categories()}, "category_id", moved)["categories"].select("category_id", "category_name")
+
+
+@query
+def a5_upsert_vectors(c):
+    """Every second item gets the vector of the item before it; some items get their first one."""
+    held = c.vectors().filter("image_id % 7 > 0")
+    new = c.vectors().select((F.col("image_id") + 1).alias("image_id"), "embedding").filter("image_id % 2 = 0")
+    merged = upsert.upsert_vectors(held, new)
+    return merged.select("vector_id", "image_id", "index_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("x"))
+
+
 @query
 def a6_upsert_prototypes(c):
     german = lookups.metadata_matches(c.images(), lang="de")
@@ -669,6 +698,18 @@ def i9_index_append_stored(c):
     return hits.withColumn("ntotal", F.lit(total.first()[0]).cast("long"))
 
 
+@query
+def i9_replace_in_index(c):
+    """Items whose vector changed move to the cell of the new one in the stored index."""
+    centroids = cut_lineage(c.prototypes()).select(F.col("category_id").alias("cell"), F.col("prototype").alias("centroid"))
+    path = scratch_path(c.spark, "index")
+    save_index(ann.ivf_build(c.vectors().select("image_id", "embedding"), centroids=centroids), path)
+    changed = c.vectors().filter("image_id % 50 = 0").select("image_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    replace_in_index(load_index(c.spark, path), changed, path)
+    index = load_index(c.spark, path)
+    return shown_hits(ann.ivf_search(c.queries(), index, 10, nprobe=10))
+
+
 @query
 def i10_register_index(c):
     registry, filled = maintenance.register_index(

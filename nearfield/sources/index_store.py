@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.operators.ann import VectorIndex, place_items
+from nearfield.operators.bounds import bounded
 from nearfield.session import cut_lineage
 
 _META = "index_type string, dim int, ntotal bigint"
@@ -61,3 +62,30 @@ def append_to_index(index: VectorIndex, items: DataFrame, path: str) -> None:
     cells = place_items(index, fresh).select("image_id", "embedding", "cell").hint("rebalance", F.col("cell"))
     cells.write.mode("append").partitionBy("cell").parquet(f"{path}/cells")
     _write_meta(index, path, "overwrite")
+
+
+def replace_in_index(index: VectorIndex, items: DataFrame, path: str) -> None:
+    """Move items (image_id, embedding), each once, to the cell of their new vector in the stored index; new ones are added.
+
+    Only the cells that held them are written anew, each as a whole before its folder is replaced; the others keep
+    their files. The metadata is written anew from a count of the cells.
+    """
+    spark = items.sparkSession
+    fresh = cut_lineage(items.select(F.col("image_id").cast("long"), "embedding"))
+    if not fresh.filter(F.col("embedding").isNull() | (F.size("embedding") != index.dim)).isEmpty():
+        raise ValueError(f"the index holds vectors of dimension {index.dim}")
+    if not fresh.groupBy("image_id").count().filter("count > 1 OR image_id IS NULL").isEmpty():
+        raise ValueError("an item occurs twice, or is null")
+    stored = _read_cells(spark, path)
+    placed = cut_lineage(place_items(index, fresh).select("image_id", "embedding", "cell"))
+    ids = bounded(fresh.select("image_id"))
+    touched = stored.join(ids, "image_id", "left_semi").select("cell").union(placed.select("cell")).distinct()
+    touched = [r.cell for r in touched.collect()]  # as many as there are centroids at most
+    kept = stored.filter(F.col("cell").isin(touched)).join(ids, "image_id", "left_anti").select("image_id", "embedding", "cell")
+    rows = cut_lineage(kept.unionByName(placed))
+    gone = sorted(set(touched) - {r.cell for r in rows.select("cell").distinct().collect()})
+    rows.hint("rebalance", F.col("cell")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cell").parquet(f"{path}/cells")
+    for cell in gone:  # a cell that lost its last item has no rows to be replaced with
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cells/cell={cell}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _write_meta(index, path, "overwrite")
