@@ -30,9 +30,9 @@ from nearfield.operators.bounds import bounded
 
 LEAST, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
 #: Candidates in one trie, each with a pass over the numbered text.
-PART = 1 << 19
+PART = 1 << 18
 #: Hashed counters of a level, and those sent as one row.
-CELLS, CELL_CHUNK = 1 << 21, 1 << 16
+CELLS, CELL_CHUNK = 1 << 22, 1 << 16
 #: Words of text in a row of the stored table (a longer text is one row), and words a task counts or remembers at a time.
 ROW_WORDS, KNOWN = 1 << 16, 1 << 17
 #: Copies of the table of frequent phrases for look-ups by frequent keys.
@@ -143,10 +143,10 @@ def enough(texts: DataFrame, k: int, parts, least: int) -> np.ndarray:
     kind = np.uint8 if least < 256 else np.uint64
 
     def count(batches):
-        total = np.zeros(CELLS, dtype=np.int64)
+        total = np.zeros(CELLS, dtype=np.int32)
         for ids in _texts(batches):
-            gram = grams(ids, k)[_possible(ids, k, parts.value)]
-            np.add.at(total, _cells(gram), 1)
+            cell, n = np.unique(_cells(grams(ids, k)[_possible(ids, k, parts.value)]), return_counts=True)
+            total[cell] = np.minimum(total[cell] + n, least)
         total = np.minimum(total, least).astype(kind).reshape(-1, CELL_CHUNK)
         own = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(own, pa.int32()), "counts": pa.array([total[c].tobytes() for c in own], pa.binary())})
@@ -173,24 +173,24 @@ def candidates(texts: DataFrame, k: int, parts, cells) -> DataFrame:
         return pa.RecordBatch.from_pydict({"key": pa.array([r.tobytes() for r in found.astype(">u8")], pa.binary())})
 
     def run(batches):
-        known, found, size = np.empty(0, dtype=np.uint64), [], 0  # hashes of what this task has given lately
-        for ids in _texts(batches):
-            gram, at = grams(ids, k), _possible(ids, k, parts.value)
-            at = at[has_bits(cells.value, _cells(gram[at]))]
-            if not len(at):
-                continue
-            own, first, back = np.unique(gram[at], return_index=True, return_inverse=True)
-            all_rows = ids[at[:, None] + np.arange(k)]
+        found, size = [], 0
+
+        def distinct():
+            all_rows = np.concatenate(found)
+            _, first, back = np.unique(_grams_of(all_rows), return_index=True, return_inverse=True)
             other = (all_rows != all_rows[first][back]).any(axis=1)  # another phrase under the same hash
-            new = ~np.isin(own, known)
-            found += [all_rows[first][new], all_rows[other]]
-            size += int(new.sum())
-            known = np.union1d(known, own) if len(known) < KNOWN else own
+            return rows(np.concatenate((all_rows[first], all_rows[other])))
+
+        for ids in _texts(batches):
+            at = _possible(ids, k, parts.value)
+            at = at[has_bits(cells.value, _cells(grams(ids, k)[at]))]
+            found.append(ids[at[:, None] + np.arange(k)])
+            size += len(at)
             if size >= KNOWN:
-                yield rows(np.concatenate(found))
+                yield distinct()
                 found, size = [], 0
-        if found:
-            yield rows(np.concatenate(found))
+        if size:
+            yield distinct()
 
     return map_arrow(texts, run, "key binary").distinct()
 
@@ -234,7 +234,9 @@ class Trie:
             if len(gaps):
                 self.free = int(gaps[-1]) + 1
             state = np.repeat(slots, np.diff(np.append(rows, n)))
-        self.phrase = np.full(len(self.check), -1, dtype=np.int64)
+        used = int(np.flatnonzero(self.check != -1)[-1]) + 1
+        self.base, self.check = self.base[:used], self.check[:used]
+        self.phrase = np.full(used, -1, dtype=np.int64)
         self.phrase[state] = np.arange(n)
         del self.free, self.start
 
@@ -310,6 +312,7 @@ def count_phrases(texts: DataFrame, wanted: DataFrame, k: int, part_size: int =
         if row is None:
             continue
         shared = spark.sparkContext.broadcast([bytes(a) for a in row.arrays])  # about ``part_size`` phrases
+        del row
 
         def run(batches, shared=shared):
             trie = _trie(shared.value, k)
