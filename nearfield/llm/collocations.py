@@ -17,6 +17,7 @@ counted whole. Ties in rank: greater count, then the phrase in byte order; ties
 often as they occur. Empty tables give no rows. Only lang and text are looked at, whatever other columns there are.
 """
 
+import ctypes
 from collections import Counter
 
 import numpy as np
@@ -33,7 +34,7 @@ LEAST, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
 PART = 1 << 18
 #: Hashed counters of a level, and those sent as one row.
 CELLS, CELL_CHUNK = 1 << 22, 1 << 16
-#: Words of text in a row of the stored table (a longer text is one row), and words a task counts or remembers at a time.
+#: Words of text in a row of the stored table (a longer piece is one row), and words a task counts or remembers at a time.
 ROW_WORDS, KNOWN = 1 << 16, 1 << 17
 #: Copies of the table of frequent phrases for look-ups by frequent keys.
 SALT = 8
@@ -56,9 +57,28 @@ class _Numbers(dict):
         return value
 
 
-def pieces(raw: bytes) -> list[bytes]:
-    """Words in order, with b"." between pieces."""
-    return raw.translate(_TO_PIECES).replace(b".", b" . ").split()
+def pieces(raw: bytes):
+    """Words in order, with b"." between pieces, in lists of whole pieces of about 1 MiB."""
+    raw = raw.translate(_TO_PIECES)
+    at = 0
+    while at < len(raw):
+        end = raw.find(b".", at + (1 << 20))
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].replace(b".", b" . ").split()
+        at = end + 1
+
+
+def _released(function):
+    """``function`` over batches; a worker then gives back memory it has freed, since later stages run in it too."""
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its own counsel
+            pass
+
+    return run
 
 
 def number_words(docs: DataFrame, seed: int) -> DataFrame:
@@ -87,24 +107,25 @@ def number_words(docs: DataFrame, seed: int) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary())):
-                lang, words = lang.as_py(), pieces(text.as_py() or b"")
+                lang = lang.as_py()
                 if lang not in numbers and sum(map(len, numbers.values())) >= KNOWN:
                     numbers.clear()
                 known = numbers.setdefault(lang, _Numbers(lang, seed))
-                counts.setdefault(lang, Counter()).update(words)
-                ids += [np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.zeros(1, np.uint64)]
-                size += len(words) + 1
-                if size >= ROW_WORDS:
-                    yield text_row()
-                    ids, size = [], 0
-                    if sum(map(len, counts.values())) >= KNOWN:
-                        yield from word_rows()
+                for words in pieces(text.as_py() or b""):
+                    counts.setdefault(lang, Counter()).update(words)
+                    ids += [np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.zeros(1, np.uint64)]
+                    size += len(words) + 1
+                    if size >= ROW_WORDS:
+                        yield text_row()
+                        ids, size = [], 0
+                        if sum(map(len, counts.values())) >= KNOWN:
+                            yield from word_rows()
         if ids:
             yield text_row()
         yield from word_rows()
 
     named = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return map_arrow(named, run, "ids binary, gram long, proof long, lang binary, word binary, n long")
+    return map_arrow(named, _released(run), "ids binary, gram long, proof long, lang binary, word binary, n long")
 
 
 def grams(ids: np.ndarray, k: int) -> np.ndarray:
@@ -132,10 +153,13 @@ def _possible(ids: np.ndarray, k: int, parts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(part[:-1] & part[1:] & (zeros[k:] == zeros[: len(zeros) - k]))
 
 
-def _texts(batches):
+def _texts(batches, k: int):
+    """Numbered texts; a long one in parts that share k - 1 numbers, so that each place begins a phrase in one of them."""
     for batch in batches:
         for row in batch.column(0):
-            yield np.frombuffer(row.as_buffer(), dtype=np.uint64)
+            ids = np.frombuffer(row.as_buffer(), dtype=np.uint64)
+            for at in range(0, max(1, len(ids) - k + 1), 2 * ROW_WORDS):
+                yield ids[at : at + 2 * ROW_WORDS + k - 1]
 
 
 def enough(texts: DataFrame, k: int, parts, least: int) -> np.ndarray:
@@ -144,7 +168,7 @@ def enough(texts: DataFrame, k: int, parts, least: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(CELLS, dtype=np.int32)
-        for ids in _texts(batches):
+        for ids in _texts(batches, k):
             cell, n = np.unique(_cells(grams(ids, k)[_possible(ids, k, parts.value)]), return_counts=True)
             total[cell] = np.minimum(total[cell] + n, least)
         total = np.minimum(total, least).astype(kind).reshape(-1, CELL_CHUNK)
@@ -159,7 +183,7 @@ def enough(texts: DataFrame, k: int, parts, least: int) -> np.ndarray:
                 sums[c] = np.minimum(least, sums.get(c, 0) + own.astype(np.int64))
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "bits": pa.array([np.packbits(s >= least).tobytes() for s in sums.values()], pa.binary())})
 
-    summed = map_arrow(map_arrow(texts, count, "chunk int, counts binary").repartition(CELLS // CELL_CHUNK, "chunk"), fold, "chunk int, bits binary")
+    summed = map_arrow(map_arrow(texts, _released(count), "chunk int, counts binary").repartition(CELLS // CELL_CHUNK, "chunk"), _released(fold), "chunk int, bits binary")
     out = np.zeros(CELLS // 8, dtype=np.uint8)
     for row in summed.collect():  # CELLS bits
         out[row.chunk * CELL_CHUNK // 8 :][: CELL_CHUNK // 8] = np.frombuffer(row.bits, dtype=np.uint8)
@@ -181,7 +205,7 @@ def candidates(texts: DataFrame, k: int, parts, cells) -> DataFrame:
             other = (all_rows != all_rows[first][back]).any(axis=1)  # another phrase under the same hash
             return rows(np.concatenate((all_rows[first], all_rows[other])))
 
-        for ids in _texts(batches):
+        for ids in _texts(batches, k):
             at = _possible(ids, k, parts.value)
             at = at[has_bits(cells.value, _cells(grams(ids, k)[at]))]
             found.append(ids[at[:, None] + np.arange(k)])
@@ -192,7 +216,7 @@ def candidates(texts: DataFrame, k: int, parts, cells) -> DataFrame:
         if size:
             yield distinct()
 
-    return map_arrow(texts, run, "key binary").distinct()
+    return map_arrow(texts, _released(run), "key binary").distinct()
 
 
 class Trie:
@@ -317,7 +341,7 @@ def count_phrases(texts: DataFrame, wanted: DataFrame, k: int, part_size: int =
         def run(batches, shared=shared):
             trie = _trie(shared.value, k)
             total = np.zeros(len(trie.phrases), dtype=np.int64)
-            for ids in _texts(batches):
+            for ids in _texts(batches, k):
                 trie.count(ids, total)
             for at in range(0, len(total), KNOWN):
                 own = at + np.flatnonzero(total[at : at + KNOWN])
@@ -325,7 +349,7 @@ def count_phrases(texts: DataFrame, wanted: DataFrame, k: int, part_size: int =
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array([p.tobytes() for p in trie.phrases[own].astype(">u8")], pa.binary()), "gram": pa.array(gram.view(np.int64)), "f": pa.array(total[own], pa.int64())})
 
-        counted.append(stored(map_arrow(texts, run, "key binary, gram long, f long").groupBy("key", "gram").agg(F.sum("f").alias("f")), "counted"))
+        counted.append(stored(map_arrow(texts, _released(run), "key binary, gram long, f long").groupBy("key", "gram").agg(F.sum("f").alias("f")), "counted"))
         shared.destroy()
     out = counted[0] if counted else None
     for more in counted[1:]:
