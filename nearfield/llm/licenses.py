@@ -1,21 +1,28 @@
 """License scan: a trained paragraph classifier. DataFrame and Spark ML functions only, no Python on the executors.
 
-Texts fall into pieces: paragraphs, whose lines are joined, in windows that overlap. A multinomial logistic regression over
-hashed words and word pairs tells licence families and an unknown class apart. It learns from notices made of each family's
-names and phrases, alone and within text, and from pieces of the corpus itself as unknown. A piece has each family of whose
-templates it holds most word pairs, if the words about them exceed a threshold as being of a licence; the threshold is
-calibrated on all pieces without words of notices that it did not learn from.
+A multinomial logistic regression over hashed words and word pairs tells licence families and an unknown class apart. It
+learns from places in notices made of each family's names and phrases, alone and within text, and from pieces of the corpus
+itself as unknown. Each family has a threshold, calibrated on all pieces of the corpus that can't be part of a notice.
+Texts fall into paragraphs, whose lines are joined. The regression names the families of every place where a notice can be:
+a family's templates confirm it when the words about the place have most of a template's word pairs, unless a related
+family's template has all of these and more.
+
+Where a notice can be is exact: who has the least share of a template's pairs has one of its rarest ones (cues), of
+which there are one more than may be missing.
 
 Nulls: a null or empty text has no pieces and no licences. Rows with one doc_id, null included, are one document, and each
-of them gets its licences. Empty tables give no rows. Extra columns are not looked at.
+of them gets its licences. Empty tables give no rows. Extra columns are not looked at. Long texts are scanned whole, in
+chunks that overlap by the longest template. Of equal lines of a notice the first counts; equal template matches of
+two families are both reported.
 """
 
+import math
 import re
-from itertools import product
+from itertools import groupby, product
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +38,20 @@ NAMES = {
     "cc-by-nc": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-sa": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc0": ["CC0 1.0", "CC0 1.0 Universal Public Domain Dedication"],
+    "epl-2.0": ["Eclipse Public License, version 2.0", "Eclipse Public License v2.0", "EPL-2.0"],
     "gpl-2.0": ["GNU General Public License, version 2", "GPL-2.0", "GNU GPLv2"],
     "gpl-3.0": ["GNU General Public License, version 3", "GPL-3.0", "GNU GPLv3"],
+    "isc": ["ISC License"],
     "lgpl": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3", "LGPL-3.0"],
     "mit": ["MIT License", "MIT license terms"],
     "mpl-2.0": ["Mozilla Public License, version 2.0", "MPL-2.0"],
+    "unlicense": ["The Unlicense license", "the terms of the Unlicense"],
+}
+#: SPDX identifiers.
+TAGS = {
+    "agpl-3.0": ["AGPL-3.0"], "apache-2.0": ["Apache-2.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "cc-by": ["CC-BY-4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc0": ["CC0-1.0"], "epl-2.0": ["EPL-2.0"], "gpl-2.0": ["GPL-2.0"],
+    "gpl-3.0": ["GPL-3.0"], "isc": ["ISC"], "lgpl": ["LGPL-2.1", "LGPL-3.0"], "mit": ["MIT"], "mpl-2.0": ["MPL-2.0"], "unlicense": ["Unlicense"],
 }
 PHRASES = {
     "apache-2.0": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org licenses LICENSE-2.0"],
@@ -43,19 +59,25 @@ PHRASES = {
     "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
     "gpl-3.0": ["either version 3 of the License, or (at your option) any later version"],
     "gpl-2.0": ["either version 2 of the License, or (at your option) any later version"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 #: Licences whose notices have phrases of others.
 KIN = {"agpl-3.0": ["gpl-3.0"], "lgpl": ["gpl-2.0", "gpl-3.0"]}
 OPENINGS = ("Licensed under the", "Licensed under", "Released under the", "This work is licensed under the", "Distributed under the", "Available under", "License:")
 UNKNOWN = "unknown"
-#: Words of a piece; documents sampled as unknown text (about so many); pieces of them for learning; cells of hashed words; the least share of a template's word pairs.
-PIECE, TRAIN_DOCS, TRAIN_PIECES, CELLS, OVERLAP = 64, 400, 1_000, 1 << 14, 0.75
-#: Words on either side of a confirmed template that are classified with it.
-AROUND = 8
+#: Words on either side of a place; documents sampled as unknown text (about so many); pieces of them for learning; cells of hashed words; the least share of a template's word pairs.
+NEAR, TRAIN_DOCS, TRAIN_PIECES, CELLS, OVERLAP = 3, 400, 1_000, 1 << 14, 0.75
+#: Words of a piece (a pair and what is near it) and of a chunk.
+PIECE, CHUNK = 2 * NEAR + 2, 256
+#: A family needs this probability at least, and more than this share of the pieces that can't be of a notice.
+LEAST, CALIBRATED = 0.2, 0.9999
 _TOKEN = r"[a-z]++(?:'[a-z]++)?|[0-9]++(?:\.[0-9]++)*+"
 _FOREIGN = r"[^\x00-\x7F]"
+#: Words that other texts have, too: their pairs come last as cues.
+_COMMON = frozenset("a an and any are at by for general in is it later license may not of on or provided public software terms that the this to under use version with without you your".split())
 
 
 def _words(text):
@@ -63,130 +85,177 @@ def _words(text):
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), _FOREIGN, "x"), F.lit(_TOKEN), F.lit(0))
 
 
-def _pairs(words):
-    """Column: neighbouring words."""
-    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(
-        F.array().cast("array<string>"))
-
+def _plain_words(text: str) -> list[str]:
+    return re.findall(r"[a-z]+(?:'[a-z]+)?|[0-9]+(?:\.[0-9]+)*", text.lower())
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """doc_id, words, at (the line of each word): every paragraph, in windows of PIECE words that overlap by half.
 
-    A paragraph is the lines up to one without words, which can have marks as comments do.
-    """
-    marked = lambda x, i: F.array_join(F.transform(_words(x), lambda w: F.concat(w, F.lit("@"), i.cast("string"))), " ")
-    lines = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), marked), "\n")
-    paragraphs = docs.select("doc_id", F.explode(F.split(lines, "\n\n++", -1)).alias("x")).where(F.instr("x", "@") > 0)
-    found = lambda pattern: F.regexp_extract_all("x", F.lit(pattern), F.lit(1))
-    paragraphs = paragraphs.select("doc_id", found(r"([^@\s]++)@").alias("w"), found("@([0-9]++)").alias("l"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - PIECE // 2), F.lit(PIECE // 2))
-    return paragraphs.select("doc_id", "w", "l", F.explode(starts).alias("s")).select(
-        "doc_id", F.slice("w", F.col("s"), F.lit(PIECE)).alias("words"), F.slice("l", F.col("s"), F.lit(PIECE)).cast("array<int>").alias("at"))
+def _plain_pairs(text: str) -> list[str]:
+    words = _plain_words(text)
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
 def _templates() -> dict[str, list[str]]:
-    return {f: [*NAMES[f], *PHRASES.get(f, [])] for f in NAMES}
+    return {f: [*NAMES[f], *PHRASES.get(f, []), *(f"SPDX-License-Identifier: {t}" for t in TAGS[f])] for f in NAMES}
+
+
+def cues(overlap: float = OVERLAP) -> set[str]:
+    """Word pairs without which no text has ``overlap`` of any template's pairs."""
+    out = set()
+    for text in (t for texts in _templates().values() for t in texts):
+        pairs = sorted(set(_plain_pairs(text)), key=lambda p: (sum(w in _COMMON or w[0].isdigit() for w in p.split()), -len(p), p))
+        out.update(pairs[: len(pairs) - math.ceil(overlap * len(pairs)) + 1])
+    return out
+
+
+def _cue_pattern(overlap: float) -> str:
+    """A regular expression that finds each text with a cue, and perhaps others. It looks at beginnings of words only."""
+    marks = sorted(p.replace(".", r"\.").replace(" ", "[^a-z0-9]*+") for p in cues(overlap))
+    by_first = [(c, [p[1:] for p in g]) for c, g in groupby(marks, key=lambda p: p[0])]
+    return "|".join(("(?<![a-z])(?:" if letters else "(?:") + "|".join(f"{c}(?:{'|'.join(g)})" for c, g in by_first if c.isalpha() == letters) + ")"
+                    for letters in (True, False) if any(c.isalpha() == letters for c, _ in by_first))
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph: lines up to one without words (which can have marks as comments do), each after @ and its number."""
+    text = F.replace(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _FOREIGN, "x"), F.lit("@"), F.lit(" "))
+    marked = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(x.rlike("[a-z0-9]"), F.concat(F.lit("@"), i.cast("string"), F.lit(" "), x)).otherwise(F.lit("")))
+    return docs.select("doc_id", F.explode(F.split(F.array_join(marked, "\n"), "\n\n++", -1)).alias("paragraph")).where(F.instr("paragraph", "@") > 0)
+
+
+def _unmarked(paragraph: str = "paragraph"):
+    return F.regexp_replace(paragraph, "@[0-9]++ ", " ")
 
 
-def training_rows(spark: SparkSession, unknown: list[str]) -> DataFrame:
-    """text, family: notices alone and between unknown texts, and the unknown texts."""
+def plain_pieces(docs: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+    """doc_id, words: all paragraphs without cues in pieces of PIECE words."""
+    free = paragraphs(docs).select("doc_id", _unmarked().alias("x")).where(~F.col("x").rlike(_cue_pattern(overlap)))
+    piece = F.regexp_extract_all("x", F.lit(f"(?:(?:{_TOKEN})[^a-z0-9]*+){{1,{PIECE}}}+"), F.lit(0))
+    return free.select("doc_id", F.explode(piece).alias("x")).select("doc_id", F.regexp_extract_all("x", F.lit(_TOKEN), F.lit(0)).alias("words"))
+
+
+def places(docs: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+    """doc_id, words, region: for each cue of a text the words near it, and all words (w, with their line n) that a notice
+    there can have."""
+    reach = max(len(_plain_words(t)) for texts in _templates().values() for t in texts)
+    cued = paragraphs(docs).where(_unmarked().rlike(_cue_pattern(overlap)))
+    # The number is taken once for a line, not for each of its words.
+    numbered = F.transform(F.split("paragraph", "\n"), lambda x: F.struct(
+        F.regexp_extract(x, "^@([0-9]++)", 1).cast("int").alias("n"), F.regexp_extract_all(F.regexp_replace(x, "^@[0-9]++ ", ""), F.lit(_TOKEN), F.lit(0)).alias("ws")))
+    words = cued.select("doc_id", F.flatten(F.transform(numbered, lambda x: F.transform(x["ws"], lambda w: F.struct(w.alias("w"), x["n"].alias("n"))))).alias("a"))
+    # The slices come after the explosion, in generated code that reads only their words of a long paragraph.
+    chunks = words.select("doc_id", "a", F.explode(F.sequence(F.lit(0), F.floor((F.size("a") - 1) / CHUNK).cast("int"))).alias("c"))
+    start = F.greatest(F.lit(0), F.col("c") * CHUNK - reach)
+    chunks = chunks.select("doc_id", (F.col("c") * CHUNK - start).alias("skip"), F.slice("a", start + 1, F.col("c") * CHUNK - start + CHUNK + reach).alias("a")).withColumn("w", F.col("a.w"))
+    found = F.filter(F.transform(_pairs(F.col("w")), lambda p, i: F.when(p.isin(sorted(cues(overlap))), i)), lambda i: i.isNotNull() & (i >= F.col("skip")) & (i < F.col("skip") + CHUNK))
+    at = chunks.withColumn("i", F.explode(found))
+    around = lambda column, k: F.slice(column, F.greatest(F.lit(1), F.col("i") + 1 - k), F.least(F.col("i"), F.lit(k)) + k + 2)
+    return at.select("doc_id", around("w", NEAR).alias("words"), around("a", reach).alias("region"))
+
+
+def _pairs(words):
+    """Column: neighbouring words."""
+    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def training_rows(spark: SparkSession, unknown: list[list[str]]) -> DataFrame:
+    """words, family: the words near each cue of a notice, alone and between unknown texts, and the unknown pieces."""
     notices = [(f"{o} {n}.", f) for f, names in NAMES.items() for o, n in product(OPENINGS, names)]
     notices += [(p, f) for f, texts in PHRASES.items() for p in texts for _ in OPENINGS]
-    rows = list(notices)
+    notices += [(f"SPDX-License-Identifier: {t}", f) for f, tags in TAGS.items() for t in tags for _ in OPENINGS]
+    marks, rows = cues(), []
     for i, (text, family) in enumerate(notices):
-        if unknown:
-            before, after = unknown[(7 * i) % len(unknown)].split()[:24], unknown[(11 * i + 5) % len(unknown)].split()[:24]
-            rows += [(" ".join([*before, text]), family), (" ".join([text, *after]), family)]
-    rows += [(x, UNKNOWN) for x in unknown]
+        words = _plain_words(text)
+        before, after = (unknown[(k * i + k) % len(unknown)] for k in (7, 11)) if unknown else ([], [])
+        for whole, start in ((words, 0), ([*before, *words], len(before)), ([*words, *after], 0)):
+            for j in range(start, start + len(words) - 1):
+                if f"{whole[j]} {whole[j + 1]}" in marks:
+                    rows.append((whole[max(0, j - NEAR) : j + NEAR + 2], family))
+    rows += [(w, UNKNOWN) for w in unknown]
     # Words of notices that say nothing of a licence by themselves.
-    rows += [(o, UNKNOWN) for o in OPENINGS] * 3 + [("Released under pressure in version 2.0 of the work.", UNKNOWN), ("the general public and this work", UNKNOWN)] * 3
-    return spark.createDataFrame(rows, "text string, family string")
+    rows += [(_plain_words(o), UNKNOWN) for o in (*OPENINGS, "Released under pressure in version 2.0 of the work.", "the general public and this work")] * 3
+    return spark.createDataFrame(rows, "words array<string>, family string")
 
 
-def _features(words):
-    return F.concat(words, _pairs(words))
+def _rivals() -> dict[str, set[str]]:
+    """Families that a family is mistaken for: half of a template's pairs are in one of theirs, or one has phrases of the other."""
+    pairs = {f: [set(_plain_pairs(t)) for t in texts] for f, texts in _templates().items()}
+    near = lambda f, g: any(2 * len(a & b) >= len(a) for a in pairs[f] for b in pairs[g])
+    return {f: {g for g in pairs if g == f or near(f, g) or g in KIN.get(f, ()) or f in KIN.get(g, ())} for f in pairs}
 
 
 class LicenseModel:
-    """A fitted regression, its families by number, and the calibrated threshold."""
-
-    def __init__(self, model, families: list[str], threshold: float):
-        self.model, self.families, self.threshold = model, families, threshold
-
-    def known(self, found: DataFrame) -> DataFrame:
-        """``found`` (with words) with the probability that they are of any family."""
-        scored = self.model.transform(found.withColumn("terms", _features(F.col("words"))))
-        # The last class is the unknown one.
-        return scored.select(*found.columns, (1 - F.get(vector_to_array("probability"), F.lit(len(self.families) - 1))).alias("probability"))
-
-    def classify(self, found: DataFrame, overlap: float) -> DataFrame:
-        """doc_id, line, family, probability, overlap: every family that a template confirms in a window of ``found``
-        (doc_id, words, at), where the words about it are of a licence.
+    """A fitted regression, its classes by number (the unknown one last), and the threshold of each family."""
 
-        A family whose words are all words of another one's larger template in the window (GPL in LGPL) is left out. The
-        line is the one with most of the template's word pairs, the first of equal ones.
-        """
-        rows = [(f, True, _plain_pairs(t)) for f, texts in _templates().items() for t in texts]
-        rows += [(f, False, _plain_pairs(t)) for f in KIN for g in KIN[f] for t in PHRASES[g]]
-        rows = [(f, own, sorted(set(pairs))) for f, own, pairs in rows]
-        cues = F.array(*[F.lit(c) for c in sorted({p for _, _, pairs in rows for p in pairs})])
-        templates = found.sparkSession.createDataFrame(rows, "family string, own boolean, template array<string>")
-        some = found.withColumn("pairs", _pairs(F.col("words"))).withColumn("cues", F.array_intersect("pairs", cues)).where("size(cues) > 0")
-        some = some.withColumn("window", F.monotonically_increasing_id())
-        share = F.size(F.array_intersect("cues", "template")) / F.size("template")
-        met = some.crossJoin(F.broadcast(templates)).withColumn("overlap", share).where(F.col("overlap") >= overlap)
-        met = met.withColumn("places", F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains("template", p), i)), lambda i: i.isNotNull()))
-        first = F.greatest(F.lit(1), F.get("places", F.lit(0)) + 1 - AROUND)
-        last = F.array_max("places") + 2 + AROUND
-        met = met.withColumn("words", F.slice("words", first, (last - first + 1).cast("int")))
-        scored = self.known(met.select("doc_id", "window", "family", "own", "overlap", "places", "at", "words")).where(F.col("probability") >= self.threshold)
-        per_line = lambda lines: F.array_max(F.transform(F.array_distinct(lines), lambda n: F.struct(F.size(F.filter(lines, lambda m: m == n)).alias("k"), (-n).alias("n"))))
-        scored = scored.withColumn("lines", F.transform("places", lambda i: F.get("at", i))).withColumn("line", -per_line(F.col("lines"))["n"])
-        families = scored.groupBy("doc_id", "window", "family").agg(
-            F.max("own").alias("own"), F.max(F.when(F.col("own"), F.struct("overlap", F.size("places").alias("size"), "probability", (-F.col("line")).alias("line")))).alias("best"),
-            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")).where("own")
-        whole = families.groupBy("doc_id", "window").agg(F.collect_list(F.struct("family", "best", "places")).alias("all"))
-        alone = F.filter("all", lambda x: ~F.exists("all", lambda y: (F.size(y["places"]) > F.size(x["places"])) & (F.size(F.array_except(x["places"], y["places"])) == 0)))
-        return whole.select("doc_id", F.explode(alone).alias("x")).select(
-            "doc_id", (-F.col("x.best.line")).alias("line"), "x.family", F.col("x.best.probability").alias("probability"), F.col("x.best.overlap").alias("overlap"))
+    def __init__(self, model, classes: list[str], thresholds: dict[str, float], overlap: float = OVERLAP):
+        self.model, self.classes, self.thresholds, self.overlap = model, classes, thresholds, overlap
 
+    def scored(self, found: DataFrame) -> DataFrame:
+        """``found`` (with words) with the probability of each class."""
+        pairs = NGram(n=2, inputCol="words", outputCol="pairs").transform(found)
+        scored = self.model.transform(pairs.withColumn("terms", F.concat("words", "pairs")))
+        return scored.select(*found.columns, vector_to_array("probability").alias("probabilities"))
 
-def _plain_pairs(text: str) -> list[str]:
-    words = re.findall(r"[a-z]+(?:'[a-z]+)?|[0-9]+(?:\.[0-9]+)*", text.lower())
-    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+    def identify(self, found: DataFrame) -> DataFrame:
+        """``found`` once for each family that the regression finds likely enough, with family and probability."""
+        families = F.array(*[F.struct(F.lit(f).alias("family"), F.get("probabilities", F.lit(i)).alias("p"), F.lit(self.thresholds[f]).alias("t")) for i, f in enumerate(self.classes[:-1])])
+        likely = self.scored(found).withColumn("x", F.explode(F.filter(families, lambda x: x["p"] >= x["t"])))
+        return likely.select(*found.columns, F.col("x.family").alias("family"), F.col("x.p").alias("probability"))
 
+    def confirm(self, identified: DataFrame) -> DataFrame:
+        """doc_id, line, family, probability, overlap of ``identified`` (with region) that one of the family's templates
+        confirms and none of a related family that has all of its words and more (GPL in LGPL).
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRAIN_PIECES) -> LicenseModel:
+        The line is the one with most of the template's word pairs, the first of equal ones.
+        """
+        texts, rivals = _templates(), _rivals()
+        rows = [(f, g, True, _plain_pairs(t)) for f in rivals for g in rivals[f] for t in texts[g]]
+        rows += [(f, g, False, _plain_pairs(t)) for f in rivals for g in rivals[f] for k in KIN.get(g, ()) for t in PHRASES[k]]
+        rows = [(f, g, own, sorted(set(pairs))) for f, g, own, pairs in rows]
+        # Fixed rows, a few hundred.
+        templates = F.broadcast(identified.sparkSession.createDataFrame(rows, "family string, rival string, own boolean, template array<string>"))
+        met = identified.withColumn("place", F.monotonically_increasing_id()).withColumn("pairs", _pairs(F.col("region.w"))).join(templates, "family")
+        met = met.withColumn("overlap", F.size(F.array_intersect("pairs", "template")) / F.size("template")).where(F.col("overlap") >= self.overlap)
+        met = met.withColumn("has", F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains("template", p), i)), lambda i: i.isNotNull()))
+        lines = F.transform("has", lambda i: F.get("region", i)["n"])
+        most = F.array_max(F.transform(F.array_distinct("lines"), lambda n: F.struct(F.size(F.filter("lines", lambda m: m == n)).alias("k"), (-n).alias("n"))))
+        met = met.withColumn("lines", lines).withColumn("line", -most["n"])
+        rival = met.groupBy("doc_id", "place", "family", "rival").agg(
+            F.max(F.when(F.col("own"), F.struct("overlap", F.size("has").alias("size"), "probability", (-F.col("line")).alias("line")))).alias("best"),
+            F.array_distinct(F.flatten(F.collect_list("has"))).alias("has")).where(F.col("best").isNotNull())
+        # At most one row for each related family.
+        whole = rival.groupBy("doc_id", "place", "family").agg(F.collect_list(F.struct("rival", "best", "has")).alias("all"))
+        mine = whole.withColumn("x", F.get(F.filter("all", lambda x: x["rival"] == F.col("family")), F.lit(0))).where(F.col("x").isNotNull())
+        beaten = F.exists("all", lambda y: (F.size(y["has"]) > F.size(F.col("x.has"))) & (F.size(F.array_except(F.col("x.has"), y["has"])) == 0))
+        return mine.where(~beaten).select("doc_id", (-F.col("x.best.line")).alias("line"), "family", F.col("x.best.probability").alias("probability"), F.col("x.best.overlap").alias("overlap"))
+
+
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRAIN_PIECES, overlap: float = OVERLAP) -> LicenseModel:
     """A model learned from the notices and from pieces of about ``train_docs`` documents, chosen by a hash of doc_id."""
     spark = docs.sparkSession
     n = docs.select("doc_id").count()
     share = min(1.0, train_docs / n) if n else 0.0
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    cues = [w for o in OPENINGS for w in _plain_pairs(o)] + [p for texts in _templates().values() for t in texts for p in _plain_pairs(t)]
-    cued = F.arrays_overlap(_pairs(F.col("words")), F.array(*[F.lit(c) for c in sorted(set(cues))]))
-    plain = pieces(some).where(~cued)
-    text = F.array_join("words", " ")
-    # Bounded by 2 * train_pieces pieces of PIECE words.
-    sample = plain.select(text.alias("t")).distinct().select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(2 * train_pieces).collect()
-    learn, seen = ([r[c] for r in sample[: len(sample) // 2]] for c in ("t", "h"))
-    families = [*sorted(NAMES), UNKNOWN]
-    number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    rows = training_rows(spark, learn).select(_words(F.col("text")).alias("words"), number.cast("double").alias("label"))
-    rows = rows.withColumn("terms", _features(F.col("words"))).coalesce(2)
+    # Bounded: train_pieces pieces of PIECE words.
+    sample = plain_pieces(some, overlap).select("words").distinct().select("words", F.xxhash64("words").alias("h")).orderBy("h", "words").limit(train_pieces).collect()
+    classes = [*sorted(NAMES), UNKNOWN]
+    number = F.array_position(F.array(*[F.lit(f) for f in classes]), F.col("family")) - 1
+    rows = training_rows(spark, [r.words for r in sample]).withColumn("label", number.cast("double"))
+    rows = rows.withColumn("terms", F.concat("words", _pairs(F.col("words")))).select("terms", "label").coalesce(2)
     tf = HashingTF(inputCol="terms", outputCol="features", numFeatures=CELLS, binary=True)
     regression = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial", standardization=False)
-    model = Pipeline(stages=[tf, regression]).fit(rows)
-    fitted = LicenseModel(model, families, 0.5)
-    unseen = pieces(docs).where(~cued & ~F.xxhash64(text).isin(seen)).select("words")
-    most = fitted.known(unseen).agg(F.max("probability")).first()[0]  # over all pieces without cues
-    fitted.threshold = min(max(fitted.threshold, most or 0.0), 0.9)
+    fitted = LicenseModel(Pipeline(stages=[tf, regression]).fit(rows), classes, dict.fromkeys(classes[:-1], LEAST), overlap)
+    unseen = plain_pieces(docs, overlap).select("words", (~F.xxhash64("words").isin([r.h for r in sample])).alias("unseen"))
+    calibrated = [F.percentile_approx(F.when(F.col("unseen"), F.get("probabilities", F.lit(i))), CALIBRATED, 100_000).alias(f"c{i}") for i in range(len(classes) - 1)]
+    found = fitted.scored(unseen).agg(*calibrated).first()  # over all pieces without cues that it did not learn from
+    fitted.thresholds = {f: max(LEAST, found[i] or 0.0) for i, f in enumerate(classes[:-1])}
     return fitted
 
 
 def license_pieces(docs: DataFrame, model: LicenseModel | None = None, overlap: float = OVERLAP) -> DataFrame:
-    """doc_id, line, family, probability, overlap of the pieces that hold a licence."""
-    model = model or train(docs)
-    return model.classify(pieces(docs), overlap)
+    """doc_id, line, family, probability, overlap of the places that hold a licence; one for each cue of a notice."""
+    model = model or train(docs, overlap=overlap)
+    return model.confirm(model.identify(places(docs, model.overlap)))
 
 
 def license_report(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:

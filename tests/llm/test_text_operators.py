@@ -289,13 +289,59 @@ in the Software without restriction."""
     assert {got[i] for i, _ in clean} == {(0, "", "")}
 
 
-def test_license_threshold_covers_all_unknown_pieces(spark):
+def test_license_thresholds_cover_all_unknown_pieces(spark):
     rows = [(i, f"the river number {i} runs past hill and house under an open sky") for i in range(300)]
     odd_ones = ["mozilla affero lesser mit apache bsd", "gnu mozilla lesser gpl agplv gplv mpl", "affero gnu mozilla lesser license released distributed licensed apache mit bsd permission redistribution creative waived"]
     docs = spark.createDataFrame(rows + [(900 + i, t) for i, t in enumerate(odd_ones)], "doc_id long, text string")
     model = licenses.train(docs, train_docs=5)
-    most = model.known(licenses.pieces(docs.where("doc_id >= 900"))).agg(F.max("probability")).first()[0]
-    assert most > 0.5 and model.threshold == pytest.approx(min(most, 0.9))
+    scored = model.scored(licenses.plain_pieces(docs)).toPandas()["probabilities"]
+    most = np.max(np.stack(scored), axis=0)
+    # So few pieces that the share above which a piece counts is the greatest one.
+    assert max(most[:-1]) > licenses.LEAST
+    assert model.thresholds == {f: pytest.approx(max(licenses.LEAST, m)) for f, m in zip(model.classes[:-1], most)}
+
+
+def near_templates(text, overlap=licenses.OVERLAP):
+    """Families of which some run of words of ``text``, as long as a region, has the share of a template's pairs."""
+    words = licenses._plain_words(text)
+    reach, found = 2 * max(len(licenses._plain_words(t)) for ts in licenses._templates().values() for t in ts) + 2, set()
+    for f, ts in licenses._templates().items():
+        for pairs in (set(licenses._plain_pairs(t)) for t in ts):
+            for i in range(max(1, len(words) - reach + 1)):
+                part = words[i : i + reach]
+                if len(pairs & {f"{a} {b}" for a, b in zip(part, part[1:])}) >= overlap * len(pairs):
+                    found.add(f)
+    return found
+
+
+def test_license_cues_are_in_all_that_templates_confirm(spark):
+    rng = random.Random(3)
+    rows, filler = [], "the river of this work runs under an open license version 2 in the public house".split()
+    for f, ts in licenses._templates().items():
+        for t in ts:
+            for _ in range(4):
+                words = t.split()
+                for _ in range(rng.randrange(3)):
+                    words[rng.randrange(len(words))] = rng.choice(filler)
+                before, after = ([rng.choice(filler) for _ in range(rng.randrange(300))] for _ in "ab")
+                rows.append((len(rows), " ".join([*before, *words, *after])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cued = {r.doc_id for r in licenses.places(docs).select("doc_id").distinct().collect()}
+    assert {i for i, t in rows if near_templates(t)} <= cued
+    got = {}
+    for r in licenses.license_pieces(docs).select("doc_id", "family").distinct().collect():
+        got.setdefault(r.doc_id, set()).add(r.family)
+    assert all(families <= near_templates(dict(rows)[i]) for i, families in got.items())
+
+
+def test_license_tags_and_more_families(spark):
+    clean = [(100 + i, f"the river number {i} runs past hill and house under an open sky\nwe work in version {i} of the town") for i in range(60)]
+    want = {1: ("# SPDX-License-Identifier: MIT", "mit"), 2: ("// SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0"), 3: ("Released under the Eclipse Public License, version 2.0.", "epl-2.0"),
+            4: ("Licensed under the ISC License.", "isc"), 5: ("This is free and unencumbered software released into the public domain.", "unlicense"),
+            6: ("x " * 600_000 + "\nReleased under the MIT License. " + "y " * 600_000, "mit"), 7: ("Distributed under the GNU Affero General Public License, version 3", "agpl-3.0")}
+    docs = spark.createDataFrame(clean + [(i, t) for i, (t, _) in want.items()], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.license_report(docs).collect()}
+    assert {i: got[i] for i in want} == {i: f for i, (_, f) in want.items()} and not any(got[i] for i, _ in clean)
 
 
 def test_no_python_in_native_plans(odd):
