@@ -1,6 +1,6 @@
 """Approximate search: inverted lists of k-means cells, and hash buckets."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfield.operators.blocks import vector_matrix
+from nearfield.operators.blocks import BestMatches, keep_best, vector_matrix
 from nearfield.operators.bounds import bounded
 from nearfield.operators.knn import (
+    HIT_SCHEMA,
     MAX_BROADCAST_ROWS,
+    VectorBlock,
     cell_grid_hits,
     collect_block,
     exact_hits,
@@ -23,6 +25,7 @@ from nearfield.operators.knn import (
     probe_hits,
     with_score,
 )
+from nearfield.session import cut_lineage
 
 INDEX_TYPES = ("flatl2", "ivfflat", "lsh")
 
@@ -30,14 +33,67 @@ INDEX_TYPES = ("flatl2", "ivfflat", "lsh")
 MAX_BLOCK_CELLS = 1 << 16
 
 
+@dataclass
+class HashTables:
+    """Projections that name one bucket of each table for a vector: ``per_table`` of them, cut at ``bucket_length``.
+
+    More projections or shorter cuts mean fewer candidates, more tables mean more.
+    """
+
+    projections: np.ndarray
+    bucket_length: float = 0.25
+    per_table: int = 2
+
+    @classmethod
+    def random(cls, dim: int, bucket_length: float = 0.25, num_tables: int = 8, per_table: int = 2, seed: int = 7):
+        directions = np.random.default_rng(seed).normal(size=(num_tables * per_table, dim))
+        return cls(directions / np.linalg.norm(directions, axis=1, keepdims=True), bucket_length, per_table)
+
+    def names(self, vectors: np.ndarray) -> np.ndarray:
+        """For each vector and table the number of the table and the cuts."""
+        tables = len(self.projections) // self.per_table
+        if len(vectors) == 0:
+            return np.zeros((0, tables, self.per_table + 1), dtype=np.int32)
+        cuts = np.floor(vectors.astype(np.float64) @ self.projections.T / self.bucket_length)
+        cuts = cuts.clip(-(2**31), 2**31 - 1).astype(np.int32).reshape(len(cuts), tables, self.per_table)
+        numbers = np.broadcast_to(np.arange(tables, dtype=np.int32)[None, :, None], (*cuts.shape[:2], 1))
+        return np.concatenate((numbers, cuts), axis=2)
+
+    def postings(self, df: DataFrame, key: str, *, keep_vector: bool = False) -> DataFrame:
+        """``key`` and each bucket (the table, then its cuts) of the vectors of ``df`` (key, embedding)."""
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                names = self.names(vector_matrix(batch.column(1)))
+                inner = _lists(names.reshape(-1, self.per_table + 1))
+                offsets = pa.array(np.arange(len(names) + 1, dtype=np.int32) * names.shape[1])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_vector], pa.ListArray.from_arrays(offsets, inner)],
+                                                 ["key", *["embedding"] * keep_vector, "buckets"])
+
+        vector = ["embedding"] if keep_vector else []
+        narrow = df.select(F.col(key).cast("long"), F.col("embedding").cast("array<float>"))
+        hashed = narrow.mapInArrow(run, f"key bigint, {'embedding array<float>, ' if keep_vector else ''}buckets array<array<int>>")
+        return hashed.select(F.col("key").alias(key), *vector, F.explode("buckets").alias("bucket"))
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists of ints."""
+    flat = pa.array(np.ascontiguousarray(rows).ravel(), pa.int32())
+    return pa.FixedSizeListArray.from_arrays(flat, rows.shape[1]).cast(pa.list_(pa.int32()))
+
+
 @dataclass
 class VectorIndex:
-    """centroids (cell, centroid) and cells (cell, image_id, embedding)."""
+    """centroids (cell, centroid) and cells (cell, image_id, embedding); with hash buckets also their
+    projections and postings (image_id, bucket), which hold no vectors."""
 
     index_type: str
     centroids: DataFrame | None
     cells: DataFrame
     dim: int
+    hashing: HashTables | None = None
+    postings: DataFrame | None = None
 
 
 def _dimension(items: DataFrame) -> int:
@@ -110,14 +166,20 @@ def flat_build(items: DataFrame, dim: int | None = None) -> VectorIndex:
     return VectorIndex("flatl2", None, cells, _dimension(items) if dim is None else dim)
 
 
+def lsh_build(items: DataFrame, hashing: HashTables) -> VectorIndex:
+    """The index of hash buckets for items (image_id, embedding)."""
+    flat = flat_build(items, hashing.projections.shape[1])
+    return replace(flat, index_type="lsh", hashing=hashing, postings=hashing.postings(items, "image_id"))
+
+
 def build_index(items: DataFrame, index_type: str = "flatl2", *, nlist: int = 100, seed: int = 7) -> VectorIndex:
-    """Build one of INDEX_TYPES; 'lsh' is the hash-bucket search, which needs
-    no stored structure but the vectors."""
+    """Build one of INDEX_TYPES; 'lsh' has the vectors in one cell and postings of their hash buckets."""
     if index_type == "ivfflat":
         return ivf_build(items, nlist, seed=seed)
-    if index_type in ("flatl2", "lsh"):
-        index = flat_build(items)
-        return VectorIndex(index_type, None, index.cells, index.dim)
+    if index_type == "flatl2":
+        return flat_build(items)
+    if index_type == "lsh":
+        return lsh_build(items, HashTables.random(_dimension(items), seed=seed))
     raise ValueError(f"index_type must be one of {INDEX_TYPES}")
 
 
@@ -129,15 +191,20 @@ def place_items(index: VectorIndex, items: DataFrame) -> DataFrame:
 
 
 def index_add(index: VectorIndex, items: DataFrame) -> VectorIndex:
-    """The index with more items, each placed in an existing cell."""
-    cells = index.cells.unionByName(place_items(index, items))
-    return VectorIndex(index.index_type, index.centroids, cells, index.dim)
+    """The index with more items, each placed in an existing cell, or under its buckets."""
+    grown = replace(index, cells=index.cells.unionByName(place_items(index, items)))
+    if index.postings is not None:
+        grown.postings = index.postings.unionByName(index.hashing.postings(items, "image_id"))
+    return grown
 
 
 def index_remove(index: VectorIndex, ids: DataFrame) -> VectorIndex:
     """The index without the given items (image_id)."""
-    cells = index.cells.join(ids.select("image_id"), "image_id", "left_anti")
-    return VectorIndex(index.index_type, index.centroids, cells, index.dim)
+    gone = ids.select("image_id")
+    kept = replace(index, cells=index.cells.join(gone, "image_id", "left_anti"))
+    if index.postings is not None:
+        kept.postings = index.postings.join(gone, "image_id", "left_anti")
+    return kept
 
 
 _RESULT = ("query_id", "rank", "image_id", "distance", "similarity_score")
@@ -164,51 +231,97 @@ def ivf_search(queries: DataFrame, index: VectorIndex, k: int = 10, nprobe: int
     return with_score(_cell_hits(queries, index, k, nprobe, max_broadcast_rows)).select(*_RESULT)
 
 
+def _scan_buckets(block: VectorBlock, items: DataFrame, k: int, rows_of: dict[int, np.ndarray]) -> DataFrame:
+    """Partial hits of a broadcast query block against items (image_id, embedding, codes) in place; ``rows_of`` has the
+    queries of each code. A pair that meets under several codes counts once."""
+    shared = items.sparkSession.sparkContext.broadcast((block.ids, block.vectors, rows_of))
+
+    def scan(batches):
+        query_ids, queries, probing = shared.value
+        found = np.zeros(0, np.int64), np.zeros(0, np.float64), np.zeros(0, np.int64)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), vector_matrix(batch.column(1))
+            codes = batch.column(2)
+            place = np.repeat(np.arange(len(ids)), codes.value_lengths().to_numpy())
+            flat = codes.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(flat, kind="stable")
+            names, starts = np.unique(flat[order], return_index=True)
+            parts = [found]
+            for name, inside in zip(names.tolist(), np.split(place[order], starts[1:])):
+                rows = probing[name]
+                best = BestMatches(queries[rows], k)
+                best.update(vectors[inside], ids[inside])
+                left, distance, right = best.result()
+                parts.append((rows[left], distance, right))
+            left, distance, right = (np.concatenate(column) for column in zip(*parts))
+            order = np.lexsort((right, distance, left))
+            left, distance, right = left[order], distance[order], right[order]
+            once = np.ones(len(left), dtype=bool)
+            once[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+            left, distance, right = left[once], distance[once], right[once]
+            best = keep_best(left, distance, right, k)
+            found = left[best], distance[best], right[best]
+        left, distance, right = found
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[left]), pa.array(right), pa.array(distance)], ["query_id", "image_id", "distance"])
+
+    return items.mapInArrow(scan, HIT_SCHEMA)
+
+
+def bucket_hits(queries: DataFrame, items: DataFrame, postings: DataFrame, hashing: HashTables, k: int, *,
+                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """query_id, image_id, distance and rank of the k nearest of the items (image_id, embedding) that share a bucket
+    with the query; postings (image_id, bucket) name the buckets of the items.
+
+    Candidates are found among postings, without a vector, and each once whatever number of tables it meets in. Only
+    then are their vectors fetched: where they lie, when the candidates' ids may travel. A checked block of queries meets
+    them there; more queries meet them in blocks of bounded size for each bucket, and no list of pairs is written.
+    """
+    items = items.select(F.col("image_id").cast("long"), "embedding")
+    block = collect_block(queries, "query_id", "embedding", max_broadcast_rows)
+    if block is not None:
+        names = hashing.names(block.vectors)
+        buckets, code = np.unique(names.reshape(-1, names.shape[2]), axis=0, return_inverse=True)
+        code = code.ravel().astype(np.int32)
+        rows = np.repeat(np.arange(len(block)), names.shape[1])
+        order = np.lexsort((rows, code))
+        starts = np.searchsorted(code[order], np.arange(len(buckets)))
+        rows_of = dict(enumerate(np.split(rows[order], starts[1:]))) if len(buckets) else {}
+        probed = pa.table({"bucket": _lists(buckets), "code": pa.array(np.arange(len(buckets)), pa.int32())})
+        probed = queries.sparkSession.createDataFrame(probed, "bucket array<int>, code int")
+        met = postings.join(probed, "bucket").groupBy("image_id").agg(F.collect_set("code").alias("codes"))
+        partial = _scan_buckets(block, items.join(bounded(cut_lineage(met)), "image_id"), k, rows_of)
+    else:
+        wanted = hashing.postings(queries, "query_id", keep_vector=True).withColumnRenamed("bucket", "cell")
+        probed = bounded(wanted.select(F.col("cell").alias("bucket")).distinct())
+        met = postings.join(probed, "bucket", "left_semi").groupBy("image_id").agg(F.collect_set("bucket").alias("buckets"))
+        offered = items.join(bounded(cut_lineage(met)), "image_id")
+        partial = cell_grid_hits(wanted, offered.select("image_id", "embedding", F.explode("buckets").alias("cell")), k)
+    # A pair met in several tables or tasks has one rank, so it is told apart after ranking,
+    # where its copies already share a partition.
+    best_first = Window.partitionBy("query_id").orderBy("distance", "image_id")
+    ranked = partial.withColumn("rank", F.dense_rank().over(best_first)).filter(F.col("rank") <= k)
+    return ranked.dropDuplicates(["query_id", "image_id"])
+
+
 def ann_lsh(queries: DataFrame, items: DataFrame, k: int = 10, *, bucket_length: float = 0.25,
             num_tables: int = 8, hashes_per_table: int = 2, seed: int = 7,
-            projections: np.ndarray | None = None) -> DataFrame:
+            projections: np.ndarray | None = None, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Search among items that share a random-projection bucket with the query.
 
     A bucket of a table is named by ``hashes_per_table`` projections cut at
-    ``bucket_length``: more hashes or shorter cuts mean fewer candidates, more
-    tables mean more. Buckets are cells of the block grid, so a crowded one is
-    split and no pair list is ever written; items in no query's bucket are
-    dropped before the shuffle. A query alone in its buckets has no hits.
-    ``projections`` (num_tables * hashes_per_table rows) takes the place of
-    random directions.
+    ``bucket_length``. A query alone in its buckets has no hits. ``projections``
+    (num_tables * hashes_per_table rows) takes the place of random directions.
+    A stored index of type 'lsh' keeps the postings that are made here.
     """
     if projections is None:
-        directions = np.random.default_rng(seed).normal(size=(num_tables * hashes_per_table, _dimension(items)))
-        projections = directions / np.linalg.norm(directions, axis=1, keepdims=True)
-    if len(projections) != num_tables * hashes_per_table:
+        hashing = HashTables.random(_dimension(items), bucket_length, num_tables, hashes_per_table, seed)
+    elif len(projections) == num_tables * hashes_per_table:
+        hashing = HashTables(np.asarray(projections, dtype=np.float64), bucket_length, hashes_per_table)
+    else:
         raise ValueError("projections must have num_tables * hashes_per_table rows")
-
-    def buckets(df, key):
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                cuts = np.floor(vector_matrix(batch.column(1)).astype(np.float64) @ projections.T / bucket_length)
-                cuts = cuts.clip(-(2**31), 2**31 - 1).astype(np.int32).reshape(len(cuts), num_tables, hashes_per_table)
-                tables = np.broadcast_to(np.arange(num_tables, dtype=np.int32)[None, :, None], (*cuts.shape[:2], 1))
-                cells = np.concatenate((tables, cuts), axis=2)
-                inner = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), hashes_per_table + 1).cast(pa.list_(pa.int32()))
-                offsets = pa.array(np.arange(len(cuts) + 1, dtype=np.int32) * num_tables)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, inner)], ["key", "embedding", "cells"])
-
-        narrow = df.select(F.col(key).cast("long"), F.col("embedding").cast("array<float>"))
-        hashed = narrow.mapInArrow(run, "key bigint, embedding array<float>, cells array<array<int>>")
-        return hashed.select(F.col("key").alias(key), "embedding", F.explode("cells").alias("cell"))
-
-    wanted = buckets(queries, "query_id")
-    probed = bounded(wanted.select("cell").distinct())
-    offered = buckets(items, "image_id").join(probed, "cell", "left_semi")
-    partial = cell_grid_hits(wanted, offered, k)
-    # A pair met in several tables has one rank, so it is told apart after ranking,
-    # where its copies already share a partition.
-    best_first = Window.partitionBy("query_id").orderBy("distance", "image_id")
-    ranked = partial.withColumn("rank", F.dense_rank().over(best_first)).filter(F.col("rank") <= k)
-    hits = ranked.dropDuplicates(["query_id", "image_id"])
+    hits = bucket_hits(queries, items, hashing.postings(items, "image_id"), hashing, k, max_broadcast_rows=max_broadcast_rows)
     return with_score(hits).select(*_RESULT)
 
 
@@ -218,7 +331,9 @@ def index_hits(queries: DataFrame, index: VectorIndex, k: int, *, nprobe: int =
     if index.index_type == "ivfflat":
         return _cell_hits(queries, index, k, nprobe, max_broadcast_rows)
     if index.index_type == "lsh":
-        return ann_lsh(queries, index.cells, k).drop("similarity_score")
+        hashing = index.hashing or HashTables.random(index.dim)
+        postings = hashing.postings(index.cells, "image_id") if index.postings is None else index.postings
+        return bucket_hits(queries, index.cells, postings, hashing, k, max_broadcast_rows=max_broadcast_rows)
     return exact_hits(queries, index.cells, k, max_broadcast_rows=max_broadcast_rows)
 
 

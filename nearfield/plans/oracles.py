@@ -212,6 +212,14 @@ _SEARCHED = _with("postfiltered images names", f"""
               FROM near_categories WHERE rank <= 3 GROUP BY query_id) t ON t.query_id = h.query_id
         WHERE h.rank <= 10""")
 
+_HASHED = _with("vectors pairs", f"""
+        SELECT query_id, rank, image_id, {_r('distance', 'distance')} FROM (
+            SELECT p.query_id, p.image_id, p.distance,
+                   CAST(row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.image_id) AS INTEGER) AS rank
+            FROM pairs p JOIN vectors q ON q.image_id = p.query_id JOIN vectors v ON v.image_id = p.image_id
+            WHERE {' OR '.join(f"(floor(q.embedding[{2 * t + 1}] / 0.25) = floor(v.embedding[{2 * t + 1}] / 0.25) AND floor(q.embedding[{2 * t + 2}] / 0.25) = floor(v.embedding[{2 * t + 2}] / 0.25))" for t in range(8))})
+        WHERE rank <= 10""")
+
 ORACLES = {
     # A
     "a1_read_catalog": _with("categories images vectors prototypes indexes recompute_queue deletion_queue", """
@@ -495,13 +503,8 @@ ORACLES = {
                          row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(CAST(e.embedding AS DOUBLE[]), t.prototype), t.category_id) AS near
                   FROM embeddings e, prototypes t) WHERE near <= 4) q ON q.query_id = p.query_id AND q.category_id = i.category_id)
         WHERE rank <= 10"""),
-    "i3_ann_lsh": _with("vectors pairs", f"""
-        SELECT query_id, rank, image_id, {_r('distance', 'distance')} FROM (
-            SELECT p.query_id, p.image_id, p.distance,
-                   CAST(row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.image_id) AS INTEGER) AS rank
-            FROM pairs p JOIN vectors q ON q.image_id = p.query_id JOIN vectors v ON v.image_id = p.image_id
-            WHERE {' OR '.join(f"(floor(q.embedding[{2 * t + 1}] / 0.25) = floor(v.embedding[{2 * t + 1}] / 0.25) AND floor(q.embedding[{2 * t + 2}] / 0.25) = floor(v.embedding[{2 * t + 2}] / 0.25))" for t in range(8))})
-        WHERE rank <= 10"""),
+    "i3_ann_lsh": _HASHED,
+    "i3_ann_lsh_stored": _HASHED,
     "i4_search_postfilter": _with("postfiltered", _top(10, "postfiltered")),
     "i5_search_prefilter": _PREFILTERED,
     "i5_search_prefilter_stored": _PREFILTERED,

@@ -609,6 +609,16 @@ def i3_ann_lsh(c):
     return shown_hits(ann.ann_lsh(c.queries(), c.vectors(), 10, projections=np.eye(16, 64)))
 
 
+@query
+def i3_ann_lsh_stored(c):
+    """The same search in a stored index: half of the items fitted, the rest appended to its postings."""
+    items, path = c.vectors().select("image_id", "embedding"), scratch_path(c.spark, "index")
+    save_index(ann.lsh_build(items.filter("image_id % 2 = 0"), ann.HashTables(np.eye(16, 64))), path)
+    append_to_index(load_index(c.spark, path), items.filter("image_id % 2 = 1"), path)
+    hits = ann.search_index(c.queries(), load_index(c.spark, path), 10)
+    return shown_hits(hits)
+
+
 @query
 def i4_search_postfilter(c):
     found = two_stage.search_postfilter(c.queries(), c.vectors(), c.images(), cut_lineage(c.prototypes()), 10, 3)

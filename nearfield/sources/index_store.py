@@ -1,19 +1,22 @@
 """Saving and loading a vector index as plain Parquet."""
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.operators.ann import VectorIndex, place_items
+from nearfield.operators.ann import HashTables, VectorIndex, place_items
 from nearfield.operators.bounds import bounded
 from nearfield.session import cut_lineage
 
 _META = "index_type string, dim int, ntotal bigint"
 _CELLS = "image_id bigint, embedding array<float>, cell int"
 _CENTROIDS = "cell int, centroid array<double>"
+_POSTINGS = "image_id bigint, bucket array<int>"
+_HASHING = "place int, direction array<double>, bucket_length double, per_table int"
 
 
 def save_index(index: VectorIndex, path: str, *, mode: str = "error") -> DataFrame:
-    """Write cells (one folder per cell), centroids and metadata; returns the metadata row.
+    """Write cells (one folder per cell), centroids or postings of hash buckets, and metadata; returns the metadata row.
 
     Rows are rebalanced by cell first: small cells share a task, a huge one is
     split over several.
@@ -24,6 +27,11 @@ def save_index(index: VectorIndex, path: str, *, mode: str = "error") -> DataFra
         index.centroids.coalesce(1).write.mode(mode).parquet(f"{path}/centroids")
         cells = cells.hint("rebalance", F.col("cell"))
     cells.write.mode(mode).partitionBy("cell").parquet(f"{path}/cells")
+    if index.postings is not None:
+        h = index.hashing
+        rows = [(i, [float(x) for x in d], float(h.bucket_length), h.per_table) for i, d in enumerate(h.projections)]
+        spark.createDataFrame(rows, _HASHING).coalesce(1).write.mode(mode).parquet(f"{path}/hashing")
+        index.postings.write.mode(mode).parquet(f"{path}/postings")
     return _write_meta(index, path, mode)
 
 
@@ -46,7 +54,16 @@ def load_index(spark: SparkSession, path: str) -> VectorIndex:
     centroids = None
     if meta["index_type"] == "ivfflat":
         centroids = spark.read.schema(_CENTROIDS).parquet(f"{path}/centroids")
-    return VectorIndex(meta["index_type"], centroids, _read_cells(spark, path), meta["dim"])
+    index = VectorIndex(meta["index_type"], centroids, _read_cells(spark, path), meta["dim"])
+    if index.index_type == "lsh":
+        rows = spark.read.schema(_HASHING).parquet(f"{path}/hashing").orderBy("place").collect()  # one for each projection
+        index.hashing = HashTables(np.array([r.direction for r in rows]), rows[0].bucket_length, rows[0].per_table)
+        index.postings = _read_postings(spark, path)
+    return index
+
+
+def _read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
 
 
 def append_to_index(index: VectorIndex, items: DataFrame, path: str) -> None:
@@ -61,6 +78,8 @@ def append_to_index(index: VectorIndex, items: DataFrame, path: str) -> None:
         raise ValueError(f"the index holds vectors of dimension {index.dim}")
     cells = place_items(index, fresh).select("image_id", "embedding", "cell").hint("rebalance", F.col("cell"))
     cells.write.mode("append").partitionBy("cell").parquet(f"{path}/cells")
+    if index.postings is not None:
+        index.hashing.postings(fresh, "image_id").write.mode("append").parquet(f"{path}/postings")
     _write_meta(index, path, "overwrite")
 
 
@@ -88,4 +107,7 @@ def replace_in_index(index: VectorIndex, items: DataFrame, path: str) -> None:
     for cell in gone:  # a cell that lost its last item has no rows to be replaced with
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cells/cell={cell}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if index.postings is not None:
+        others = _read_postings(spark, path).join(ids, "image_id", "left_anti")
+        cut_lineage(others.unionByName(index.hashing.postings(fresh, "image_id"))).write.mode("overwrite").parquet(f"{path}/postings")
     _write_meta(index, path, "overwrite")

@@ -3,7 +3,7 @@ import pytest
 
 from nearfield.operators import ann, knn
 from nearfield.session import scratch_path
-from nearfield.sources.index_store import append_to_index, load_index, save_index
+from nearfield.sources.index_store import append_to_index, load_index, replace_in_index, save_index
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +49,57 @@ def test_lsh_recall(corpus):
     assert ann.recall(found, exact).agg({"recall": "avg"}).first()[0] > 0.9
 
 
+def _plain_lsh(vectors, hashing, k):
+    """By brute force: of the vectors in one of a vector's buckets the k nearest."""
+    names = hashing.names(vectors)
+    out = []
+    for q in range(len(vectors)):
+        shared = (names == names[q]).all(axis=2).any(axis=1)
+        distance = np.square(vectors.astype(float) - vectors[q].astype(float)).sum(axis=1)
+        best = sorted((d, i) for i, (d, s) in enumerate(zip(distance, shared)) if s)[:k]
+        out += [(q, r + 1, i) for r, (_, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bound", [8192, 0])
+def test_stored_postings_give_what_the_buckets_hold(spark, corpus, bound):
+    """Fitted, appended to, loaded, shrunk and moved: always the plain search of the vectors that are there."""
+    items, queries = corpus
+    vectors = np.array([r.embedding for r in items.orderBy("image_id").collect()], dtype=np.float32)
+    hashing = ann.HashTables.random(16, 3.0, 4, 2, seed=3)
+    path = scratch_path(spark, "index")
+    save_index(ann.lsh_build(items.filter("image_id < 400"), hashing), path)
+    append_to_index(load_index(spark, path), items.filter("image_id >= 300"), path)
+    index = load_index(spark, path)
+    assert index.postings.count() == 4 * 600 and "embedding" not in index.postings.columns
+    want = _plain_lsh(vectors, hashing, 10)
+    assert pairs(ann.index_hits(queries, index, 10, max_broadcast_rows=bound)) == want
+    if bound:
+        return
+    moved = items.filter("image_id % 50 = 0").selectExpr("image_id", "transform(embedding, x -> -x) AS embedding")
+    replace_in_index(index, moved, path)
+    vectors[::50] *= -1
+    found = pairs(ann.index_hits(queries, load_index(spark, path), 10))
+    want = {(q, i) for q, _, i in _plain_lsh(vectors, hashing, 10)}
+    assert {(q, i) for q, _, i in found if q % 50} == {(q, i) for q, i in want if q % 50}
+    gone = ann.index_remove(load_index(spark, path), items.filter("image_id < 300").select("image_id"))
+    assert gone.postings.count() == 4 * 300 and min(r.image_id for r in ann.index_hits(queries, gone, 3).collect()) >= 300
+
+
+def test_crowded_bucket_and_repeated_vectors(make):
+    """One bucket holds all items in each table, many equal: pairs count once, ties go to the smaller id."""
+    rows = [(i, [1.0, 1.0] if i % 3 else [2.0, 2.0]) for i in range(90)]
+    items = make(rows, "image_id long, embedding array<float>").repartition(5)
+    queries = make([(7, [1.0, 1.0]), (8, [900.0, -900.0])], "query_id long, embedding array<float>")
+    for bound in (8192, 0):
+        found = pairs(ann.ann_lsh(queries, items, 5, bucket_length=1e3, max_broadcast_rows=bound, projections=np.eye(16, 2) + 1e-3))
+        assert [f for f in found if f[0] == 7] == [(7, 1, 1), (7, 2, 2), (7, 3, 4), (7, 4, 5), (7, 5, 7)]
+    none = items.limit(0)
+    index = ann.lsh_build(none, ann.HashTables.random(2))
+    assert ann.index_hits(queries, index, 3).count() == 0
+    assert ann.index_hits(queries.limit(0), ann.lsh_build(items, ann.HashTables.random(2)), 3).count() == 0
+
+
 def test_stored_index_is_the_same_index(spark, corpus, index):
     items, queries = corpus
     path = scratch_path(spark, "index")
