@@ -38,6 +38,20 @@ def test_ids_are_dense_and_ordered(spark, make):
     assert allocate_ids(new, empty, "image_id", order_by="key").agg({"image_id": "min"}).first()[0] == 1
 
 
+def test_ids_of_equal_order_keys_and_large_inputs(spark, make, monkeypatch):
+    """Equal keys are numbered as they come, nulls first; numbers too large to travel give the same ids."""
+    from nearfield.operators import ids
+
+    new = make([("b", 1), (None, 2), ("a", 3), ("b", 4), ("a", 5)], "key string, n long").coalesce(1)
+    existing = make([(9,)], "image_id long")
+    want = [(10, None, 2), (11, "a", 3), (12, "a", 5), (13, "b", 1), (14, "b", 4)]
+    assert sorted(map(tuple, allocate_ids(new, existing, "image_id", order_by="key").collect())) == want
+    monkeypatch.setattr(ids, "MAX_SMALL_BYTES", 0)
+    rows = allocate_ids(new, existing, "image_id", order_by=["key"])
+    assert sorted(map(tuple, rows.collect())) == want and rows.columns == ["image_id", "key", "n"]
+    assert allocate_ids(new.limit(0), existing, "image_id", order_by="key").count() == 0
+
+
 def test_upsert_modes(catalog, make):
     new = make([(2, "wolf"), (9, "bee")], "category_id int, category_name string")
     kept = upsert.upsert_categories(catalog["categories"], new, "ignore")

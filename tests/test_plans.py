@@ -112,11 +112,42 @@ def test_missing_items_are_found_by_id(stored):
 def test_hash_search_ranks_and_dedupes_in_one_shuffle(stored, queries):
     from nearfield.operators import ann
 
-    text = plan(ann.ann_lsh(queries, stored["vectors"], 3, bucket_length=4.0))
+    text = plan(ann.ann_lsh(queries, stored["vectors"], 3, bucket_length=4.0, max_broadcast_rows=0))
     after_grid = text.split("FlatMapCoGroupsInArrow")[0]
     assert after_grid.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("bound", [8192, 0])
+def test_hash_search_moves_no_vector_before_the_fetch(stored, queries, bound, monkeypatch):
+    """Postings, probed buckets and candidates meet without vectors; a block of queries moves none at all."""
+    from nearfield.operators import ann
+
+    met = []
+    cut = ann.cut_lineage
+    monkeypatch.setattr(ann, "cut_lineage", lambda df: met.append(plan(df)) or cut(df))
+    text = plan(ann.ann_lsh(queries, stored["vectors"], 3, bucket_length=4.0, max_broadcast_rows=bound))
+    assert len(met) == 1
+    moved = [line for line in met[0].splitlines() if "Exchange" in line]
+    assert moved and "embedding" not in met[0][: met[0].index("MapInArrow")]
+    if bound:
+        assert text.count("Exchange hashpartitioning") == 1  # hits, by query
+
+
+def test_ids_move_no_content(stored, make):
+    from nearfield.operators import ids
+
+    made, cut = [], ids.cut_lineage
+    new = stored["images"].drop("image_id")
+    ids.cut_lineage = lambda df: made.append(plan(df)) or cut(df)
+    try:
+        text = plan(ids.allocate_ids(new, stored["images"], "image_id", order_by="content_hash"))
+    finally:
+        ids.cut_lineage = cut
+    assert "Exchange" not in made[0] and "Sort" not in made[0]  # the rows, where they are
+    assert "Exchange rangepartitioning" in made[1] and "content#" not in made[1].split("Scan")[0]
+    assert "Exchange hashpartitioning" not in text and "Sort" not in text
+
+
 def test_large_sides_give_the_same_results(catalog, make, monkeypatch):
     """With no side small enough to travel, joins shuffle and agree."""
     from nearfield.operators import bounds, integrity
