@@ -1,7 +1,7 @@
 """An adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks that are coded independently: every block starts with fresh models and carries a checksum. All
-blocks of a segment are coded side by side, one id of each at a time, as arrays.
+Ids are cut into blocks that are coded independently: every block starts with fresh models and carries a checksum. Up to
+LANES blocks are coded side by side, one id of each at a time, as arrays; what that takes is bounded, however many there are.
 
 For each id, an order-2 and an order-1 model each predict one id from the ids before it, with a confidence. Which of them
 is right, if any, is coded with a mixture of two adaptive distributions, one given the confidences and one given the
@@ -14,7 +14,9 @@ import zlib
 import numpy as np
 
 BITS, TOP = 15, 1 << 15
-ORDER1, ORDER2, LITERAL_ROWS = 1 << 10, 1 << 11, 784
+ORDER1, ORDER2, LITERAL_ROWS = 1 << 10, 1 << 11, 783
+#: Blocks that are coded at a time.
+LANES = 1536
 _LOW = np.uint64((1 << 48) - 1)
 _U = np.uint64
 #: Where a row of cumulative chances moves when a value comes (by value); neighbours stay apart by 32, and so a chance
@@ -73,17 +75,16 @@ class _Model:
         self.two[:k] = self.one[:k]
         self.one[:k] = ids
 
-    def literal_rows(self, literal: np.ndarray, number: int, before: np.ndarray):
-        """Rows of the order-0 model for the ``number``-th four bits after the bits ``before``, and their chances. Lanes
-        that code no literal take their last row, which nothing else uses."""
+    def literal_rows(self, lanes: np.ndarray, number: int, before: np.ndarray):
+        """Rows of the order-0 model of ``lanes`` for the ``number``-th four bits after the bits ``before``, and their chances."""
         if number < 2:
             place = before + number
         elif number == 2:
             place = before + 17
         else:
-            place = 273 + (before * 2654435761 >> 12) % (LITERAL_ROWS - 274)
+            place = 273 + (before * 2654435761 >> 12) % (LITERAL_ROWS - 273)
         # All lanes' rows of a place lie together: lanes at the same place are read one after the other.
-        row = np.where(literal, place, LITERAL_ROWS - 1) * len(self.lane) + self.lane[: len(before)]
+        row = place * len(self.lane) + lanes
         return row, self.rows.take(row, axis=0)
 
     def learn_nibble(self, row: np.ndarray, chances: np.ndarray, nibble: np.ndarray):
@@ -94,12 +95,12 @@ class _Model:
         self.whole_rows[row] = goal.view("V32").ravel()
 
 
-def _nibble_bounds(chances: np.ndarray, nibble: np.ndarray, literal: np.ndarray):
-    """The interval of a value of four bits; all of it where no literal is coded."""
+def _nibble_bounds(chances: np.ndarray, nibble: np.ndarray):
+    """The interval of a value of four bits."""
     at = np.arange(0, 16 * len(nibble), 16) + nibble
     flat = chances.reshape(-1)
     high = np.where(nibble == 15, np.int32(TOP), flat.take(at + 1, mode="clip"))
-    return flat.take(at) * literal, np.where(literal, high, TOP)
+    return flat.take(at), high
 
 
 def _nibble_of(chances: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -119,26 +120,27 @@ class _Encoder:
         if int(self.size.max()) + 72 > self.words.shape[1]:
             self.words = np.concatenate((self.words, np.zeros_like(self.words)), axis=1)
 
-    def put(self, low, high):
-        """Narrows the intervals of the first lanes to [low, high) of TOP."""
-        k = len(low)
-        step = self.range[:k] >> _U(BITS)
+    def put(self, low, high, lanes):
+        """Narrows the intervals of ``lanes`` to [low, high) of TOP."""
+        step = self.range.take(lanes) >> _U(BITS)
         low = low.astype(np.uint64)
-        at = self.low[:k] + step * low
+        at = self.low.take(lanes) + step * low
         span = step * (high.astype(np.uint64) - low)
         flat, width = self.words.reshape(-1), self.words.shape[1]
         over = np.flatnonzero(at > _LOW)
         if len(over):
+            over = lanes.take(over)
             flat[over * width + self.size.take(over) - 1] += np.uint32(1)
             at &= _LOW
         short = np.flatnonzero(span < _U(1 << 32))
         if len(short):
             cut = at.take(short)
-            flat[short * width + self.size.take(short)] = cut >> _U(32)
-            self.size[short] += 1
             at[short] = (cut << _U(16)) & _LOW
             span[short] <<= _U(16)
-        self.low[:k], self.range[:k] = at, span
+            short = lanes.take(short)
+            flat[short * width + self.size.take(short)] = cut >> _U(32)
+            self.size[short] += 1
+        self.low[lanes], self.range[lanes] = at, span
 
     def finish(self) -> list[bytes]:
         self.make_room()
@@ -164,22 +166,23 @@ class _Decoder:
         self.code = (first[:, 0] << _U(32)) | (first[:, 1] << _U(16)) | first[:, 2]
         self.words, self.at = words.reshape(-1), np.arange(len(blocks)) * self.width + 3
 
-    def value(self, k: int) -> np.ndarray:
-        self.step = self.range[:k] >> _U(BITS)
-        return np.minimum(self.code[:k] // self.step, _U(TOP - 1)).astype(np.int32)
+    def value(self, lanes: np.ndarray) -> np.ndarray:
+        self.step, self.now = self.range.take(lanes) >> _U(BITS), self.code.take(lanes)
+        return np.minimum(self.now // self.step, _U(TOP - 1)).astype(np.int32)
 
-    def drop(self, low, high):
-        k = len(low)
+    def drop(self, low, high, lanes):
+        """Takes the value in [low, high) off ``lanes``, as ``value`` saw them."""
         low = low.astype(np.uint64)
-        code = self.code[:k] - self.step * low
+        code = self.now - self.step * low
         span = self.step * (high.astype(np.uint64) - low)
         short = np.flatnonzero(span < _U(1 << 32))
         if len(short):
-            at = self.at.take(short)
+            moved = lanes.take(short)
+            at = self.at.take(moved)
             code[short] = (code.take(short) << _U(16)) | self.words.take(at, mode="clip")  # a damaged block may run out
-            self.at[short] = at + 1
+            self.at[moved] = at + 1
             span[short] <<= _U(16)
-        self.code[:k], self.range[:k] = code, span
+        self.code[lanes], self.range[lanes] = code, span
 
 
 def _nibble_count(largest: int) -> int:
@@ -198,13 +201,17 @@ def _lengths(n: int, block: int) -> np.ndarray:
 def encode(ids: np.ndarray, block: int) -> list[bytes]:
     """Blocks of ``block`` ids each (the last one may be shorter): number of ids, checksum of the ids, width in four
     bits (little-endian, 4 + 4 + 1 bytes), then the code."""
-    sizes = _lengths(len(ids), block)
-    if not len(sizes):
+    if not len(ids):
         return []
+    nibbles, group = _nibble_count(ids.max()), LANES * block
+    return [b for at in range(0, len(ids), group) for b in _encode_lanes(ids[at : at + group], block, nibbles)]
+
+
+def _encode_lanes(ids: np.ndarray, block: int, nibbles: int) -> list[bytes]:
+    sizes = _lengths(len(ids), block)
     padded = np.zeros(len(sizes) * block, np.int32)
     padded[: len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(len(sizes), block).T)
-    nibbles = _nibble_count(ids.max())
     model, coder = _Model(len(sizes)), _Encoder(len(sizes), block + 72)
     for t, k in enumerate(_active(sizes)):
         if t % 8 == 0:
@@ -212,12 +219,13 @@ def encode(ids: np.ndarray, block: int) -> list[bytes]:
         now = steps[t, :k].astype(np.int64)
         first, second = model.predict(k)
         outcome = np.where((model.g2 == now) & (model.t2 > 0), 0, np.where((model.g1 == now) & (model.t1 > 0), 1, 2))
-        coder.put(np.where(outcome == 0, 0, np.where(outcome == 1, first, second)), np.where(outcome == 0, first, np.where(outcome == 1, second, TOP)))
-        literal, before = outcome == 2, np.zeros(k, np.int64)
-        for i in range(nibbles):
-            nibble = (now >> (4 * (nibbles - 1 - i))) & 15
+        coder.put(np.where(outcome == 0, 0, np.where(outcome == 1, first, second)), np.where(outcome == 0, first, np.where(outcome == 1, second, TOP)), model.lane[:k])
+        literal = np.flatnonzero(outcome == 2)
+        value, before = now.take(literal), np.zeros(len(literal), np.int64)
+        for i in range(nibbles if len(literal) else 0):
+            nibble = (value >> (4 * (nibbles - 1 - i))) & 15
             row, chances = model.literal_rows(literal, i, before)
-            coder.put(*_nibble_bounds(chances, nibble, literal))
+            coder.put(*_nibble_bounds(chances, nibble), literal)
             model.learn_nibble(row, chances, nibble)
             before = before * 16 + nibble
         model.settle(now, outcome)
@@ -232,25 +240,31 @@ _HEAD = np.dtype([("n", "<u4"), ("crc", "<u4"), ("nibbles", "u1")])
 
 def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of ``blocks`` that one call of ``encode`` made; raises when a checksum doesn't fit."""
-    if not blocks:
-        return np.zeros(0, np.int64)
+    parts = [_decode_lanes(blocks[at : at + LANES]) for at in range(0, len(blocks), LANES)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _decode_lanes(blocks: list[bytes]) -> np.ndarray:
     head = np.concatenate([np.frombuffer(b[: _HEAD.itemsize], dtype=_HEAD) for b in blocks])
     sizes, nibbles = head["n"].astype(np.int64), int(head["nibbles"][0])
     model, coder = _Model(len(blocks)), _Decoder([b[_HEAD.itemsize :] for b in blocks])
     out = np.zeros((int(sizes[0]), len(blocks)), np.int32)
     for t, k in enumerate(_active(sizes)):
         first, second = model.predict(k)
-        value = coder.value(k)
+        lanes = model.lane[:k]
+        value = coder.value(lanes)
         outcome = (value >= first).astype(np.int64) + (value >= second)
-        coder.drop(np.where(outcome == 0, 0, np.where(outcome == 1, first, second)), np.where(outcome == 0, first, np.where(outcome == 1, second, TOP)))
-        literal, before = outcome == 2, np.zeros(k, np.int64)
-        for i in range(nibbles):
+        coder.drop(np.where(outcome == 0, 0, np.where(outcome == 1, first, second)), np.where(outcome == 0, first, np.where(outcome == 1, second, TOP)), lanes)
+        literal = np.flatnonzero(outcome == 2)
+        before = np.zeros(len(literal), np.int64)
+        for i in range(nibbles if len(literal) else 0):
             row, chances = model.literal_rows(literal, i, before)
-            nibble = _nibble_of(chances, coder.value(k))
-            coder.drop(*_nibble_bounds(chances, nibble, literal))
+            nibble = _nibble_of(chances, coder.value(literal))
+            coder.drop(*_nibble_bounds(chances, nibble), literal)
             model.learn_nibble(row, chances, nibble)
             before = before * 16 + nibble
-        now = np.where(literal, before, np.where(outcome == 0, model.g2, model.g1))
+        now = np.where(outcome == 0, model.g2, model.g1).astype(np.int64)
+        now[literal] = before
         out[t, :k] = now
         model.settle(now, outcome)
     parts = [out[:n, i] for i, n in enumerate(sizes)]

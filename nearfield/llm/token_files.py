@@ -31,8 +31,8 @@ from nearfield.llm.common import map_arrow
 from nearfield.session import scratch_path
 
 END_ID = 1
-#: Bytes of text in a bucket of neighbouring doc_ids, ids in a block, and blocks of a segment.
-BUCKET_BYTES, BLOCK, LANES = 12 << 20, 2048, 1536
+#: Bytes of text in a bucket of neighbouring doc_ids, and ids in a block.
+BUCKET_BYTES, BLOCK = 12 << 20, 2048
 _MAGIC = b"NFTOKEN1"
 _DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4")])
 _CACHE_WORDS = 200_000
@@ -107,7 +107,6 @@ def pack(doc_ids: list, ids: list[bytes], block: int = BLOCK) -> bytes:
     docs["doc_id"] = [d or 0 for d in doc_ids]
     docs["n"] = [len(i) // 4 for i in ids]
     every = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
-    block = int(min(block, max(256, len(every) // 256)))  # a short segment has shorter blocks, coded side by side
     blocks = range_coder.encode(every, block)
     table = docs.tobytes()
     head = np.array([len(docs), block, len(blocks), zlib.crc32(table)], dtype="<u4").tobytes()
@@ -143,7 +142,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, kind: type = W
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = encode(text.as_py()) + end
-                if held and held + len(own) > 4 * BLOCK * LANES:
+                if held and held + len(own) > 4 * BLOCK * range_coder.LANES:
                     yield _row(bucket, segment, docs_, ids)
                     segment, ids, docs_, held = segment + 1, [], [], 0
                 docs_.append(doc)

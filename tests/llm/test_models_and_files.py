@@ -108,6 +108,30 @@ def test_range_coder(n, block):
                 assert (range_coder.decode([blocks[at]]) == ids[at * block : (at + 1) * block]).all()
 
 
+def test_range_coder_takes_a_few_blocks_at_a_time(monkeypatch):
+    """A long document has more blocks than are coded at a time: the same bytes, whatever that number is."""
+    ids = np.random.default_rng(5).geometric(0.01, 9001)
+    want = range_coder.encode(ids, 64)
+    active = []
+    model = range_coder._Model
+    monkeypatch.setattr(range_coder, "_Model", lambda lanes: active.append(lanes) or model(lanes))
+    monkeypatch.setattr(range_coder, "LANES", 7)
+    assert range_coder.encode(ids, 64) == want and (range_coder.decode(want) == ids).all()
+    assert max(active) == 7 and sum(active) == 2 * len(want)
+
+
+def test_a_very_long_text_makes_the_round_trip(spark):
+    """One document of more than 8 MiB beside short ones."""
+    long = "Eins two tres, " * 600_000
+    df = spark.createDataFrame([(3, long), (1, "a b"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in token_files.tokens_round_trip(df).collect()}
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    unit = plain.encode("Eins two tres, ", add_special_tokens=False).ids
+    ids = np.array([*(unit * 600_000), 1], dtype="<u4")
+    assert (got[3].n_tokens, got[3].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    assert got[3].start == got[1].n_tokens + got[2].n_tokens and got[2].n_tokens == 1
+
+
 def test_range_coder_learns_and_notices_damage():
     ids = np.tile(np.arange(50) * 900, 100)
     blocks = range_coder.encode(ids, 5000)
@@ -141,7 +165,7 @@ def test_words_are_encoded_as_in_the_whole_text():
 
 
 def test_segments_split_and_carry_ids(documents, spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(token_files, "LANES", 2)
+    monkeypatch.setattr(range_coder, "LANES", 2)
     few = documents.where("doc_id < 60")
     token_files.write_tokens(few, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"))
     got = token_files.read_tokens(spark, str(tmp_path / "t"), with_ids=True).collect()
