@@ -32,6 +32,8 @@ from nearfield.operators.bounds import bounded
 LEAST, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
 #: Candidates in one trie, each with a pass over the numbered text.
 PART = 1 << 18
+#: Counts of a trie in one row of what a task adds up.
+SHARD = 1 << 12
 #: Hashed counters of a level, and those sent as one row.
 CELLS, CELL_CHUNK = 1 << 22, 1 << 16
 #: Words of text in a row of the stored table (a longer piece is one row), and words a task counts or remembers at a time.
@@ -324,6 +326,19 @@ def _trie(arrays, k: int) -> Trie:
     return t
 
 
+def _shards(total: np.ndarray):
+    """Rows (shard, width, counts) of counts by state: SHARD of them in a row, as narrow as the largest allows; none where all are 0."""
+    rows = []
+    for shard in range(-(-len(total) // SHARD)):
+        counts = total[shard * SHARD : (shard + 1) * SHARD]
+        most = int(counts.max())
+        if most:
+            width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+            rows.append((shard, width, counts.astype(f"<u{width}").tobytes()))
+    shard, width, counts = zip(*rows) if rows else ((), (), ())
+    yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "width": pa.array(width, pa.int32()), "counts": pa.array(counts, pa.binary())})
+
+
 def count_phrases(texts: DataFrame, wanted: DataFrame, k: int, part_size: int = PART) -> DataFrame:
     """key, gram, f of each phrase of ``wanted`` (key) in the numbered ``texts``; one trie and one pass for each part."""
     spark = texts.sparkSession
@@ -343,13 +358,22 @@ def count_phrases(texts: DataFrame, wanted: DataFrame, k: int, part_size: int =
             total = np.zeros(len(trie.phrases), dtype=np.int64)
             for ids in _texts(batches, k):
                 trie.count(ids, total)
-            for at in range(0, len(total), KNOWN):
-                own = at + np.flatnonzero(total[at : at + KNOWN])
-                gram = np.array([], np.uint64) if not len(own) else _grams_of(trie.phrases[own])
+            yield from _shards(total)
+
+        def add(batches, shared=shared):
+            phrases, totals = np.frombuffer(shared.value[0], np.uint64).reshape(-1, k), {}
+            for batch in batches:
+                for shard, width, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    counts = np.frombuffer(counts.as_py(), f"<u{width}").astype(np.int64)
+                    totals[shard] = totals[shard] + counts if shard in totals else counts
+            for shard, total in totals.items():
+                own = np.flatnonzero(total)
+                found = phrases[shard * SHARD + own]
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array([p.tobytes() for p in trie.phrases[own].astype(">u8")], pa.binary()), "gram": pa.array(gram.view(np.int64)), "f": pa.array(total[own], pa.int64())})
+                    "key": pa.array([p.tobytes() for p in found.astype(">u8")], pa.binary()), "gram": pa.array(_grams_of(found).view(np.int64)), "f": pa.array(total[own])})
 
-        counted.append(stored(map_arrow(texts, _released(run), "key binary, gram long, f long").groupBy("key", "gram").agg(F.sum("f").alias("f")), "counted"))
+        shards = map_arrow(texts, _released(run), "shard int, width int, counts binary").repartition("shard")
+        counted.append(stored(map_arrow(shards, add, "key binary, gram long, f long"), "counted"))
         shared.destroy()
     out = counted[0] if counted else None
     for more in counted[1:]:

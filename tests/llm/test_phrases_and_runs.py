@@ -171,6 +171,24 @@ def test_another_seed_parts_words_that_share_a_number(spark, monkeypatch):
     assert seeds == [0, 1] and sorted(got) == brute_collocations([("en", "a b c " * 40)], 10, 2, 2000, 100)
 
 
+def test_counts_of_many_shards_are_summed(spark):
+    """Phrases of several shards, in texts of several tasks; one of them is too frequent for narrow counts."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, 200, 60_000).astype(np.uint64) for _ in range(4)]
+    texts[0][:1000] = 7
+    want = Counter()
+    for t in texts:
+        want.update(zip(t[:-1].tolist(), t[1:].tolist()))
+    key = lambda p: np.array(p, dtype=">u8").tobytes()
+    frame = spark.createDataFrame([(t.tobytes(),) for t in texts], "ids binary").repartition(4)
+    wanted = spark.createDataFrame([(key(p),) for p in want] + [(key((1, 999)),)], "key binary")
+    assert len(want) > 5 * collocations.SHARD and max(want.values()) > 255
+    found = collocations.count_phrases(frame, wanted, 2).collect()
+    assert {bytes(r.key): r.f for r in found} == {key(p): n for p, n in want.items()} and len(found) == len(want)
+    grams = collocations._grams_of(np.array([np.frombuffer(r.key, ">u8") for r in found]).astype(np.uint64)).view(np.int64)
+    assert [r.gram for r in found] == grams.tolist()
+
+
 def test_trie_counts_every_place():
     rng = np.random.default_rng(4)
     for k, v, n in ((1, 5, 3), (2, 30, 200), (4, 6, 300), (5, 2000, 500)):
