@@ -28,6 +28,10 @@ MAX_BROADCAST_ROWS = 8192
 MAX_BROADCAST_BYTES = 64 << 20
 # Rows of one side of a grid block; 16k vectors of 2048 floats are 128 MiB.
 BLOCK_ROWS = 16384
+# A side is cut into no more chunks than this, so that each row is copied no more often: blocks grow with
+# larger sides, until a chunk holds CHUNK_FLOATS (16 MiB) of vectors.
+MAX_CHUNKS = 16
+CHUNK_FLOATS = 1 << 22
 # A scan estimated below this many bytes per core is spread over all cores.
 SPREAD_BYTES_PER_CORE = 8 << 20
 # Query blocks that are worth a scan of all items each; for more of them both sides meet in a grid.
@@ -160,8 +164,11 @@ def _few(hits: DataFrame, block: VectorBlock, k: int) -> DataFrame:
     return F.broadcast(hits) if len(block) * k * HIT_BYTES <= MAX_BROADCAST_BYTES else hits
 
 
-def _chunk_count(rows, block_rows: int):
-    return F.greatest(F.lit(1), F.ceil(rows / block_rows)).cast("int")
+def _chunk_count(rows, block_rows: int, floats):
+    """Chunks of a side of ``rows`` vectors of ``floats`` numbers."""
+    floats = F.greatest(F.lit(1), F.coalesce(floats, F.lit(1)))
+    most = F.greatest(F.lit(MAX_CHUNKS), F.ceil(rows * floats / CHUNK_FLOATS))
+    return F.greatest(F.lit(1), F.least(F.ceil(rows / block_rows), most)).cast("int")
 
 
 def _match_grid(queries: DataFrame, items: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -195,12 +202,17 @@ def _match_grid(queries: DataFrame, items: DataFrame, k: int, metric: str = "l2"
     return left.groupBy(*position).cogroup(right.groupBy(*position)).applyInArrow(match, HIT_SCHEMA)
 
 
+def flat_chunks(df: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[int, int]:
+    """Rows of a side of a flat grid, and the chunks it is cut into."""
+    return tuple(df.agg(F.count(F.lit(1)), _chunk_count(F.count(F.lit(1)), block_rows, F.max(F.size("embedding")))).first())
+
+
 def flat_grid_hits(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS,
                    metric: str = "l2") -> DataFrame:
     """Partial hits of every query against every item, in blocks of bounded size."""
     sizes = {"cell": F.lit(0)}
     for name, df in (("query_chunks", queries), ("item_chunks", items)):
-        sizes[name] = _chunk_count(F.lit(df.count()), block_rows)
+        sizes[name] = F.lit(flat_chunks(df, block_rows)[1])
     return _match_grid(queries.withColumns(sizes), items.withColumns(sizes), k, metric)
 
 
@@ -226,11 +238,11 @@ def cell_grid_hits(queries: DataFrame, items: DataFrame, k: int, block_rows: int
     (image_id, embedding, cell) of the same cell.
 
     Each cell is cut into a grid of query chunks by item chunks of about
-    ``block_rows`` rows; only ids, vectors and the grid position are shuffled,
-    and every block returns at most k hits per query.
+    ``block_rows`` rows, or more rows in MAX_CHUNKS chunks; only ids, vectors and
+    the grid position are shuffled, and every block returns at most k hits per query.
     """
     def chunked(df, name):
-        return df.groupBy("cell").agg(_chunk_count(F.count(F.lit(1)), block_rows).alias(name))
+        return df.groupBy("cell").agg(_chunk_count(F.count(F.lit(1)), block_rows, F.max(F.size("embedding"))).alias(name))
 
     chunks = bounded(chunked(queries, "query_chunks").join(chunked(items, "item_chunks"), "cell"))
     return _match_grid(queries.join(chunks, "cell"), items.join(chunks, "cell"), k)

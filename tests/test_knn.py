@@ -139,3 +139,16 @@ def test_equal_vectors_hold_few_candidates():
     best.update(right, np.arange(9000)[::-1].copy())
     rows, value, ids = best.result()
     assert ids.reshape(50, 3).tolist() == [[0, 1, 2]] * 50 and len(best._found[0]) == 150
+
+
+def test_small_blocks_copy_no_row_without_bound(skewed, monkeypatch):
+    _, items = skewed
+    queries = items.withColumnRenamed("image_id", "query_id")
+    chunks = []
+    real = knn._match_grid
+    monkeypatch.setattr(knn, "_match_grid", lambda q, i, *a: chunks.append(i.selectExpr("max(query_chunks)", "max(item_chunks)").first()) or real(q, i, *a))
+    found = knn.top_hits(knn.flat_grid_hits(queries, items, 3, block_rows=2), 3)
+    cells = knn.top_hits(knn.cell_grid_hits(queries.withColumn("cell", F.lit(1)), items.withColumn("cell", F.lit(1)), 3, block_rows=2), 3)
+    key = lambda df: sorted((r.query_id, r["rank"], r.image_id) for r in df.collect())
+    assert [tuple(c) for c in chunks] == [(knn.MAX_CHUNKS, knn.MAX_CHUNKS)] * 2
+    assert key(found) == key(cells) == key(knn.exact_hits(queries, items, 3))

@@ -75,3 +75,18 @@ def test_plan_moves_vectors_by_cell_only(sides):
     queries, items = sides
     plan = pivots.pivot_hits(queries, items, 5)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan and "SinglePartition" not in plan
+
+
+def test_vectors_that_do_not_cluster_meet_in_a_bounded_grid(spark, sides, monkeypatch):
+    taken = []
+    flat, cells = pivots.flat_grid_hits, pivots.cell_grid_hits
+    monkeypatch.setattr(pivots, "flat_grid_hits", lambda *a, **b: taken.append("flat") or flat(*a, **b))
+    monkeypatch.setattr(pivots, "cell_grid_hits", lambda *a, **b: taken.append("cells") or cells(*a, **b))
+    rng = np.random.default_rng(4)
+    queries = frame(spark, rng.normal(size=(300, 16)).astype(np.float32), "query_id")
+    items = frame(spark, rng.normal(size=(900, 16)).astype(np.float32), "image_id")
+    got = knn.top_hits(pivots.pivot_hits(queries, items, 3, block_rows=60), 3)
+    assert shown(got) == shown(knn.exact_hits(queries, items, 3)) and taken == ["cells", "flat"]
+    taken.clear()
+    pivots.pivot_hits(*sides, 5, pivots=40, block_rows=60)
+    assert taken == ["cells", "cells"]
