@@ -11,9 +11,10 @@ import pyarrow.compute as pc
 
 METRICS = ("l2", "cosine")
 
-_TILE_LEFT = 1024
+# A tile of approximate values is 4 MiB, and a chunk of exact vectors 4 MiB at 64 floats: a task holds a few of each.
+_TILE_LEFT = 256
 _TILE_RIGHT = 4096
-_PAIR_CHUNK = 1 << 15
+_PAIR_FLOATS = 1 << 19
 _UNIT_ROUNDOFF = 2.0**-24
 
 
@@ -72,13 +73,14 @@ class BestMatches:
             raise ValueError(f"metric must be one of {METRICS}")
         self.metric = metric
         self.k = k
-        self.left = np.ascontiguousarray(left, dtype=np.float64)
-        self.left_norm = np.sqrt(np.square(self.left).sum(axis=1))
-        self._left_block = self._block(self.left, self.left_norm)
-        self._limit = np.full(len(self.left), np.inf)
-        self._found = (
-            np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float64), np.zeros(0, dtype=np.int64)
-        )
+        self.left = left
+        self.left_norm = np.concatenate([np.zeros(0)] + [
+            np.sqrt(np.square(left[s:s + _TILE_RIGHT], dtype=np.float64).sum(axis=1)) for s in range(0, len(left), _TILE_RIGHT)])
+        self._limit = np.full(len(left), np.inf)
+        # Of each left vector its best so far, as many as there are: the columns grow up to k.
+        self._count = np.zeros(len(left), dtype=np.int64)
+        self._key = np.zeros((len(left), 0), dtype=np.float64)
+        self._id = np.zeros((len(left), 0), dtype=np.int64)
 
     def _block(self, exact, norm):
         if self.metric == "cosine":
@@ -87,7 +89,7 @@ class BestMatches:
             return exact.astype(np.float32)
 
     def update(self, right: np.ndarray, right_ids: np.ndarray, rows: np.ndarray | None = None):
-        """Offer right-hand items to all left vectors, or to those in ``rows``."""
+        """Offer right-hand items to all left vectors, or to those in ``rows``, each named once."""
         if len(right) == 0 or len(self.left) == 0:
             return
         if right.shape[1] != self.left.shape[1]:
@@ -102,59 +104,85 @@ class BestMatches:
             norm = np.sqrt(np.square(exact).sum(axis=1))
             block = self._block(exact, norm)
             for s in range(0, len(rows), _TILE_LEFT):
-                self._merge(self._tile(rows[s:s + _TILE_LEFT], exact, norm, block, ids))
+                tile = rows[s:s + _TILE_LEFT]
+                self._merge(tile, *self._tile(tile, exact, norm, block, ids))
 
-    def _merge(self, candidates):
-        """Keep the best k of what was found before and ``candidates``, and tighten the limits."""
-        if len(candidates[0]) == 0:
+    def _merge(self, rows, near, key, ids):
+        """Keep the best k of what the left vectors ``rows`` had and these candidates (``near`` is a place in ``rows``)."""
+        if len(near) == 0:
             return
-        found = tuple(np.concatenate(column) for column in zip(self._found, candidates))
-        best = keep_best(*found, self.k)
-        self._found = tuple(column[best] for column in found)
-        left, key, _ = self._found
-        counts = np.bincount(left, minlength=len(self.left))
-        full = np.flatnonzero(counts == self.k)
-        last = np.cumsum(counts) - 1
-        self._limit[full] = key[last[full]]
+        place, column = np.nonzero(np.arange(self._key.shape[1])[None, :] < self._count[rows][:, None])
+        held = rows[place]
+        near = np.concatenate((place, near))
+        key = np.concatenate((self._key[held, column], key))
+        ids = np.concatenate((self._id[held, column], ids))
+        best = keep_best(near, key, ids, self.k)
+        near, key, ids = near[best], key[best], ids[best]
+        column = positions(near) - 1
+        wide = int(column.max()) + 1
+        if wide > self._key.shape[1]:
+            grown = ((0, 0), (0, wide - self._key.shape[1]))
+            self._key, self._id = np.pad(self._key, grown), np.pad(self._id, grown)
+        self._key[rows[near], column] = key
+        self._id[rows[near], column] = ids
+        self._count[rows] = np.bincount(near, minlength=len(rows))
+        last = column == self.k - 1
+        self._limit[rows[near[last]]] = key[last]
 
     def _tile(self, rows, exact, norm, block, ids):
         dim = exact.shape[1]
         unit = 4 * (dim + 8) * _UNIT_ROUNDOFF
+        left = self._block(self.left[rows].astype(np.float64), self.left_norm[rows])
         with np.errstate(over="ignore", invalid="ignore"):
-            product = self._left_block[rows] @ block.T
             if self.metric == "l2":
-                left_sq = np.square(self.left_norm[rows])
-                right_sq = np.square(norm)
-                approx = left_sq[:, None] + right_sq[None, :] - 2.0 * product
+                left_sq, right_sq = np.square(self.left_norm[rows]), np.square(norm)
                 slack = unit * (left_sq + right_sq.max())
+                # Without the part that all values of a row share, which its limits lack too.
+                shared, wide = left_sq, float(left_sq.max() + right_sq.max())
+                approx = left @ block.T
+                if 1e-25 < wide < 1e25:  # in single precision, as exact as the product is
+                    approx *= np.float32(-2.0)
+                    approx += right_sq.astype(np.float32)
+                else:
+                    approx = right_sq - 2.0 * approx.astype(np.float64)
             else:
-                approx = -product
-                slack = np.full(len(rows), unit)
+                shared, slack = 0.0, np.full(len(rows), unit)
+                approx = left @ block.T
+                np.negative(approx, out=approx)
             limit = self._limit[rows]
             open_rows = ~np.isfinite(limit)
             if len(ids) > self.k and open_rows.any():
-                kth = np.partition(approx[open_rows], self.k - 1, axis=1)[:, self.k - 1]
-                limit[open_rows] = kth + slack[open_rows]
+                of = approx if open_rows.all() else approx[open_rows]
+                kth = np.partition(of, self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
+                limit[open_rows] = kth + (shared + slack)[open_rows]
+            most = (limit + slack - shared).astype(approx.dtype)
+            most = np.nextafter(most, approx.dtype.type(np.inf))
             # Written as "not greater", so values lost to overflow stay candidates.
-            near = ~(approx > (limit + slack)[:, None])
-        row, col = np.nonzero(near)
-        left = rows[row]
-        return left, self._exact(left, col, exact, norm), ids[col]
+            flat = np.flatnonzero(~(approx > most[:, None]))
+        row, col = flat // approx.shape[1], flat % approx.shape[1]
+        return row, self._exact(rows[row], col, exact, norm), ids[col]
 
     def _exact(self, left, col, right, right_norm):
         key = np.empty(len(left), dtype=np.float64)
-        for s in range(0, len(left), _PAIR_CHUNK):
-            a, b = left[s:s + _PAIR_CHUNK], col[s:s + _PAIR_CHUNK]
+        chunk = max(1, _PAIR_FLOATS // max(1, right.shape[1]))
+        for s in range(0, len(left), chunk):
+            a, b = left[s:s + chunk], col[s:s + chunk]
             if self.metric == "l2":
-                key[s:s + _PAIR_CHUNK] = np.square(right[b] - self.left[a]).sum(axis=1)
+                key[s:s + chunk] = np.square(right[b] - self.left[a]).sum(axis=1)
             else:
                 lengths = self.left_norm[a] * right_norm[b]
                 dots = (right[b] * self.left[a]).sum(axis=1)
                 positive = lengths > 0
                 similarity = np.where(positive, dots / np.where(positive, lengths, 1.0), 0.0)
-                key[s:s + _PAIR_CHUNK] = -similarity
+                key[s:s + chunk] = -similarity
         return key
 
+    @property
+    def _found(self):
+        """Left index, key and right id of all that is held, by left index, best first."""
+        left, column = np.nonzero(np.arange(self._key.shape[1])[None, :] < self._count[:, None])
+        return left, self._key[left, column], self._id[left, column]
+
     def result(self):
         """Left index, value (distance or similarity), right id; best first."""
         left, key, right = self._found

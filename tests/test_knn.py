@@ -141,6 +141,36 @@ def test_equal_vectors_hold_few_candidates():
     assert ids.reshape(50, 3).tolist() == [[0, 1, 2]] * 50 and len(best._found[0]) == 150
 
 
+def test_a_task_holds_one_tile_of_values():
+    import tracemalloc
+
+    from nearfield.operators.blocks import BestMatches
+
+    left, right = (np.random.default_rng(i).normal(size=(4096, 16)).astype(np.float32) for i in (1, 2))
+    tracemalloc.start()
+    best = BestMatches(left, 5)
+    best.update(right, np.arange(4096))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    rows, value, ids = best.result()
+    for i in range(0, 4096, 500):
+        exact = np.square(right.astype(np.float64) - left[i]).sum(axis=1)
+        order = np.lexsort((np.arange(4096), exact))[:5]
+        assert ids[rows == i].tolist() == order.tolist() and np.allclose(value[rows == i], exact[order])
+
+
+@pytest.mark.parametrize("scale", [1e-20, 1e-3, 1e12, 1e18])
+def test_vectors_of_any_length_are_exact(scale):
+    from nearfield.operators.blocks import BestMatches
+
+    left, right = (scale * np.random.default_rng(i).normal(size=(60, 8)) for i in (1, 2))
+    best = BestMatches(left, 4)
+    best.update(right, np.arange(60))
+    expected = [np.argsort(np.square(right - row).sum(axis=1))[:4].tolist() for row in left]
+    assert best.result()[2].reshape(60, 4).tolist() == expected
+
+
 def test_small_blocks_copy_no_row_without_bound(skewed, monkeypatch):
     _, items = skewed
     queries = items.withColumnRenamed("image_id", "query_id")
