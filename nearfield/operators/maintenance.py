@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from nearfield.functions.scalars import content_sha256
 from nearfield.operators.ann import VectorIndex, build_index, flat_build
-from nearfield.operators.bounds import bounded
+from nearfield.operators.bounds import bounded, carried
 from nearfield.operators.joins import without_vectors
 from nearfield.operators.prototypes import prototypes_of
 from nearfield.operators.reports import apply_count_changes
@@ -225,13 +226,14 @@ def dedupe_append(new: DataFrame, existing: DataFrame, on_duplicate: str = "skip
         computed = F.coalesce("content_hash", computed)
     every = new.withColumn("content_hash", computed)
     hashed = every.filter(F.col("content_hash").isNotNull())
+    keys = cut_lineage(hashed.select("content_hash", order_by))
     first = (
-        hashed.groupBy("content_hash")
+        keys.groupBy("content_hash")
         .agg(F.min(order_by).alias(order_by))
         .join(existing.select("content_hash"), "content_hash", "left_anti")
     )
-    surplus = hashed.select("content_hash", order_by).join(first, ["content_hash", order_by], "left_anti")
-    surplus = bounded(cut_lineage(surplus.select(order_by)))
+    surplus = cut_lineage(keys.join(first, ["content_hash", order_by], "left_anti").select(order_by))
+    surplus = carried(surplus) if isinstance(surplus.schema[order_by].dataType, NumericType) else bounded(surplus)
     accepted = hashed.join(surplus, order_by, "left_anti")
     rejected = hashed.join(surplus, order_by, "left_semi")
     if on_duplicate == "error":

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.scalars import content_sha256, metadata_json
-from nearfield.operators.bounds import bounded
+from nearfield.operators.bounds import carried
 from nearfield.operators.maintenance import deletion_queue, recompute_queue
 from nearfield.operators.prototypes import all_prototypes
 from nearfield.operators.reports import recount_items
@@ -42,9 +42,9 @@ class SampleCatalog:
         )
 
     def labels(self) -> DataFrame:
-        """vec_id and label; few enough of them travel to the items."""
+        """vec_id and label; they travel to the items, which would be shuffled with their contents, where their number allows it."""
         if self._labels is None:
-            self._labels = bounded(self.table("embeddings").select("vec_id", "label"))
+            self._labels = carried(self.table("embeddings").select("vec_id", "label"))
         return self._labels
 
     def vectors(self) -> DataFrame:

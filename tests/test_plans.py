@@ -166,3 +166,22 @@ def test_large_sides_give_the_same_results(catalog, make, monkeypatch):
     small = [sorted(map(str, df.collect())) for df in results()]
     monkeypatch.setattr(bounds, "MAX_SMALL_ROWS", 0)
     assert [sorted(map(str, df.collect())) for df in results()] == small
+
+
+def test_contents_stay_where_they_are_beside_many_labels(spark, tmp_path, monkeypatch):
+    """More labels and copies than a local table holds travel to the items; neither shuffles contents."""
+    from nearfield.operators import bounds
+    from nearfield.sources.sample import SampleCatalog
+
+    spark.range(40).selectExpr("id AS doc_id", "concat('text ', id % 10) AS text", "'en' AS lang", "'a' AS source", "6L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(20).selectExpr("id AS vec_id", "array(1.0f, 2.0f) AS embedding", "cast(id % 10 AS int) AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(bounds, "MAX_SMALL_ROWS", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        images = SampleCatalog(spark, str(tmp_path)).images()
+        result = maintenance.dedupe_append(images, images.select("content_hash").limit(0))
+        text = plan(images) + plan(result.accepted) + plan(result.rejected)
+        assert result.accepted.count() == 10 and result.rejected.count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
