@@ -23,6 +23,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,19 +85,23 @@ def _released(function):
 
 
 def number_words(docs: DataFrame, seed: int) -> DataFrame:
-    """Rows (ids) of numbered text, and rows (gram, proof, lang, word, n) of words and their counts in a task."""
+    """Rows (ids) of numbered text, and rows (gram, proof, lang, word, n, teller) of words and their counts in a task, which
+    hands them on several times if there are many; ``teller`` names the task and time."""
 
     def run(batches):
         numbers: dict[bytes, _Numbers] = {}
         counts: dict[bytes, Counter] = {}
-        ids, size = [], 0
+        ids, size, told = [], 0, 0
 
         def text_row():
             return pa.RecordBatch.from_arrays(
-                [pa.array([np.concatenate(ids).tobytes()], pa.binary())] + [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())],
-                ["ids", "gram", "proof", "lang", "word", "n"])
+                [pa.array([np.concatenate(ids).tobytes()], pa.binary())] + [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())],
+                ["ids", "gram", "proof", "lang", "word", "n", "teller"])
 
         def word_rows():
+            nonlocal told
+            told += 1
+            teller = xxhash.xxh64_intdigest(b"%d %d" % (TaskContext.get().partitionId(), told)) - (1 << 63)
             for lang, own in counts.items():
                 own.pop(b".", None)
                 words = list(own)
@@ -104,7 +109,8 @@ def number_words(docs: DataFrame, seed: int) -> DataFrame:
                 proof = np.fromiter((xxhash.xxh64_intdigest(lang + b"\0" + w) for w in words), np.uint64, len(words))
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(len(words), pa.binary()), pa.array(gram.view(np.int64)), pa.array(proof.view(np.int64)), pa.array([lang] * len(words), pa.binary()),
-                     pa.array(words, pa.binary()), pa.array(list(own.values()), pa.int64())], ["ids", "gram", "proof", "lang", "word", "n"])
+                     pa.array(words, pa.binary()), pa.array(list(own.values()), pa.int64()),
+                     pa.array(np.full(len(words), teller, np.int64))], ["ids", "gram", "proof", "lang", "word", "n", "teller"])
             counts.clear()
 
         for batch in batches:
@@ -127,7 +133,7 @@ def number_words(docs: DataFrame, seed: int) -> DataFrame:
         yield from word_rows()
 
     named = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return map_arrow(named, _released(run), "ids binary, gram long, proof long, lang binary, word binary, n long")
+    return map_arrow(named, _released(run), "ids binary, gram long, proof long, lang binary, word binary, n long, teller long")
 
 
 def grams(ids: np.ndarray, k: int) -> np.ndarray:
@@ -399,18 +405,23 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
     for seed in range(1 << 16):
         numbered = stored(number_words(docs, seed), "numbered")
         rows = numbered.where("gram IS NOT NULL")
-        counts = stored(rows.groupBy("gram").agg(F.sum("n").alias("f"), (F.min("proof") != F.max("proof")).alias("shared")).where(F.col("shared") | (F.col("f") >= least)), "words")
+        counts = stored(rows.groupBy("gram").agg(F.sum("n").alias("f"), (F.min("proof") != F.max("proof")).alias("shared"), F.min("teller").alias("teller")).where(F.col("shared") | (F.col("f") >= least)), "words")
         if not counts.where("shared").limit(1).count():
             break
     spark = docs.sparkSession
     key = F.unhex(F.lpad(F.hex("gram"), 16, "0"))
     parts = _bit_set(counts)
 
+    # Of the rows of a frequent word the one of its least teller spells it (a few others may slip through).
+    told = spark.sparkContext.broadcast(hashed_set(counts.select(
+        F.col("gram").bitwiseXOR(F.col("teller")).bitwiseAND(F.lit(SET_BITS - 1)).alias("bit"))))
+
     def wanted(batches):
         for batch in batches:
-            yield batch.filter(pa.array(has_bits(parts.value, _bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))))
+            gram, teller = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            yield batch.filter(pa.array(has_bits(told.value, (gram ^ teller) & (SET_BITS - 1)))).select([0, 1, 2])
 
-    seen = map_arrow(rows.select("gram", "lang", "word"), wanted, "gram long, lang binary, word binary").distinct()
+    seen = map_arrow(rows.select("gram", "lang", "word", "teller"), wanted, "gram long, lang binary, word binary").distinct()
     totals = bounded(rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.sum("n").alias("n")))
     words = stored(
         seen.join(counts, "gram").select(key.alias("key"), F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("word")).join(totals, "lang").select("key", "lang", "word", "n"), "vocabulary")

@@ -199,3 +199,21 @@ def test_trie_counts_every_place():
         trie.count(ids, total)
         want = Counter(tuple(ids[i : i + k].tolist()) for i in range(len(ids) - k + 1))
         assert {tuple(p): c for p, c in zip(trie.phrases.tolist(), total.tolist())} == {tuple(p): want[tuple(p)] for p in phrases.tolist()}
+
+
+def test_a_frequent_word_is_spelled_once(spark, monkeypatch):
+    """However many tasks count a word, one row of them spells it."""
+    spelled = []
+    real = collocations.map_arrow
+
+    def watched(df, function, schema):
+        out = real(df, function, schema)
+        if schema == "gram long, lang binary, word binary":
+            spelled.append(out.count())
+        return out
+
+    monkeypatch.setattr(collocations, "map_arrow", watched)
+    texts = [("en", " ".join(f"w{i}" for i in range(50)))] * 40
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(8)
+    got = [tuple(r) for r in collocations.collocations(docs, least=10, longest=2).collect()]
+    assert sorted(got) == brute_collocations(texts, 10, 2, 2000, 100) and spelled == [50]
