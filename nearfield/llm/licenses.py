@@ -1,6 +1,6 @@
 """License scan: a trained paragraph classifier. DataFrame and Spark ML functions only, no Python on the executors.
 
-A multinomial logistic regression over hashed words and word pairs tells licence families and an unknown class apart. It
+A multinomial logistic regression over words and word pairs tells licence families and an unknown class apart. It
 learns from places in notices made of each family's names and phrases, alone and within text, and from pieces of the corpus
 itself as unknown. Each family has a threshold, calibrated on all pieces of the corpus that can't be part of a notice.
 Texts fall into paragraphs, whose lines are joined. The regression names the families of every place where a notice can be:
@@ -22,9 +22,9 @@ from itertools import groupby, product
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram
+from pyspark.ml.feature import CountVectorizerModel, NGram
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import stored
@@ -68,8 +68,8 @@ PHRASES = {
 KIN = {"agpl-3.0": ["gpl-3.0"], "lgpl": ["gpl-2.0", "gpl-3.0"]}
 OPENINGS = ("Licensed under the", "Licensed under", "Released under the", "This work is licensed under the", "Distributed under the", "Available under", "License:")
 UNKNOWN = "unknown"
-#: Words on either side of a place; documents sampled as unknown text (about so many); pieces of them for learning; cells of hashed words; the least share of a template's word pairs.
-NEAR, TRAIN_DOCS, TRAIN_PIECES, CELLS, OVERLAP = 3, 400, 1_000, 1 << 14, 0.75
+#: Words on either side of a place; documents sampled as unknown text (about so many); pieces of them for learning; the least share of a template's word pairs.
+NEAR, TRAIN_DOCS, TRAIN_PIECES, OVERLAP = 3, 400, 1_000, 0.75
 #: Words of a piece (a pair and what is near it) and of a chunk.
 PIECE, CHUNK = 2 * NEAR + 2, 256
 #: A family needs this probability at least, and more than this share of the pieces that can't be of a notice.
@@ -242,16 +242,37 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRA
     number = F.array_position(F.array(*[F.lit(f) for f in classes]), F.col("family")) - 1
     rows = training_rows(spark, [r.words for r in sample]).withColumn("label", number.cast("double"))
     rows = rows.withColumn("terms", F.concat("words", _pairs(F.col("words")))).select("terms", "label").coalesce(2)
-    tf = HashingTF(inputCol="terms", outputCol="features", numFeatures=CELLS, binary=True)
+    # Bounded by the training rows. A term that none of them has weighs nothing, so each column of the vocabulary has weights and
+    # Spark keeps them dense: a piece costs its own terms. Sparse ones (of hashed terms, say) are gone through whole for each piece.
+    known = sorted(r.term for r in rows.select(F.explode("terms").alias("term")).distinct().collect())
+    tf = CountVectorizerModel.from_vocabulary(known, inputCol="terms", outputCol="features", minTF=1.0, binary=True)
     regression = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial", standardization=False)
     fitted = LicenseModel(Pipeline(stages=[tf, regression]).fit(rows), classes, dict.fromkeys(classes[:-1], LEAST), overlap)
-    unseen = plain_pieces(docs, overlap).select("words", (~F.xxhash64("words").isin([r.h for r in sample])).alias("unseen"))
-    calibrated = [F.percentile_approx(F.when(F.col("unseen"), F.get("probabilities", F.lit(i))), CALIBRATED, 100_000).alias(f"c{i}") for i in range(len(classes) - 1)]
-    found = fitted.scored(unseen).agg(*calibrated).first()  # over all pieces without cues that it did not learn from
-    fitted.thresholds = {f: max(LEAST, found[i] or 0.0) for i, f in enumerate(classes[:-1])}
+    # All pieces without cues that it did not learn from.
+    fitted.thresholds = _calibrated(fitted.scored(plain_pieces(docs, overlap).where(~F.xxhash64("words").isin([r.h for r in sample])).select("words")), classes[:-1])
     return fitted
 
 
+def _calibrated(scored: DataFrame, families: list[str]) -> dict[str, float]:
+    """For each family the value at CALIBRATED of its probabilities in ``scored``, LEAST at least.
+
+    Only counted probabilities above LEAST leave a task, and the value is exact: it is so many places from the top, if as many
+    are above LEAST. One family at a time, its last task sorts the share above CALIBRATED of all pieces and no more.
+    """
+    above = F.filter(F.array(*[F.struct(F.lit(f).alias("family"), F.get("probabilities", F.lit(i)).alias("p")) for i, f in enumerate(families)]), lambda x: x["p"] > LEAST)
+    itself = F.struct(F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("p"))  # counts the piece
+    tail = stored(scored.select(F.explode(F.concat(F.array(itself), above)).alias("x")).groupBy("x.family", "x.p").agg(F.count("*").alias("k")), "calibration")
+    sizes = {r.family: r.n for r in tail.groupBy("family").agg(F.sum("k").alias("n")).collect()}
+    places = sizes.get(None, 0) - math.ceil(CALIBRATED * sizes.get(None, 0)) + 1
+    out = {}
+    for f in families:
+        out[f] = LEAST
+        if sizes.get(f, 0) >= places:
+            top = tail.where(F.col("family") == f).orderBy(F.desc("p")).limit(places)
+            out[f] = top.withColumn("n", F.sum("k").over(Window.orderBy(F.desc("p")))).where(F.col("n") >= places).agg(F.max("p")).first()[0]
+    return out
+
+
 def license_pieces(docs: DataFrame, model: LicenseModel | None = None, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, line, family, probability, overlap of the places that hold a licence; one for each cue of a notice."""
     model = model or train(docs, overlap=overlap)

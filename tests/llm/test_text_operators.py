@@ -1,11 +1,13 @@
 """Operators on texts against brute force, and their defined results for odd rows."""
 
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontamination, licenses, line_dedup, ngram_join, pii
@@ -301,6 +303,23 @@ def test_license_thresholds_cover_all_unknown_pieces(spark):
     assert model.thresholds == {f: pytest.approx(max(licenses.LEAST, m)) for f, m in zip(model.classes[:-1], most)}
 
 
+def test_license_pieces_cost_their_own_terms(spark):
+    clean = [(i, f"the river number {i} runs past hill and house under an open sky\nwe work in version {i} of the town") for i in range(60)]
+    model = licenses.train(spark.createDataFrame(clean, "doc_id long, text string"))
+    assert isinstance(model.model.stages[-1].coefficientMatrix, DenseMatrix)  # a sparse one is gone through whole for each piece
+
+
+def test_license_calibration_is_exact(spark):
+    rng = np.random.default_rng(3)
+    values = np.column_stack((rng.random(30_000), np.round(rng.random(30_000), 3), rng.random(30_000) * licenses.LEAST))
+    scored = spark.createDataFrame([(v.tolist(),) for v in values], "probabilities array<double>").repartition(5)
+    rank = math.ceil(licenses.CALIBRATED * len(values)) - 1
+    want = [max(licenses.LEAST, v) for v in np.sort(values, axis=0)[rank]]
+    got = licenses._calibrated(scored, ["a", "b", "c"])
+    assert [got[f] for f in "abc"] == want and want[2] == licenses.LEAST
+    assert licenses._calibrated(scored.limit(0), ["a"]) == {"a": licenses.LEAST}
+
+
 def near_templates(text, overlap=licenses.OVERLAP):
     """Families of which some run of words of ``text``, as long as a region, has the share of a template's pairs."""
     words = licenses._plain_words(text)
