@@ -17,7 +17,6 @@ counted whole. Ties in rank: greater count, then the phrase in byte order; ties
 often as they occur. Empty tables give no rows. Only lang and text are looked at, whatever other columns there are.
 """
 
-import ctypes
 from collections import Counter
 
 import numpy as np
@@ -71,19 +70,6 @@ def pieces(raw: bytes):
         at = end + 1
 
 
-def _released(function):
-    """``function`` over batches; a worker then gives back memory it has freed, since later stages run in it too."""
-    def run(batches):
-        yield from function(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library keeps its own counsel
-            pass
-
-    return run
-
-
 def number_words(docs: DataFrame, seed: int) -> DataFrame:
     """Rows (ids) of numbered text, and rows (gram, proof, lang, word, n, teller) of words and their counts in a task, which
     hands them on several times if there are many; ``teller`` names the task and time."""
@@ -133,7 +119,7 @@ def number_words(docs: DataFrame, seed: int) -> DataFrame:
         yield from word_rows()
 
     named = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return map_arrow(named, _released(run), "ids binary, gram long, proof long, lang binary, word binary, n long, teller long")
+    return map_arrow(named, run, "ids binary, gram long, proof long, lang binary, word binary, n long, teller long")
 
 
 def grams(ids: np.ndarray, k: int) -> np.ndarray:
@@ -191,7 +177,7 @@ def enough(texts: DataFrame, k: int, parts, least: int) -> np.ndarray:
                 sums[c] = np.minimum(least, sums.get(c, 0) + own.astype(np.int64))
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "bits": pa.array([np.packbits(s >= least).tobytes() for s in sums.values()], pa.binary())})
 
-    summed = map_arrow(map_arrow(texts, _released(count), "chunk int, counts binary").repartition(CELLS // CELL_CHUNK, "chunk"), _released(fold), "chunk int, bits binary")
+    summed = map_arrow(map_arrow(texts, count, "chunk int, counts binary").repartition(CELLS // CELL_CHUNK, "chunk"), fold, "chunk int, bits binary")
     out = np.zeros(CELLS // 8, dtype=np.uint8)
     for row in summed.collect():  # CELLS bits
         out[row.chunk * CELL_CHUNK // 8 :][: CELL_CHUNK // 8] = np.frombuffer(row.bits, dtype=np.uint8)
@@ -224,7 +210,7 @@ def candidates(texts: DataFrame, k: int, parts, cells) -> DataFrame:
         if size:
             yield distinct()
 
-    return map_arrow(texts, _released(run), "key binary").distinct()
+    return map_arrow(texts, run, "key binary").distinct()
 
 
 class Trie:
@@ -378,7 +364,7 @@ def count_phrases(texts: DataFrame, wanted: DataFrame, k: int, part_size: int =
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array([p.tobytes() for p in found.astype(">u8")], pa.binary()), "gram": pa.array(_grams_of(found).view(np.int64)), "f": pa.array(total[own])})
 
-        shards = map_arrow(texts, _released(run), "shard int, width int, counts binary").repartition("shard")
+        shards = map_arrow(texts, run, "shard int, width int, counts binary").repartition("shard")
         counted.append(stored(map_arrow(shards, add, "key binary, gram long, f long"), "counted"))
         shared.destroy()
     out = counted[0] if counted else None

@@ -1,5 +1,6 @@
 """What several operators of this subpackage share."""
 
+import ctypes
 import uuid
 import zlib
 
@@ -19,9 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` where workers can import this package."""
+    """``df.mapInArrow`` where workers can import this package. Workers live on after a task, but give back what it freed."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_released(function), schema)
+
+
+def _released(function):
+    """``function``, and then freed memory goes back to the system: the next stages, Python or not, have it."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its own counsel
+            pass
+
+    return run
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

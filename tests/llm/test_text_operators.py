@@ -2,16 +2,19 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontamination, licenses, line_dedup, ngram_join, pii
-from nearfield.llm.common import ascii_words
+from nearfield.llm.common import ascii_words, map_arrow
 from nearfield.llm.components import components
 from nearfield.llm.line_dedup import near
 
@@ -385,3 +388,15 @@ def test_places_of_lines_agree_in_both_forms(spark):
     got = spark.createDataFrame(rows, "doc_id long, pos int").select("doc_id", "pos", _line_bit_column().alias("bit")).collect()
     want = _line_bit(np.array([r.doc_id for r in got]), np.array([r.pos for r in got]))
     assert [r.bit for r in got] == want.tolist()
+
+
+def test_workers_give_back_what_a_task_freed(spark):
+    def run(batches):
+        for batch in batches:
+            held = [np.ones(12_500) for _ in range(3_000)]  # 300 MB in pieces that the heap serves
+            sys.nearfield_test = held[-1]  # what stays at its end keeps all of the heap below
+            yield pa.RecordBatch.from_pydict({"pid": pa.array([os.getpid()] * batch.num_rows)})
+
+    [(pid,)] = map_arrow(spark.range(1).coalesce(1), run, "pid long").collect()
+    with open(f"/proc/{pid}/status") as status:
+        assert int(re.search(r"RssAnon:\s+(\d+)", status.read()).group(1)) < 250_000  # KB
