@@ -18,6 +18,7 @@ two families are both reported.
 
 import math
 import re
+from functools import reduce
 from itertools import groupby, product
 
 from pyspark.ml import Pipeline
@@ -74,6 +75,8 @@ NEAR, TRAIN_DOCS, TRAIN_PIECES, OVERLAP = 3, 400, 1_000, 0.75
 PIECE, CHUNK = 2 * NEAR + 2, 256
 #: A family needs this probability at least, and more than this share of the pieces that can't be of a notice.
 LEAST, CALIBRATED = 0.2, 0.9999
+#: Steps of how much a term can add to a family's lead over the unknown class.
+LEADS = (0.02, 0.2, 0.5, 1.0, 1.7, 2.5, 3.5)
 _TOKEN = r"[a-z]++(?:'[a-z]++)?|[0-9]++(?:\.[0-9]++)*+"
 _FOREIGN = r"[^\x00-\x7F]"
 #: Words that other texts have, too: their pairs come last as cues.
@@ -122,13 +125,16 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.split(F.array_join(marked, "\n"), "\n\n++", -1)).alias("paragraph")).where(F.instr("paragraph", "@") > 0)
 
 
-def _unmarked(paragraph: str = "paragraph"):
-    return F.regexp_replace(paragraph, "@[0-9]++ ", " ")
+def _plain(text: str = "text"):
+    """Column: a text in the letters and digits that ``paragraphs`` sees."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _FOREIGN, "x")
 
 
 def plain_pieces(docs: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, words: all paragraphs without cues in pieces of PIECE words."""
-    free = paragraphs(docs).select("doc_id", _unmarked().alias("x")).where(~F.col("x").rlike(_cue_pattern(overlap)))
+    # The paragraphs of ``paragraphs`` without marks: here no line needs its number.
+    parts = docs.select("doc_id", F.explode(F.split(_plain(), r"\n(?:[^a-z0-9\n]*+\n)++", -1)).alias("x"))
+    free = parts.where(~F.col("x").rlike(_cue_pattern(overlap)))
     piece = F.regexp_extract_all("x", F.lit(f"(?:(?:{_TOKEN})[^a-z0-9]*+){{1,{PIECE}}}+"), F.lit(0))
     return free.select("doc_id", F.explode(piece).alias("x")).select("doc_id", F.regexp_extract_all("x", F.lit(_TOKEN), F.lit(0)).alias("words"))
 
@@ -137,7 +143,8 @@ def places(docs: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, words, region: for each cue of a text the words near it, and all words (w, with their line n) that a notice
     there can have."""
     reach = max(len(_plain_words(t)) for texts in _templates().values() for t in texts)
-    cued = paragraphs(docs).where(_unmarked().rlike(_cue_pattern(overlap)))
+    # Lines are marked in the few texts that have a cue; paragraphs without one drop out with their words below.
+    cued = paragraphs(docs.where(_plain().rlike(_cue_pattern(overlap))))
     # The number is taken once for a line, not for each of its words.
     numbered = F.transform(F.split("paragraph", "\n"), lambda x: F.struct(
         F.regexp_extract(x, "^@([0-9]++)", 1).cast("int").alias("n"), F.regexp_extract_all(F.regexp_replace(x, "^@[0-9]++ ", ""), F.lit(_TOKEN), F.lit(0)).alias("ws")))
@@ -184,6 +191,16 @@ def _rivals() -> dict[str, set[str]]:
     return {f: {g for g in pairs if g == f or near(f, g) or g in KIN.get(f, ()) or f in KIN.get(g, ())} for f in pairs}
 
 
+def _most(leads: dict[str, float], terms):
+    """Column: the sum of the leads of ``terms``, each rounded up to one of LEADS."""
+    rounded = {t: min((x for x in LEADS if x >= v), default=max(leads.values())) for t, v in leads.items()}
+    if not rounded:
+        return F.lit(0.0)
+    steps = sorted(set(rounded.values()))
+    lead = lambda t: reduce(lambda rest, x: F.when(t.isin(sorted(k for k, v in rounded.items() if v == x)), F.lit(x)).otherwise(rest), steps[:-1], F.lit(steps[-1]))
+    return F.aggregate(terms, F.lit(0.0), lambda s, t: F.when(t.isin(sorted(rounded)), s + lead(t)).otherwise(s))
+
+
 class LicenseModel:
     """A fitted regression, its classes by number (the unknown one last), and the threshold of each family."""
 
@@ -196,6 +213,28 @@ class LicenseModel:
         scored = self.model.transform(pairs.withColumn("terms", F.concat("words", "pairs")))
         return scored.select(*found.columns, vector_to_array("probability").alias("probabilities"))
 
+    def unlikely(self):
+        """Column: no family can have a probability above LEAST for these words, so no score is needed.
+
+        A family above LEAST leads the unknown class by log(LEAST / (1 - LEAST)) at least, and the terms of a piece add no more to its
+        lead than the greatest leads of each. At first a word stands for itself and for all pairs of which it is the rarer word; only
+        where that could be enough the pairs are looked at.
+        """
+        tf, regression = self.model.stages
+        weights, base = regression.coefficientMatrix.toArray(), regression.interceptVector.toArray()
+        need = math.log(LEAST / (1 - LEAST)) - float((base[:-1] - base[-1]).max()) - 1e-6
+        terms = {t: v for t, v in zip(tf.vocabulary, (weights[:-1] - weights[-1]).max(axis=0).tolist()) if v > LEADS[0]}
+        greatest: dict[tuple, float] = {}  # of a word by itself, or as the first or second word of pairs
+        for term, lead in terms.items():
+            parts = term.split(" ")
+            rare = min(range(len(parts)), key=lambda i: (parts[i] in _COMMON, -len(parts[i])))
+            key = parts[rare], rare if len(parts) > 1 else None
+            greatest[key] = max(greatest.get(key, 0.0), lead)
+        words = {w: sum(greatest.get((w, k), 0.0) for k in (None, 0, 1)) for w, _ in greatest}
+        rest = F.lit(2 * LEADS[0]) * F.size("words")  # terms below the first step
+        exact = _most({t: v for t, v in terms.items() if " " not in t}, F.col("words")) + _most({t: v for t, v in terms.items() if " " in t}, _pairs(F.col("words")))
+        return F.when(_most(words, F.col("words")) + rest < need, True).otherwise(exact + rest < need)
+
     def identify(self, found: DataFrame) -> DataFrame:
         """``found`` once for each family that the regression finds likely enough, with family and probability."""
         families = F.array(*[F.struct(F.lit(f).alias("family"), F.get("probabilities", F.lit(i)).alias("p"), F.lit(self.thresholds[f]).alias("t")) for i, f in enumerate(self.classes[:-1])])
@@ -248,22 +287,28 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_pieces: int = TRA
     tf = CountVectorizerModel.from_vocabulary(known, inputCol="terms", outputCol="features", minTF=1.0, binary=True)
     regression = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial", standardization=False)
     fitted = LicenseModel(Pipeline(stages=[tf, regression]).fit(rows), classes, dict.fromkeys(classes[:-1], LEAST), overlap)
-    # All pieces without cues that it did not learn from.
-    fitted.thresholds = _calibrated(fitted.scored(plain_pieces(docs, overlap).where(~F.xxhash64("words").isin([r.h for r in sample])).select("words")), classes[:-1])
+    # All pieces without cues that it did not learn from, as counts: the unlikely ones together, the others each by its words.
+    free = plain_pieces(docs, overlap).where(~F.xxhash64("words").isin([r.h for r in sample])).select("words")
+    counted = stored(free.select(F.when(~fitted.unlikely(), F.col("words")).alias("words")).groupBy("words").agg(F.count("*").alias("k")), "pieces")
+    n = counted.agg(F.sum("k")).first()[0] or 0
+    fitted.thresholds = _calibrated(fitted.scored(counted.where("words IS NOT NULL")), classes[:-1], n)
     return fitted
 
 
-def _calibrated(scored: DataFrame, families: list[str]) -> dict[str, float]:
-    """For each family the value at CALIBRATED of its probabilities in ``scored``, LEAST at least.
+def _calibrated(scored: DataFrame, families: list[str], n: int | None = None) -> dict[str, float]:
+    """For each family the value at CALIBRATED of its probabilities in ``scored``, LEAST at least. Given ``n``, the number of all
+    pieces, ``scored`` has only those that can be above LEAST, ``k`` times each.
 
     Only counted probabilities above LEAST leave a task, and the value is exact: it is so many places from the top, if as many
     are above LEAST. One family at a time, its last task sorts the share above CALIBRATED of all pieces and no more.
     """
     above = F.filter(F.array(*[F.struct(F.lit(f).alias("family"), F.get("probabilities", F.lit(i)).alias("p")) for i, f in enumerate(families)]), lambda x: x["p"] > LEAST)
     itself = F.struct(F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("p"))  # counts the piece
-    tail = stored(scored.select(F.explode(F.concat(F.array(itself), above)).alias("x")).groupBy("x.family", "x.p").agg(F.count("*").alias("k")), "calibration")
+    each = scored.select(F.col("k") if n is not None else F.lit(1).alias("k"), F.explode(F.concat(F.array(itself), above)).alias("x"))
+    tail = stored(each.groupBy("x.family", "x.p").agg(F.sum("k").alias("k")), "calibration")
     sizes = {r.family: r.n for r in tail.groupBy("family").agg(F.sum("k").alias("n")).collect()}
-    places = sizes.get(None, 0) - math.ceil(CALIBRATED * sizes.get(None, 0)) + 1
+    n = sizes.get(None, 0) if n is None else n
+    places = n - math.ceil(CALIBRATED * n) + 1
     out = {}
     for f in families:
         out[f] = LEAST

@@ -312,6 +312,27 @@ def test_license_pieces_cost_their_own_terms(spark):
     assert isinstance(model.model.stages[-1].coefficientMatrix, DenseMatrix)  # a sparse one is gone through whole for each piece
 
 
+def test_unlikely_license_pieces_are_not_scored(spark):
+    rng = np.random.default_rng(4)
+    plain = "river hill house garden winter morning the of in and ship cloud stone water".split()
+    near = plain + "software version public license terms general".split()
+    rows = [(i, " ".join(rng.choice(plain if i % 4 else near, 8))) for i in range(1500)] + [(9000, "gnu mozilla lesser gpl agplv gplv mpl"), (9001, "affero gnu mozilla lesser license released distributed licensed")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licenses.train(docs, train_docs=1000)
+    pieces = licenses.plain_pieces(docs).withColumn("unlikely", model.unlikely())
+    got = [(r.unlikely, max(r.probabilities[:-1])) for r in model.scored(pieces).collect()]
+    assert all(p <= licenses.LEAST for unlikely, p in got if unlikely)
+    assert sum(unlikely for unlikely, _ in got) > len(got) / 4 and max(p for _, p in got) > licenses.LEAST
+
+
+def test_license_pieces_are_of_the_paragraphs_that_are_scanned(spark):
+    texts = ["One two\nthree @4 don't\n--\nfive 6.0 s\u00e9ven\n \n\n# eight", "\n\nMIT\nLicense\n\nnine", "a\n\n\nb", "", None, "@1 x\n@2 y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    free = licenses.paragraphs(docs).selectExpr("doc_id", "regexp_replace(paragraph, '@[0-9]++ ', ' ') AS x").where(~F.col("x").rlike(licenses._cue_pattern(licenses.OVERLAP)))
+    want = sorted((r.doc_id, tuple(r.w)) for r in free.select("doc_id", licenses._words(F.col("x")).alias("w")).collect())
+    assert sorted((r.doc_id, tuple(r.words)) for r in licenses.plain_pieces(docs).collect()) == want and len(want) == 7
+
+
 def test_license_calibration_is_exact(spark):
     rng = np.random.default_rng(3)
     values = np.column_stack((rng.random(30_000), np.round(rng.random(30_000), 3), rng.random(30_000) * licenses.LEAST))
