@@ -18,6 +18,7 @@ often as they occur. Empty tables give no rows. Only lang and text are looked at
 """
 
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,11 @@ PART = 1 << 18
 #: Counts of a trie in one row of what a task adds up.
 SHARD = 1 << 12
 #: Hashed counters of a level, and those sent as one row.
-CELLS, CELL_CHUNK = 1 << 22, 1 << 16
+CELLS, CELL_CHUNK = 1 << 24, 1 << 18
 #: Words of text in a row of the stored table (a longer piece is one row), and words a task counts or remembers at a time.
 ROW_WORDS, KNOWN = 1 << 16, 1 << 17
+#: Candidates a task keeps before it hands them on, so that it seldom names one twice.
+KEPT = 1 << 19
 #: Copies of the table of frequent phrases for look-ups by frequent keys.
 SALT = 8
 _TO_PIECES = bytes(46 if c in b".,;:!?\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -161,11 +164,11 @@ def enough(texts: DataFrame, k: int, parts, least: int) -> np.ndarray:
     kind = np.uint8 if least < 256 else np.uint64
 
     def count(batches):
-        total = np.zeros(CELLS, dtype=np.int32)
+        total = np.zeros(CELLS, dtype=kind)
         for ids in _texts(batches, k):
             cell, n = np.unique(_cells(grams(ids, k)[_possible(ids, k, parts.value)]), return_counts=True)
             total[cell] = np.minimum(total[cell] + n, least)
-        total = np.minimum(total, least).astype(kind).reshape(-1, CELL_CHUNK)
+        total = total.reshape(-1, CELL_CHUNK)
         own = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(own, pa.int32()), "counts": pa.array([total[c].tobytes() for c in own], pa.binary())})
 
@@ -191,24 +194,27 @@ def candidates(texts: DataFrame, k: int, parts, cells) -> DataFrame:
         return pa.RecordBatch.from_pydict({"key": pa.array([r.tobytes() for r in found.astype(">u8")], pa.binary())})
 
     def run(batches):
-        found, size = [], 0
+        found, size, kept = [], 0, 0
 
         def distinct():
             all_rows = np.concatenate(found)
             _, first, back = np.unique(_grams_of(all_rows), return_index=True, return_inverse=True)
             other = (all_rows != all_rows[first][back]).any(axis=1)  # another phrase under the same hash
-            return rows(np.concatenate((all_rows[first], all_rows[other])))
+            return np.concatenate((all_rows[first], np.unique(all_rows[other], axis=0)))
 
         for ids in _texts(batches, k):
             at = _possible(ids, k, parts.value)
             at = at[has_bits(cells.value, _cells(grams(ids, k)[at]))]
             found.append(ids[at[:, None] + np.arange(k)])
             size += len(at)
-            if size >= KNOWN:
-                yield distinct()
-                found, size = [], 0
-        if size:
-            yield distinct()
+            if size >= max(KNOWN, kept):
+                found, size = [distinct()], 0
+                kept = len(found[0])
+                if kept >= KEPT:
+                    yield rows(found[0])
+                    found, kept = [], 0
+        if found:
+            yield rows(distinct())
 
     return map_arrow(texts, run, "key binary").distinct()
 
@@ -277,10 +283,24 @@ class Trie:
 
     def symbols(self, ids: np.ndarray) -> np.ndarray:
         """Symbols of numbers; 0, which leads nowhere, for those not in the alphabet."""
-        place = np.searchsorted(self.alphabet, ids)
-        found = self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == ids
+        starts, shift, alphabet = self._starts
+        place = starts.take((ids >> shift).astype(np.int64))
+        behind = np.flatnonzero(alphabet.take(place) < ids)
+        while len(behind):
+            place[behind] += 1
+            behind = behind[alphabet.take(place[behind]) < ids[behind]]
+        found = (alphabet.take(place) == ids) & (place < len(self.alphabet))
         return np.where(found, place + 1, 0)
 
+    @cached_property
+    def _starts(self):
+        """Where the numbers of each value of their first bits begin in the alphabet (numbers are hashes, so few share them), and the
+        alphabet with an end."""
+        bits = len(self.alphabet).bit_length() + 1
+        shift = np.uint64(64 - bits)
+        starts = np.searchsorted(self.alphabet, np.arange(1 << bits, dtype=np.uint64) << shift)
+        return starts, shift, np.append(self.alphabet, np.uint64(2**64 - 1))
+
     def count(self, ids: np.ndarray, total: np.ndarray) -> None:
         """Adds to ``total`` how often each phrase occurs in ``ids``."""
         k = self.phrases.shape[1]

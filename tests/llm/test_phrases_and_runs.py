@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from nearfield.llm import collocations, periodic_runs
+from nearfield.llm.common import SET_BITS, map_arrow
 
 
 def brute_runs(w):
@@ -217,3 +218,22 @@ def test_a_frequent_word_is_spelled_once(spark, monkeypatch):
     docs = spark.createDataFrame(texts, "lang string, text string").repartition(8)
     got = [tuple(r) for r in collocations.collocations(docs, least=10, longest=2).collect()]
     assert sorted(got) == brute_collocations(texts, 10, 2, 2000, 100) and spelled == [50]
+
+
+def test_a_task_names_a_candidate_once(spark, monkeypatch):
+    numbers = np.tile(np.random.default_rng(6).integers(1, 1 << 62, 1000).astype(np.uint64), 3 * collocations.KNOWN // 1000 + 1)
+    rows = [(numbers[at : at + 60_001].tobytes(),) for at in range(0, len(numbers), 60_000)]
+    texts = spark.createDataFrame(rows, "ids binary").coalesce(1)
+    named = []
+    monkeypatch.setattr(collocations, "map_arrow", lambda *args: named.append(map_arrow(*args)) or named[-1])
+    everything = [spark.sparkContext.broadcast(np.full(bits // 8, 255, np.uint8)) for bits in (SET_BITS, collocations.CELLS)]
+    assert collocations.candidates(texts, 2, *everything).count() == 1000
+    assert named[0].count() == 1000
+
+
+def test_symbols_are_places_in_the_alphabet(spark):
+    rng = np.random.default_rng(8)
+    trie = collocations.Trie(np.unique(rng.integers(1, 1 << 63, (3000, 2)).astype(np.uint64) | np.uint64(1), axis=0))
+    ids = np.concatenate((trie.alphabet, rng.integers(0, 1 << 63, 3000).astype(np.uint64), np.array([0, 1, 2**64 - 1], np.uint64)))
+    place = {int(x): i + 1 for i, x in enumerate(trie.alphabet)}
+    assert trie.symbols(ids).tolist() == [place.get(int(x), 0) for x in ids]
