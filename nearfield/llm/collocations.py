@@ -5,9 +5,12 @@ taken), and the numbered text is stored with 0 between pieces. Then, for phrases
 
 1. Apriori: a place can only begin a frequent phrase of k words where its two parts of k - 1 words are frequent. Sets of
    fixed size hold the frequent parts, and hashed counters of fixed size drop phrases that can't reach the least count. Both
-   only ever let too many through, so no frequent phrase is lost; what is left, each phrase once, are the candidates.
+   only ever let too many through, so no frequent phrase is lost. What is left are the candidates. The phrases of a counter are
+   named by one task only, the one that counted most of it, so that names grow with the phrases and not with the tasks.
 2. Candidates, ``PART`` at a time, become a double-array trie, built in a task and broadcast. All places of a piece of text
    advance through it side by side, one word at a time; accepting states are counted, and the counts of all tasks summed.
+3. The counters, cut finer, less the counts of the phrases named show where another phrase may still reach the least count.
+   Only there all tasks name what they have, and that is counted like the rest.
 
 Scores are exact decimals of 38 digits. Languages are kept apart by the word numbers; a hot language or word costs no more,
 since counts are summed before the shuffle, and look-ups of parts are salted.
@@ -37,6 +40,8 @@ PART = 1 << 18
 SHARD = 1 << 12
 #: Hashed counters of a level, and those sent as one row.
 CELLS, CELL_CHUNK = 1 << 24, 1 << 18
+#: Finer counters that each counter with the least count is cut into, as long as there are no more than CELLS of them.
+FINE = 16
 #: Words of text in a row of the stored table (a longer piece is one row), and words a task counts or remembers at a time.
 ROW_WORDS, KNOWN = 1 << 16, 1 << 17
 #: Candidates a task keeps before it hands them on, so that it seldom names one twice.
@@ -159,8 +164,9 @@ def _texts(batches, k: int):
                 yield ids[at : at + 2 * ROW_WORDS + k - 1]
 
 
-def enough(texts: DataFrame, k: int, parts, least: int) -> np.ndarray:
-    """Bits of the hashed counters that reach ``least`` among possible phrases of ``k`` words."""
+def enough(texts: DataFrame, k: int, parts, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed counters that reach ``least`` among possible phrases of ``k`` words, ascending, and for each the task that
+    counted most of it."""
     kind = np.uint8 if least < 256 else np.uint64
 
     def count(batches):
@@ -170,55 +176,154 @@ def enough(texts: DataFrame, k: int, parts, least: int) -> np.ndarray:
             total[cell] = np.minimum(total[cell] + n, least)
         total = total.reshape(-1, CELL_CHUNK)
         own = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(own, pa.int32()), "counts": pa.array([total[c].tobytes() for c in own], pa.binary())})
+        task = np.full(len(own), TaskContext.get().partitionId(), np.int32)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(own, pa.int32()), "task": pa.array(task), "counts": pa.array([total[c].tobytes() for c in own], pa.binary())})
 
     def fold(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums, most, teller = {}, {}, {}
         for batch in batches:
-            for c, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for c, task, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = np.frombuffer(counts.as_buffer(), dtype=kind)
-                sums[c] = np.minimum(least, sums.get(c, 0) + own.astype(np.int64))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "bits": pa.array([np.packbits(s >= least).tobytes() for s in sums.values()], pa.binary())})
+                if c not in sums:
+                    sums[c], most[c], teller[c] = np.zeros(len(own), np.int64), np.zeros(len(own), kind), np.zeros(len(own), np.int32)
+                sums[c] = np.minimum(least, sums[c] + own)
+                teller[c][own > most[c]] = task
+                most[c] = np.maximum(most[c], own)
+        hot = {c: np.flatnonzero(s >= least) for c, s in sums.items()}
+        yield pa.RecordBatch.from_pydict({
+            "chunk": pa.array(list(hot), pa.int32()), "cells": pa.array([(h + c * CELL_CHUNK).astype(np.int32).tobytes() for c, h in hot.items()], pa.binary()),
+            "tellers": pa.array([teller[c][h].tobytes() for c, h in hot.items()], pa.binary())})
 
-    summed = map_arrow(map_arrow(texts, count, "chunk int, counts binary").repartition(CELLS // CELL_CHUNK, "chunk"), fold, "chunk int, bits binary")
-    out = np.zeros(CELLS // 8, dtype=np.uint8)
-    for row in summed.collect():  # CELLS bits
-        out[row.chunk * CELL_CHUNK // 8 :][: CELL_CHUNK // 8] = np.frombuffer(row.bits, dtype=np.uint8)
-    return out
+    summed = map_arrow(map_arrow(texts, count, "chunk int, task int, counts binary").repartition(CELLS // CELL_CHUNK, "chunk"), fold, "chunk int, cells binary, tellers binary")
+    rows = sorted(summed.collect())  # 8 bytes for each of CELLS at most
+    return tuple(np.frombuffer(b"".join(r[i] for r in rows), np.int32) for i in (1, 2))
 
 
-def candidates(texts: DataFrame, k: int, parts, cells) -> DataFrame:
-    """key: each possible phrase of ``k`` words, as its numbers in big-endian bytes, once."""
+class Hot:
+    """Hashed counters that reach the least count, each with the task that tells its phrases, and cut into ``fine`` counters."""
 
-    def rows(found):
-        return pa.RecordBatch.from_pydict({"key": pa.array([r.tobytes() for r in found.astype(">u8")], pa.binary())})
+    def __init__(self, cells: np.ndarray, tellers: np.ndarray):
+        self.cells, self.tellers = cells, tellers
+        self.fine = max(1, min(FINE, 1 << (CELLS // max(1, len(cells))).bit_length() - 1))
+        bits = np.zeros(CELLS, dtype=bool)
+        bits[cells] = True
+        self.bits = np.packbits(bits)
 
-    def run(batches):
-        found, size, kept = [], 0, 0
+    def ranks(self, gram: np.ndarray) -> np.ndarray:
+        """Places among ``cells`` of grams that have one."""
+        return np.searchsorted(self.cells, _cells(gram).astype(np.int32))
+
+    def fine_of(self, gram: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return rank * self.fine + ((gram * _MIX) >> np.uint64(40)).astype(np.int64) % self.fine
+
+
+class _Names:
+    """Phrases that a task names, each once as far as it keeps them."""
+
+    def __init__(self):
+        self.found, self.size, self.kept = [], 0, 0
+
+    def _distinct(self):
+        all_rows = np.concatenate(self.found)
+        _, first, back = np.unique(_grams_of(all_rows), return_index=True, return_inverse=True)
+        other = (all_rows != all_rows[first][back]).any(axis=1)  # another phrase under the same hash
+        return np.concatenate((all_rows[first], np.unique(all_rows[other], axis=0)))
+
+    def add(self, rows: np.ndarray):
+        """Phrases to hand on, if there are too many to keep."""
+        self.found.append(rows)
+        self.size += len(rows)
+        if self.size >= max(KNOWN, self.kept):
+            self.found, self.size = [self._distinct()], 0
+            self.kept = len(self.found[0])
+            if self.kept >= KEPT:
+                yield self.found[0]
+                self.found, self.kept = [], 0
 
-        def distinct():
-            all_rows = np.concatenate(found)
-            _, first, back = np.unique(_grams_of(all_rows), return_index=True, return_inverse=True)
-            other = (all_rows != all_rows[first][back]).any(axis=1)  # another phrase under the same hash
-            return np.concatenate((all_rows[first], np.unique(all_rows[other], axis=0)))
+    def last(self):
+        if self.found:
+            yield self._distinct()
 
+
+def _keys(phrases: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in phrases.astype(">u8")], pa.binary())
+
+
+def candidates(texts: DataFrame, k: int, parts, cells, hot=None) -> DataFrame:
+    """key: each possible phrase of ``k`` words whose hashed counter is in the set ``cells``, or, with ``hot``, whose fine
+    counter is; as its numbers in big-endian bytes, once."""
+
+    def run(batches):
+        names = _Names()
         for ids in _texts(batches, k):
             at = _possible(ids, k, parts.value)
-            at = at[has_bits(cells.value, _cells(grams(ids, k)[at]))]
-            found.append(ids[at[:, None] + np.arange(k)])
-            size += len(at)
-            if size >= max(KNOWN, kept):
-                found, size = [distinct()], 0
-                kept = len(found[0])
-                if kept >= KEPT:
-                    yield rows(found[0])
-                    found, kept = [], 0
-        if found:
-            yield rows(distinct())
+            gram = grams(ids, k)[at]
+            if hot is None:
+                at = at[has_bits(cells.value, _cells(gram))]
+            else:
+                inside = has_bits(hot.value.bits, _cells(gram))
+                at, gram = at[inside], gram[inside]
+                at = at[has_bits(cells.value, hot.value.fine_of(gram, hot.value.ranks(gram)))]
+            for found in names.add(ids[at[:, None] + np.arange(k)]):
+                yield pa.RecordBatch.from_arrays([_keys(found)], ["key"])
+        for found in names.last():
+            yield pa.RecordBatch.from_arrays([_keys(found)], ["key"])
 
     return map_arrow(texts, run, "key binary").distinct()
 
 
+def tell(texts: DataFrame, k: int, parts, hot) -> DataFrame:
+    """Rows (key) of possible phrases of ``k`` words, each named by the task that tells its hashed counter, if it has it; and
+    rows (shard, width, counts) of all tasks' fine counters."""
+
+    def named(found):
+        return pa.RecordBatch.from_arrays([_keys(found), *(pa.nulls(len(found), t) for t in (pa.int32(), pa.int32(), pa.binary()))], ["key", "shard", "width", "counts"])
+
+    def run(batches):
+        names, own, total = _Names(), hot.value, np.zeros(len(hot.value.cells) * hot.value.fine, dtype=np.int64)
+        told = own.tellers == TaskContext.get().partitionId()
+        for ids in _texts(batches, k):
+            at = _possible(ids, k, parts.value)
+            gram = grams(ids, k)[at]
+            inside = has_bits(own.bits, _cells(gram))
+            at, gram = at[inside], gram[inside]
+            rank = own.ranks(gram)
+            np.add.at(total, own.fine_of(gram, rank), 1)
+            at = at[told[rank]]
+            for found in names.add(ids[at[:, None] + np.arange(k)]):
+                yield named(found)
+        for found in names.last():
+            yield named(found)
+        for batch in _shards(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.binary()), *batch.columns], ["key", "shard", "width", "counts"])
+
+    return map_arrow(texts, run, "key binary, shard int, width int, counts binary")
+
+
+def unsettled(told: DataFrame, counted: list[DataFrame], hot, least: int) -> DataFrame:
+    """bit: the fine counters that reach ``least`` without the phrases ``counted``, and so may hide another frequent one."""
+
+    def add(batches):
+        totals = {}
+        for batch in batches:
+            _sum_shards(batch.columns, totals)
+        for shard, total in totals.items():
+            own = np.flatnonzero(total >= least)
+            yield pa.RecordBatch.from_pydict({"bit": pa.array(own + shard * SHARD, pa.int64()), "n": pa.array(total[own])})
+
+    def taken(batches):
+        for batch in batches:
+            gram = batch.column(0).to_numpy().view(np.uint64)
+            bit = hot.value.fine_of(gram, hot.value.ranks(gram))
+            yield pa.RecordBatch.from_arrays([pa.array(bit), batch.column(1)], ["bit", "f"])
+
+    out = map_arrow(told.where("shard IS NOT NULL").select("shard", "width", "counts").repartition("shard"), add, "bit long, n long")
+    for part in counted:
+        known = map_arrow(part.select("gram", "f"), taken, "bit long, f long").groupBy("bit").agg(F.sum("f").alias("f"))
+        out = out.join(known, "bit", "left").select("bit", (F.col("n") - F.coalesce("f", F.lit(0))).alias("n"))
+    return out.where(F.col("n") >= least).select("bit")
+
+
 class Trie:
     """A double array over phrases of equal length: from state s, symbol c leads to base[s] + c where check there is s.
 
@@ -351,6 +456,13 @@ def _shards(total: np.ndarray):
     yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "width": pa.array(width, pa.int32()), "counts": pa.array(counts, pa.binary())})
 
 
+def _sum_shards(columns, totals: dict[int, np.ndarray]) -> None:
+    """Adds columns (shard, width, counts) of ``_shards`` to ``totals``."""
+    for shard, width, counts in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2]):
+        counts = np.frombuffer(counts.as_py(), f"<u{width}").astype(np.int64)
+        totals[shard] = totals[shard] + counts if shard in totals else counts
+
+
 def count_phrases(texts: DataFrame, wanted: DataFrame, k: int, part_size: int = PART) -> DataFrame:
     """key, gram, f of each phrase of ``wanted`` (key) in the numbered ``texts``; one trie and one pass for each part."""
     spark = texts.sparkSession
@@ -375,9 +487,7 @@ def count_phrases(texts: DataFrame, wanted: DataFrame, k: int, part_size: int =
         def add(batches, shared=shared):
             phrases, totals = np.frombuffer(shared.value[0], np.uint64).reshape(-1, k), {}
             for batch in batches:
-                for shard, width, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    counts = np.frombuffer(counts.as_py(), f"<u{width}").astype(np.int64)
-                    totals[shard] = totals[shard] + counts if shard in totals else counts
+                _sum_shards(batch.columns, totals)
             for shard, total in totals.items():
                 own = np.flatnonzero(total)
                 found = phrases[shard * SHARD + own]
@@ -393,6 +503,26 @@ def count_phrases(texts: DataFrame, wanted: DataFrame, k: int, part_size: int =
     return out
 
 
+def count_possible(texts: DataFrame, k: int, parts, least: int) -> DataFrame | None:
+    """key, gram, f of phrases of ``k`` words, all those among them that occur ``least`` times or more."""
+    spark = texts.sparkSession
+    cells, tellers = enough(texts, k, parts, least)
+    if not len(cells):
+        return None
+    hot = spark.sparkContext.broadcast(Hot(cells, tellers))
+    told = stored(tell(texts, k, parts, hot), "told")
+    named = told.where("key IS NOT NULL").select("key").distinct()
+    counted = [c for c in [count_phrases(texts, named, k)] if c is not None]
+    left = stored(unsettled(told, counted, hot, least), "unsettled")
+    if left.limit(1).count():
+        bits = spark.sparkContext.broadcast(hashed_set(left))
+        rest = stored(candidates(texts, k, parts, bits, hot).join(named, "key", "left_anti"), "candidates")
+        counted += [c for c in [count_phrases(texts, rest, k)] if c is not None]
+        bits.destroy()
+    hot.destroy()
+    return counted[0].unionByName(counted[1]) if len(counted) == 2 else counted[0]
+
+
 def _grams_of(phrases: np.ndarray) -> np.ndarray:
     out = phrases[:, 0].copy()
     for j in range(1, phrases.shape[1]):
@@ -434,11 +564,8 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
     texts = numbered.where("ids IS NOT NULL").select("ids")
     out = counts.select(key.alias("key"), F.lit(1).alias("k"), "f")
     for k in range(2, longest + 1):
-        cells = spark.sparkContext.broadcast(enough(texts, k, parts, least))
-        found = stored(candidates(texts, k, parts, cells), "candidates")
-        counted = count_phrases(texts, found, k)
+        counted = count_possible(texts, k, parts, least)
         parts.destroy()
-        cells.destroy()
         if counted is None:
             break
         level = stored(counted.where(F.col("f") >= least), "phrases")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from nearfield.llm import collocations, periodic_runs
-from nearfield.llm.common import SET_BITS, map_arrow
+from nearfield.llm.common import SET_BITS, map_arrow, stored
 
 
 def brute_runs(w):
@@ -231,6 +231,61 @@ def test_a_task_names_a_candidate_once(spark, monkeypatch):
     assert named[0].count() == 1000
 
 
+def test_one_task_names_a_frequent_phrase(spark, monkeypatch):
+    """However many tasks have a phrase, the names of candidates grow with the phrases."""
+    named = []
+    real = collocations.map_arrow
+
+    def watched(df, function, schema):
+        out = real(df, function, schema)
+        if schema.startswith("key binary") and "gram" not in schema:
+            named.append(out.where("key IS NOT NULL").count())
+        return out
+
+    monkeypatch.setattr(collocations, "map_arrow", watched)
+    texts = [("en", " ".join(f"w{i}" for i in range(51)))] * 40
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(8)
+    monkeypatch.setattr(collocations, "stored", lambda df, name: stored(df.repartition(8), name))  # text of each task in a file of its own
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # and each file in a task of its own
+    try:
+        got = [tuple(r) for r in collocations.collocations(docs, least=10, longest=2).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert sorted(got) == brute_collocations(texts, 10, 2, 2000, 100) and named == [50]
+
+
+@pytest.mark.parametrize("wrong", ["nobody", "first"])
+def test_phrases_that_no_teller_has_are_found(spark, monkeypatch, wrong):
+    """Tellers only save work: phrases of their counters that they don't have are named by the others."""
+    real = collocations.enough
+
+    def enough(*args):
+        cells, tellers = real(*args)
+        return cells, np.full_like(tellers, 0 if wrong == "first" else 1 << 20)
+
+    monkeypatch.setattr(collocations, "enough", enough)
+    rng = random.Random(9)
+    rows = [("en", " ".join(rng.choice(["a", "b", "c", f"x{i % 4}"]) for _ in range(60))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    assert sorted(tuple(r) for r in collocations.collocations(docs, 8).collect()) == brute_collocations(rows, 8, 5, 2000, 100)
+
+
+def test_a_counter_that_two_phrases_share_hides_neither(spark):
+    """Two phrases of one counter, each in a task of its own: the teller has one of them only."""
+    rng = np.random.default_rng(10)
+    pairs = rng.integers(1, 1 << 62, (1 << 14, 2)).astype(np.uint64)
+    cells = collocations._cells(collocations._grams_of(pairs))
+    order = np.argsort(cells, kind="stable")
+    same = np.flatnonzero(np.diff(cells[order]) == 0)[0]
+    one, two = pairs[order[same]], pairs[order[same + 1]]
+    rows = [(np.concatenate([np.append(p, np.uint64(0))] * n).tobytes(),) for p, n in ((one, 30), (two, 20))]
+    texts = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "ids binary")
+    parts = spark.sparkContext.broadcast(np.full(SET_BITS // 8, 255, np.uint8))
+    found = collocations.count_possible(texts, 2, parts, 20).collect()
+    assert {bytes(r.key): r.f for r in found} == {one.astype(">u8").tobytes(): 30, two.astype(">u8").tobytes(): 20}
+
+
 def test_symbols_are_places_in_the_alphabet(spark):
     rng = np.random.default_rng(8)
     trie = collocations.Trie(np.unique(rng.integers(1, 1 << 63, (3000, 2)).astype(np.uint64) | np.uint64(1), axis=0))
